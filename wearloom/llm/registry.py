@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from wearloom.llm import simhash
+from wearloom.llm import bpe, simhash
 from wearloom.llm.common import read
 
 
+def op4_bpe(spark, sf_dir):
+    return bpe.encode_and_decode(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {"op10_simhash_near_dedup": op10_simhash_near_dedup}
+    return {
+        "op4_bpe": op4_bpe,
+        "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    }
 
 
 def oracle_sql():
