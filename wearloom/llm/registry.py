@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from wearloom.llm import bpe, simhash
+from wearloom.llm import bpe, langid, simhash
 from wearloom.llm.common import read
 
 
+def op3_language_id(spark, sf_dir):
+    return langid.query(read(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.encode_and_decode(read(spark, sf_dir, "documents"))
 
@@ -16,6 +20,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 def queries():
     return {
+        "op3_language_id": op3_language_id,
         "op4_bpe": op4_bpe,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
