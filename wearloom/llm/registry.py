@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from wearloom.llm import bpe, langid, simhash
+from wearloom.llm import bpe, langid, quality, simhash
 from wearloom.llm.common import read
 
 
+def op1_quality_classifier(spark, sf_dir):
+    return quality.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_language_id(spark, sf_dir):
     return langid.query(read(spark, sf_dir, "documents"))
 
@@ -20,6 +24,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 def queries():
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op3_language_id": op3_language_id,
         "op4_bpe": op4_bpe,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
