@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +63,16 @@ def hash_share(*columns: str, seed: int = 7) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def filtered(docs: DataFrame, keep) -> DataFrame:
+    """The rows of docs for which ``keep(batch)`` holds (a function of an Arrow batch to a
+    list of booleans). Rows are judged where they lie, with all their columns: nothing is
+    dealt out and ids need not be unique."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(keep(batch), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

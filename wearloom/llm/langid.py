@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearloom.llm.common import bucket_of, chunks, hash_share
+from wearloom.llm.common import bucket_of, chunks, filtered, hash_share
 
 UNKNOWN = "und"
 BUCKET_BITS = 15
@@ -278,6 +278,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return _applied(docs, model, "doc_id long, lang_pred string, score double", rows)
 
 
+def kept(docs: DataFrame, model: Model, least_score: float) -> DataFrame:
+    """The rows of docs, all columns, in a learned language with at least that score.
+    A model that has seen no labelled row rejects nothing."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scorers: list[Scorer] = []
+
+    def keep(batch: pa.RecordBatch) -> list[bool]:
+        if not scorers:
+            scorers.append(Scorer(shared.value))
+        found = (scorers[0].predict(t.as_py()) for t in batch.column("text"))
+        return [lang != UNKNOWN and score >= least_score for lang, score in found]
+
+    return filtered(docs, keep) if model.langs else docs
+
+
 def spans(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, first_word, n_words, lang) of each run of words of one language, in order.
     Words without letters belong to the run before them."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearloom.llm.common import bucket_of, chunks, hash_share
+from wearloom.llm.common import bucket_of, chunks, filtered, hash_share
 
 WORD_BUCKETS = 1 << 15
 BINS = 16
@@ -193,6 +193,22 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", extra.alias("n_chars")).mapInArrow(run, "doc_id long, score double")
 
 
+def kept(docs: DataFrame, model: Machine, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of docs, all columns, that score at least the cutoff."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    features = Features()
+
+    def keep(batch: pa.RecordBatch) -> list[bool]:
+        n_chars = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else [None] * batch.num_rows
+        margins = []
+        for text, n in zip(batch.column("text"), n_chars):
+            ids, x = features.of(text.as_py(), n)
+            margins.append(float(shared.value.margin(ids, x, np.zeros(1, np.int64))[0]))
+        return (sigmoid(np.array(margins)) >= cutoff).tolist()
+
+    return filtered(docs, keep)
+
+
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted), learned from rows whose crc32(doc_id) mod 5 is not 0.
     A null doc_id is in no fold: held_out is false and the row is not learned from."""

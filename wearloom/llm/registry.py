@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from wearloom.llm import bpe, langid, quality, simhash
+import corpus_pipeline
+from wearloom.llm import bpe, langid, mixing, quality, simhash
 from wearloom.llm.common import read
 
 
@@ -18,6 +19,10 @@ def op4_bpe(spark, sf_dir):
     return bpe.encode_and_decode(read(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -27,9 +32,11 @@ def queries():
         "op1_quality_classifier": op1_quality_classifier,
         "op3_language_id": op3_language_id,
         "op4_bpe": op4_bpe,
+        "op6_mixing": op6_mixing,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op6_mixing": mixing.ORACLE}
