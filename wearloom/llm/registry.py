@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from wearloom.llm import bpe, langid, mixing, quality, simhash
+from wearloom.llm import bpe, langid, mixing, quality, rules, simhash
 from wearloom.llm.common import read
 
 
@@ -23,6 +23,10 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark, sf_dir):
+    return rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def queries():
         "op3_language_id": op3_language_id,
         "op4_bpe": op4_bpe,
         "op6_mixing": op6_mixing,
+        "op7_quality_rules": op7_quality_rules,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
         "pipeline": corpus_pipeline.run,
     }
