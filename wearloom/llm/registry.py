@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from wearloom.llm import bpe, langid, mixing, quality, rules, simhash
+from wearloom.llm import bpe, chat, langid, mixing, quality, rules, simhash
 from wearloom.llm.common import read
 
 
@@ -19,6 +19,10 @@ def op4_bpe(spark, sf_dir):
     return bpe.encode_and_decode(read(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark, sf_dir):
+    return chat.query(spark, read(spark, sf_dir, "conversations"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def queries():
         "op1_quality_classifier": op1_quality_classifier,
         "op3_language_id": op3_language_id,
         "op4_bpe": op4_bpe,
+        "op5_chat_format": op5_chat_format,
         "op6_mixing": op6_mixing,
         "op7_quality_rules": op7_quality_rules,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
@@ -44,4 +49,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_mixing": mixing.ORACLE}
+    return {"op5_chat_format": chat.oracle(), "op6_mixing": mixing.ORACLE}
