@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from wearloom.llm import bpe, chat, langid, mixing, quality, rules, simhash
+from wearloom.llm import bpe, chat, langid, licenses, mixing, quality, rules, simhash, urls
 from wearloom.llm.common import read
 
 
@@ -31,6 +31,14 @@ def op7_quality_rules(spark, sf_dir):
     return rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_license_scan(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark, sf_dir):
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
 def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -43,10 +51,12 @@ def queries():
         "op5_chat_format": op5_chat_format,
         "op6_mixing": op6_mixing,
         "op7_quality_rules": op7_quality_rules,
+        "op8_license_scan": op8_license_scan,
+        "op9_url_filter": op9_url_filter,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op5_chat_format": chat.oracle(), "op6_mixing": mixing.ORACLE}
+    return {"op5_chat_format": chat.oracle(), "op6_mixing": mixing.ORACLE, "op8_license_scan": licenses.oracle()}
