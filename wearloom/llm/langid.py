@@ -210,6 +210,8 @@ class Scorer:
         full = np.flatnonzero(np.fromiter(map(len, pure), np.int64, len(pure)))
         if len(full):
             for at_word, bucket in word_grams([pure[i] for i in full.tolist()]):
+                if not len(at_word):
+                    continue  # no word is as long as these n-grams
                 starts = np.flatnonzero(np.r_[True, at_word[1:] != at_word[:-1]])
                 sums[full[at_word[starts]]] += np.add.reduceat(self.model.table[bucket], starts, axis=0) * WEIGHT
         for i, p in enumerate(pure):
