@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from wearloom.llm import bpe, chat, langid, licenses, mixing, quality, rules, simhash, urls
+from wearloom.llm import bpe, chat, langid, licenses, mixing, quality, rules, simhash, topk, urls
 from wearloom.llm.common import read
 
 
@@ -11,6 +11,10 @@ def op1_quality_classifier(spark, sf_dir):
     return quality.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_exact_top_k(spark, sf_dir):
+    return topk.query(read(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark, sf_dir):
     return langid.query(read(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
 def queries():
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_exact_top_k": op2_exact_top_k,
         "op3_language_id": op3_language_id,
         "op4_bpe": op4_bpe,
         "op5_chat_format": op5_chat_format,
@@ -59,4 +64,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_chat_format": chat.oracle(), "op6_mixing": mixing.ORACLE, "op8_license_scan": licenses.oracle()}
+    return {"op2_exact_top_k": topk.ORACLE, "op5_chat_format": chat.oracle(), "op6_mixing": mixing.ORACLE, "op8_license_scan": licenses.oracle()}
