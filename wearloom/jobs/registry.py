@@ -1,15 +1,218 @@
-"""Registered queries of the wear analytics."""
+"""Registered queries of the wear analytics, over sensor views of the given tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+from wearloom.functions.columns import us
+from wearloom.jobs import oracle, wear
+from wearloom.operators import align, clean, evaluate, features, joins, linear, outliers, profile, robust, verdict
+from wearloom.params import Params
+from wearloom.sources import sensor_views
+
+#: The views' readings are minutes apart, so pairing looks half an hour around.
+P = Params(pair_tolerance_s=1800.0)
+#: Hours by which the views' log is behind; the offset queries find it.
+OFFSET_S = 18_000
+
+
+def _r(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _us(df: DataFrame, **names: str) -> DataFrame:
+    """Times as whole microseconds, so that both engines compare equal."""
+    for old, new in (names or {"ts": "us"}).items():
+        df = df.withColumn(new, us(old)).drop(*([old] if old != new else []))
+    return df
+
+
+class Views:
+    """The tables of a folder, each stage built from those before it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, p: Params = P):
+        self.spark, self.p = spark, p
+        self.power_raw = sensor_views.power(spark, sf_dir)
+        self.vibration_raw = sensor_views.vibration(spark, sf_dir)
+        self.log_raw = sensor_views.production_log(spark, sf_dir)
+
+    def power(self):
+        return clean.clean_power(self.power_raw, self.p)
+
+    def vibration(self):
+        return clean.clean_vibration(self.vibration_raw, self.p)
+
+    def jobs(self):
+        return clean.clean_jobs(self.log_raw, self.p)
+
+    def prepared(self) -> wear.Prepared:
+        return wear.prepare(self.power_raw, self.vibration_raw, self.log_raw, self.p, OFFSET_S)
+
+    def cutting(self):
+        return wear.cutting(self.prepared(), self.p)
+
+    def ratios(self):
+        return evaluate.job_ratios(self.cutting())
+
+    def split(self):
+        return evaluate.reference_split(self.ratios())
+
+    def lifts(self):
+        return align.machine_offset_scores(self.power(), self.jobs(), align.coarse_offsets(self.p))
+
+    def scores(self):
+        return align.offset_scores(self.lifts(), align.coarse_offsets(self.p))
+
+    def simple_scores(self):
+        """A score without a model: log vibration per kW against its part's median, in MADs."""
+        rows = self.cutting()
+        medians = rows.groupBy(F.col("part_type").alias("of")).agg(F.median("log_vib_per_kw").alias("m"))
+        off = rows.join(medians, F.col("part_type") == F.col("of")).withColumn("residual_g", F.col("log_vib_per_kw") - F.col("m")).drop("of", "m")
+        width = robust.NORMAL * off.agg(F.median(F.abs("residual_g"))).first()[0]
+        off = off.withColumn("primary_score", F.col("residual_g") / width)
+        off = off.withColumns({"primary_anomalous": F.col("primary_score") >= 6, "secondary_anomalous": F.col("peak_to_rms") >= 4})
+        return off.withColumn("anomalous", F.col("primary_anomalous") & F.col("secondary_anomalous"))
+
+    def simple_judged(self):
+        return evaluate.judged_jobs(wear.per_job_metrics(self.prepared()), self.simple_scores(), self.p)
+
+    def ranked(self, **params):
+        from dataclasses import replace
+
+        return wear.rank_wear(self.prepared(), replace(self.p, **params))
+
+
+def _scale_estimators(v: Views) -> DataFrame:
+    rows = v.simple_scores()
+    found = {e: robust.robust_scale(rows, "residual_g", e) for e in ("std", "iqr", "mad", "trimmed_mad")}
+    return v.spark.createDataFrame([tuple(round(x, 6) for x in found.values())], ", ".join(f"{k} double" for k in found))
+
+
+def _linear(v: Views, model: linear.Linear) -> DataFrame:
+    levels = [(f"machine {k}", *x) for k, x in model.machines.items()] + [(f"part {k}", *x) for k, x in model.parts.items()]
+    rows = [("all", model.intercept, model.power), ("quantity", 0.0, model.quantity), *levels]
+    return v.spark.createDataFrame([(a, float(b), float(c)) for a, b, c in rows], "term string, shift double, slope double")
+
+
+def _scored(v: Views, **params) -> DataFrame:
+    keep = ("job_id", "machine_id", "us", "primary_score", "secondary_score", "primary_anomalous", "secondary_anomalous", "anomalous")
+    return _us(v.ranked(**params)[1]).select(*keep)
+
+
+def _value(v: Views, judged: DataFrame, *columns: str) -> DataFrame:
+    return judged.select("job_id", *columns)
+
+
+SECONDARIES = [("isolation_forest", 0.01), ("isolation_forest", 0.15), ("mahalanobis", 0.01), ("mahalanobis", 0.15), ("lof", 0.01), ("lof", 0.15)]
+_flags = lambda v: v.simple_judged().select("job_id", "flagged").join(v.split().select("job_id", "reference_worn"), "job_id")
+
+BUILT = {
+    "clean_power": lambda v: _r(_us(v.power()), "power_kw"),
+    "clean_vibration": lambda v: _r(_us(v.vibration()), "vibration_rms_g", "vibration_peak_g"),
+    "clean_jobs": lambda v: _us(v.jobs(), start_time="start_us", end_time="end_us").drop("data_quality_notes"),
+    "upper_fence": lambda v: _r(clean.upper_fence(clean.tag_power(v.power_raw, P).where("dropped_by IS NULL OR dropped_by = 'sentinel'"), "power_kw", P.outlier_iqr_multiple), "bound"),
+    "cleaning_report": lambda v: clean.cleaning_report(clean.tag_power(v.power_raw, P), "power")
+    .unionByName(clean.cleaning_report(clean.tag_vibration(v.vibration_raw, P), "vibration"))
+    .unionByName(clean.cleaning_report(clean.tag_jobs(v.log_raw, P), "production_log")),
+    "overlapping_jobs": lambda v: clean.overlapping_jobs(v.jobs()),
+    "sampling_gaps": lambda v: _r(profile.sampling_gaps(v.power(), "power").unionByName(profile.sampling_gaps(v.vibration(), "vibration")), "median_s", "longest_gap_s"),
+    "dropouts": lambda v: _r(profile.dropouts(v.vibration()), "gap_s"),
+    "offset_scores": lambda v: _r(v.scores(), "score"),
+    "best_offset": lambda v: _r(align.best(v.scores()), "score"),
+    "fine_offset_scores": lambda v: _r(align.offset_scores(align.machine_offset_scores(v.power(), v.jobs(), align.fine_offsets(OFFSET_S)), align.fine_offsets(OFFSET_S)), "score"),
+    "offset_by_machine": lambda v: _r(align.best_by_machine(v.lifts()), "lift"),
+    "alignment_report": lambda v: _r(align.alignment_report(v.scores()), "lift_at_best", "lift_at_zero"),
+    "labelled_power": lambda v: _r(_us(v.prepared().power), "power_kw"),
+    "labelled_vibration": lambda v: _r(_us(v.prepared().vibration), "vibration_rms_g", "vibration_peak_g"),
+    "in_any_window": lambda v: _in_any_window(v),
+    "in_job_share": lambda v: _r(profile.in_job_share(v.prepared().vibration), "in_job_share"),
+    "paired_readings": lambda v: _paired(v),
+    "idle_baseline_min": lambda v: _r(v.prepared().idle, "idle_baseline_kw", "idle_share"),
+    "idle_baseline_pct": lambda v: _r(features.idle_baseline(v.prepared().power, Params(idle_method="percentile")), "idle_baseline_kw", "idle_share"),
+    "reading_features": lambda v: _features(v),
+    "cutting_readings": lambda v: _r(_us(v.cutting().select("job_id", "machine_id", "ts", "net_power_kw")), "net_power_kw"),
+    "job_power": lambda v: _r(features.job_power(v.prepared().power), "mean_power_raw_kw", "median_power_raw_kw", "max_power_raw_kw"),
+    "job_vibration": lambda v: _r(features.job_vibration(v.prepared().vibration), "peak_vibration_g", "mean_vibration_rms_g", "p95_vibration_rms_g", "max_vibration_rms_g"),
+    "job_metrics": lambda v: _r(
+        wear.per_job_metrics(v.prepared()).select("job_id", "machine_id", "part_type", "mean_power_kw", "peak_vibration_g", "idle_baseline_kw", "power_readings", "vibration_readings", "power_coverage", "vibration_coverage"),
+        "mean_power_kw", "peak_vibration_g", "idle_baseline_kw",
+    ),
+    "quality_summary": lambda v: features.quality_summary(wear.per_job_metrics(v.prepared())),
+    "profile_tables": lambda v: profile.table_profile(v.power_raw, "power").unionByName(profile.table_profile(v.vibration_raw, "vibration")).unionByName(profile.table_profile(v.log_raw, "production_log")),
+    "duplicate_rows": lambda v: profile.duplicate_rows(v.power_raw, "power").unionByName(profile.duplicate_rows(v.vibration_raw, "vibration")),
+    "value_counts": lambda v: profile.value_counts(v.log_raw, ["machine_id", "part_type", "operator"]),
+    "numeric_summary": lambda v: _r(profile.numeric_summary(v.power(), "power_kw", ["machine_id"]), "mean", "std", "low", "high", "p01", "p05", "p25", "p50", "p75", "p95", "p99"),
+    "defect_counts": lambda v: profile.defect_counts(v.power_raw, v.vibration_raw, v.log_raw),
+    "time_coverage": lambda v: profile.time_coverage({"power": (v.power_raw, "ts", "ts"), "vibration": (v.vibration_raw, "ts", "ts"), "production_log": (v.log_raw, "start_time", "end_time")}),
+    "machine_sets": lambda v: profile.machine_sets({"power": v.power_raw, "vibration": v.vibration_raw, "production_log": v.log_raw}),
+    "power_vib_corr": lambda v: _r(profile.power_vibration_correlation(v.cutting()), "correlation", "p05_kw", "p95_kw"),
+    "sextile_spread": lambda v: _r(profile.sextile_spread(v.cutting()), "power_kw", "sd_rms", "sd_log_rms"),
+    "part_pivot": lambda v: _r(profile.part_pivot(v.cutting()), "median_ratio"),
+    "job_ratios": lambda v: _r(v.ratios(), "ratio", "crest", "mean_power", "peak_vib"),
+    "robust_part_baseline": lambda v: _r(v.split().select("job_id", "part_type", "baseline", "rel", "reference_worn"), "baseline", "rel"),
+    "reference_split": lambda v: _r(evaluate.split_summary(v.split()), "healthy_low", "healthy_high", "healthy_std", "elevated_low", "elevated_high", "healthy_crest_high", "elevated_crest_low", "gap"),
+    "elevated_crosstab": lambda v: evaluate.elevated_crosstab(v.split()),
+    "job_progress": lambda v: _r(_us(evaluate.job_progress(v.cutting())), "progress"),
+    "job_sequence": lambda v: evaluate.job_sequence(v.split(), v.jobs()),
+    "worn_readings": lambda v: _us(evaluate.readings_of(v.cutting(), v.split(), True).select("job_id", "ts")),
+    "cell_moments": lambda v: (m := linear.cell_moments(v.cutting())).select("machine_id", "part_type", *[F.round(c, 6).alias(c) for c in m.columns[2:]]),
+    "scale_estimators": _scale_estimators,
+    "simple_job_verdicts": lambda v: _r(v.simple_judged().select("job_id", "cutting_readings", "wear_score", "n_anomalous", "anomalous_fraction", "assessable", "flagged", "rank"), "wear_score", "anomalous_fraction"),
+    "simple_top10": lambda v: _r(verdict.top(v.simple_judged().select("job_id", "wear_score", "rank")), "wear_score"),
+    "confusion": lambda v: _r(evaluate.confusion(_flags(v)), "f1"),
+    "decision_margin": lambda v: _r(evaluate.decision_margin(v.simple_judged()), "worst_flagged", "best_clear"),
+    "top_overlap": lambda v: evaluate.top_overlap(v.simple_judged().where("wear_score IS NOT NULL"), v.split(), 11),
+    "auc_by_rank": lambda v: _r(evaluate.rank_auc(v.cutting().join(v.split().select("job_id", "reference_worn"), "job_id"), "peak_to_rms", F.col("reference_worn")), "auc"),
+    "spearman": lambda v: _r(evaluate.spearman(v.ratios(), "ratio", "crest"), "spearman"),
+    # Fitted models: no SQL; tests hold them against NumPy.
+    "ridge_coefficients": lambda v: _linear(v, linear.fit_ridge(v.cutting())),
+    "huber_coefficients": lambda v: _linear(v, linear.fit_huber(v.cutting())),
+    "ransac_coefficients": lambda v: _linear(v, linear.fit_ransac(v.cutting())),
+    "cross_validated_r2": lambda v: linear.cross_validated_r2(v.cutting()),
+    "huber_mahalanobis_scores": lambda v: _scored(v),
+    "ridge_forest_scores": lambda v: _scored(v, primary_model="ridge", secondary_model="isolation_forest"),
+    "ridge_lof_scores": lambda v: _scored(v, primary_model="ridge", secondary_model="lof"),
+    "job_summary": lambda v: _us(v.ranked()[0], start_time="start_us", end_time="end_us"),
+    "target_forms": lambda v: evaluate.target_form_comparison(v.cutting()),
+    "primary_comparison": lambda v: evaluate.primary_comparison(v.cutting(), v.split(), ["ridge", "huber"], P),
+    "secondary_comparison": lambda v: evaluate.secondary_comparison(v.cutting(), v.split(), SECONDARIES, P),
+    "model_grid": lambda v: evaluate.model_grid(v.cutting(), v.split(), ["ridge", "huber", "ransac"], ["mad", "trimmed_mad"], SECONDARIES, P),
+}
+
+
+def _in_any_window(v: Views) -> DataFrame:
+    """Power readings inside any aligned job: a semi join with merged windows by machine and day."""
+    day = 86_400_000_000
+    windows = joins.merged_windows(align.apply_offset(v.jobs(), OFFSET_S), "start_time_aligned", "end_time_aligned")
+    windows = windows.select(F.col("machine_id").alias("of"), "win_from", "win_to", F.explode(F.sequence(F.expr(f"win_from div {day}"), F.expr(f"win_to div {day}"))).alias("day"))
+    at = _us(v.power()).select("us", "machine_id")
+    return at.join(windows, (at["machine_id"] == windows["of"]) & (F.expr(f"us div {day}") == windows["day"]) & at["us"].between(windows["win_from"], windows["win_to"]), "left_semi")
+
+
+def _paired(v: Views) -> DataFrame:
+    prepared = v.prepared()
+    paired = joins.pair_with_power(prepared.vibration, prepared.power.drop("job_id"), P.pair_tolerance_s)
+    return _r(_us(paired.select("machine_id", "ts", "vibration_rms_g", "power_kw", F.col("pair_gap_us").alias("gap_us"))), "vibration_rms_g", "power_kw")
+
+
+def _features(v: Views) -> DataFrame:
+    prepared = v.prepared()
+    paired = joins.pair_with_power(prepared.vibration, prepared.power.drop("job_id"), P.pair_tolerance_s)
+    names = ("net_power_kw", "vib_per_kw", "peak_to_rms", "log_net_power_kw", "log_vibration_rms_g", "log_vib_per_kw")
+    rows = features.reading_features(paired, prepared.jobs, prepared.idle)
+    return _r(_us(rows.select("job_id", "machine_id", "ts", "part_type", "quantity", *names)), *names)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked verdicts of all jobs, with the clock offset found from the data."""
+    v = Views(spark, sf_dir)
+    return wear.rank_wear(wear.prepare(v.power_raw, v.vibration_raw, v.log_raw, P), P)[0]
 
 
 def queries():
-    return {}
+    return {name: (lambda spark, sf_dir, build=build: build(Views(spark, sf_dir))) for name, build in BUILT.items()}
 
 
 def oracle_sql():
-    return {}
+    return oracle.oracle_sql()
