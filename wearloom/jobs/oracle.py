@@ -86,6 +86,7 @@ COARSE = offsets("-50400", "50401", 3600)
 
 
 def r(*columns: str) -> str:
+    """Rounded columns. Raw readings and their extremes stay as they are: they may lie on ties."""
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
 
@@ -136,8 +137,8 @@ def _profile() -> str:
 
 
 BODIES = {
-    "clean_power": ("", f"SELECT us, machine_id, {r('power_kw')} FROM power_c"),
-    "clean_vibration": ("", f"SELECT us, machine_id, {r('vibration_rms_g', 'vibration_peak_g')} FROM vib_c"),
+    "clean_power": ("", f"SELECT us, machine_id, power_kw FROM power_c"),
+    "clean_vibration": ("", f"SELECT us, machine_id, vibration_rms_g, vibration_peak_g FROM vib_c"),
     "clean_jobs": ("", "SELECT job_id, machine_id, part_type, operator, quantity, start_us, end_us, duration_s, was_reversed, quantity_imputed FROM jobs_c"),
     "upper_fence": ("", "SELECT round(bound, 6) AS bound FROM pf"),
     "cleaning_report": (
@@ -159,18 +160,18 @@ UNION ALL SELECT 'vibration', round(median(g), 6), count(*) FILTER (g > 5), roun
     "fine_offset_scores": (offsets("18000 - 3600", "18000 + 3601", 60), "SELECT offset_s, round(score, 6) AS score FROM scores"),
     "offset_by_machine": (COARSE, "SELECT machine_id, offset_s, round(lift, 6) AS lift, (SELECT count(DISTINCT o) <= 1 FROM (SELECT arg_max(offset_s, lift) AS o FROM lifts GROUP BY machine_id)) AS all_agree FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY lift DESC, offset_s) AS n FROM lifts) WHERE n = 1"),
     "alignment_report": (COARSE, "SELECT (SELECT offset_s FROM scores ORDER BY score DESC, offset_s LIMIT 1) AS best_offset_s, round(max(score), 6) AS lift_at_best, round(max(score) FILTER (offset_s = 0), 6) AS lift_at_zero FROM scores"),
-    "labelled_power": ("", f"SELECT us, machine_id, {r('power_kw')}, job_id FROM power_l"),
-    "labelled_vibration": ("", f"SELECT us, machine_id, {r('vibration_rms_g', 'vibration_peak_g')}, job_id FROM vib_l"),
+    "labelled_power": ("", f"SELECT us, machine_id, power_kw, job_id FROM power_l"),
+    "labelled_vibration": ("", f"SELECT us, machine_id, vibration_rms_g, vibration_peak_g, job_id FROM vib_l"),
     "in_any_window": ("", "SELECT p.us, p.machine_id FROM power_c p WHERE EXISTS (SELECT 1 FROM jobs_c j WHERE j.machine_id = p.machine_id AND p.us BETWEEN j.start_us + 18000000000 AND j.end_us + 18000000000)"),
     "in_job_share": ("", "SELECT round(avg((job_id IS NOT NULL)::INT), 6) AS in_job_share, count(DISTINCT job_id) AS jobs_seen FROM vib_l"),
-    "paired_readings": ("", f"SELECT machine_id, us, {r('vibration_rms_g', 'power_kw')}, gap_us FROM paired"),
+    "paired_readings": ("", f"SELECT machine_id, us, vibration_rms_g, power_kw, gap_us FROM paired"),
     "idle_baseline_min": ("", f"SELECT machine_id, {r('idle_baseline_kw', 'idle_share')} FROM idle"),
     "idle_baseline_pct": ("", "SELECT machine_id, round(quantile_cont(power_kw, 0.05) FILTER (job_id IS NULL), 6) AS idle_baseline_kw, round(avg((job_id IS NULL)::INT), 6) AS idle_share FROM power_l GROUP BY 1"),
     "reading_features": ("", f"SELECT job_id, machine_id, us, part_type, quantity, {r('net_power_kw', 'vib_per_kw', 'peak_to_rms', 'log_net_power_kw', 'log_vibration_rms_g', 'log_vib_per_kw')} FROM feats"),
     "cutting_readings": ("", f"SELECT job_id, machine_id, us, {r('net_power_kw')} FROM cut"),
-    "job_power": ("", f"SELECT job_id, {r('mean_power_raw_kw', 'median_power_raw_kw', 'max_power_raw_kw')}, power_readings FROM jp"),
-    "job_vibration": ("", f"SELECT job_id, {r('peak_vibration_g', 'mean_vibration_rms_g', 'p95_vibration_rms_g', 'max_vibration_rms_g')}, vibration_readings FROM jv"),
-    "job_metrics": ("", f"SELECT job_id, machine_id, part_type, {r('mean_power_kw', 'peak_vibration_g', 'idle_baseline_kw')}, power_readings, vibration_readings, round(power_readings / greatest(duration_s, 1e-9), 3) AS power_coverage, round(vibration_readings / (2 * greatest(duration_s, 1e-9)), 3) AS vibration_coverage FROM metrics"),
+    "job_power": ("", f"SELECT job_id, {r('mean_power_raw_kw', 'median_power_raw_kw')}, max_power_raw_kw, power_readings FROM jp"),
+    "job_vibration": ("", f"SELECT job_id, {r('mean_vibration_rms_g', 'p95_vibration_rms_g')}, peak_vibration_g, max_vibration_rms_g, vibration_readings FROM jv"),
+    "job_metrics": ("", f"SELECT job_id, machine_id, part_type, {r('mean_power_kw')}, peak_vibration_g, idle_baseline_kw, power_readings, vibration_readings, round(power_readings / greatest(duration_s, 1e-9), 3) AS power_coverage, round(vibration_readings / (2 * greatest(duration_s, 1e-9)), 3) AS vibration_coverage FROM metrics"),
     "quality_summary": ("", "SELECT count(*) AS jobs, count(*) FILTER (power_readings = 0) AS jobs_without_power, count(*) FILTER (vibration_readings = 0) AS jobs_without_vibration, count(*) FILTER (vibration_readings < 20) AS jobs_below_min_readings, coalesce(string_agg(job_id, ',' ORDER BY job_id) FILTER (power_readings = 0 OR vibration_readings = 0), '') AS job_ids_without_sensor_data FROM metrics"),
     "profile_tables": ("", _profile()),
     "duplicate_rows": ("", "SELECT 'power' AS source, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM power_raw)))::BIGINT AS duplicate_rows FROM power_raw UNION ALL SELECT 'vibration', (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM vib_raw)))::BIGINT FROM vib_raw"),
@@ -191,7 +192,7 @@ UNION ALL SELECT 'missing quantity', count(*) FROM log_raw WHERE quantity IS NUL
         "SELECT bucket::INT AS bucket, count(*) AS n, round(median(net_power_kw), 6) AS power_kw, round(stddev(vibration_rms_g), 6) AS sd_rms, round(stddev(log_vibration_rms_g), 6) AS sd_log_rms FROM (SELECT *, len(list_filter((SELECT e FROM ed), lambda x: net_power_kw > x)) AS bucket FROM cut) GROUP BY 1",
     ),
     "part_pivot": ("", "SELECT machine_id, part_type, round(median(vib_per_kw), 6) AS median_ratio FROM cut GROUP BY 1, 2"),
-    "job_ratios": ("", f"SELECT job_id, machine_id, part_type, n, {r('ratio', 'crest', 'mean_power', 'peak_vib')} FROM ratios"),
+    "job_ratios": ("", f"SELECT job_id, machine_id, part_type, n, {r('ratio', 'crest', 'mean_power')}, peak_vib FROM ratios"),
     "robust_part_baseline": (SPLIT, f"SELECT job_id, part_type, {r('baseline', 'rel')}, reference_worn FROM split"),
     "reference_split": (
         SPLIT,

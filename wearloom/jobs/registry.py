@@ -18,6 +18,7 @@ OFFSET_S = 18_000
 
 
 def _r(df: DataFrame, *columns: str) -> DataFrame:
+    """Rounded columns. Raw readings and their extremes stay as they are: they may lie on ties."""
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
@@ -108,8 +109,8 @@ SECONDARIES = [("isolation_forest", 0.01), ("isolation_forest", 0.15), ("mahalan
 _flags = lambda v: v.simple_judged().select("job_id", "flagged").join(v.split().select("job_id", "reference_worn"), "job_id")
 
 BUILT = {
-    "clean_power": lambda v: _r(_us(v.power()), "power_kw"),
-    "clean_vibration": lambda v: _r(_us(v.vibration()), "vibration_rms_g", "vibration_peak_g"),
+    "clean_power": lambda v: _us(v.power()),
+    "clean_vibration": lambda v: _us(v.vibration()),
     "clean_jobs": lambda v: _us(v.jobs(), start_time="start_us", end_time="end_us").drop("data_quality_notes"),
     "upper_fence": lambda v: _r(clean.upper_fence(clean.tag_power(v.power_raw, P).where("dropped_by IS NULL OR dropped_by = 'sentinel'"), "power_kw", P.outlier_iqr_multiple), "bound"),
     "cleaning_report": lambda v: clean.cleaning_report(clean.tag_power(v.power_raw, P), "power")
@@ -123,8 +124,8 @@ BUILT = {
     "fine_offset_scores": lambda v: _r(align.offset_scores(align.machine_offset_scores(v.power(), v.jobs(), align.fine_offsets(OFFSET_S)), align.fine_offsets(OFFSET_S)), "score"),
     "offset_by_machine": lambda v: _r(align.best_by_machine(v.lifts()), "lift"),
     "alignment_report": lambda v: _r(align.alignment_report(v.scores()), "lift_at_best", "lift_at_zero"),
-    "labelled_power": lambda v: _r(_us(v.prepared().power), "power_kw"),
-    "labelled_vibration": lambda v: _r(_us(v.prepared().vibration), "vibration_rms_g", "vibration_peak_g"),
+    "labelled_power": lambda v: _us(v.prepared().power),
+    "labelled_vibration": lambda v: _us(v.prepared().vibration),
     "in_any_window": lambda v: _in_any_window(v),
     "in_job_share": lambda v: _r(profile.in_job_share(v.prepared().vibration), "in_job_share"),
     "paired_readings": lambda v: _paired(v),
@@ -132,11 +133,11 @@ BUILT = {
     "idle_baseline_pct": lambda v: _r(features.idle_baseline(v.prepared().power, Params(idle_method="percentile")), "idle_baseline_kw", "idle_share"),
     "reading_features": lambda v: _features(v),
     "cutting_readings": lambda v: _r(_us(v.cutting().select("job_id", "machine_id", "ts", "net_power_kw")), "net_power_kw"),
-    "job_power": lambda v: _r(features.job_power(v.prepared().power), "mean_power_raw_kw", "median_power_raw_kw", "max_power_raw_kw"),
-    "job_vibration": lambda v: _r(features.job_vibration(v.prepared().vibration), "peak_vibration_g", "mean_vibration_rms_g", "p95_vibration_rms_g", "max_vibration_rms_g"),
+    "job_power": lambda v: _r(features.job_power(v.prepared().power), "mean_power_raw_kw", "median_power_raw_kw"),
+    "job_vibration": lambda v: _r(features.job_vibration(v.prepared().vibration), "mean_vibration_rms_g", "p95_vibration_rms_g"),
     "job_metrics": lambda v: _r(
         wear.per_job_metrics(v.prepared()).select("job_id", "machine_id", "part_type", "mean_power_kw", "peak_vibration_g", "idle_baseline_kw", "power_readings", "vibration_readings", "power_coverage", "vibration_coverage"),
-        "mean_power_kw", "peak_vibration_g", "idle_baseline_kw",
+        "mean_power_kw",
     ),
     "quality_summary": lambda v: features.quality_summary(wear.per_job_metrics(v.prepared())),
     "profile_tables": lambda v: profile.table_profile(v.power_raw, "power").unionByName(profile.table_profile(v.vibration_raw, "vibration")).unionByName(profile.table_profile(v.log_raw, "production_log")),
@@ -149,7 +150,7 @@ BUILT = {
     "power_vib_corr": lambda v: _r(profile.power_vibration_correlation(v.cutting()), "correlation", "p05_kw", "p95_kw"),
     "sextile_spread": lambda v: _r(profile.sextile_spread(v.cutting()), "power_kw", "sd_rms", "sd_log_rms"),
     "part_pivot": lambda v: _r(profile.part_pivot(v.cutting()), "median_ratio"),
-    "job_ratios": lambda v: _r(v.ratios(), "ratio", "crest", "mean_power", "peak_vib"),
+    "job_ratios": lambda v: _r(v.ratios(), "ratio", "crest", "mean_power"),
     "robust_part_baseline": lambda v: _r(v.split().select("job_id", "part_type", "baseline", "rel", "reference_worn"), "baseline", "rel"),
     "reference_split": lambda v: _r(evaluate.split_summary(v.split()), "healthy_low", "healthy_high", "healthy_std", "elevated_low", "elevated_high", "healthy_crest_high", "elevated_crest_low", "gap"),
     "elevated_crosstab": lambda v: evaluate.elevated_crosstab(v.split()),
@@ -193,7 +194,7 @@ def _in_any_window(v: Views) -> DataFrame:
 def _paired(v: Views) -> DataFrame:
     prepared = v.prepared()
     paired = joins.pair_with_power(prepared.vibration, prepared.power.drop("job_id"), P.pair_tolerance_s)
-    return _r(_us(paired.select("machine_id", "ts", "vibration_rms_g", "power_kw", F.col("pair_gap_us").alias("gap_us"))), "vibration_rms_g", "power_kw")
+    return _us(paired.select("machine_id", "ts", "vibration_rms_g", "power_kw", F.col("pair_gap_us").alias("gap_us")))
 
 
 def _features(v: Views) -> DataFrame:
