@@ -29,42 +29,63 @@ def _us(df: DataFrame, **names: str) -> DataFrame:
     return df
 
 
+def _once(build):
+    """A method whose frame is built once per instance."""
+
+    def get(self):
+        if build.__name__ not in self.built:
+            self.built[build.__name__] = build(self)
+        return self.built[build.__name__]
+
+    return get
+
+
 class Views:
     """The tables of a folder, each stage built from those before it."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, p: Params = P):
-        self.spark, self.p = spark, p
+        self.spark, self.p, self.built = spark, p, {}
         self.power_raw = sensor_views.power(spark, sf_dir)
         self.vibration_raw = sensor_views.vibration(spark, sf_dir)
         self.log_raw = sensor_views.production_log(spark, sf_dir)
 
+    @_once
     def power(self):
         return clean.clean_power(self.power_raw, self.p)
 
+    @_once
     def vibration(self):
         return clean.clean_vibration(self.vibration_raw, self.p)
 
+    @_once
     def jobs(self):
         return clean.clean_jobs(self.log_raw, self.p)
 
+    @_once
     def prepared(self) -> wear.Prepared:
         return wear.prepare(self.power_raw, self.vibration_raw, self.log_raw, self.p, OFFSET_S)
 
+    @_once
     def cutting(self):
         return wear.cutting(self.prepared(), self.p)
 
+    @_once
     def ratios(self):
         return evaluate.job_ratios(self.cutting())
 
+    @_once
     def split(self):
         return evaluate.reference_split(self.ratios())
 
+    @_once
     def lifts(self):
         return align.machine_offset_scores(self.power(), self.jobs(), align.coarse_offsets(self.p))
 
+    @_once
     def scores(self):
         return align.offset_scores(self.lifts(), align.coarse_offsets(self.p))
 
+    @_once
     def simple_scores(self):
         """A score without a model: log vibration per kW against its part's median, in MADs."""
         rows = self.cutting()
@@ -75,6 +96,7 @@ class Views:
         off = off.withColumns({"primary_anomalous": F.col("primary_score") >= 6, "secondary_anomalous": F.col("peak_to_rms") >= 4})
         return off.withColumn("anomalous", F.col("primary_anomalous") & F.col("secondary_anomalous"))
 
+    @_once
     def simple_judged(self):
         return evaluate.judged_jobs(wear.per_job_metrics(self.prepared()), self.simple_scores(), self.p)
 
@@ -101,10 +123,6 @@ def _scored(v: Views, **params) -> DataFrame:
     return _us(v.ranked(**params)[1]).select(*keep)
 
 
-def _value(v: Views, judged: DataFrame, *columns: str) -> DataFrame:
-    return judged.select("job_id", *columns)
-
-
 SECONDARIES = [("isolation_forest", 0.01), ("isolation_forest", 0.15), ("mahalanobis", 0.01), ("mahalanobis", 0.15), ("lof", 0.01), ("lof", 0.15)]
 _flags = lambda v: v.simple_judged().select("job_id", "flagged").join(v.split().select("job_id", "reference_worn"), "job_id")
 

@@ -27,14 +27,15 @@ def reference_split(ratios: DataFrame, cut: float = ELEVATED, rounds: int = 10)
     """ratios with baseline, rel and reference_worn.
 
     The baseline of a part is the median ratio of its jobs below ``cut`` times the baseline
-    before, again and again; a part with no such job keeps the one it has. The loop runs
-    over the table of jobs, whose plan grows by one small join per round.
+    before, again and again; a part with no such job keeps the one it has. Each round is a
+    window over the same parts, so the table of jobs is dealt out once for all rounds.
     """
-    base = ratios.groupBy("part_type").agg(F.median("ratio").alias("baseline"))
+    part = Window.partitionBy("part_type")
+    out = ratios.withColumn("baseline", F.median("ratio").over(part))
     for _ in range(rounds):
-        low = ratios.join(base, "part_type").where(F.col("ratio") / F.col("baseline") < cut).groupBy("part_type").agg(F.median("ratio").alias("now"))
-        base = base.join(low, "part_type", "left").select("part_type", F.coalesce("now", "baseline").alias("baseline"))
-    return ratios.join(base, "part_type").withColumn("rel", F.col("ratio") / F.col("baseline")).withColumn("reference_worn", F.col("rel") >= cut)
+        low = F.when(F.col("ratio") / F.col("baseline") < cut, F.col("ratio"))
+        out = out.withColumn("baseline", F.coalesce(F.median(low).over(part), F.col("baseline")))
+    return out.withColumn("rel", F.col("ratio") / F.col("baseline")).withColumn("reference_worn", F.col("rel") >= cut)
 
 
 def split_summary(split: DataFrame) -> DataFrame:
