@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,12 @@ def _first_of_each(df: DataFrame, keys: list[str], order: list, rule: str) -> Da
     return _tagged(df.withColumn("place", F.row_number().over(window)), rule, F.col("place") > 1).drop("place")
 
 
+def _kept_at_hand(df: DataFrame) -> DataFrame:
+    """Readings are dealt out once to find duplicates; the fences and the result read what is
+    kept in memory or on disk. What a lost executor held is computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _above_fence(df: DataFrame, column: str, rule: str, multiple: float, accuracy: int | None, most: float | None = None) -> DataFrame:
     bound = upper_fence(df.where("dropped_by IS NULL"), column, multiple, accuracy).first()["bound"]
     bound = bound if most is None else min(bound, most)
@@ -42,7 +49,7 @@ def tag_power(power: DataFrame, p: Params = Params()) -> DataFrame:
     of the rows which the rules before it leave."""
     df = power.withColumn("dropped_by", F.lit(None).cast("string"))
     df = _tagged(df, "null", F.col("ts").isNull() | F.col("machine_id").isNull() | F.col("power_kw").isNull())
-    df = _first_of_each(df, ["machine_id", "ts"], ["power_kw"], "duplicate")
+    df = _kept_at_hand(_first_of_each(df, ["machine_id", "ts"], ["power_kw"], "duplicate"))
     df = _tagged(df, "negative", F.col("power_kw") < p.power_min_kw)
     return _above_fence(df, "power_kw", "sentinel", p.outlier_iqr_multiple, p.quantile_accuracy, p.power_abs_max_kw)
 
@@ -51,7 +58,7 @@ def tag_vibration(vibration: DataFrame, p: Params = Params()) -> DataFrame:
     df = vibration.withColumn("dropped_by", F.lit(None).cast("string"))
     rms, peak = F.col("vibration_rms_g"), F.col("vibration_peak_g")
     df = _tagged(df, "null", F.col("ts").isNull() | F.col("machine_id").isNull() | rms.isNull() | peak.isNull())
-    df = _first_of_each(df, ["machine_id", "ts"], ["vibration_rms_g", "vibration_peak_g"], "duplicate")
+    df = _kept_at_hand(_first_of_each(df, ["machine_id", "ts"], ["vibration_rms_g", "vibration_peak_g"], "duplicate"))
     df = _tagged(df, "negative", (rms < 0) | (peak < 0))
     df = _tagged(df, "peak_below_rms", peak < rms)
     df = _above_fence(df, "vibration_rms_g", "rms_sentinel", p.outlier_iqr_multiple, p.quantile_accuracy)
