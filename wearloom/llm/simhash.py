@@ -216,12 +216,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component: the row with the component's id, of repeats any one.
 
     Rows with a null id stand for their component only where all its ids are null.
-    The text is dealt out once; only where ids repeat, once more.
+    The text is dealt out once; only where ids repeat, once more. The ids that stay grow
+    with the documents, so they are never broadcast: a merge join at every size, whose hot
+    ids Spark can split.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     groups = near_duplicates(docs)
     keep = written(
         groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(key.alias("key")).agg(F.count("*").alias("n"))
     )
-    kept = docs.join(keep.select("key"), key == keep["key"], "left_semi")
+    kept = docs.join(keep.select("key").hint("merge"), key == keep["key"], "left_semi")
     return kept if keep.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
