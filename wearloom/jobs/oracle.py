@@ -86,8 +86,8 @@ COARSE = offsets("-50400", "50401", 3600)
 
 
 def r(*columns: str) -> str:
-    """Rounded columns. Raw readings and their extremes stay as they are: they may lie on ties."""
-    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+    """Rounded columns, moved off ties as in the Spark queries. Raw readings and their extremes stay as they are."""
+    return ", ".join(f"round({c} + 3e-8, 6) AS {c}" for c in columns)
 
 
 def scale_rounds(rounds: int = 20) -> str:
@@ -108,7 +108,7 @@ s{i + 1} AS (SELECT CASE WHEN done OR k{i}.n < greatest(30, 0.2 * (SELECT count(
 def moments() -> str:
     x, q, y = "log_net_power_kw", "quantity", "log_vibration_rms_g"
     sums = {"n": "1.0::DOUBLE", "sx": x, "sq": q, "sxx": f"{x}*{x}", "sxq": f"{x}*{q}", "sqq": f"{q}*{q}", "sy": y, "sxy": f"{x}*{y}", "sqy": f"{q}*{y}", "syy": f"{y}*{y}"}
-    return "SELECT machine_id, part_type, " + ", ".join(f"round(sum({e}), 6) AS {k}" for k, e in sums.items()) + " FROM cut GROUP BY 1, 2"
+    return "SELECT machine_id, part_type, " + ", ".join(f"round(sum({e}) + 3e-8, 6) AS {k}" for k, e in sums.items()) + " FROM cut GROUP BY 1, 2"
 
 
 #: A score that SQL can compute: log vibration per kW against its part's median, in MADs of all.
@@ -123,8 +123,8 @@ jd AS (SELECT m.job_id, m.machine_id, m.start_us, coalesce(cutting_readings, 0)
 judged AS (SELECT *, assessable AND n_anomalous >= 5 AND anomalous_fraction >= 0.05 AS flagged,
   row_number() OVER (ORDER BY CASE WHEN assessable THEN wear_score END DESC NULLS LAST, machine_id, start_us, job_id) AS rank FROM jd)"""
 
-PCT = ", ".join(f"round(q[{i + 1}], 6) AS {n}" for i, n in enumerate(("p01", "p05", "p25", "p50", "p75", "p95", "p99")))
-STATS = "count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev({c}), 6) AS std, round(min({c}), 6) AS low, round(max({c}), 6) AS high, quantile_cont({c}, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS q"
+PCT = ", ".join(f"round(q[{i + 1}] + 3e-8, 6) AS {n}" for i, n in enumerate(("p01", "p05", "p25", "p50", "p75", "p95", "p99")))
+STATS = "count({c}) AS n, round(avg({c}) + 3e-8, 6) AS mean, round(stddev({c}) + 3e-8, 6) AS std, round(min({c}) + 3e-8, 6) AS low, round(max({c}) + 3e-8, 6) AS high, quantile_cont({c}, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS q"
 
 
 def _profile() -> str:
@@ -140,7 +140,7 @@ BODIES = {
     "clean_power": ("", f"SELECT us, machine_id, power_kw FROM power_c"),
     "clean_vibration": ("", f"SELECT us, machine_id, vibration_rms_g, vibration_peak_g FROM vib_c"),
     "clean_jobs": ("", "SELECT job_id, machine_id, part_type, operator, quantity, start_us, end_us, duration_s, was_reversed, quantity_imputed FROM jobs_c"),
-    "upper_fence": ("", "SELECT round(bound, 6) AS bound FROM pf"),
+    "upper_fence": ("", "SELECT round(bound + 3e-8, 6) AS bound FROM pf"),
     "cleaning_report": (
         "",
         """SELECT 'power' AS source, CASE WHEN n > 1 THEN 'duplicate' WHEN power_kw < 0 THEN 'negative' WHEN power_kw > least(500, (SELECT bound FROM pf)) THEN 'sentinel' ELSE 'kept' END AS rule, count(*) AS rows FROM pd GROUP BY 2
@@ -151,22 +151,22 @@ UNION ALL SELECT 'production_log', 'kept', count(*) FROM jobs_c""",
     "overlapping_jobs": ("", "SELECT machine_id, pid || '->' || job_id AS pair FROM (SELECT *, lag(end_us) OVER w AS pe, lag(job_id) OVER w AS pid FROM jobs_c WINDOW w AS (PARTITION BY machine_id ORDER BY start_us, job_id)) WHERE start_us < pe"),
     "sampling_gaps": (
         "",
-        """SELECT 'power' AS source, round(median(g), 6) AS median_s, count(*) FILTER (g > 5) AS gaps, round(max(g), 6) AS longest_gap_s FROM (SELECT (us - lag(us) OVER (PARTITION BY machine_id ORDER BY us)) / 1e6 AS g FROM power_c)
-UNION ALL SELECT 'vibration', round(median(g), 6), count(*) FILTER (g > 5), round(max(g), 6) FROM (SELECT (us - lag(us) OVER (PARTITION BY machine_id ORDER BY us)) / 1e6 AS g FROM vib_c)""",
+        """SELECT 'power' AS source, round(median(g) + 3e-8, 6) AS median_s, count(*) FILTER (g > 5) AS gaps, round(max(g) + 3e-8, 6) AS longest_gap_s FROM (SELECT (us - lag(us) OVER (PARTITION BY machine_id ORDER BY us)) / 1e6 AS g FROM power_c)
+UNION ALL SELECT 'vibration', round(median(g) + 3e-8, 6), count(*) FILTER (g > 5), round(max(g) + 3e-8, 6) FROM (SELECT (us - lag(us) OVER (PARTITION BY machine_id ORDER BY us)) / 1e6 AS g FROM vib_c)""",
     ),
-    "dropouts": ("", "SELECT machine_id, us AS at_us, round(g, 6) AS gap_s FROM (SELECT machine_id, us, (us - lag(us) OVER (PARTITION BY machine_id ORDER BY us)) / 1e6 AS g FROM vib_c) WHERE g > 5"),
-    "offset_scores": (COARSE, "SELECT offset_s, round(score, 6) AS score FROM scores"),
-    "best_offset": (COARSE, "SELECT offset_s, round(score, 6) AS score FROM scores ORDER BY scores.score DESC, offset_s LIMIT 1"),
-    "fine_offset_scores": (offsets("18000 - 3600", "18000 + 3601", 60), "SELECT offset_s, round(score, 6) AS score FROM scores"),
-    "offset_by_machine": (COARSE, "SELECT machine_id, offset_s, round(lift, 6) AS lift, (SELECT count(DISTINCT o) <= 1 FROM (SELECT arg_max(offset_s, lift) AS o FROM lifts GROUP BY machine_id)) AS all_agree FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY lift DESC, offset_s) AS n FROM lifts) WHERE n = 1"),
-    "alignment_report": (COARSE, "SELECT (SELECT offset_s FROM scores ORDER BY score DESC, offset_s LIMIT 1) AS best_offset_s, round(max(score), 6) AS lift_at_best, round(max(score) FILTER (offset_s = 0), 6) AS lift_at_zero FROM scores"),
+    "dropouts": ("", "SELECT machine_id, us AS at_us, round(g + 3e-8, 6) AS gap_s FROM (SELECT machine_id, us, (us - lag(us) OVER (PARTITION BY machine_id ORDER BY us)) / 1e6 AS g FROM vib_c) WHERE g > 5"),
+    "offset_scores": (COARSE, "SELECT offset_s, round(score + 3e-8, 6) AS score FROM scores"),
+    "best_offset": (COARSE, "SELECT offset_s, round(score + 3e-8, 6) AS score FROM scores ORDER BY scores.score DESC, offset_s LIMIT 1"),
+    "fine_offset_scores": (offsets("18000 - 3600", "18000 + 3601", 60), "SELECT offset_s, round(score + 3e-8, 6) AS score FROM scores"),
+    "offset_by_machine": (COARSE, "SELECT machine_id, offset_s, round(lift + 3e-8, 6) AS lift, (SELECT count(DISTINCT o) <= 1 FROM (SELECT arg_max(offset_s, lift) AS o FROM lifts GROUP BY machine_id)) AS all_agree FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY lift DESC, offset_s) AS n FROM lifts) WHERE n = 1"),
+    "alignment_report": (COARSE, "SELECT (SELECT offset_s FROM scores ORDER BY score DESC, offset_s LIMIT 1) AS best_offset_s, round(max(score) + 3e-8, 6) AS lift_at_best, round(max(score) FILTER (offset_s = 0) + 3e-8, 6) AS lift_at_zero FROM scores"),
     "labelled_power": ("", f"SELECT us, machine_id, power_kw, job_id FROM power_l"),
     "labelled_vibration": ("", f"SELECT us, machine_id, vibration_rms_g, vibration_peak_g, job_id FROM vib_l"),
     "in_any_window": ("", "SELECT p.us, p.machine_id FROM power_c p WHERE EXISTS (SELECT 1 FROM jobs_c j WHERE j.machine_id = p.machine_id AND p.us BETWEEN j.start_us + 18000000000 AND j.end_us + 18000000000)"),
-    "in_job_share": ("", "SELECT round(avg((job_id IS NOT NULL)::INT), 6) AS in_job_share, count(DISTINCT job_id) AS jobs_seen FROM vib_l"),
+    "in_job_share": ("", "SELECT round(avg((job_id IS NOT NULL)::INT) + 3e-8, 6) AS in_job_share, count(DISTINCT job_id) AS jobs_seen FROM vib_l"),
     "paired_readings": ("", f"SELECT machine_id, us, vibration_rms_g, power_kw, gap_us FROM paired"),
     "idle_baseline_min": ("", f"SELECT machine_id, {r('idle_baseline_kw', 'idle_share')} FROM idle"),
-    "idle_baseline_pct": ("", "SELECT machine_id, round(quantile_cont(power_kw, 0.05) FILTER (job_id IS NULL), 6) AS idle_baseline_kw, round(avg((job_id IS NULL)::INT), 6) AS idle_share FROM power_l GROUP BY 1"),
+    "idle_baseline_pct": ("", "SELECT machine_id, round(quantile_cont(power_kw, 0.05) FILTER (job_id IS NULL) + 3e-8, 6) AS idle_baseline_kw, round(avg((job_id IS NULL)::INT) + 3e-8, 6) AS idle_share FROM power_l GROUP BY 1"),
     "reading_features": ("", f"SELECT job_id, machine_id, us, part_type, quantity, {r('net_power_kw', 'vib_per_kw', 'peak_to_rms', 'log_net_power_kw', 'log_vibration_rms_g', 'log_vib_per_kw')} FROM feats"),
     "cutting_readings": ("", f"SELECT job_id, machine_id, us, {r('net_power_kw')} FROM cut"),
     "job_power": ("", f"SELECT job_id, {r('mean_power_raw_kw', 'median_power_raw_kw')}, max_power_raw_kw, power_readings FROM jp"),
@@ -186,42 +186,42 @@ UNION ALL SELECT 'missing quantity', count(*) FROM log_raw WHERE quantity IS NUL
     ),
     "time_coverage": ("", "SELECT 'power' AS source, min(us) AS first_us, max(us) AS last_us, count(*) AS rows FROM power_raw UNION ALL SELECT 'vibration', min(us), max(us), count(*) FROM vib_raw UNION ALL SELECT 'production_log', min(start_us), max(end_us), count(*) FROM log_raw"),
     "machine_sets": ("", "SELECT machine_id, count(DISTINCT s) AS in_sources, count(DISTINCT s) = 3 AS in_all FROM (SELECT machine_id, 'p' AS s FROM power_raw UNION ALL SELECT machine_id, 'v' FROM vib_raw UNION ALL SELECT machine_id, 'l' FROM log_raw) GROUP BY 1"),
-    "power_vib_corr": ("", "SELECT part_type, count(*) AS n, round(corr(net_power_kw, vibration_rms_g), 6) AS correlation, round(quantile_cont(net_power_kw, 0.05), 6) AS p05_kw, round(quantile_cont(net_power_kw, 0.95), 6) AS p95_kw FROM cut GROUP BY GROUPING SETS ((part_type), ())"),
+    "power_vib_corr": ("", "SELECT part_type, count(*) AS n, round(corr(net_power_kw, vibration_rms_g) + 3e-8, 6) AS correlation, round(quantile_cont(net_power_kw, 0.05) + 3e-8, 6) AS p05_kw, round(quantile_cont(net_power_kw, 0.95) + 3e-8, 6) AS p95_kw FROM cut GROUP BY GROUPING SETS ((part_type), ())"),
     "sextile_spread": (
         ", ed AS (SELECT list_sort(list_distinct(quantile_cont(net_power_kw, [0, 1/6, 2/6, 3/6, 4/6, 5/6, 1])))[2:-2] AS e FROM cut)",
-        "SELECT bucket::INT AS bucket, count(*) AS n, round(median(net_power_kw), 6) AS power_kw, round(stddev(vibration_rms_g), 6) AS sd_rms, round(stddev(log_vibration_rms_g), 6) AS sd_log_rms FROM (SELECT *, len(list_filter((SELECT e FROM ed), lambda x: net_power_kw > x)) AS bucket FROM cut) GROUP BY 1",
+        "SELECT bucket::INT AS bucket, count(*) AS n, round(median(net_power_kw) + 3e-8, 6) AS power_kw, round(stddev(vibration_rms_g) + 3e-8, 6) AS sd_rms, round(stddev(log_vibration_rms_g) + 3e-8, 6) AS sd_log_rms FROM (SELECT *, len(list_filter((SELECT e FROM ed), lambda x: net_power_kw > x)) AS bucket FROM cut) GROUP BY 1",
     ),
-    "part_pivot": ("", "SELECT machine_id, part_type, round(median(vib_per_kw), 6) AS median_ratio FROM cut GROUP BY 1, 2"),
+    "part_pivot": ("", "SELECT machine_id, part_type, round(median(vib_per_kw) + 3e-8, 6) AS median_ratio FROM cut GROUP BY 1, 2"),
     "job_ratios": ("", f"SELECT job_id, machine_id, part_type, n, {r('ratio', 'crest', 'mean_power')}, peak_vib FROM ratios"),
     "robust_part_baseline": (SPLIT, f"SELECT job_id, part_type, {r('baseline', 'rel')}, reference_worn FROM split"),
     "reference_split": (
         SPLIT,
-        """SELECT count(*) FILTER (NOT reference_worn) AS healthy, count(*) FILTER (reference_worn) AS elevated, round(min(rel) FILTER (NOT reference_worn), 6) AS healthy_low, round(max(rel) FILTER (NOT reference_worn), 6) AS healthy_high,
-round(stddev(rel) FILTER (NOT reference_worn), 6) AS healthy_std, round(min(rel) FILTER (reference_worn), 6) AS elevated_low, round(max(rel) FILTER (reference_worn), 6) AS elevated_high,
-round(max(crest) FILTER (NOT reference_worn), 6) AS healthy_crest_high, round(min(crest) FILTER (reference_worn), 6) AS elevated_crest_low,
-round(min(rel) FILTER (reference_worn) - max(rel) FILTER (NOT reference_worn), 6) AS gap, min(crest) FILTER (reference_worn) > max(crest) FILTER (NOT reference_worn) AS crest_apart FROM split""",
+        """SELECT count(*) FILTER (NOT reference_worn) AS healthy, count(*) FILTER (reference_worn) AS elevated, round(min(rel) FILTER (NOT reference_worn) + 3e-8, 6) AS healthy_low, round(max(rel) FILTER (NOT reference_worn) + 3e-8, 6) AS healthy_high,
+round(stddev(rel) FILTER (NOT reference_worn) + 3e-8, 6) AS healthy_std, round(min(rel) FILTER (reference_worn) + 3e-8, 6) AS elevated_low, round(max(rel) FILTER (reference_worn) + 3e-8, 6) AS elevated_high,
+round(max(crest) FILTER (NOT reference_worn) + 3e-8, 6) AS healthy_crest_high, round(min(crest) FILTER (reference_worn) + 3e-8, 6) AS elevated_crest_low,
+round(min(rel) FILTER (reference_worn) - max(rel) FILTER (NOT reference_worn) + 3e-8, 6) AS gap, min(crest) FILTER (reference_worn) > max(crest) FILTER (NOT reference_worn) AS crest_apart FROM split""",
     ),
     "elevated_crosstab": (SPLIT, "SELECT machine_id, part_type, count(*) FILTER (reference_worn) AS elevated, count(*) AS total FROM split GROUP BY CUBE (machine_id, part_type)"),
-    "job_progress": ("", "SELECT job_id, us, round((row_number() OVER (PARTITION BY job_id ORDER BY us, vibration_rms_g) - 1) / greatest(count(*) OVER (PARTITION BY job_id) - 1, 1), 6) AS progress FROM cut"),
+    "job_progress": ("", "SELECT job_id, us, round((row_number() OVER (PARTITION BY job_id ORDER BY us, vibration_rms_g) - 1) / greatest(count(*) OVER (PARTITION BY job_id) - 1, 1) + 3e-8, 6) AS progress FROM cut"),
     "job_sequence": (SPLIT, "SELECT s.machine_id, string_agg(CASE WHEN reference_worn THEN 'S' ELSE '.' END, '' ORDER BY start_us, s.job_id) AS sequence FROM split s JOIN jobs_c j USING (job_id) GROUP BY 1"),
     "worn_readings": (SPLIT, "SELECT job_id, us FROM cut WHERE job_id IN (SELECT job_id FROM split WHERE reference_worn)"),
     "cell_moments": ("", moments()),
     "scale_estimators": (
         scale_rounds(),
-        "SELECT round((SELECT greatest(stddev_pop(x), 1e-9) FROM xs), 6) AS std, round((SELECT greatest((quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.349, 1e-9) FROM xs), 6) AS iqr, round((SELECT s FROM s0), 6) AS mad, round((SELECT s FROM s20), 6) AS trimmed_mad",
+        "SELECT round((SELECT greatest(stddev_pop(x), 1e-9) FROM xs) + 3e-8, 6) AS std, round((SELECT greatest((quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.349, 1e-9) FROM xs) + 3e-8, 6) AS iqr, round((SELECT s FROM s0) + 3e-8, 6) AS mad, round((SELECT s FROM s20) + 3e-8, 6) AS trimmed_mad",
     ),
-    "simple_job_verdicts": (SIMPLE, "SELECT job_id, cutting_readings, round(wear_score, 6) AS wear_score, n_anomalous, round(anomalous_fraction, 6) AS anomalous_fraction, assessable, flagged, rank::INT AS rank FROM judged"),
-    "simple_top10": (SIMPLE, "SELECT job_id, round(wear_score, 6) AS wear_score, rank::INT AS rank FROM judged WHERE rank <= 10"),
-    "confusion": (SPLIT + SIMPLE, "SELECT *, round(2 * tp / greatest(n_flagged + tp + fn, 1), 6) AS f1 FROM (SELECT count(*) FILTER (flagged) AS n_flagged, count(*) FILTER (flagged AND reference_worn) AS tp, count(*) FILTER (flagged AND NOT reference_worn) AS fp, count(*) FILTER (NOT flagged AND reference_worn) AS fn FROM judged JOIN split USING (job_id))"),
-    "decision_margin": (SIMPLE, "SELECT round(min(wear_score) FILTER (flagged), 6) AS worst_flagged, round(max(wear_score) FILTER (NOT flagged), 6) AS best_clear FROM judged WHERE assessable"),
+    "simple_job_verdicts": (SIMPLE, "SELECT job_id, cutting_readings, round(wear_score + 3e-8, 6) AS wear_score, n_anomalous, round(anomalous_fraction + 3e-8, 6) AS anomalous_fraction, assessable, flagged, rank::INT AS rank FROM judged"),
+    "simple_top10": (SIMPLE, "SELECT job_id, round(wear_score + 3e-8, 6) AS wear_score, rank::INT AS rank FROM judged WHERE rank <= 10"),
+    "confusion": (SPLIT + SIMPLE, "SELECT *, round(2 * tp / greatest(n_flagged + tp + fn, 1) + 3e-8, 6) AS f1 FROM (SELECT count(*) FILTER (flagged) AS n_flagged, count(*) FILTER (flagged AND reference_worn) AS tp, count(*) FILTER (flagged AND NOT reference_worn) AS fp, count(*) FILTER (NOT flagged AND reference_worn) AS fn FROM judged JOIN split USING (job_id))"),
+    "decision_margin": (SIMPLE, "SELECT round(min(wear_score) FILTER (flagged) + 3e-8, 6) AS worst_flagged, round(max(wear_score) FILTER (NOT flagged) + 3e-8, 6) AS best_clear FROM judged WHERE assessable"),
     "top_overlap": (SPLIT + SIMPLE, "SELECT count(*) FILTER (job_id IN (SELECT job_id FROM split WHERE reference_worn)) AS overlap, 11 AS n FROM (SELECT job_id FROM judged WHERE wear_score IS NOT NULL ORDER BY wear_score DESC, job_id LIMIT 11)"),
     "auc_by_rank": (
         SPLIT + ", rk AS (SELECT reference_worn AS w, rank() OVER (ORDER BY peak_to_rms) + (count(*) OVER (PARTITION BY peak_to_rms) - 1) / 2 AS a FROM cut JOIN split USING (job_id)), sm AS (SELECT count(*) FILTER (w) AS p, count(*) FILTER (NOT w) AS n, sum(a) FILTER (w) AS s FROM rk)",
-        "SELECT p, n, round((s - p * (p + 1) / 2) / (p * n), 6) AS auc FROM sm",
+        "SELECT p, n, round((s - p * (p + 1) / 2) / (p * n) + 3e-8, 6) AS auc FROM sm",
     ),
     "spearman": (
         ", rs AS (SELECT rank() OVER (ORDER BY ratio) + (count(*) OVER (PARTITION BY ratio) - 1) / 2 AS a, rank() OVER (ORDER BY crest) + (count(*) OVER (PARTITION BY crest) - 1) / 2 AS b FROM ratios)",
-        "SELECT round(corr(a, b), 6) AS spearman FROM rs",
+        "SELECT round(corr(a, b) + 3e-8, 6) AS spearman FROM rs",
     ),
 }
 

@@ -15,11 +15,18 @@ from wearloom.sources import sensor_views
 P = Params(pair_tolerance_s=1800.0)
 #: Hours by which the views' log is behind; the offset queries find it.
 OFFSET_S = 18_000
+#: Moves values off the ties of rounding to six places, in both engines alike.
+NUDGE = 3e-8
 
 
 def _r(df: DataFrame, *columns: str) -> DataFrame:
-    """Rounded columns. Raw readings and their extremes stay as they are: they may lie on ties."""
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    """Rounded columns. Means of decimal readings may lie on ties, where the order of a sum would
+    decide; so all are moved by NUDGE first. Raw readings and their extremes stay as they are."""
+    return df.withColumns({c: _round(c) for c in columns})
+
+
+def _round(column: str):
+    return F.round(F.col(column) + NUDGE, 6)
 
 
 def _us(df: DataFrame, **names: str) -> DataFrame:
@@ -109,7 +116,7 @@ class Views:
 def _scale_estimators(v: Views) -> DataFrame:
     rows = v.simple_scores()
     found = {e: robust.robust_scale(rows, "residual_g", e) for e in ("std", "iqr", "mad", "trimmed_mad")}
-    return v.spark.createDataFrame([tuple(round(x, 6) for x in found.values())], ", ".join(f"{k} double" for k in found))
+    return v.spark.createDataFrame([tuple(round(x + NUDGE, 6) for x in found.values())], ", ".join(f"{k} double" for k in found))
 
 
 def _linear(v: Views, model: linear.Linear) -> DataFrame:
@@ -175,7 +182,7 @@ BUILT = {
     "job_progress": lambda v: _r(_us(evaluate.job_progress(v.cutting())), "progress"),
     "job_sequence": lambda v: evaluate.job_sequence(v.split(), v.jobs()),
     "worn_readings": lambda v: _us(evaluate.readings_of(v.cutting(), v.split(), True).select("job_id", "ts")),
-    "cell_moments": lambda v: (m := linear.cell_moments(v.cutting())).select("machine_id", "part_type", *[F.round(c, 6).alias(c) for c in m.columns[2:]]),
+    "cell_moments": lambda v: (m := linear.cell_moments(v.cutting())).select("machine_id", "part_type", *[_round(c).alias(c) for c in m.columns[2:]]),
     "scale_estimators": _scale_estimators,
     "simple_job_verdicts": lambda v: _r(v.simple_judged().select("job_id", "cutting_readings", "wear_score", "n_anomalous", "anomalous_fraction", "assessable", "flagged", "rank"), "wear_score", "anomalous_fraction"),
     "simple_top10": lambda v: _r(verdict.top(v.simple_judged().select("job_id", "wear_score", "rank")), "wear_score"),

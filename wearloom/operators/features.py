@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearloom.functions.columns import quantiles
@@ -13,11 +13,15 @@ def idle_baseline(labelled_power: DataFrame, p: Params = Params()) -> DataFrame:
     """(machine_id, idle_baseline_kw, idle_share): minimum or percentile of readings outside
     jobs; machines without any take the value over all idle readings, or 0."""
     idle = F.when(F.col("job_id").isNull(), F.col("power_kw"))
-    low = F.min(idle) if p.idle_method == "min" else quantiles(idle, [p.idle_percentile / 100], p.quantile_accuracy)[0]
     share = F.avg(F.col("job_id").isNull().cast("double"))
-    every = labelled_power.agg(low).first()[0] if p.idle_fallback_to_global else None
+    if p.idle_method == "min":  # the least of the machines' minima: a row per machine, no second pass over readings
+        low, every = F.min(idle), F.min("own").over(Window.partitionBy())
+    else:
+        low = quantiles(idle, [p.idle_percentile / 100], p.quantile_accuracy)[0]
+        every = F.lit(labelled_power.agg(low).first()[0] if p.idle_fallback_to_global else None).cast("double")
     own = labelled_power.groupBy("machine_id").agg(low.alias("own"), share.alias("idle_share"))
-    return own.select("machine_id", F.coalesce("own", F.lit(0.0 if every is None else every)).alias("idle_baseline_kw"), "idle_share")
+    fallback = [every] if p.idle_fallback_to_global else []
+    return own.select("machine_id", F.coalesce("own", *fallback, F.lit(0.0)).alias("idle_baseline_kw"), "idle_share")
 
 
 def reading_features(paired: DataFrame, jobs: DataFrame, idle: DataFrame) -> DataFrame:
