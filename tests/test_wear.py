@@ -181,6 +181,23 @@ def test_mahalanobis_against_numpy(cutting):
     assert np.allclose(got["centre"], loc, atol=1e-6) and np.allclose(got["precision"], np.linalg.pinv(cov), rtol=1e-4)
 
 
+def test_contaminations_share_a_fit(cutting):
+    pairs = [("mahalanobis", 0.01), ("mahalanobis", 0.15)]
+    got = outliers.fit_secondaries(cutting, pairs)
+    assert list(got) == pairs and got[pairs[0]]["threshold"] > got[pairs[1]]["threshold"]
+    assert got[pairs[1]] == outliers.fit_secondary(cutting, Params(contamination=0.15))
+
+
+def test_idle_baseline_falls_back(spark):
+    rows = [("A", 0.4, None), ("A", 0.3, None), ("A", 9.0, "J"), ("B", 8.0, "J")]
+    labelled = spark.createDataFrame(rows, "machine_id string, power_kw double, job_id string")
+    idle = lambda df, p: {r.machine_id: r.idle_baseline_kw for r in features.idle_baseline(df, p).collect()}
+    assert idle(labelled, Params()) == {"A": 0.3, "B": 0.3}
+    assert idle(labelled, Params(idle_fallback_to_global=False)) == {"A": 0.3, "B": 0.0}
+    assert idle(labelled, Params(idle_method="percentile", idle_percentile=50.0)) == pytest.approx({"A": 0.35, "B": 0.35})
+    assert idle(labelled.where("job_id IS NOT NULL"), Params()) == {"A": 0.0, "B": 0.0} and idle(labelled.limit(0), Params()) == {}
+
+
 @pytest.mark.parametrize("secondary", ["mahalanobis", "isolation_forest", "lof"])
 def test_detector_scores_and_saves(spark, cutting, tmp_path, secondary):
     p = Params(primary_model="ridge", secondary_model=secondary, forest_trees=20, lof_reference_size=200)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wearloom.operators.linear import fit_primary
-from wearloom.operators.outliers import fit_secondary, with_outlier_score
+from wearloom.operators.outliers import fit_secondaries, with_outlier_score
 from wearloom.operators.robust import robust_scale
 from wearloom.operators.verdict import job_flags, verdicts
 from wearloom.params import Params
@@ -133,12 +133,12 @@ def primary_scores(cutting: DataFrame, names: list[str], scales: list[str], p: P
 def model_grid(cutting: DataFrame, split: DataFrame, primaries: list[str], scales: list[str], secondaries: list[tuple[str, float]], p: Params = Params()) -> DataFrame:
     """(primary, scale, secondary, contamination, n_flagged, tp, fp, fn, f1): every combination
     judged per job. One wide table of scores; only flags are stacked, and summed once."""
-    from dataclasses import replace
-
     wide = primary_scores(cutting, primaries, scales, p)
-    for name, share in secondaries:
-        model = fit_secondary(cutting, replace(p, secondary_model=name, contamination=share))
-        wide = with_outlier_score(wide, model).withColumn(f"s_{name}_{round(100 * share)}", F.col("secondary_score") >= model["threshold"]).drop("secondary_score")
+    models = fit_secondaries(cutting, secondaries, p)
+    for name in dict.fromkeys(name for name, _ in secondaries):
+        own = {share: model for (other, share), model in models.items() if other == name}
+        wide = with_outlier_score(wide, next(iter(own.values())))
+        wide = wide.withColumns({f"s_{name}_{round(100 * share)}": F.col("secondary_score") >= model["threshold"] for share, model in own.items()}).drop("secondary_score")
     combos = [
         F.struct(F.lit(a).alias("primary"), F.lit(b).alias("scale"), F.lit(c).alias("secondary"), F.lit(d).alias("contamination"), ((F.col(f"z_{a}_{b}") >= p.sigma_multiple) & F.col(f"s_{c}_{round(100 * d)}")).alias("hit"))
         for a in primaries for b in scales for c, d in secondaries
@@ -158,21 +158,25 @@ def grid_effects(grid: DataFrame) -> DataFrame:
 
 def secondary_comparison(cutting: DataFrame, split: DataFrame, secondaries: list[tuple[str, float]], p: Params = Params()) -> DataFrame:
     """(secondary, contamination, flagged, precision, recall, auc, mean scores per class)."""
-    from dataclasses import replace
-
-    worn = cutting.join(split.select("job_id", "reference_worn"), "job_id")
-    parts = []
-    for name, share in secondaries:
-        model = fit_secondary(cutting, replace(p, secondary_model=name, contamination=share))
-        scored = with_outlier_score(worn, model)
-        hit = F.col("secondary_score") >= model["threshold"]
-        counts = scored.agg(
-            F.count_if(hit).alias("flagged"), (F.count_if(hit & F.col("reference_worn")) / F.greatest(F.count_if(hit), F.lit(1))).alias("precision"),
-            (F.count_if(hit & F.col("reference_worn")) / F.greatest(F.count_if("reference_worn"), F.lit(1))).alias("recall"),
-            F.avg(F.when(~F.col("reference_worn"), F.col("secondary_score"))).alias("mean_healthy"), F.avg(F.when(F.col("reference_worn"), F.col("secondary_score"))).alias("mean_worn"),
-        )
-        auc = rank_auc(scored.select("secondary_score", "reference_worn"), "secondary_score", F.col("reference_worn")).first()["auc"]
-        parts.append(counts.select(F.lit(name).alias("secondary"), F.lit(share).alias("contamination"), "*", F.lit(auc).cast("double").alias("auc")))
+    worn_rows = cutting.join(split.select("job_id", "reference_worn"), "job_id")
+    models, parts = fit_secondaries(cutting, secondaries, p), []
+    score, worn = F.col("secondary_score"), F.col("reference_worn")
+    for name in dict.fromkeys(name for name, _ in secondaries):
+        own = {share: model for (other, share), model in models.items() if other == name}
+        scored = with_outlier_score(worn_rows, next(iter(own.values())))
+        auc = rank_auc(scored.select("secondary_score", "reference_worn"), "secondary_score", worn).first()["auc"]
+
+        def row(share: float, hit: Column) -> Column:
+            return F.struct(
+                F.lit(share).alias("contamination"), F.count_if(hit).alias("flagged"),
+                (F.count_if(hit & worn) / F.greatest(F.count_if(hit), F.lit(1))).alias("precision"),
+                (F.count_if(hit & worn) / F.greatest(F.count_if(worn), F.lit(1))).alias("recall"),
+                F.avg(F.when(~worn, score)).alias("mean_healthy"), F.avg(F.when(worn, score)).alias("mean_worn"),
+            )
+
+        # All contaminations of a model from one pass over its scores.
+        rows = scored.agg(F.array(*[row(share, score >= model["threshold"]) for share, model in own.items()]).alias("rows"))
+        parts.append(rows.select(F.explode("rows").alias("x")).select(F.lit(name).alias("secondary"), "x.*", F.lit(auc).cast("double").alias("auc")))
     return reduce(DataFrame.unionByName, parts)
 
 
