@@ -115,6 +115,15 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_of_each_component_with_null_and_repeated_ids(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(12)) for k in "abcdef"}
+    rows = [(None, "a"), (None, "b"), (None, "b"), (7, "c"), (7, "d"), (7, "d"), (8, "e"), (None, "e"), (9, "f"), (9, "a")]
+    df = spark.createDataFrame([(d, texts[k], k) for d, k in rows], "doc_id long, text string, kind string")
+    kept = simhash.one_of_each(df)
+    assert sorted((r.kind, r.doc_id) for r in kept.collect()) == [("a", 9), ("b", None), ("c", 7), ("d", 7), ("e", 8), ("f", 9)]
+    assert kept.columns == df.columns
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wearloom.llm.common import written
@@ -61,17 +61,18 @@ def simhash(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(starts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long. Null text: 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """(doc_id, fp) of every row; fp is the fingerprint as a signed long. Null text: 0.
+    ``more`` are further columns of longs that are carried along."""
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    names = ["doc_id", "fp", *chosen.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([simhash(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
-    )
+    return chosen.mapInArrow(run, ", ".join(f"{name} long" for name in names))
 
 
 def triples() -> list[tuple[int, int, int]]:
@@ -191,6 +192,19 @@ def candidate_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return index.repartition("key").sortWithinPartitions("key").mapInArrow(_lists(max_bits), "a long, b long")
 
 
+def components_of(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, component, component_id) of the distinct fingerprints: component is the least of
+    its fingerprints, component_id its least id, which several components may share."""
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    groups = connected_components(candidate_links(nodes.select("fp"), max_bits))
+    named = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "component", F.coalesce("component", "fp")
+    )
+    named = written(named)
+    least = written(named.groupBy("component").agg(F.min("least").alias("component_id")))
+    return written(named.join(least, "component").select("fp", "component", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per input row.
 
@@ -199,14 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all its ids are null. An empty table gives no rows. Other columns are not read.
     """
     prints = written(fingerprints(docs, id_col, text_col))
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = connected_components(candidate_links(nodes.select("fp"), max_bits))
-    named = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
-    )
-    named = written(named)
-    least = written(named.groupBy("component").agg(F.min("least").alias("component_id")))
-    of = written(named.join(least, "component").select("fp", "component_id"))
+    of = components_of(prints, max_bits).drop("component")
     return prints.join(of, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -215,15 +222,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component: the row with the component's id, of repeats any one.
 
-    Rows with a null id stand for their component only where all its ids are null.
-    The text is dealt out once; only where ids repeat, once more. The ids that stay grow
-    with the documents, so they are never broadcast: a merge join at every size, whose hot
-    ids Spark can split.
+    Ids may be null or repeated, so a row is found by its id and two hashes of its text:
+    rows that agree in these are in one component. Rows with a null id stand for their
+    component only where all its ids are null. The text is dealt out once; only where such
+    rows repeat, once more. What stays grows with the documents, so it is never broadcast: a
+    merge join at every size, whose hot keys Spark can split.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    groups = near_duplicates(docs)
-    keep = written(
-        groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(key.alias("key")).agg(F.count("*").alias("n"))
-    )
-    kept = docs.join(keep.select("key").hint("merge"), key == keep["key"], "left_semi")
-    return kept if keep.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    hashes = [F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(1), "text").alias("_i")]
+    prints = written(fingerprints(docs, "doc_id", "text", *hashes))
+    of = components_of(prints).drop("component_id")
+    rows = prints.join(of, "fp").groupBy("component", "doc_id", "_h", "_i").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h", "_i", "n"))
+    keep = written(rows.groupBy("component").agg(least.alias("row")).select(F.col("row.doc_id").alias("_id"), "row._h", "row._i", "row.n"))
+    keyed = docs.withColumns({"_key": F.col("doc_id").cast("long"), "_hash": hashes[0], "_other": hashes[1]})
+    same = keyed["_key"].eqNullSafe(keep["_id"]) & (keyed["_hash"] == keep["_h"]) & (keyed["_other"] == keep["_i"])
+    kept = keyed.join(keep.drop("n").hint("merge"), same, "left_semi")
+    if not keep.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["_key", "_hash", "_other"])
+    return kept.select(*docs.columns)
