@@ -154,6 +154,16 @@ def test_viterbi_shortcut_is_exact():
             assert abs(value(path) - best) < 1e-9
 
 
+def test_viterbi_shortcut_sees_paths_that_avoid_the_winner():
+    scores = np.array([[0.0, -9, -19], [-19, -9, 0]])
+    assert langid.labels(scores, 12.0).tolist() == langid.viterbi(scores, 12.0).tolist() == [0, 2]
+    rng = np.random.default_rng(1)
+    for _ in range(2000):
+        scores = rng.normal(0, 3, (int(rng.integers(2, 6)), 4))
+        scores[:, 1] = scores.max(axis=1) - rng.uniform(0, 4)
+        assert langid.labels(scores, 4.0).tolist() == langid.viterbi(scores, 4.0).tolist()
+
+
 def test_mixed_text_falls_into_spans(spark, documents):
     model = langid.train(documents, F.lit(True))
     texts = {r.lang: r.text.split()[:60] for r in documents.where("length(text) > 1500 AND text NOT LIKE '%#%' AND text NOT LIKE '%!%' AND text NOT LIKE '%|%'").collect()}

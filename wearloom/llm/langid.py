@@ -170,19 +170,24 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
 def labels(scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     """What ``viterbi`` returns, without the recursion where one label provably wins.
 
-    With a the label of the highest total, a path leaves a for spans of other labels; each
-    span brings at most the largest gain of that label over a on adjacent words, and needs
-    at least one switch of its own. If no such gain exceeds the penalty, a alone is best.
+    With a the label of the highest total, a path that visits a leaves it for spans of other
+    labels; each span brings at most the largest gain of that label over a on adjacent words,
+    and needs at least one switch of its own. A path that never visits a has one span, and no
+    more than the total of a, or at least one switch, and brings at most the best gain of any
+    other label over a, summed over all words. If neither the gain of any label nor this sum
+    reaches the penalty, a alone is best.
     """
     if not len(scores):
         return np.zeros(0, np.int32)
     totals = scores.sum(axis=0, dtype=np.float64)
     a = int(totals.argmax())
+    over = scores - scores[:, a : a + 1]
     gain = np.zeros((len(scores) + 1, scores.shape[1]))
-    np.cumsum(scores - scores[:, a : a + 1], axis=0, dtype=np.float64, out=gain[1:])
+    np.cumsum(over, axis=0, dtype=np.float64, out=gain[1:])
     largest = (gain - np.minimum.accumulate(gain, axis=0)).max(axis=0)
     largest[a] = -1
-    if (largest < penalty).all():
+    over[:, a] = -np.inf
+    if (largest < penalty).all() and over.max(axis=1).sum(dtype=np.float64) < penalty:
         return np.full(len(scores), a, np.int32)
     return viterbi(scores, penalty)
 
