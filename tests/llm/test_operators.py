@@ -358,6 +358,22 @@ def test_url_model_separates_held_out_hosts(spark):
     assert np.mean([a > b for a in good for b in bad]) > 0.9
 
 
+@pytest.mark.parametrize("most", [1 << 18, 16])
+def test_url_scores_back_off_by_whole_grams(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "SLOTS", most)
+    judged = urls.with_rule(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    held = F.pmod(F.xxhash64("host"), F.lit(5)) == 0
+    ratios = urls.model(judged.where(~held))
+    known = {r.gram: r.ratio for r in ratios.collect()}
+    assert len(known) == ratios.count() > 16
+    rows = urls.scored(judged.where(held).unionByName(judged.where(held)), ratios).collect()
+    assert len(rows) == 2 * judged.where(held).count() > 0
+    for r in rows:
+        chars = urls.BEGIN * urls.ORDER + r.host + r.path + urls.END
+        seen = [next((known[g] for n in range(urls.ORDER + 1, 0, -1) if (g := chars[i + 1 - n : i + 1]) in known), 0.0) for i in range(urls.ORDER, len(chars))]
+        assert abs(r.score - np.mean(seen)) < 1e-9
+
+
 # Top k
 
 

@@ -7,7 +7,8 @@ is the mean over its characters of the log ratio of both chances, taken in the l
 context in which either class has seen the character; the cutoff is calibrated on hosts
 that were kept out of the counts.
 
-Log ratios lie in a fixed number of hashed slots, which bounds what is broadcast.
+Log ratios are kept by the gram itself. They are looked up once for each distinct gram of the
+pages; tables are broadcast only where they are counted to be small, else dealt out.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ RULES = (
 ORDER = 4
 #: Pseudo-counts by which a context leans on the shorter one; chance of a character at the bottom.
 LEAN, LEAST = 2.0, 1 / 256
-#: Bound of the model that is broadcast.
+#: Most rows of a table that is broadcast.
 SLOTS = 1 << 18
 #: One host in so many calibrates the cutoff.
 CALIBRATION = 5
@@ -67,12 +68,9 @@ def last(gram: Column | str, n: int) -> Column:
     return F.substring(gram, ORDER + 2 - n, n)
 
 
-def slot(gram: Column | str, n: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(n), last(gram, n)), F.lit(SLOTS))
-
-
 def model(judged: DataFrame) -> DataFrame:
-    """(slot, ratio) with at most SLOTS rows, from the rows of ``with_rule`` that have a verdict.
+    """(n, gram, ratio) of each gram of n characters that a class has seen, from the rows of
+    ``with_rule`` that have a verdict.
 
     Counts of the longest grams hold those of all shorter ones; they are summed before they
     are dealt out.
@@ -93,23 +91,45 @@ def model(judged: DataFrame) -> DataFrame:
             own = own.join(short, F.substring("g", 2, n - 1) == F.col("short"))
         chance = lambda c: (F.col(c) + LEAN * F.col(f"low_{c}")) / (F.col(f"all_{c}") + LEAN)
         below = written(own.select("g", chance("a").alias("p_a"), chance("r").alias("p_r")))
-        tables.append(below.select(F.pmod(F.xxhash64(F.lit(n), "g"), F.lit(SLOTS)).alias("slot"), F.log(F.col("p_a") / F.col("p_r")).alias("ratio")))
-    return written(reduce(DataFrame.unionByName, tables).groupBy("slot").agg(F.avg("ratio").alias("ratio")))
+        tables.append(below.select(F.lit(n).alias("n"), F.col("g").alias("gram"), F.log(F.col("p_a") / F.col("p_r")).alias("ratio")))
+    return written(reduce(DataFrame.unionByName, tables))
+
+
+def looked_up(judged: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(gram, uses, ratio) of each distinct longest gram of the rows: the ratio in the longest
+    context in which a class has seen its last character, 0 if none has."""
+    sizes = {r["n"]: r["count"] for r in ratios.groupBy("n").count().collect()}
+    found = grams(judged.select("host", "path")).groupBy("gram").agg(F.count("*").alias("uses"))
+    for n in range(ORDER + 1, 0, -1):
+        table = ratios.where(F.col("n") == n).select(F.col("gram").alias(f"gram_{n}"), F.col("ratio").alias(f"ratio_{n}"))
+        table = F.broadcast(table) if sizes.get(n, 0) <= SLOTS else table
+        found = found.join(table, last("gram", n) == F.col(f"gram_{n}"), "left").drop(f"gram_{n}")
+    ratio = F.coalesce(*[F.col(f"ratio_{n}") for n in range(ORDER + 1, 0, -1)], F.lit(0.0))
+    return written(found.select("gram", "uses", ratio.alias("ratio")))
 
 
 def scored(judged: DataFrame, ratios: DataFrame) -> DataFrame:
     """The rows of ``judged`` with score: the mean log ratio over a URL's characters.
 
-    A row's characters stay in its task until they are summed up, so one row per URL is
-    dealt out. Grams that no class has seen even alone add nothing.
+    Up to SLOTS distinct grams are broadcast with their ratios: a row's characters stay in
+    its task until they are summed up, so one row per URL is dealt out. Of more grams those
+    with over one in SLOTS of all uses are broadcast, fewer than SLOTS; the others, none of
+    them frequent, are dealt out by gram. Grams that no class has seen even alone add nothing.
     """
-    keys = [*judged.columns, "row"]
-    found = grams(judged.withColumn("row", F.monotonically_increasing_id()))
-    for n in range(ORDER + 1, 0, -1):
-        table = F.broadcast(ratios.select(F.col("slot").alias(f"slot_{n}"), F.col("ratio").alias(f"ratio_{n}")))  # at most SLOTS rows
-        found = found.join(table, slot("gram", n) == F.col(f"slot_{n}"), "left").drop(f"slot_{n}")
-    ratio = F.coalesce(*[F.col(f"ratio_{n}") for n in range(ORDER + 1, 0, -1)], F.lit(0.0))
-    return found.groupBy(*keys).agg(F.avg(ratio).alias("score")).drop("row")
+    table = looked_up(judged, ratios)
+    n, uses = table.agg(F.count("*"), F.sum("uses")).first()
+    rows = judged.withColumn("row", F.monotonically_increasing_id())
+    if n <= SLOTS:
+        found = grams(rows).join(F.broadcast(table.select("gram", "ratio")), "gram")
+        return found.groupBy(*rows.columns).agg(F.avg("ratio").alias("score")).drop("row")
+    rows = written(rows)
+    each = grams(rows.select("row", "host", "path")).select("row", "gram")
+    frequent = F.col("uses") * SLOTS > uses
+    hot, cold = table.where(frequent).select("gram", "ratio"), table.where(~frequent).select("gram", "ratio")
+    parts = [each.join(F.broadcast(hot), "gram"), each.join(F.broadcast(hot.select("gram")), "gram", "left_anti").join(cold, "gram")]
+    sums = [part.groupBy("row").agg(F.sum("ratio").alias("total"), F.count("*").alias("chars")) for part in parts]
+    score = reduce(DataFrame.unionByName, sums).groupBy("row").agg((F.sum("total") / F.sum("chars")).alias("score"))
+    return rows.join(score, "row").drop("row")
 
 
 def cutoff(calibrating: DataFrame) -> float:
