@@ -377,26 +377,39 @@ def test_url_scores_back_off_by_whole_grams(spark, monkeypatch, most):
 # Top k
 
 
-def plain_top(vectors, queries, k=10):
-    out = set()
-    for q in queries:
-        ranked = sorted(((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q])))
-        out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked[:k])}
-    return out
+def plain_top(rows, k=10):
+    """Sorted (query_id, rank, vec_id, score); rows: (id, integer vector), each row on its own."""
+    out, low, high = [], -(1 << 63), (1 << 63) - 1
+    for at, (q, v) in enumerate(rows):
+        if q % 100 == 0:
+            scores = [(-max(low, min(high, sum(a * b for a, b in zip(v, w)))), i) for j, (i, w) in enumerate(rows) if j != at and len(w) == len(v)]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+def found_top(df):
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.query(df).collect())
 
 
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(0, rng.choice([0.01, 0.2, 2]), 8).astype(np.float32)]) for i in range(900)]
-    rows += [(900 + i, rows[0][1]) for i in range(30)] + [(950, [1.0, 2.0]), (1000, [0.5, 0.5]), (960, [0.0] * 8), (1100, [0.0] * 8)]
-    bad = [(2000, None), (2001, []), (2002, [None] * 8), (2003, [float("nan")] * 8), (2100, [float("inf")] * 8)]
-    df = spark.createDataFrame(rows + bad + rows[:1], "vec_id long, embedding array<float>").withColumns({"grp": F.lit(1), "ids": F.lit(2), "label": F.lit(None).cast("int")})
-    vectors = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v in rows}
-    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.query(df).collect()}
-    assert got == plain_top(vectors, [i for i in vectors if i % 100 == 0])
+    rows += [(900 + i, rows[0][1]) for i in range(30)] + [(950, [1.0, 2.0]), (1000, [0.5, 0.5]), (960, [0.0] * 8), (1100, [0.0] * 8), (1200, []), (1201, [])]
+    rows += [rows[0], (200, rows[7][1]), (7, rows[5][1]), (7, rows[5][1])]  # repeated ids, with equal and other vectors
+    bad = [(2000, None), (2002, [None] * 8), (2003, [float("nan")] * 8), (2100, [float("inf")] * 8), (None, [1.0] * 8)]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumns({"grp": F.lit(1), "ids": F.lit(2), "row": F.lit(3), "label": F.lit(None).cast("int")})
+    assert found_top(df) == plain_top([(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows])
     assert topk.query(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components_and_long_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(0, 10.0 ** rng.integers(0, 13), 6)]) for i in range(250)]
+    rows += [(300, [1.5e6] * 64), (301, [1.5e6] * 64), (302, [-1e300] * 64), (400, [1e-3] * 20_000), (401, [3e6] * 20_000), (500, [3e6, 1.0]), (501, [1.0, 2.0])]
+    exact = lambda x: max(-(1 << 63), min((1 << 63) - 1, math.floor(1024 * x)))
+    assert found_top(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == plain_top([(i, [exact(x) for x in v]) for i, v in rows])
+
+
 def test_both_prunings_are_used_and_exact():
     rng = np.random.default_rng(2)
     c = np.round(rng.normal(0, 300, (2000, 16)) * rng.choice([0.2, 1, 4], (2000, 1))).astype(np.int64)
@@ -406,8 +419,8 @@ def test_both_prunings_are_used_and_exact():
     hot = c[:1] + 0
     q = np.concatenate([q, hot])
     q_ids = np.array([5, 700, 1900, 0])
-    found, used = topk.retrieve(q_ids, q, np.full(4, -(1 << 62)), ids, c)
-    for (qid, got, scores), row in zip(found, q):
-        plain = sorted((-int(row @ v), i) for i, v in zip(ids, c) if i != qid)[:10]
+    found, used = topk.retrieve(q_ids, q, np.full(4, -(1 << 63)), ids, ids, c)
+    for (place, got, scores), row in zip(found, q):
+        plain = sorted((-int(row @ v), i) for i, v in zip(ids, c) if i != q_ids[place])[:10]
         assert [(-s, i) for s, i in plain] == list(zip(scores.tolist(), got.tolist()))
     assert used["coordinate"] and used["length"] and used["skipped"]

@@ -8,7 +8,9 @@ the cosine has its largest query coordinates within known ranges. Below that, le
 pruning: only the bucket's vectors that are long enough. What is left is multiplied out.
 
 Queries come as packed blocks that meet the packed blocks of vectors by an equi-join on
-the group that both carry, so neither side is broadcast or collected.
+the group that both carry, so neither side is broadcast or collected. A first search in a
+sample gives each query a lower bound; queries are packed in the order of bound over
+length, and a block is only sent to groups whose longest vector can reach its least bound.
 """
 
 from __future__ import annotations
@@ -30,84 +32,97 @@ BUCKET, BLOCK, QUERIES = 256, 4096, 512
 GROUPS = 64
 #: Local cosine from which coordinates prune, and how many coordinates are looked at.
 COORDINATE_FROM, COORDINATES = 0.6, 4
+#: The ends of a long.
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(vec_id, v array<long>, dim, norm2) of the vectors that take part.
 
-    Components are floor(scale * x), x as double. Vectors that are null or empty, or hold
-    null or non-finite components, or components beyond 2^31 in size, take no part.
+    Components are floor(scale * x), x as double; beyond the ends of a long they stop there.
+    Vectors that are null, or hold null or non-finite components, take no part, and neither
+    do rows without an id, which no result could name. Empty vectors have dimension 0.
     """
-    x = F.transform(vector_col, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")))
-    fine = F.forall(vector_col, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float(1 << 31) / scale))
-    rows = embeddings.where(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False)))
+    wide = F.col(vector_col).cast("array<double>")
+    fine = F.forall(wide, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    rows = embeddings.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False)))
+    limit = lambda c: F.when(c >= 2.0**63, F.lit(HIGHEST)).when(c < -(2.0**63), F.lit(LOWEST)).otherwise(F.floor(c))
+    x = F.transform(wide, lambda c: limit(F.lit(float(scale)) * c))
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("v"))
     return rows.select("vec_id", "v", F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")).alias("norm2"))
 
 
-BLOCK_SCHEMA = "grp int, dim int, longest double, ids binary, data binary"
+BLOCK_SCHEMA = "grp int, dim int, longest double, reach double, rows binary, ids binary, least binary, data binary"
+TYPES = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+COLUMNS = ("grp", "dim", "row", "vec_id", "norm2", "least", "v")
 
 
-def _pack(size: int, with_group: bool):
-    """mapInArrow function: rows (grp, vec_id, v, dim, norm2) in order of grp and dim to packed blocks, longest first."""
+def _pack(size: int):
+    """mapInArrow function: rows of COLUMNS in order of grp and dim to packed blocks of at
+    most ``size`` vectors of one grp and dim, longest first.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def blocks(everything: bool):
-            nonlocal held
-            out = []
-            while held and (everything or sum(len(h[1]) for h in held if h[0] == held[0][0]) >= size or held[-1][0] != held[0][0]):
-                key = held[0][0]
-                same = [h for h in held if h[0] == key]
-                ids, norms = (np.concatenate([h[i] for h in same]) for i in (1, 2))
-                data = np.concatenate([h[3] for h in same])
-                rest = [h for h in held if h[0] != key]
-                if len(ids) > size and not rest and not everything:
-                    held = [(key, ids[size:], norms[size:], data[size:])]
-                    ids, norms, data = ids[:size], norms[:size], data[:size]
-                elif len(ids) > size:
-                    held = [(key, ids[size:], norms[size:], data[size:]), *rest]
-                    ids, norms, data = ids[:size], norms[:size], data[:size]
-                else:
-                    held = rest
-                order = np.lexsort((ids, -norms))
-                out.append((key[0], key[1], float(norms[order[0]]), ids[order].astype("<i8").tobytes(), data[order].astype("<i4").tobytes()))
-            if out:
-                types = (pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["grp", "dim", "longest", "ids", "data"])
+    longest: length of the longest vector; reach: how long a vector has to be at least to
+    matter to any of the block's (as queries with their lower bounds).
+    """
+
+    def block(key: tuple[int, int], parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        rows, ids, norms, least, data = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((ids, -norms))
+        narrow = not data.size or (data.min() >= -(1 << 31) and data.max() < 1 << 31)
+        reach = float((least / np.sqrt(np.maximum(norms, 1e-300))).min())
+        packed = [x[order].astype("<i8").tobytes() for x in (rows, ids, least)] + [data[order].astype("<i4" if narrow else "<i8").tobytes()]
+        values = (*key, float(np.sqrt(norms.max())), reach, *packed)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, TYPES)], [c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, n = None, [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            grp, ids, dims, norms = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
-            flat, ends = batch.column(2).flatten().to_numpy(zero_copy_only=False), np.cumsum(dims)
+            grp, dims, rows, ids, norms, least = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            flat, ends = batch.column(6).flatten().to_numpy(zero_copy_only=False), np.cumsum(dims, dtype=np.int64)
             cuts = np.flatnonzero((grp[1:] != grp[:-1]) | (dims[1:] != dims[:-1])) + 1
             for a, b in zip([0, *cuts], [*cuts, len(ids)]):
-                data = flat[ends[a] - dims[a] : ends[b - 1]].reshape(b - a, -1)
-                held.append(((int(grp[a]), int(dims[a])), ids[a:b], norms[a:b], data))
-            yield from blocks(False)
-        yield from blocks(True)
+                if (own := (int(grp[a]), int(dims[a]))) != key:
+                    if held:
+                        yield block(key, held)
+                    key, held, n = own, [], 0
+                while a < b:
+                    to = min(b, a + size - n)
+                    data = flat[ends[a] - dims[a] : ends[to - 1]].reshape(to - a, own[1])
+                    held.append((rows[a:to], ids[a:to], norms[a:to], least[a:to], data))
+                    n, a = n + to - a, to
+                    if n == size:
+                        yield block(key, held)
+                        held, n = [], 0
+        if held:
+            yield block(key, held)
 
     return run
 
 
-def _unpack(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    found = np.frombuffer(ids, "<i8")
-    return found, np.frombuffer(data, "<i4").reshape(len(found), -1)
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    return rows.select(*COLUMNS).sortWithinPartitions("grp", "dim", F.desc("norm2"), "vec_id").mapInArrow(_pack(size), BLOCK_SCHEMA)
+
+
+def _vectors(data: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, "<i8" if len(data) == 8 * n * dim else "<i4").reshape(n, dim)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of rows: in doubles where they hold them, else in longs or Python's integers."""
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    """Exact integer products of rows: in doubles where they hold them, else in longs or
+    Python's integers. What a long cannot hold stops at its ends."""
+    largest = lambda x: float(np.abs(x.astype(np.float64)).max(initial=0))
+    bound = largest(a) * largest(b) * max(1, a.shape[1])
     if bound < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    kind = np.int64 if bound < 2**63 else object
-    return a.astype(kind) @ b.astype(kind).T
+    if bound < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    return np.clip(a.astype(object) @ b.astype(object).T, LOWEST, HIGHEST).astype(np.int64)
 
 
 def keep_best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
+    order = np.lexsort((ids, ~scores))[:k]  # ~x falls as x rises, and never leaves a long
     return scores[order], ids[order]
 
 
@@ -121,11 +136,13 @@ def coordinate_ranges(q: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndar
     return low - 1e-9, high + 1e-9
 
 
-def retrieve(q_ids, q, least, c_ids, c, k: int = K) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], dict[str, int]]:
-    """Each query's best candidates of one block, and how often each pruning was used.
+def retrieve(q_rows, q, least, c_rows, c_ids, c, k: int = K) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], dict[str, int]]:
+    """(place in q, ids, scores) of each query's best candidates of one block, and how often
+    each pruning was used.
 
-    c is in falling order of length. least: scores that a query has for sure elsewhere, so
-    lower products are of no use; equal ones are kept, as their ids may be smaller.
+    c is in falling order of length; a candidate row that is the query's own does not count.
+    least: scores that a query has for sure elsewhere, so lower products are of no use; equal
+    ones are kept, as their ids may be smaller.
     """
     c_norm, q_norm = (np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)) for x in (c, q))
     unit = c / np.maximum(c_norm, 1e-300)[:, None]
@@ -142,10 +159,10 @@ def retrieve(q_ids, q, least, c_ids, c, k: int = K) -> tuple[list[tuple[int, np.
                 floor = max(floor, float(best[-1]))
             top = q_norm[i] * c_norm[at]
             local = floor / top if top > 0 else (-1.0 if floor <= 0 else 2.0)
-            if local > 1 + 1e-9:
+            if local > 1 + 1e-9 and floor < HIGHEST:
                 used["skipped"] += 1
                 break  # and so are all shorter ones
-            if local >= COORDINATE_FROM:
+            if COORDINATE_FROM <= local <= 1 + 1e-9:
                 used["coordinate"] += 1
                 low, high = coordinate_ranges(direction[focus], max(0.0, local - 1e-9))
                 near = unit[stretch][:, focus]
@@ -154,7 +171,7 @@ def retrieve(q_ids, q, least, c_ids, c, k: int = K) -> tuple[list[tuple[int, np.
                 used["length"] += 1
                 enough = c_norm[stretch] * q_norm[i] >= floor - 1e-6 * max(1.0, abs(floor)) if floor > 0 else np.ones(len(c_norm[stretch]), bool)
                 take = np.flatnonzero(enough) + at
-            take = take[c_ids[take] != q_ids[i]]
+            take = take[c_rows[take] != q_rows[i]]
             if not len(take):
                 continue
             used["verified"] += len(take)
@@ -162,121 +179,76 @@ def retrieve(q_ids, q, least, c_ids, c, k: int = K) -> tuple[list[tuple[int, np.
             good = scores >= least[i]
             best, best_ids = keep_best(np.concatenate([best, scores[good]]), np.concatenate([best_ids, c_ids[take][good]]), k)
         if len(best):
-            found.append((int(q_ids[i]), best_ids, best))
+            found.append((i, best_ids, best))
     return found, used
 
 
 def _met(joined: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): each query's best of each block that it meets."""
+    """(row, query_id, vec_id, score): each query row's best of each block that it meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q_data, least, c_ids, c_data in zip(*[batch.column(i) for i in range(5)]):
-                q_id, q = _unpack(q_ids.as_py(), q_data.as_py())
-                c_id, c = _unpack(c_ids.as_py(), c_data.as_py())
-                found, _ = retrieve(q_id, q, np.frombuffer(least.as_py(), "<i8"), c_id, c, k)
+            for dim, *packed in zip(*[batch.column(i).to_pylist() for i in range(8)]):
+                q_rows, q_ids, least, c_rows, c_ids = (np.frombuffer(x, "<i8") for x in packed[:5])
+                found, _ = retrieve(q_rows, _vectors(packed[5], len(q_rows), dim), least, c_rows, c_ids, _vectors(packed[6], len(c_rows), dim), k)
                 if found:
-                    counts = [len(ids) for _, ids, _ in found]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(np.array([i for i, _, _ in found], np.int64), counts)),
-                            pa.array(np.concatenate([ids for _, ids, _ in found])),
-                            pa.array(np.concatenate([s for _, _, s in found]).astype(np.int64)),
-                        ],
-                        ["query_id", "vec_id", "score"],
-                    )
+                    place = np.repeat([i for i, _, _ in found], [len(ids) for _, ids, _ in found])
+                    columns = (q_rows[place], q_ids[place], np.concatenate([ids for _, ids, _ in found]), np.concatenate([s for _, _, s in found]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "query_id", "vec_id", "score"])
 
-    return joined.select("q_ids", "q_data", "least", "ids", "data").mapInArrow(run, "query_id long, vec_id long, score long")
+    names = ("q_dim", "q_rows", "q_ids", "q_least", "rows", "ids", "q_data", "data")
+    return joined.select(*names).mapInArrow(run, "row long, query_id long, vec_id long, score long")
 
 
 def _meet(queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Query blocks with the vector blocks of their dimension: each query block is repeated
-    once for each group of vectors, and both are joined on the group."""
-    groups = blocks.agg(F.max("grp")).first()[0]
-    groups = 0 if groups is None else groups
-    named = queries.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "least", F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.lit(groups))).alias("q_grp"))
+    """Query blocks with the vector blocks of their dimension: a query block is repeated for
+    those groups of vectors whose longest one can reach it, and both are joined on the group."""
+    groups = blocks.groupBy(F.col("grp").alias("q_grp"), F.col("dim").alias("g_dim")).agg(F.max("longest").alias("most"))
+    named = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("dim", "reach", "rows", "ids", "least", "data")])
+    named = named.join(groups, (F.col("q_dim") == F.col("g_dim")) & (F.col("q_reach") <= F.col("most") * (1 + 1e-9) + 1e-9))
     return named.join(blocks, (F.col("q_grp") == F.col("grp")) & (F.col("q_dim") == F.col("dim")))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def search(vectors: DataFrame, is_query, k: int = K, sample: int = 2048) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest products of each query over all other vectors.
+    """(query_id, rank, vec_id, score): the k highest products of each query row over all other rows.
 
     vectors: rows of ``quantised``; is_query: a condition over vec_id. Ties go to the smaller
     vec_id. A query with fewer other vectors has fewer rows; only vectors of a query's
-    dimension count. Of repeated ids one row takes part, the one with the least vector.
-    A repeatable sample of about ``sample`` vectors gives each query a first lower bound; it
-    changes what is pruned, not what is returned.
+    dimension count. Rows are told apart by a number that is written with them: of repeated
+    ids every row is a candidate, and each row that is a query has its own result. Scores
+    beyond the ends of a long stop there. An empty table gives no rows. A repeatable sample
+    of about ``sample`` vectors gives each query a first lower bound; it changes what is
+    pruned, not what is returned.
     """
-    vectors = written(vectors)
-    n, ids = vectors.agg(F.count("*"), F.count_distinct("vec_id")).first()
-    if ids < n:
-        order = Window.partitionBy("vec_id").orderBy("v")
-        vectors = written(vectors.withColumn("copy", F.row_number().over(order)).where("copy = 1").drop("copy"))
-    groups = max(1, min(GROUPS, ids // BUCKET), ids // (16 * BLOCK))
-    columns = ["grp", "vec_id", "v", "dim", "norm2"]
-
-    def packed(rows: DataFrame, size: int) -> DataFrame:
-        return rows.select(*columns).sortWithinPartitions("grp", "dim", F.desc("norm2"), "vec_id").mapInArrow(_pack(size, True), BLOCK_SCHEMA)
-
-    by_length = vectors.repartitionByRange(groups, F.desc("norm2"), F.col("vec_id")).withColumn("grp", F.spark_partition_id())
-    blocks = written(packed(by_length, BLOCK))
+    vectors = written(vectors.withColumn("row", F.monotonically_increasing_id())).withColumn("least", F.lit(LOWEST))
+    n = vectors.count()
+    groups = max(1, min(GROUPS, n // BUCKET), n // (16 * BLOCK))
+    by_length = vectors.repartitionByRange(groups, F.desc("norm2"), F.col("vec_id"), F.col("row")).withColumn("grp", F.spark_partition_id())
+    blocks = written(_packed(by_length, BLOCK))
     wanted = vectors.where(is_query)
     parts = -(-max(1, wanted.count()) // QUERIES)
-    dealt = wanted.withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).repartition("grp")
-    queries = written(packed(dealt, QUERIES))
-    seeds = vectors.where(F.pmod(F.xxhash64(F.lit("seed"), "vec_id"), F.lit(max(1, ids // sample))) == 0).withColumn("grp", F.lit(0))
-    seeds = written(packed(seeds.repartition("grp"), BLOCK))
-    nothing = _met(_meet(_with_bounds(queries, None), seeds), k)
-    bounds = _best(nothing, k).where(F.col("rank") == k).select("query_id", "score")
-    return _best(_met(_meet(written(_with_bounds(queries, bounds)), blocks), k), k).select("query_id", "rank", "vec_id", "score")
-
-
-def _with_bounds(queries: DataFrame, bounds: DataFrame | None) -> DataFrame:
-    """Query blocks with the column least: packed lower bounds in the order of their ids."""
-    lowest = -(1 << 62)
-    if bounds is None:
-
-        def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                least = [np.full(len(x.as_py()) // 8, lowest, "<i8").tobytes() for x in batch.column(3)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.binary())], [*batch.schema.names, "least"])
-
-        return queries.mapInArrow(open_, f"{BLOCK_SCHEMA}, least binary")
-    # A block of queries has at most QUERIES bounds: they are gathered by block.
-    ids = queries.select("grp", "dim", "ids").mapInArrow(_ids, "ids_key binary, query_id long")
-    gathered = ids.join(bounds, "query_id").groupBy("ids_key").agg(F.collect_list(F.struct("query_id", "score")).alias("known"))
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            least = []
-            for packed, known in zip(batch.column(3), batch.column(5).to_pylist()):
-                have = {r["query_id"]: r["score"] for r in known or []}
-                least.append(np.array([have.get(i, lowest) for i in np.frombuffer(packed.as_py(), "<i8").tolist()], "<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(least, pa.binary())], [*batch.schema.names[:5], "least"])
-
-    joined = queries.join(gathered, F.col("ids") == F.col("ids_key"), "left").select("grp", "dim", "longest", "ids", "data", "known")
-    return joined.mapInArrow(fill, f"{BLOCK_SCHEMA}, least binary")
-
-
-def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for packed in batch.column(2):
-            ids = np.frombuffer(packed.as_py(), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array([packed.as_py()] * len(ids), pa.binary()), pa.array(ids)], ["ids_key", "query_id"])
+    dealt = wanted.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")).repartition("grp")
+    seeds = vectors.where(F.pmod(F.xxhash64(F.lit("seed"), "vec_id", "row"), F.lit(max(1, n // sample))) == 0).withColumn("grp", F.lit(0))
+    seeds = written(_packed(seeds.repartition("grp"), BLOCK))
+    first = _best(_met(_meet(written(_packed(dealt, QUERIES)), seeds), k), k).where(F.col("rank") == k)
+    known = wanted.drop("least").join(first.select("row", F.col("score").alias("bound")), "row", "left").withColumn("least", F.coalesce("bound", F.lit(LOWEST)))
+    reach = F.col("least") / F.sqrt(F.greatest("norm2", F.lit(1e-300)))
+    queries = known.repartitionByRange(parts, reach, F.col("row")).withColumn("grp", F.spark_partition_id())
+    return _best(_met(_meet(written(_packed(queries, QUERIES)), blocks), k), k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+WITH v AS (SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, q.rid, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.rid <> c.rid AND len(q.v) = len(c.v))
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10
 """
 
 
