@@ -74,32 +74,43 @@ def test_simhash_against_brute_force(spark, documents):
     assert {r.doc_id: r.fingerprint for r in got} == {r.doc_id: f"{p:016x}" for r, p in zip(rows, prints)}
 
 
-@pytest.mark.parametrize("long_list", [1 << 14, 16])
-def test_links_connect_like_all_pairs(monkeypatch, long_list):
-    monkeypatch.setattr(simhash, "LONG_LIST", long_list)
+def test_longer_masks_cover_what_four_bits_leave():
+    rng = np.random.default_rng(0)
+    for mask in simhash.byte_masks():
+        for _ in range(3):  # down to lists that cannot be long
+            further = simhash.longer_masks(mask)
+            flips = [b for b in range(64) if not mask >> b & 1]
+            for _ in range(50):
+                differ = sum(1 << int(b) for b in rng.choice(flips, 4, replace=False))
+                assert any(not differ & m for m in further)
+            mask = further[int(rng.integers(len(further)))]
+
+
+@pytest.mark.parametrize("longest", [1 << 12, 256])
+def test_links_connect_like_all_pairs(spark, longest):
     rng = np.random.default_rng(3)
-    base = int(rng.integers(0, 2**63))
+    base = int(rng.integers(0, 2**63)) * 2 + 1
     values = {base}
-    for _ in range(300):
+    for _ in range(500):
         v = base
         for b in rng.choice(40, rng.integers(0, 5), replace=False):
             v ^= 1 << int(b)
         values.add(v)
-    values |= {int(x) << 40 >> 40 | base >> 40 << 40 for x in rng.integers(0, 2**40, 100)}
-    values = np.array(sorted(values), np.uint64)
-    found = simhash.links(0, values, 4, simhash.triples())
-    parent = {int(v): int(v) for v in values}
+    values |= {int(x) | base >> 40 << 40 for x in rng.integers(0, 2**40, 900)}  # unlinked, in one list
+    values = sorted(values)
+    signed = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long").repartition(3)
+    parent = {v: v for v in values}
 
     def find(v):
         while parent[v] != v:
             v = parent[v]
         return v
 
-    for a, b in (np.concatenate(found) if found else []):
-        parent[find(int(a))] = find(int(b))
-    expected = brute_components(list(range(len(values))), [int(v) for v in values])
-    same = lambda i, j: find(int(values[i])) == find(int(values[j]))
-    assert all(same(i, j) == (expected[i] == expected[j]) for i, j in combinations(range(len(values)), 2))
+    for a, b in simhash.candidate_links(signed, longest=longest).collect():
+        parent[find(a % (1 << 64))] = find(b % (1 << 64))
+    expected = brute_components(list(range(len(values))), values)
+    assert len({find(v) for v in values}) == len(set(expected.values())) > 500
+    assert all(find(values[i]) == find(values[e]) for i, e in expected.items())
 
 
 def test_simhash_edges(spark):

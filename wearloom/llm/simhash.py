@@ -9,11 +9,18 @@ are tallied, pairs below the count are dropped, and the bits of the rest are com
 
 Rows with equal fingerprints are one node, so exact copies never meet in a list. A
 list of near copies yields a spanning forest of its links, not all its pairs.
+
+Positions are written as masks, a list's key as mask and masked fingerprint. A list above
+LONG_LIST is not solved: its values go on to the next round under longer masks. What four
+bits can differ in leaves one of five parts of the other bits untouched, so lists under the
+mask and each of five such parts (further bytes at first) hold every linked pair again. A
+task holds LONG_LIST values of a list at most, and parts end where no list can be longer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,8 +38,8 @@ MAX_BITS = 4
 BYTES = 8
 #: Lists up to this length are compared pair by pair, longer ones by a search that shrinks.
 SMALL_LIST = 8
-#: Longer lists are first split by one more shared byte.
-LONG_LIST = 1 << 14
+#: Longer lists go on to the next round, under longer masks.
+LONG_LIST = 1 << 12
 HASHES_AT_ONCE = 1 << 16
 
 
@@ -114,53 +121,73 @@ def forest(values: np.ndarray, max_bits: int) -> list[np.ndarray]:
     return out
 
 
-def links(key: int, values: np.ndarray, max_bits: int, family: list[tuple[int, int, int]]) -> list[np.ndarray]:
-    """Links of one posting list. A long one is split by each further byte that a pair must share."""
-    if len(values) <= LONG_LIST:
-        return forest(values, max_bits)
-    out = []
-    for position in set(range(BYTES)) - set(family[key >> 24]):
-        byte = (values >> np.uint64(8 * (BYTES - 1 - position))) & np.uint64(255)
-        order = np.argsort(byte, kind="stable")
-        cuts = np.flatnonzero(np.diff(byte[order])) + 1
-        for part in np.split(values[order], cuts):
-            out += forest(part, max_bits)
-    return out
+def byte_masks() -> list[int]:
+    """The masks of the bytes of ``triples``; position 0 is the highest byte."""
+    return [sum(255 << 8 * (BYTES - 1 - i) for i in t) for t in triples()]
+
+
+def longer_masks(mask: int, parts: int = MAX_BITS + 1) -> list[int]:
+    """mask with each of ``parts`` runs of the bits that it leaves open, from the highest on."""
+    left = [b for b in reversed(range(64)) if not mask >> b & 1]
+    cuts = [len(left) * i // parts for i in range(parts + 1)]
+    return [mask | sum(1 << b for b in left[i:j]) for i, j in zip(cuts, cuts[1:]) if i < j]
+
 
+LINK_SCHEMA = "a long, b long, mask long, part long"
 
-def _lists(max_bits: int):
-    """mapInArrow function: rows (key, fp) sorted by key to links (a, b)."""
-    family = triples()
 
-    def pack(found: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.concatenate(found).astype(np.uint64).view(np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+def _lists(max_bits: int, longest: int):
+    """mapInArrow function: rows (mask, part, fp) sorted by mask and part to links (a, b) and,
+    for lists above ``longest``, to rows of the next round: fp as a, with mask and part."""
+
+    def pack(links: list[np.ndarray], onward: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "mask", "part"]
+        if links:
+            both = np.concatenate(links).view(np.int64)
+            none = pa.nulls(len(both), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), none, none], names)
+        for mask, values in onward:
+            for further in longer_masks(mask):
+                m = np.full(len(values), further, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.nulls(len(values), pa.int64()), pa.array(m.view(np.int64)), pa.array((values & m).view(np.int64))], names)
+
+    def changes(mask: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return np.flatnonzero((mask[1:] != mask[:-1]) | (part[1:] != part[:-1])) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        kept: list[tuple[np.ndarray, ...]] = []  # rows of the last list, which may go on in the next batch
+        passed = None  # the list whose rows go on as they come
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            values = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            if not len(keys):
-                continue
-            last = np.searchsorted(keys, keys[-1])  # the last key may go on in the next batch
-            if last == 0 and kept and kept[-1][0][0] == keys[0]:
-                kept.append((keys, values))
+            rows = tuple(batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
+            if not len(rows[0]):
                 continue
-            kept.append((keys[:last], values[:last]))
-            if found := solve(kept):
-                yield pack(found)
-            kept = [(keys[last:], values[last:])]
-        if kept and (found := solve(kept)):
-            yield pack(found)
-
-    def solve(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        keys, values = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        if len(keys) < 2:
-            return []
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        sizes = np.diff(np.r_[starts, len(keys)])
-        found = []
+            starts = changes(*rows[:2])
+            if passed == (rows[0][0], rows[1][0]):
+                end = starts[0] if len(starts) else len(rows[0])
+                yield from pack([], [(int(passed[0]), rows[2][:end])])
+                if end == len(rows[0]):
+                    continue
+                rows, starts = tuple(x[end:] for x in rows), starts[1:] - end
+            passed = None
+            last = starts[-1] if len(starts) else 0
+            if last or not kept or (kept[-1][0][0], kept[-1][1][0]) != (rows[0][0], rows[1][0]):
+                kept.append(tuple(x[:last] for x in rows))
+                yield from pack(*solve(kept))
+                kept = []
+            kept.append(tuple(x[last:] for x in rows))
+            if sum(len(k[0]) for k in kept) > longest:
+                yield from pack(*solve(kept))
+                passed, kept = (rows[0][-1], rows[1][-1]), []
+        if kept:
+            yield from pack(*solve(kept))
+
+    def solve(parts: list[tuple[np.ndarray, ...]]) -> tuple[list[np.ndarray], list[tuple[int, np.ndarray]]]:
+        mask, part, values = (np.concatenate(x) for x in zip(*parts))
+        found, onward = [], []
+        if len(mask) < 2:
+            return found, onward
+        starts = np.r_[0, changes(mask, part)]
+        sizes = np.diff(np.r_[starts, len(mask)])
         for gap in range(1, SMALL_LIST):  # all pairs of the short lists at once
             fits = (sizes > gap) & (sizes <= SMALL_LIST)
             if not fits.any():
@@ -172,24 +199,36 @@ def _lists(max_bits: int):
             if hit.any():
                 found.append(np.column_stack([a[hit], b[hit]]))
         for i in np.flatnonzero(sizes > SMALL_LIST):
-            found += links(int(keys[starts[i]]), values[starts[i] : starts[i] + sizes[i]], max_bits, family)
-        return found
+            own = values[starts[i] : starts[i] + sizes[i]]
+            if sizes[i] > longest:
+                onward.append((int(mask[starts[i]]), own))
+            else:
+                found += forest(own, max_bits)
+        return found, onward
 
     return run
 
 
-def candidate_links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def candidate_links(nodes: DataFrame, max_bits: int = MAX_BITS, longest: int = LONG_LIST) -> DataFrame:
     """Verified links (a, b) of distinct fingerprints (column fp), enough to connect all
-    that are linked: a link that is left out joins two that other links join."""
+    that are linked: a link that is left out joins two that other links join.
+
+    One round, and one more for each time that a list is above ``longest``; rounds are
+    written to the shared folder. Under eight open bits a list ends as it is.
+    """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the triples cover up to four differing bits")
-    byte = [F.shiftrightunsigned("fp", 8 * (BYTES - 1 - i)).bitwiseAND(F.lit(255)) for i in range(BYTES)]
-    keys = [
-        F.lit(n << 24) + byte[i] * F.lit(1 << 16) + byte[j] * F.lit(1 << 8) + byte[k]
-        for n, (i, j, k) in enumerate(triples())
-    ]
-    index = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    return index.repartition("key").sortWithinPartitions("key").mapInArrow(_lists(max_bits), "a long, b long")
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = [F.struct(F.lit(signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("part")) for m in byte_masks()]
+    index, out = nodes.select(F.explode(F.array(*keys)).alias("k"), "fp").select("k.mask", "k.part", "fp"), []
+    while True:
+        dealt = index.repartition("mask", "part").sortWithinPartitions("mask", "part")
+        found = written(dealt.mapInArrow(_lists(max_bits, max(longest, 256)), LINK_SCHEMA))
+        out.append(found.where("b IS NOT NULL").select("a", "b"))
+        index = found.where("b IS NULL").select("mask", "part", F.col("a").alias("fp"))
+        if index.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        index = index.distinct()  # two masks may grow into the same one
 
 
 def components_of(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
