@@ -201,6 +201,46 @@ def test_scripts_narrow_candidates(spark):
     assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "ru", 2: "sr"}
 
 
+def test_latin_text_keeps_to_languages_of_its_script(spark):
+    rows = [(i, "мама мыла раму вечером дома", "ru") for i in range(20)] + [(100 + i, "la casa de mi madre es grande", "es") for i in range(20)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    texts = ["zzqx wvk", "x", "Q7 qq", "ъъъ щщ", "ԱԲԳ", "東京"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in range(4)] == ["es", "es", "es", "ru"] and set(got.values()) <= {"es", "ru"}
+    scorer = langid.Scorer(model)
+    assert scorer.outside("zz").tolist() == [False, True] and scorer.outside("ձձ") is None and langid.script_of("ᠠ") != langid.script_of("ሀ")
+
+
+def test_language_of_short_texts_against_all_paths(spark, documents):
+    """predict() held against the best of all labellings of a text's words."""
+    model = langid.train(documents, F.lit(True))
+    words = {lang: [w for r in documents.where(F.col("lang") == lang).limit(5).collect() for w in r.text.split() if w.isalpha()][:200] for lang in model.langs}
+    rng = np.random.default_rng(4)
+    texts = [" ".join(words[str(rng.choice(model.langs))][int(rng.integers(100))] for _ in range(int(rng.integers(1, 6)))) for _ in range(60)]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    scorer = langid.Scorer(model)
+    for i, text in enumerate(texts):
+        own = text.split()
+        scorer.learn(set(own))
+        scores = scorer.scores[[scorer.rows[w] for w in own]].astype(float)
+        k, n = len(model.langs), len(own)
+        paths = [np.array([code // k**j % k for j in range(n)]) for code in range(k**n)]
+        value = [scores[np.arange(n), p].sum() - langid.SWITCH_PENALTY * (np.diff(p) != 0).sum() for p in paths]
+        best = [p for p, v in zip(paths, value) if v > max(value) - 1e-5]
+        letters = lambda p: [sum(len(w) for w, x in zip(own, p) if x == lang) for lang in range(k)]  # noqa: B023, E731
+        assert got[i].lang_pred in {model.langs[int(np.argmax(letters(p)))] for p in best} and 0 <= got[i].score <= 1
+
+
+def test_word_memories_are_bounded_in_size(monkeypatch):
+    monkeypatch.setattr(langid, "REMEMBERED_CHARS", 1000)
+    monkeypatch.setattr(quality, "REMEMBERED_BYTES", 1000)
+    scorer, features = langid.Scorer(langid.Model(["a", "b"], np.zeros((langid.BUCKETS, 2), np.float32), [{"latin"}, {"latin"}])), quality.Features()
+    for i in range(50):
+        scorer.predict("x" * 400 + str(i))
+        features.of("x" * 400 + str(i), None)
+        assert sum(map(len, scorer.rows)) <= 1500 and sum(map(len, features.known)) <= 1500
+
+
 # Quality classifier
 
 
@@ -218,6 +258,32 @@ def test_linear_time_identity():
     assert abs(m.margin(ids, x, np.array([0]))[0] - plain) < 1e-9
 
 
+def test_scores_against_plain_pairs(spark, documents):
+    """score() held against all pairwise interactions, one by one, of a text's features."""
+    rng = np.random.default_rng(7)
+    model = quality.Machine(0.1, rng.normal(0, 1, quality.FEATURES), rng.normal(0, 0.3, (quality.FEATURES, quality.FACTORS)))
+    some = documents.where("length(text) < 1500").limit(40)
+    got = {r.doc_id: r.score for r in quality.score(some, model).collect()}
+    for r in some.collect():
+        ids, x = quality.Features().of(r.text, r.n_chars)
+        gram = (model.v[ids] @ model.v[ids].T) * np.outer(x, x)
+        plain = model.bias + model.w[ids] @ x + np.triu(gram, 1).sum()
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-max(-40, min(40, plain))))) < 1e-9
+
+
+def test_training_features_are_thinned_to_their_bound(spark, documents):
+    labels = documents.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    seen = []
+    fit = quality.fit
+    try:
+        quality.fit = lambda rows, y, seed=11: seen.append(sum(len(i) for i, _ in rows)) or fit(rows, y, seed)
+        quality.train(documents, labels)
+        quality.train(documents, labels, features_wanted=seen[0] // 4)
+    finally:
+        quality.fit = fit
+    assert 0 < seen[1] < seen[0] // 2
+
+
 def test_quality_edges(spark):
     df = edge_docs(spark)
     labels = spark.createDataFrame([(4, 1), (4, 1), (5, 0), (None, 1), (3, None), (3, 1), (3, 0)], "doc_id long, quality int")
@@ -258,6 +324,31 @@ def test_rules_keep_their_risk(spark):
     assert got and all(r.lost <= rules.RISK for r in got)
 
 
+def test_kept_against_brute_force(spark):
+    """Cutoffs and verdicts held against plain counts and the sum of binomial terms."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    rows = {r.doc_id: (r.lang, dict(zip(rules.NAMES[1:], rules.measures(r.text)))) for r in docs.collect()}
+    failed = lambda m: m["n_words"] < 10 or 100 * m["n_repeat_words"] > 20 * m["n_words"]
+    metric = lambda name, m: eval(rules.RULES[name][0].replace("greatest", "max"), {"max": max}, m)  # noqa: E731, S307
+    strata = {lang for d, (lang, m) in rows.items() if d in good and not failed(m)}
+    tests, limits = len(rules.RULES) * len(strata), {}
+    for lang in strata:
+        own = [m for d, (x, m) in rows.items() if x == lang and d in good and not failed(m)]
+        for name, (_, grid) in rules.RULES.items():
+            for cut in grid:
+                k, n, p = sum(metric(name, m) > cut for m in own), len(own), rules.RISK / len(rules.RULES)
+                if sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > rules.LEVEL / tests:
+                    break
+                limits[lang, name] = cut
+    got = rules.judge(docs, labels).collect()
+    assert len(got) == len(rows) and limits
+    for r in got:
+        lang, m = rows[r.doc_id]
+        broken = [name for name in rules.RULES if metric(name, m) > limits.get((lang, name), math.inf)]
+        assert (r.rejected_by, r.kept) == (",".join(broken), not failed(m) and not broken)
+
+
 def test_rules_edges(spark):
     df = edge_docs(spark).drop("stratum").withColumn("kept", F.lit(3))
     labels = spark.createDataFrame([(4, 1), (None, 1)], "doc_id long, quality int")
@@ -288,6 +379,13 @@ def test_mix_reshares_excess(spark):
     assert by[20] == 60.0 and by[5] == 15.0 and by[500] == 525 - 75
 
 
+def test_equal_keys_give_the_same_rows_again(spark):
+    rows = [(1, "a b c d", "s", i) for i in range(30)] + [(2, "e f", "s", 99)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    one, two = (sorted(map(tuple, mixing.mixed(d).collect()), key=str) for d in (df, df.repartition(5)))
+    assert one == two and len(one) == mixing.mix(df).agg(F.sum("copies")).first()[0]
+
+
 def test_mix_edges(spark):
     df = edge_docs(spark)
     got = mixing.mix(df).collect()
@@ -324,15 +422,61 @@ def test_template_refuses_marks_that_repeat_their_start():
 # Licences
 
 
+def plain_canonical(text):
+    """Canonical form of a whole text by words, without the operator's expressions."""
+    lines = [line for line in (text or "").lower().split("\n") if not re.match(r"[^\w\n(©]*(copyright\b.*(\(c\)|©|[0-9]{4})|copyright by\b|\(c\)|©)", line.replace("_", " "))]
+    words = re.findall(r"[^\W_]+", "\n".join(lines))
+    for old, new in licenses.SPELLINGS:
+        old, new, out = old.split(), new.split(), []
+        while words:
+            if words[: len(old)] == old:
+                out, words = out + new, words[len(old) :]
+            else:
+                out, words = out + words[:1], words[1:]
+        words = out
+    return " ".join(words)
+
+
 def test_licenses(spark):
     text = "MIT Licence\nCopyright (c) 2020 Somebody\n\n" + licenses._MIT.replace("sublicense", "Sub-Licence").replace("\n", "\n\n").upper()
-    rows = [(1, text), (1, text), (2, None), (3, ""), (4, "a\n released UNDER the MIT licence \nb"), (5, "x Released under the MIT License."), (None, "Licensed under CC BY-NC 4.0.")]
+    rows = [(1, text), (1, text), (2, None), (3, ""), (4, "a\n released UNDER the MIT licence \nb"), (5, "x Released under the MIT License."), (None, "Licensed under CC BY-NC 4.0."), (6, "a " * 300_000 + "\nSPDX-License-Identifier: MPL-2.0\n")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"license": F.lit("own"), "row": F.lit(1)})
     got = sorted(((r.doc_id or 0, r.license, r.notices) for r in licenses.scan(df).collect()), key=str)
-    assert got == sorted([(1, "MIT", ""), (1, "MIT", ""), (2, None, ""), (3, None, ""), (4, None, "MIT"), (5, None, ""), (0, "CC-BY-NC-4.0", "CC-BY-NC-4.0")], key=str)
+    assert got == sorted([(1, "MIT", ""), (1, "MIT", ""), (2, None, ""), (3, None, ""), (4, None, "MIT"), (5, None, ""), (0, "CC-BY-NC-4.0", "CC-BY-NC-4.0"), (6, None, "MPL-2.0")], key=str)
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_every_known_licence_is_found_whatever_its_spelling(spark):
+    import hashlib
+
+    rng = np.random.default_rng(0)
+    spoil = lambda t: re.sub(r"[ \n]", lambda m: str(rng.choice([" ", "  ", "\n", " \t", ", "])), re.sub(r"\blicense\b", "licence", t).upper())
+    own = [(i, spoil(t) + "\n(C) 1999 An Author") for i, (_, t) in enumerate(licenses.KNOWN)]
+    got = {r.doc_id: (r.license, r.digest) for r in licenses.scan(spark.createDataFrame(own, "doc_id long, text string")).collect()}
+    for i, (name, text) in enumerate(licenses.KNOWN):
+        assert got[i] == (name, hashlib.sha256(plain_canonical(own[i][1]).encode()).hexdigest()), text
+
+
+def test_notices_are_the_lines_that_are_known(spark):
+    """Every line is held against every known text, also lines about as long as the longest of them."""
+    import hashlib
+
+    known = {plain_canonical(t): name for name, t in licenses.KNOWN}
+    longest = max(licenses.KNOWN, key=lambda k: len(k[1]))
+    flat = longest[1].replace("\n", " ").replace("license", "sub licence")
+    lines = ["MIT License", longest[1].replace("\n", " "), "-,- " * 900 + longest[1].replace("\n", "  ..  "), flat, "Released under CC0 1.0 !", "released under cc0"]
+    rows = [(i, "\n".join(["head", line, "tail", line])) for i, line in enumerate(lines)]
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.notices == ",".join(sorted({known[c] for line in rows[r.doc_id][1].split("\n") if (c := plain_canonical(line)) in known}))
+        assert r.digest == hashlib.sha256(plain_canonical(rows[r.doc_id][1]).encode()).hexdigest()
+
+
+def test_known_licences_as_a_table(spark):
+    known = spark.createDataFrame([("Own-1.0", "You may do as you like.\nNothing is promised."), ("Own-2.0", None), ("Own-3.0", "")], "license string, text string")
+    df = spark.createDataFrame([(1, "you may do as you like, nothing is promised"), (2, ""), (3, "Released under the MIT License.")], "doc_id long, text string")
+    assert {r.doc_id: (r.license, r.notices) for r in licenses.scan(df, known).collect()} == {1: ("Own-1.0", "Own-1.0"), 2: (None, ""), 3: (None, "")}
+
+
 # URLs
 
 
@@ -359,30 +503,60 @@ def test_url_rules_and_edges(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
-def test_url_model_separates_held_out_hosts(spark):
-    judged = urls.with_rule(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
-    held = F.pmod(F.xxhash64("host"), F.lit(5)) == 0
-    ratios = urls.model(judged.where(~held))
-    assert ratios.count() <= urls.SLOTS
-    rows = urls.scored(judged.where(held & F.col("rule_verdict").isNotNull()), ratios).collect()
-    good, bad = ([r.score for r in rows if r.rule_verdict == v] for v in ("allow", "block"))
-    assert np.mean([a > b for a in good for b in bad]) > 0.9
+class PlainModel:
+    """Chances of characters by plain recursion, from the texts of one class and all contexts of its own."""
+
+    def __init__(self, texts):
+        self.seen, self.all = defaultdict(int), defaultdict(int)
+        for t in texts:
+            for i in range(urls.ORDER, len(t)):
+                for n in range(1, urls.ORDER + 2):
+                    self.seen[t[i + 1 - n : i + 1]] += 1
+                    self.all[t[i + 1 - n : i], n] += 1
+
+    def chance(self, gram):
+        n = len(gram)
+        lower = self.chance(gram[1:]) if n > 1 else urls.LEAST
+        return (self.seen.get(gram, 0) + urls.LEAN * lower) / (self.all.get((gram[:-1], n), 0) + urls.LEAN)
+
+
+def plain_scores(judged):
+    """Scores of rows by (host, path), and the verdicts of those without a rule."""
+    import xxhash
+
+    held = lambda r: int(np.int64(np.uint64(xxhash.xxh64_intdigest(r.host.encode(), 42)))) % urls.CALIBRATION == 0
+    chars = lambda r: urls.BEGIN * urls.ORDER + r.host + r.path + urls.END
+    yes, no = (PlainModel([chars(r) for r in judged if r.rule_verdict == v and not held(r)]) for v in ("allow", "block"))
+
+    def score(r):
+        t = chars(r)
+        windows = [t[i - urls.ORDER : i + 1] for i in range(urls.ORDER, len(t))]
+        return float(np.mean([math.log(yes.chance(w) / no.chance(w)) for w in windows]))
+
+    known = [(score(r), r.rule_verdict == "allow") for r in judged if r.rule_verdict and held(r)]
+    good, bad = sum(k for _, k in known), sum(not k for _, k in known)
+    steps = sorted({math.floor(s * urls.STEPS) for s, _ in known}, reverse=True)
+    gain = lambda c: sum(k for s, k in known if math.floor(s * urls.STEPS) >= c) / good - sum(not k for s, k in known if math.floor(s * urls.STEPS) >= c) / bad
+    cut = max(steps, key=lambda c: (round(gain(c), 12), c)) / urls.STEPS if good and bad and max(map(gain, steps)) > 0 else 0.0
+    return {(r.host, r.path): score(r) for r in judged}, cut
 
 
-@pytest.mark.parametrize("most", [1 << 18, 16])
-def test_url_scores_back_off_by_whole_grams(spark, monkeypatch, most):
+@pytest.mark.parametrize("folder, most", [("sf0.001", 16), ("sf0.01", 1 << 18)])
+def test_urls_against_two_plain_models(spark, monkeypatch, folder, most):
     monkeypatch.setattr(urls, "SLOTS", most)
-    judged = urls.with_rule(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
-    held = F.pmod(F.xxhash64("host"), F.lit(5)) == 0
-    ratios = urls.model(judged.where(~held))
-    known = {r.gram: r.ratio for r in ratios.collect()}
-    assert len(known) == ratios.count() > 16
-    rows = urls.scored(judged.where(held).unionByName(judged.where(held)), ratios).collect()
-    assert len(rows) == 2 * judged.where(held).count() > 0
+    pages = spark.read.parquet(f"/root/testdata/{folder}/pages.parquet")
+    pages = pages.unionByName(pages) if most == 16 else pages  # repeated rows
+    scores, cut = plain_scores(urls.with_rule(pages).collect())
+    rows = urls.judge(pages).collect()
+    assert len(rows) == pages.count()
     for r in rows:
-        chars = urls.BEGIN * urls.ORDER + r.host + r.path + urls.END
-        seen = [next((known[g] for n in range(urls.ORDER + 1, 0, -1) if (g := chars[i + 1 - n : i + 1]) in known), 0.0) for i in range(urls.ORDER, len(chars))]
-        assert abs(r.score - np.mean(seen)) < 1e-9
+        if r.rule is None:
+            assert abs(r.score - scores[r.host, r.path]) < 1e-9
+            if abs(r.score - cut) > 1e-9:
+                assert r.verdict == ("allow" if r.score >= cut else "block")
+    judged = urls.with_rule(pages).where(F.pmod(F.xxhash64("host"), F.lit(urls.CALIBRATION)) == 0).where("rule_verdict IS NOT NULL").collect()
+    good, bad = ([scores[r.host, r.path] for r in judged if r.rule_verdict == v] for v in ("allow", "block"))
+    assert folder == "sf0.001" or np.mean([a > b for a in good for b in bad]) > 0.9
 
 
 # Top k

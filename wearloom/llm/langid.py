@@ -33,7 +33,8 @@ SWITCH_PENALTY = 12.0
 SMOOTHING = 0.5
 #: Share of a word's total n-gram evidence that counts: the n-grams of a word overlap.
 WEIGHT = 0.5
-REMEMBERED = 300_000
+#: Bounds of what a task remembers: words, and their characters.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 1 << 23
 #: A script belongs to a language from this share of its letters on.
 SCRIPT_SHARE = 0.01
 #: First and last code point of blocks, by script.
@@ -47,11 +48,12 @@ SCRIPT_RANGES = [
 
 
 def script_of(char: str) -> str:
+    """The script of a letter; where no range holds it, its block of 128 code points."""
     code = ord(char)
     for first, last, name in SCRIPT_RANGES:
         if first <= code <= last:
             return name
-    return "other"
+    return f"block-{code >> 7:x}"
 
 
 def letters_of(word: str) -> str:
@@ -198,13 +200,17 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.rows: dict[str, int] = {}
+        self.chars = 0
+        self.others: dict[frozenset, np.ndarray | None] = {}
         self.scores = np.zeros((1024, len(model.langs)), np.float32)
         self.weights = np.zeros(1024, np.int64)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.rows) > REMEMBERED:
+        if len(self.rows) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.rows.clear()
+            self.chars = 0
         new = [w for w in words if w not in self.rows]
+        self.chars += sum(map(len, new))
         while len(self.rows) + len(new) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.weights = np.concatenate([self.weights, np.zeros_like(self.weights)])
@@ -219,14 +225,20 @@ class Scorer:
                     continue  # no word is as long as these n-grams
                 starts = np.flatnonzero(np.r_[True, at_word[1:] != at_word[:-1]])
                 sums[full[at_word[starts]]] += np.add.reduceat(self.model.table[bucket], starts, axis=0) * WEIGHT
-        for i, p in enumerate(pure):
-            if p and not p.isascii() and (found := {script_of(c) for c in p}):
-                fits = np.array([bool(found & s) for s in self.model.scripts])
-                if fits.any() and not fits.all():
-                    sums[i, ~fits] = sums[i, fits].min() - 50
+        for i in full.tolist():
+            if (out := self.outside(pure[i])) is not None:
+                sums[i, out] = sums[i, ~out].min() - 50
         self.scores[at : at + len(new)] = sums - sums.max(axis=1, keepdims=True, initial=-np.inf) if len(new) else sums
         self.weights[at : at + len(new)] = [len(p) for p in pure]
 
+    def outside(self, pure: str) -> np.ndarray | None:
+        """Which languages were learned in none of a word's scripts; None where that narrows nothing."""
+        found = frozenset(("latin",)) if pure.isascii() else frozenset(map(script_of, pure))
+        if found not in self.others:
+            out = np.array([not found & s for s in self.model.scripts], bool)
+            self.others[found] = out if out.any() and not out.all() else None
+        return self.others[found]
+
     def words(self, text: str | None) -> tuple[list[str], np.ndarray]:
         """The words of a text and their labels; -1 for words without letters."""
         words = text.split() if text else []
@@ -274,8 +286,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every row.
 
     ``und`` with score 0 for null texts, texts without a letter, and a model that has seen
-    no labelled row. Letters of scripts that no language was learned in do not narrow the
-    candidates. Repeated rows stay; columns other than doc_id and text are not read.
+    no labelled row. A word's scripts leave it the languages that were learned in one of them;
+    scripts that no language was learned in do not narrow. Texts of any length are scored as a
+    whole. Equal ways through a text take the label of the lower code points. Repeated rows
+    stay; columns other than doc_id and text are not read.
     """
 
     def rows(scorer, ids, texts):

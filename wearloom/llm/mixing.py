@@ -126,7 +126,9 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix themselves, each as often as it is taken, columns as in docs.
 
     The text is dealt out once, to meet its number of copies. Rows that agree in id, source
-    and text share one number; they are told apart only where there are any.
+    and text share one number; where there are any, one of them, by a hash of all its columns,
+    is emitted for all. Null ids, sources and texts meet like others; texts of any length stay
+    whole. Columns of docs may have any names. An empty table gives no rows.
     """
     keys = ["doc_id", "source", "text_hash"]
     copies = written(placed(docs).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")))
@@ -138,9 +140,8 @@ def mixed(docs: DataFrame) -> DataFrame:
         taken,
         (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.coalesce("_doc_id", F.lit(-(1 << 63)))) & (F.col("text_hash") == F.col("_text_hash")) & F.col("source").eqNullSafe(F.col("_source")),
     )
-    if repeats:  # the first of equal rows is emitted for all of them
-        same = Window.partitionBy(*keys).orderBy(F.lit(0))
-        met = met.withColumn("copies", F.when(F.row_number().over(same) == 1, F.col("copies")).otherwise(0)).where("copies > 0")
+    if repeats:  # least of a group, found before anything of it is dealt out
+        met = met.groupBy(*keys).agg(F.min_by("row", F.xxhash64("row")).alias("row"), F.max("copies").alias("copies"))
     return met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearloom.llm.common import bucket_of, chunks, filtered, hash_share
+from wearloom.llm.common import bucket_of, chunks, filtered, hash_share, written
 
 WORD_BUCKETS = 1 << 15
 BINS = 16
@@ -25,11 +25,12 @@ BINS = 16
 STATISTICS = ("n_words", "mean_word", "upper", "digits", "symbols", "bangs", "bars", "punctuation", "distinct", "per_line", "repeated_lines", "bigrams", "non_ascii", "n_chars")
 FEATURES = WORD_BUCKETS + BINS * len(STATISTICS)
 FACTORS = 6
-#: Bound of the training sample: expected labelled documents.
-TRAIN_DOCS = 6000
+#: Bounds of the training sample, in expectation: labelled documents, and features of them all.
+TRAIN_DOCS, TRAIN_FEATURES = 6000, 4_000_000
 EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.08, 1e-5
 CUTOFF = 0.3
-REMEMBERED = 300_000
+#: Bounds of what a task remembers: words, and their bytes.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 1 << 23
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -38,16 +39,19 @@ class Features:
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
+        self.held = 0
 
     def of(self, text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(feature ids, values): each id once."""
         data = text.encode("utf-8", "surrogatepass") if text else b""
         words = data.lower().split()
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED or self.held > REMEMBERED_BYTES:
             known.clear()
+            self.held = 0
         distinct = set(words)
         for w in distinct.difference(known):
+            self.held += len(w)
             known[w] = zlib.crc32(w.strip(b".,;:!?()\"'")) % WORD_BUCKETS
         ids, counts = np.unique(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), return_counts=True)
         values = np.sqrt(counts)
@@ -136,15 +140,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
     return model
 
 
-FEATURE_SCHEMA = "label int, ids binary, x binary"
+FEATURE_SCHEMA = "label int, ids binary, x binary, n int, part double"
 
 
-def train(docs: DataFrame, labels: DataFrame, chosen: Column | None = None, docs_wanted: int = TRAIN_DOCS) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, chosen: Column | None = None, docs_wanted: int = TRAIN_DOCS, features_wanted: int = TRAIN_FEATURES) -> Machine:
     """Fit on labelled documents where ``chosen`` (over doc_id) holds.
 
     ``docs_wanted`` bounds the sample (in expectation, thinned by a repeatable hash of the
-    id), so the joined labels are small enough to be broadcast and the features to reach the
-    driver. Ids labelled both ways and null labels or ids are left out.
+    id), so the joined labels are small enough to be broadcast. Features are made where the
+    texts lie and written; where all of them are over TRAIN_FEATURES (long texts of many
+    words), documents are thinned again before any reach the driver. Ids labelled both ways
+    and null labels or ids are left out. Repeated documents count as often as they are there.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     if chosen is not None:
@@ -160,11 +166,16 @@ def train(docs: DataFrame, labels: DataFrame, chosen: Column | None = None, docs
         for batch in batches:
             found = [features.of(t, n) for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(2), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())],
-                ["label", "ids", "x"],
-            )
-
-    got = joined.select("text", "n_chars", "label").mapInArrow(run, FEATURE_SCHEMA).collect()
+                [
+                    batch.column(2), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary()),
+                    pa.array([len(i) for i, _ in found], pa.int32()), batch.column(3),
+                ],
+                ["label", "ids", "x", "n", "part"],
+            )
+
+    made = written(joined.select("text", "n_chars", "label", hash_share("doc_id", seed=8).alias("part")).mapInArrow(run, FEATURE_SCHEMA))
+    share = min(1.0, features_wanted / max(1, made.agg(F.sum("n")).first()[0] or 0))
+    got = made.where(F.col("part") < share).select("label", "ids", "x").collect()
     got.sort(key=lambda r: (r.ids, r.x, r.label))  # the fit does not depend on how rows were dealt
     rows = [(np.frombuffer(r.ids, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4").astype(float)) for r in got]
     return fit(rows, np.array([r.label for r in got], float))
@@ -173,9 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, chosen: Column | None = None, docs
 def score(docs: DataFrame, model: Machine) -> DataFrame:
     """(doc_id, score) of every row: higher where label 1 is likelier.
 
-    Null and empty texts are scored by their structure bins. Repeated rows stay. Only
-    doc_id (carried), text and n_chars (metadata; null or missing has a bin of its own)
-    are read.
+    Null and empty texts are scored by their structure bins, texts of any length as a whole.
+    Equal texts have equal scores; repeated rows stay. Only doc_id (carried), text and n_chars
+    (metadata; null or missing has a bin of its own) are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     extra = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")

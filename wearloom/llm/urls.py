@@ -2,13 +2,15 @@
 
 Two Markov models over the characters of host and path are learned, one from URLs that the
 rules accept and one from those that they reject. A character's chance in a context of up
-to ORDER characters is smoothed towards its chance in the next shorter one. A URL's score
-is the mean over its characters of the log ratio of both chances, taken in the longest
-context in which either class has seen the character; the cutoff is calibrated on hosts
-that were kept out of the counts.
-
-Log ratios are kept by the gram itself. They are looked up once for each distinct gram of the
-pages; tables are broadcast only where they are counted to be small, else dealt out.
+to ORDER characters is smoothed towards its chance in the next shorter one: with LEAN
+pseudo-counts, so where a context has not seen a character, LEAN / (all + LEAN) of the
+shorter context's chance is left. A URL's score is the mean over its characters of the log
+ratio of both models' chances; the cutoff is calibrated on hosts that were kept out of the
+counts.
+
+Log ratios are kept by the gram itself, the log ratios of what is left by the context. They
+are looked up once for each distinct gram of the pages; tables are broadcast only where they
+are counted to be small, else dealt out.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ ORDER = 4
 LEAN, LEAST = 2.0, 1 / 256
 #: Most rows of a table that is broadcast.
 SLOTS = 1 << 18
-#: One host in so many calibrates the cutoff.
-CALIBRATION = 5
+#: One host in so many calibrates the cutoff, in steps of a score, up to this size of it.
+CALIBRATION, STEPS, MOST = 5, 1000, 20
 BEGIN, END = "\x02", "\x03"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -69,11 +71,12 @@ def last(gram: Column | str, n: int) -> Column:
 
 
 def model(judged: DataFrame) -> DataFrame:
-    """(n, gram, ratio) of each gram of n characters that a class has seen, from the rows of
-    ``with_rule`` that have a verdict.
+    """(kind, n, gram, ratio) from the rows of ``with_rule`` that have a verdict.
 
-    Counts of the longest grams hold those of all shorter ones; they are summed before they
-    are dealt out.
+    Kind gram: the log ratio of the chances of each gram of n characters that a class has
+    seen. Kind context: the log ratio of what a context of n - 1 characters leaves to the
+    shorter one. Counts of the longest grams hold those of all shorter ones; they are summed
+    before they are dealt out.
     """
     accepted = F.col("rule_verdict") == "allow"
     counted = grams(judged.where("rule_verdict IS NOT NULL")).groupBy("gram").agg(F.count_if(accepted).alias("a"), F.count_if(~accepted).alias("r"))
@@ -90,21 +93,27 @@ def model(judged: DataFrame) -> DataFrame:
             short = below.select(F.col("g").alias("short"), F.col("p_a").alias("low_a"), F.col("p_r").alias("low_r"))
             own = own.join(short, F.substring("g", 2, n - 1) == F.col("short"))
         chance = lambda c: (F.col(c) + LEAN * F.col(f"low_{c}")) / (F.col(f"all_{c}") + LEAN)
-        below = written(own.select("g", chance("a").alias("p_a"), chance("r").alias("p_r")))
-        tables.append(below.select(F.lit(n).alias("n"), F.col("g").alias("gram"), F.log(F.col("p_a") / F.col("p_r")).alias("ratio")))
+        left = F.log((F.col("all_r") + LEAN) / (F.col("all_a") + LEAN))
+        below = written(own.select("g", "context", chance("a").alias("p_a"), chance("r").alias("p_r"), left.alias("left")))
+        tables.append(below.select(F.lit("gram").alias("kind"), F.lit(n).alias("n"), F.col("g").alias("gram"), F.log(F.col("p_a") / F.col("p_r")).alias("ratio")))
+        tables.append(below.groupBy("context").agg(F.first("left").alias("ratio")).select(F.lit("context").alias("kind"), F.lit(n).alias("n"), F.col("context").alias("gram"), "ratio"))
     return written(reduce(DataFrame.unionByName, tables))
 
 
 def looked_up(judged: DataFrame, ratios: DataFrame) -> DataFrame:
-    """(gram, uses, ratio) of each distinct longest gram of the rows: the ratio in the longest
-    context in which a class has seen its last character, 0 if none has."""
-    sizes = {r["n"]: r["count"] for r in ratios.groupBy("n").count().collect()}
+    """(gram, uses, ratio) of each distinct longest gram of the rows: the log ratio of both
+    models' chances of its last character after the others. Grams and contexts that no class
+    has seen leave all to the shorter ones; a character that none has seen even alone counts
+    LEAST in both."""
+    sizes = {(r["kind"], r["n"]): r["count"] for r in ratios.groupBy("kind", "n").count().collect()}
     found = grams(judged.select("host", "path")).groupBy("gram").agg(F.count("*").alias("uses"))
-    for n in range(ORDER + 1, 0, -1):
-        table = ratios.where(F.col("n") == n).select(F.col("gram").alias(f"gram_{n}"), F.col("ratio").alias(f"ratio_{n}"))
-        table = F.broadcast(table) if sizes.get(n, 0) <= SLOTS else table
-        found = found.join(table, last("gram", n) == F.col(f"gram_{n}"), "left").drop(f"gram_{n}")
-    ratio = F.coalesce(*[F.col(f"ratio_{n}") for n in range(ORDER + 1, 0, -1)], F.lit(0.0))
+    ratio = F.lit(0.0)
+    for n in range(1, ORDER + 2):
+        for kind, key in (("gram", last("gram", n)), ("context", F.substring(last("gram", n), 1, n - 1))):
+            table = ratios.where((F.col("n") == n) & (F.col("kind") == kind)).select(F.col("gram").alias("key"), F.col("ratio").alias(f"{kind}_{n}"))
+            table = F.broadcast(table) if sizes.get((kind, n), 0) <= SLOTS else table
+            found = found.join(table, key == F.col("key"), "left").drop("key")
+        ratio = F.coalesce(F.col(f"gram_{n}"), F.coalesce(F.col(f"context_{n}"), F.lit(0.0)) + ratio)
     return written(found.select("gram", "uses", ratio.alias("ratio")))
 
 
@@ -114,7 +123,7 @@ def scored(judged: DataFrame, ratios: DataFrame) -> DataFrame:
     Up to SLOTS distinct grams are broadcast with their ratios: a row's characters stay in
     its task until they are summed up, so one row per URL is dealt out. Of more grams those
     with over one in SLOTS of all uses are broadcast, fewer than SLOTS; the others, none of
-    them frequent, are dealt out by gram. Grams that no class has seen even alone add nothing.
+    them frequent, are dealt out by gram.
     """
     table = looked_up(judged, ratios)
     n, uses = table.agg(F.count("*"), F.sum("uses")).first()
@@ -133,12 +142,13 @@ def scored(judged: DataFrame, ratios: DataFrame) -> DataFrame:
 
 
 def cutoff(calibrating: DataFrame) -> float:
-    """The cutoff with the largest difference of accepted and rejected URLs at or above it.
+    """The cutoff with the largest difference of accepted and rejected URLs at or above it,
+    of equal ones the highest.
 
-    Scores are counted in steps of a twentieth between -10 and 10, so 401 counts at most
-    reach the driver; without both classes it is 0.
+    Scores are counted in steps of 1 / STEPS between -MOST and MOST, so no more counts than
+    there are steps reach the driver; without both classes it is 0.
     """
-    step = F.greatest(F.lit(-200), F.least(F.lit(200), F.floor(F.col("score") * 20))).cast("int")
+    step = F.greatest(F.lit(-MOST * STEPS), F.least(F.lit(MOST * STEPS), F.floor(F.col("score") * STEPS))).cast("int")
     accepted = F.col("rule_verdict") == "allow"
     rows = calibrating.groupBy(step.alias("step")).agg(F.count_if(accepted).alias("a"), F.count_if(~accepted).alias("r")).collect()
     all_a, all_r = sum(r["a"] for r in rows), sum(r["r"] for r in rows)
@@ -149,7 +159,7 @@ def cutoff(calibrating: DataFrame) -> float:
         a, r = a + row["a"], r + row["r"]
         if (gain := a / all_a - r / all_r) > best:
             best, at = gain, row["step"]
-    return at / 20
+    return at / STEPS
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -157,7 +167,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
     Null urls and those without :// have empty host and path. The score is null where a
     rule decides. Without rows of both verdicts to learn from, scores say nothing and what
-    no rule decides is allowed. Repeated rows stay; only page_id and url are read.
+    no rule decides is allowed. Urls of any length are read whole: a row is multiplied by its
+    characters within its task. Equal urls have equal verdicts; repeated rows stay. Only
+    page_id and url are read; an empty table gives no rows.
     """
     judged = with_rule(pages, rules)
     held = F.pmod(F.xxhash64("host"), F.lit(CALIBRATION)) == 0
