@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from wearloom.llm import bpe, chat, langid, licenses, mixing, quality, rules, simhash, topk, urls
 from wearloom.llm.common import read
 
@@ -59,7 +58,6 @@ def queries():
         "op8_license_scan": op8_license_scan,
         "op9_url_filter": op9_url_filter,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
-        "pipeline": corpus_pipeline.run,
     }
 
 

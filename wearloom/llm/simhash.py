@@ -259,13 +259,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component: the row with the component's id, of repeats any one.
+    """One row of each component: the one with the least id, of several the least text hash;
+    of rows that agree in both any one.
 
     Ids may be null or repeated, so a row is found by its id and two hashes of its text:
     rows that agree in these are in one component. Rows with a null id stand for their
-    component only where all its ids are null. The text is dealt out once; only where such
-    rows repeat, once more. What stays grows with the documents, so it is never broadcast: a
-    merge join at every size, whose hot keys Spark can split.
+    component only where all its ids are null. Null and empty texts are one component, texts
+    of any length are whole, and columns may have any names. An empty table gives no rows.
+
+    The text is dealt out once; only where such rows repeat, once more. What stays grows with
+    the documents, so it is never broadcast: a merge join at every size, whose hot keys Spark
+    can split.
     """
     hashes = [F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(1), "text").alias("_i")]
     prints = written(fingerprints(docs, "doc_id", "text", *hashes))
@@ -273,9 +277,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = prints.join(of, "fp").groupBy("component", "doc_id", "_h", "_i").agg(F.count("*").alias("n"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h", "_i", "n"))
     keep = written(rows.groupBy("component").agg(least.alias("row")).select(F.col("row.doc_id").alias("_id"), "row._h", "row._i", "row.n"))
-    keyed = docs.withColumns({"_key": F.col("doc_id").cast("long"), "_hash": hashes[0], "_other": hashes[1]})
-    same = keyed["_key"].eqNullSafe(keep["_id"]) & (keyed["_hash"] == keep["_h"]) & (keyed["_other"] == keep["_i"])
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("key"), hashes[0].alias("hash"), hashes[1].alias("other"))
+    same = keyed["key"].eqNullSafe(keep["_id"]) & (keyed["hash"] == keep["_h"]) & (keyed["other"] == keep["_i"])
     kept = keyed.join(keep.drop("n").hint("merge"), same, "left_semi")
     if not keep.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["_key", "_hash", "_other"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["key", "hash", "other"])
+    return kept.select("row.*")
