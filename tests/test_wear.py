@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wearloom.functions import selection
 from wearloom.functions.columns import us
 from wearloom.operators import align, clean, evaluate, features, joins, linear, outliers, robust, verdict
 from wearloom.params import Params
@@ -26,7 +27,7 @@ def test_cleaning_rules_in_order(spark):
     report = {r.rule: r["rows"] for r in clean.cleaning_report(tagged, "power").collect()}
     assert report == {"kept": 40, "duplicate": 1, "negative": 1, "sentinel": 1, "null": 2}
     empty = tagged.drop("dropped_by").limit(0)
-    assert clean.clean_power(empty).count() == 0 and clean.upper_fence(empty, "power_kw", 50).first()[0] == float("inf")
+    assert clean.clean_power(empty).count() == 0 and clean.upper_fence(empty, "power_kw", 50) == float("inf")
 
 
 def test_jobs_are_repaired(spark):
@@ -115,23 +116,24 @@ def predictions(cutting, model):
     return np.array([r.p for r in cutting.orderBy("ts").select(model.predict().alias("p")).collect()])
 
 
-def test_ridge_and_huber_from_moments(cutting):
+def test_ridge_from_moments(cutting):
     z, y = design(cutting)
     penalty = np.eye(z.shape[1])
     penalty[0, 0] = 0
     ridge = z @ np.linalg.solve(z.T @ z + penalty, z.T @ y)
     assert np.abs(predictions(cutting, linear.fit_ridge(cutting)) - ridge).max() < 1e-8
-    beta = np.linalg.solve(z.T @ z + 1e-4 * penalty, z.T @ y)
-    for _ in range(30):
-        r = y - z @ beta
-        s = max(1.4826 * np.median(np.abs(r - np.median(r))), 1e-9)
-        w = np.minimum(1, 1.35 * s / np.maximum(np.abs(r), 1e-300))
-        new = np.linalg.solve((z * w[:, None]).T @ z + 1e-4 * penalty, (z * w[:, None]).T @ y)
-        done = np.abs(new - beta).max() < 1e-8
-        beta = new
-        if done:
-            break
-    assert np.abs(predictions(cutting, linear.fit_huber(cutting)) - z @ beta).max() < 1e-6
+
+
+def test_huber_is_a_fixed_point_and_ignores_the_tail(cutting):
+    """At the fit, residuals clipped at epsilon scales are orthogonal to the design, but for the small ridge."""
+    z, y = design(cutting)
+    model = linear.fit_huber(cutting)
+    r = y - predictions(cutting, model)
+    sigma = 1.4826 * np.median(np.abs(r - np.median(r)))
+    beta = np.linalg.lstsq(z, y - r, rcond=None)[0]
+    slope = z.T @ np.clip(r, -1.35 * sigma, 1.35 * sigma) - 1e-4 * np.r_[0, beta[1:]]
+    assert np.abs(slope).max() < 1e-4 and 1 < model.rounds < 100
+    assert abs(np.median(r)) < 0.02 and sigma < 0.08  # a tenth of the rows lie 0.6 higher
 
 
 def test_ransac_ignores_the_tail_and_does_not_depend_on_partitions(cutting):
@@ -147,38 +149,92 @@ def test_unseen_levels_fall_back(spark, cutting):
     assert abs(row.select(model.predict()).first()[0] - (model.intercept + model.power + 2 * model.quantity)) < 1e-12
 
 
-def test_scales(spark):
-    rng = np.random.default_rng(4)
-    x = np.concatenate([rng.normal(0, 1, 400), rng.normal(8, 1, 60)])
-    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
-    mad = lambda v, c: 1.4826 * np.median(np.abs(v - c))
-    c, s = np.median(x), mad(x, np.median(x))
-    assert abs(robust.robust_scale(df, "x", "mad") - s) < 1e-9 and abs(robust.robust_scale(df, "x", "std") - x.std()) < 1e-9
-    for _ in range(20):
-        kept = x[np.abs(x - c) <= 3 * s]
-        new = mad(kept, np.median(kept))
-        same, c, s = abs(new - s) <= 1e-12, np.median(kept), new
-        if same:
-            break
-    assert abs(robust.robust_scale(df, "x") - s) < 1e-9
+def test_scales_of_planted_spreads(spark):
+    """Evenly laid normal quantiles with a far group: robust scales see the planted spread, and
+    the trimmed one is a fixed point of its own rule."""
+    from statistics import NormalDist
+
+    core = np.array([NormalDist(5, 2).inv_cdf((i + 0.5) / 4000) for i in range(4000)])
+    x = np.concatenate([core, np.full(600, 60.0)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),), (float("inf"),)], "x double")
+    got = {e: robust.robust_scale(df, "x", e) for e in ("std", "iqr", "mad", "trimmed_mad")}
+    assert abs(got["std"] - x.std()) < 1e-9 and abs(got["iqr"] - np.subtract(*np.quantile(x, [0.75, 0.25])) / 1.349) < 1e-9
+    assert abs(got["mad"] - 1.4826 * np.median(np.abs(x - np.median(x)))) < 1e-9
+    assert abs(got["trimmed_mad"] - 2) < 0.06 < got["mad"] - 2 < got["std"]
+    inside = core[np.abs(core - 5) <= 3 * got["trimmed_mad"]]
+    assert abs(1.4826 * np.median(np.abs(inside - np.median(inside))) - got["trimmed_mad"]) < 1e-6
     assert robust.robust_scale(df.limit(0), "x") == 1e-9
 
 
-def test_mahalanobis_against_numpy(cutting):
-    x = np.array([[r[c] for c in outliers.FEATURES] for r in cutting.collect()])
-    n, p = x.shape
-    h = int(0.75 * n)
-    loc, cov = np.median(x, axis=0), np.cov(x, rowvar=False) + 1e-9 * np.eye(p)
-    for _ in range(15):
-        d = np.einsum("ij,jk,ik->i", x - loc, np.linalg.pinv(cov), x - loc)
-        keep = np.argsort(d)[:h]
-        new, new_cov = x[keep].mean(0), np.cov(x[keep], rowvar=False) + 1e-9 * np.eye(p)
-        same = np.allclose(new, loc, atol=1e-10) and np.allclose(new_cov, cov, atol=1e-10)
-        loc, cov = new, new_cov
-        if same:
-            break
+def test_selected_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(8)
+    shares = [0.0, 0.25, 0.5, 0.999, 1.0]
+    tables = [rng.normal(0, 1, 3000), np.repeat([1.0, 2.0, 7.0], [5, 900, 3]), 10.0 ** rng.integers(-200, 200, 700), np.array([3.0]), rng.integers(0, 2, 501).astype(float)]
+    for x in tables:
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),), (float("-inf"),)], "x double").repartition(3)
+        assert np.allclose(selection.quantiles(df, F.col("x"), shares), np.quantile(x, shares), rtol=1e-12, atol=0)
+    rows = spark.createDataFrame([(float(v),) for v in tables[0]], "x double")
+    for near in ((-5.0, -4.0), (9.0, 9.0), (0.0, 0.01)):  # brackets that do not hold widen
+        assert selection.narrowed(rows, [0.5], 3000, [near])[0] == pytest.approx(np.median(tables[0]), rel=1e-12)
+    assert selection.quantiles(df.limit(0), F.col("x"), shares) is None
+
+
+def test_mahalanobis_is_central_and_stays(spark, cutting):
+    """The fit is the mean and covariance of the three quarters nearest to it, and far rows do not move it."""
+    planted = cutting.limit(60).withColumns({c: F.col(c) + 50 for c in outliers.FEATURES})
     got = outliers.fit_mahalanobis(cutting)
-    assert np.allclose(got["centre"], loc, atol=1e-6) and np.allclose(got["precision"], np.linalg.pinv(cov), rtol=1e-4)
+    x = np.array([[r[c] for c in outliers.FEATURES] for r in cutting.collect()])
+    off = x - np.array(got["centre"])
+    distance = (off @ np.array(got["precision"]) * off).sum(axis=1)
+    central = x[distance <= np.sort(distance)[int(0.75 * len(x)) - 1] * (1 + 1e-9)]
+    assert np.allclose(central.mean(axis=0), got["centre"], atol=1e-6)
+    assert np.allclose(np.linalg.inv(got["precision"]), np.cov(central.T), rtol=1e-3, atol=1e-7)
+    moved = outliers.fit_mahalanobis(cutting.unionByName(planted))
+    assert np.abs(np.array(moved["centre"]) - got["centre"]).max() < 0.2
+
+
+def test_null_measures_count_as_zero(spark, cutting):
+    model = linear.fit_ridge(cutting)
+    zero, null = cutting.withColumn("quantity", F.lit(0.0)), cutting.withColumn("quantity", F.lit(None).cast("double"))
+    total = lambda df: df.agg(F.sum(model.predict())).first()[0]
+    assert total(zero) == pytest.approx(total(null)) and linear.fit_huber(null).power == pytest.approx(linear.fit_huber(zero).power)
+
+
+def test_two_sided_scores_are_sizes(spark, cutting):
+    one, two = (verdict.fit_detector(cutting, Params(primary_model="ridge", one_sided=side)) for side in (True, False))
+    a, b = (verdict.score_readings(cutting, d).orderBy("ts").collect() for d in (one, two))
+    assert min(r.primary_score for r in a) < 0 and all(y.primary_score == abs(x.primary_score) and y.residual_sigma == x.primary_score for x, y in zip(a, b))
+    assert all(r.primary_anomalous == (r.primary_score >= 6) for r in b)
+
+
+def test_running_totals_and_ranks_over_ranges(spark):
+    from wearloom.functions.ranking import running_total
+
+    rng = np.random.default_rng(9)
+    rows = [(i, float(v) if v < 9 else None, int(n)) for i, (v, n) in enumerate(zip(rng.integers(0, 12, 300), rng.integers(0, 5, 300)))]
+    df = spark.createDataFrame(rows, "i long, v double, n long").repartition(7)
+    got = {r.i: r.t for r in running_total(df, [F.col("v").desc_nulls_last(), F.col("i")], F.col("n"), "t").collect()}
+    total = 0
+    for i, _, n in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0])):
+        total += n
+        assert got[i] == total
+
+
+def test_gaps_across_buckets(spark):
+    from wearloom.operators import profile
+
+    times = {"A": [0, 4, 9, 50_000, 50_003, 200_000], "B": [7], "C": [1, 100_000]}
+    df = spark.createDataFrame([(at(t), m) for m, ts in times.items() for t in ts], "ts timestamp, machine_id string")
+    got = sorted((r.machine_id, r.gap_s) for r in profile._gaps(df).collect())
+    assert got == sorted((m, float(b - a)) for m, ts in times.items() for a, b in zip(ts, ts[1:]))
+    assert profile.sampling_gaps(df, "x").first().gaps == 3
+
+
+def test_any_window_counts_overlaps_once(spark):
+    jobs = spark.createDataFrame([job(1, "M", 0, 100_000), job(2, "M", 50, 60), job(3, "N", 10, 20)], JOB)
+    readings = spark.createDataFrame([(at(t), m) for m in "MNO" for t in (0, 10, 20, 21, 55, 100_000, 100_001)], "ts timestamp, machine_id string")
+    got = sorted((r.machine_id, int((r.ts - T0).total_seconds())) for r in joins.in_any_window(readings, jobs).collect())
+    assert got == [("M", t) for t in (0, 10, 20, 21, 55, 100_000)] + [("N", 10), ("N", 20)]
 
 
 def test_contaminations_share_a_fit(cutting):
@@ -193,14 +249,14 @@ def test_idle_baseline_falls_back(spark):
     labelled = spark.createDataFrame(rows, "machine_id string, power_kw double, job_id string")
     idle = lambda df, p: {r.machine_id: r.idle_baseline_kw for r in features.idle_baseline(df, p).collect()}
     assert idle(labelled, Params()) == {"A": 0.3, "B": 0.3}
-    assert idle(labelled, Params(idle_fallback_to_global=False)) == {"A": 0.3, "B": 0.0}
+    assert idle(labelled, Params(fallback_to_global=False)) == {"A": 0.3, "B": 0.0}
     assert idle(labelled, Params(idle_method="percentile", idle_percentile=50.0)) == pytest.approx({"A": 0.35, "B": 0.35})
     assert idle(labelled.where("job_id IS NOT NULL"), Params()) == {"A": 0.0, "B": 0.0} and idle(labelled.limit(0), Params()) == {}
 
 
 @pytest.mark.parametrize("secondary", ["mahalanobis", "isolation_forest", "lof"])
 def test_detector_scores_and_saves(spark, cutting, tmp_path, secondary):
-    p = Params(primary_model="ridge", secondary_model=secondary, forest_trees=20, lof_reference_size=200)
+    p = Params(primary_model="ridge", secondary_model=secondary, if_n_estimators=20, lof_reference_size=200)
     detector = verdict.fit_detector(cutting, p)
     files.save_detector(spark, detector, str(tmp_path / "detector"))
     again = files.load_detector(spark, str(tmp_path / "detector"))

@@ -2,33 +2,69 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wearloom.functions.tables import kept
 from wearloom.operators import align, clean, evaluate, features, joins, verdict
 from wearloom.params import Params
+from wearloom.sources import files
 
 
 @dataclass
 class Prepared:
-    """Cleaned, aligned and labelled tables."""
+    """Cleaned, aligned and labelled tables, the clock offset found, and what cleaning saw."""
 
     power: DataFrame
     vibration: DataFrame
     jobs: DataFrame
     idle: DataFrame
+    offset_s: int = 0
+    reports: list[DataFrame] = field(default_factory=list)
 
 
-def prepare(power: DataFrame, vibration: DataFrame, log: DataFrame, p: Params = Params(), offset_s: int | None = None) -> Prepared:
-    """Clean, find the clock offset unless given, label both sensors with their jobs, idle baseline."""
-    jobs = clean.clean_jobs(log, p)
-    power = clean.clean_power(power, p)
-    offset_s = align.estimate_offset(power, jobs, p) if offset_s is None else offset_s
+def prepare(power: DataFrame, vibration: DataFrame, log: DataFrame, p: Params = Params()) -> Prepared:
+    """Clean, find the clock offset from the data, label both sensors with their jobs, idle baseline.
+
+    The reports are frames that nothing runs until they are asked for.
+    """
+    bounds: dict[str, float] = {}
+    tagged_jobs, tagged_power, tagged_vibration = clean.tag_jobs(log, p), clean.tag_power(power, p, bounds), clean.tag_vibration(vibration, p, bounds)
+    left = lambda df: df.where("dropped_by IS NULL").drop("dropped_by")
+    jobs, power = kept(left(tagged_jobs)), left(tagged_power)
+    offset_s = align.estimate_offset(power, jobs, p) if p.align_clocks else 0
     jobs = align.apply_offset(jobs, offset_s)
     label = lambda df: joins.assign_jobs(df, jobs, p.job_edge_trim_s, start="start_time_aligned", end="end_time_aligned")
     power = label(power)
-    return Prepared(power, label(clean.clean_vibration(vibration, p)), jobs, features.idle_baseline(power, p))
+    reports = [clean.cleaning_report(df, name) for df, name in ((tagged_power, "power"), (tagged_vibration, "vibration"), (tagged_jobs, "production_log"))]
+    details = [
+        clean.cleaning_details(tagged_power, "power", bounds, {"power_kw": "sentinel"}),
+        clean.cleaning_details(tagged_vibration, "vibration", bounds, {"vibration_rms_g": "rms_sentinel", "vibration_peak_g": "peak_sentinel"}),
+    ]
+    return Prepared(power, label(left(tagged_vibration)), jobs, features.idle_baseline(power, p), offset_s, reports + details)
+
+
+def diagnostics(prepared: Prepared) -> DataFrame:
+    """(stage, metric, value): rows kept and dropped, fences and sentinels, offset, idle baselines, jobs without data."""
+    report = lambda df: df.select(F.lit("cleaning").alias("stage"), F.concat_ws(".", "source", "rule").alias("metric"), F.col("rows").cast("string").alias("value"))
+
+    def detail(df: DataFrame) -> DataFrame:
+        facts = F.array(*[F.struct(F.concat_ws(".", "source", "column", F.lit(c)).alias("metric"), F.col(c).cast("string").alias("value")) for c in ("bound", "sentinels", "sentinel_values", "machines")])
+        return df.select(F.lit("cleaning").alias("stage"), F.explode(facts).alias("x")).select("stage", "x.*")
+
+    out = [report(df) if "rule" in df.columns else detail(df) for df in prepared.reports]
+    spark = prepared.power.sparkSession
+    out.append(spark.createDataFrame([("alignment", "offset_s", str(prepared.offset_s))], "stage string, metric string, value string"))
+    out.append(prepared.idle.select(F.lit("idle").alias("stage"), F.col("machine_id").alias("metric"), F.col("idle_baseline_kw").cast("string").alias("value")))
+    quality = features.quality_summary(per_job_metrics(prepared))
+    facts = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in quality.columns])
+    out.append(quality.select(F.lit("quality").alias("stage"), F.explode(facts).alias("x")).select("stage", "x.*"))
+    first, *rest = out
+    for df in rest:
+        first = first.unionByName(df)
+    return first
 
 
 def per_job_metrics(prepared: Prepared) -> DataFrame:
@@ -36,9 +72,9 @@ def per_job_metrics(prepared: Prepared) -> DataFrame:
 
 
 def cutting(prepared: Prepared, p: Params = Params()) -> DataFrame:
-    """Readings with features, above the floor; fits read them again and again, so they are cached."""
+    """Readings with features, above the floor; fits read them again and again, so they are written once."""
     paired = joins.pair_with_power(prepared.vibration, prepared.power.drop("job_id"), p.pair_tolerance_s)
-    return features.cutting_readings(features.reading_features(paired, prepared.jobs, prepared.idle), p).cache()
+    return kept(features.cutting_readings(features.reading_features(paired, prepared.jobs, prepared.idle), p))
 
 
 def rank_wear(prepared: Prepared, p: Params = Params(), detector: dict | None = None) -> tuple[DataFrame, DataFrame, dict]:
@@ -51,12 +87,13 @@ def rank_wear(prepared: Prepared, p: Params = Params(), detector: dict | None =
 
 
 def run(spark: SparkSession, paths: dict[str, str], out: str, p: Params = Params()) -> dict:
-    """From exports to the summary, the audit table and the detector; returns the detector."""
-    from wearloom.sources import files
-
+    """From exports to the summary, the audit table, the diagnostics and the detector, which is
+    returned. In mode "load" the detector saved under paths["detector"] scores, and nothing is fitted."""
     raw = files.load_power(spark, paths["power"]), files.load_vibration(spark, paths["vibration"]), files.load_production_log(spark, paths["production_log"])
-    summary, scored, detector = rank_wear(prepare(*raw, p), p)
+    prepared = prepare(*raw, p)
+    summary, scored, detector = rank_wear(prepared, p, files.load_detector(spark, paths["detector"]) if p.mode == "load" else None)
     files.write_job_summary(summary, f"{out}/job_summary")
     files.write_scored(scored, f"{out}/scored_readings")
+    files.write_diagnostics(diagnostics(prepared), f"{out}/diagnostics")
     files.save_detector(spark, detector, f"{out}/detector")
     return detector

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wearloom.functions.columns import quantiles, us
+from wearloom.functions import selection
+from wearloom.functions.columns import us
+from wearloom.functions.tables import kept
 from wearloom.params import Params
 
 SWAPPED = "start and end swapped in the log; exchanged"
 IMPUTED = "quantity missing in the log; median of the part type used"
 
 
-def upper_fence(df: DataFrame, column: str, multiple: float, accuracy: int | None = None) -> DataFrame:
-    """One row: Q3 + multiple * max(IQR, 1e-9) over finite values; infinity without any."""
-    finite = F.when(~F.isnan(column) & (F.abs(column) < float("inf")), F.col(column))
-    q = df.agg(quantiles(finite, [0.25, 0.75], accuracy).alias("q"))
-    bound = F.col("q")[1] + multiple * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(1e-9))
-    return q.select(F.coalesce(bound, F.lit(float("inf"))).alias("bound"))
+def upper_fence(df: DataFrame, column: str, multiple: float) -> float:
+    """Q3 + multiple * max(IQR, 1e-9) over finite values; infinity without any."""
+    q = selection.quantiles(df, F.col(column), [0.25, 0.75])
+    return q[1] + multiple * max(q[1] - q[0], 1e-9) if q else float("inf")
 
 
 def _tagged(df: DataFrame, rule: str, broken: Column) -> DataFrame:
@@ -32,37 +33,49 @@ def _first_of_each(df: DataFrame, keys: list[str], order: list, rule: str) -> Da
     return _tagged(df.withColumn("place", F.row_number().over(window)), rule, F.col("place") > 1).drop("place")
 
 
-def _kept_at_hand(df: DataFrame) -> DataFrame:
-    """Readings are dealt out once to find duplicates; the fences and the result read what is
-    kept in memory or on disk. What a lost executor held is computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def _above_fence(df: DataFrame, column: str, rule: str, p: Params, bounds: dict | None, most: float = float("inf")) -> DataFrame:
+    bound = min(most, upper_fence(df.where("dropped_by IS NULL"), column, p.robust_outlier_iqr_multiple))
+    if bounds is not None:
+        bounds[column] = bound
+    return _tagged(df, rule, F.col(column) > bound)
 
 
-def _above_fence(df: DataFrame, column: str, rule: str, multiple: float, accuracy: int | None, most: float | None = None) -> DataFrame:
-    bound = upper_fence(df.where("dropped_by IS NULL"), column, multiple, accuracy).first()["bound"]
-    bound = bound if most is None else min(bound, most)
-    return _tagged(df, rule, F.col(column) > bound)
+def _deduplicated(df: DataFrame, values: list[str], p: Params) -> DataFrame:
+    """Readings are dealt out once to find re-sent ones; the fences and the result read what is written then."""
+    return kept(_first_of_each(df, ["machine_id", "ts"], values, "duplicate") if p.drop_duplicate_readings else df)
 
 
-def tag_power(power: DataFrame, p: Params = Params()) -> DataFrame:
+def tag_power(power: DataFrame, p: Params = Params(), bounds: dict | None = None) -> DataFrame:
     """power with dropped_by: the first rule that drops a row, else null. The fence is that
-    of the rows which the rules before it leave."""
+    of the rows which the rules before it leave; ``bounds`` is told it by column."""
     df = power.withColumn("dropped_by", F.lit(None).cast("string"))
     df = _tagged(df, "null", F.col("ts").isNull() | F.col("machine_id").isNull() | F.col("power_kw").isNull())
-    df = _kept_at_hand(_first_of_each(df, ["machine_id", "ts"], ["power_kw"], "duplicate"))
-    df = _tagged(df, "negative", F.col("power_kw") < p.power_min_kw)
-    return _above_fence(df, "power_kw", "sentinel", p.outlier_iqr_multiple, p.quantile_accuracy, p.power_abs_max_kw)
+    df = _tagged(_deduplicated(df, ["power_kw"], p), "negative", F.col("power_kw") < p.power_min_kw)
+    return _above_fence(df, "power_kw", "sentinel", p, bounds, p.power_abs_max_kw)
 
 
-def tag_vibration(vibration: DataFrame, p: Params = Params()) -> DataFrame:
+def tag_vibration(vibration: DataFrame, p: Params = Params(), bounds: dict | None = None) -> DataFrame:
     df = vibration.withColumn("dropped_by", F.lit(None).cast("string"))
     rms, peak = F.col("vibration_rms_g"), F.col("vibration_peak_g")
     df = _tagged(df, "null", F.col("ts").isNull() | F.col("machine_id").isNull() | rms.isNull() | peak.isNull())
-    df = _kept_at_hand(_first_of_each(df, ["machine_id", "ts"], ["vibration_rms_g", "vibration_peak_g"], "duplicate"))
-    df = _tagged(df, "negative", (rms < 0) | (peak < 0))
+    df = _tagged(_deduplicated(df, ["vibration_rms_g", "vibration_peak_g"], p), "negative", (rms < 0) | (peak < 0))
     df = _tagged(df, "peak_below_rms", peak < rms)
-    df = _above_fence(df, "vibration_rms_g", "rms_sentinel", p.outlier_iqr_multiple, p.quantile_accuracy)
-    return _above_fence(df, "vibration_peak_g", "peak_sentinel", p.outlier_iqr_multiple, p.quantile_accuracy)
+    df = _above_fence(df, "vibration_rms_g", "rms_sentinel", p, bounds)
+    return _above_fence(df, "vibration_peak_g", "peak_sentinel", p, bounds)
+
+
+def cleaning_details(tagged: DataFrame, source: str, bounds: dict, rules: dict[str, str]) -> DataFrame:
+    """(source, column, bound, sentinels, sentinel_values, machines) per fenced column: its
+    fence, how many and which values lay above it, and the machines that are left."""
+    out = []
+    for column, rule in rules.items():
+        hit = F.col("dropped_by") == rule
+        listed = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+        out.append(
+            tagged.agg(F.count_if(hit).alias("sentinels"), listed(F.when(hit, F.col(column).cast("string"))).alias("sentinel_values"), listed(F.when(F.col("dropped_by").isNull(), F.col("machine_id"))).alias("machines"))
+            .select(F.lit(source).alias("source"), F.lit(column).alias("column"), F.lit(float(bounds[column])).alias("bound"), "sentinels", "sentinel_values", "machines")
+        )
+    return reduce(DataFrame.unionByName, out)
 
 
 def clean_power(power: DataFrame, p: Params = Params()) -> DataFrame:
@@ -94,7 +107,7 @@ def tag_jobs(log: DataFrame, p: Params = Params()) -> DataFrame:
     if p.impute_missing_quantity:
         left = df.where("dropped_by IS NULL")
         by_part = left.groupBy(F.col("part_type").alias("of_part")).agg(F.median("quantity").alias("part_median"))
-        overall = left.agg(F.median("quantity")).first()[0]
+        overall = selection.median(left, F.col("quantity"))
         df = df.join(by_part, F.col("part_type").eqNullSafe(F.col("of_part")), "left")
         df = df.withColumn("quantity", F.coalesce("quantity", "part_median", F.lit(overall).cast("double"))).drop("of_part", "part_median")
     else:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wearloom.functions import selection
+from wearloom.functions.ranking import running_total
+from wearloom.functions.tables import kept
 from wearloom.operators.linear import fit_primary
 from wearloom.operators.outliers import fit_secondaries, with_outlier_score
 from wearloom.operators.robust import robust_scale
@@ -14,6 +18,7 @@ from wearloom.operators.verdict import job_flags, verdicts
 from wearloom.params import Params
 
 ELEVATED = 1.10
+SCALES = ("std", "iqr", "mad", "trimmed_mad")
 
 
 def job_ratios(cutting: DataFrame) -> DataFrame:
@@ -27,29 +32,47 @@ def reference_split(ratios: DataFrame, cut: float = ELEVATED, rounds: int = 10)
     """ratios with baseline, rel and reference_worn.
 
     The baseline of a part is the median ratio of its jobs below ``cut`` times the baseline
-    before, again and again; a part with no such job keeps the one it has. Each round is a
-    window over the same parts, so the table of jobs is dealt out once for all rounds.
+    before, again and again until none moves; a part with no such job keeps the one it has.
+    A round is one aggregate by part over the table of jobs; a number per part is all that
+    reaches the driver.
     """
-    part = Window.partitionBy("part_type")
-    out = ratios.withColumn("baseline", F.median("ratio").over(part))
+    jobs, spark = kept(ratios), ratios.sparkSession
+    low = lambda base: F.when(F.col("ratio") / base < cut, F.col("ratio"))
+    medians = lambda df, x: {r["part_type"]: r["m"] for r in df.groupBy("part_type").agg(F.median(x).alias("m")).collect()}
+    found = medians(jobs, F.col("ratio"))
+
+    def with_baseline() -> DataFrame:
+        table = spark.createDataFrame([(k, v) for k, v in found.items()], "of_part string, baseline double")
+        return jobs.join(F.broadcast(table), F.col("part_type").eqNullSafe(F.col("of_part"))).drop("of_part")  # a row per part
+
     for _ in range(rounds):
-        low = F.when(F.col("ratio") / F.col("baseline") < cut, F.col("ratio"))
-        out = out.withColumn("baseline", F.coalesce(F.median(low).over(part), F.col("baseline")))
-    return out.withColumn("rel", F.col("ratio") / F.col("baseline")).withColumn("reference_worn", F.col("rel") >= cut)
+        now = medians(with_baseline(), low(F.col("baseline")))
+        moved = {k: v if (v := now.get(k)) is not None else old for k, old in found.items()}
+        if moved == found:
+            break
+        found = moved
+    return with_baseline().withColumn("rel", F.col("ratio") / F.col("baseline")).withColumn("reference_worn", F.col("rel") >= cut)
 
 
 def split_summary(split: DataFrame) -> DataFrame:
-    """One row: counts, range and spread of both groups, the gap between them, and whether they are apart."""
+    """One row: counts, range and spread of the ratio and of the crest factor of both groups, the
+    gap between them, and whether their crest factors are apart."""
     worn = F.col("reference_worn")
     side = lambda c, is_worn: F.when(worn if is_worn else ~worn, F.col(c))
-    out = split.agg(
-        F.count_if(~worn).alias("healthy"), F.count_if(worn).alias("elevated"), F.min(side("rel", False)).alias("healthy_low"), F.max(side("rel", False)).alias("healthy_high"),
-        F.stddev(side("rel", False)).alias("healthy_std"), F.min(side("rel", True)).alias("elevated_low"), F.max(side("rel", True)).alias("elevated_high"),
-        F.max(side("crest", False)).alias("healthy_crest_high"), F.min(side("crest", True)).alias("elevated_crest_low"),
-    )
+    found = [
+        f(side(c, is_worn)).alias(f"{name}_{prefix}{end}")
+        for name, is_worn in (("healthy", False), ("elevated", True)) for c, prefix in (("rel", ""), ("crest", "crest_")) for f, end in ((F.min, "low"), (F.max, "high"), (F.stddev, "std"))
+    ]
+    out = split.agg(F.count_if(~worn).alias("healthy"), F.count_if(worn).alias("elevated"), *found)
     return out.withColumns({"gap": F.col("elevated_low") - F.col("healthy_high"), "crest_apart": F.col("elevated_crest_low") > F.col("healthy_crest_high")})
 
 
+def elevated_jobs(split: DataFrame) -> DataFrame:
+    """The elevated jobs with their place: highest ratio first, then by machine and job."""
+    order = [F.desc("rel"), F.col("machine_id"), F.col("job_id")]
+    return running_total(split.where("reference_worn"), order, F.lit(1), "place").orderBy(*order)
+
+
 def elevated_crosstab(split: DataFrame) -> DataFrame:
     """(machine_id, part_type, elevated, total) with totals by cube; nulls stand for all."""
     return split.cube("machine_id", "part_type").agg(F.count_if("reference_worn").alias("elevated"), F.count("*").alias("total"))
@@ -76,10 +99,9 @@ def readings_of(cutting: DataFrame, split: DataFrame, worn: bool) -> DataFrame:
 
 
 def average_rank(df: DataFrame, score: str) -> DataFrame:
-    """(score, n, avg_rank) per distinct score: counts first, then a running sum over them."""
-    counts = df.groupBy(score).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select(score, "n", (before + (F.col("n") + 1) / 2).alias("avg_rank"))
+    """(score, n, avg_rank) per distinct score: counts first, then a running sum over ranges of them."""
+    counts = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n"))
+    return running_total(counts, [F.col(score)], F.col("n"), "upto").select(score, "n", (F.col("upto") - (F.col("n") - 1) / 2).alias("avg_rank"))
 
 
 def rank_auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
@@ -115,39 +137,56 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranks.agg(F.corr("_a", "_b").alias("spearman"))
 
 
-def primary_scores(cutting: DataFrame, names: list[str], scales: list[str], p: Params = Params()) -> DataFrame:
-    """cutting with z_<primary>_<scale> columns: one wide table for all comparisons."""
-    from dataclasses import replace
-
-    target, out = "log_vibration_rms_g", cutting
+def primary_scores(cutting: DataFrame, names: list[str], scales: list[str], p: Params = Params()) -> tuple[DataFrame, dict[str, tuple[float, dict[str, float]]]]:
+    """cutting with r_<primary> (residual) and z_<primary>_<scale> columns, and per primary the
+    centre and the widths: one wide table for all comparisons."""
+    target, out, found = p.target, cutting, {}
     for name in names:
         model = fit_primary(cutting, replace(p, primary_model=name), target)
-        rows = cutting.withColumn("off", F.col(target) - model.predict())
-        centre = rows.agg(F.median("off")).first()[0]
-        for scale in scales:
-            width = robust_scale(rows.select((F.col("off") - centre).alias("off")), "off", scale, p.scale_trim_sigma)
-            out = out.withColumn(f"z_{name}_{scale}", (F.col(target) - model.predict() - centre) / width)
-    return out
+        rows = cutting.select((F.col(target) - model.predict()).alias("off"))
+        centre = selection.median(rows, F.col("off"))
+        widths = {scale: robust_scale(rows.select((F.col("off") - centre).alias("off")), "off", scale, p.scale_trim_sigma) for scale in scales}
+        found[name] = centre, widths
+        out = out.withColumn(f"r_{name}", F.col(target) - model.predict())
+        out = out.withColumns({f"z_{name}_{scale}": (F.col(f"r_{name}") - centre) / width for scale, width in widths.items()})
+    return out, found
+
+
+def _hits_flag(n: str, hits: str, p: Params) -> Column:
+    n, hits = F.col(n), F.col(hits)
+    return (n >= p.min_readings_for_verdict) & (hits >= p.min_anomalous_readings) & (hits / n >= p.min_anomalous_fraction)
+
+
+def _judged_hits(wide: DataFrame, split: DataFrame, combos: list[tuple[dict, Column]], p: Params) -> DataFrame:
+    """Confusion per combination of (names, hit): hits of all are counted side by side per job,
+    and only the table of jobs is stacked."""
+    jobs = wide.groupBy("job_id").agg(F.count("*").alias("n"), *[F.count_if(hit).alias(f"h{i}") for i, (_, hit) in enumerate(combos)])
+    rows = [F.struct(*[F.lit(v).alias(k) for k, v in names.items()], F.col(f"h{i}").alias("hits")) for i, (names, _) in enumerate(combos)]
+    long = jobs.select("job_id", "n", F.explode(F.array(*rows)).alias("x")).select("job_id", "n", "x.*").withColumn("flagged", _hits_flag("n", "hits", p))
+    return confusion(long.join(split.select("job_id", "reference_worn"), "job_id"), list(combos[0][0]))
+
+
+def scale_job_verdicts(scored: DataFrame, split: DataFrame, residual: str = "residual_g", p: Params = Params()) -> DataFrame:
+    """(scale, n_flagged, tp, fp, fn, f1): the scale estimators judged by jobs, on the residual alone."""
+    centre = selection.median(scored, F.col(residual))
+    widths = {e: robust_scale(scored, residual, e, p.scale_trim_sigma) for e in SCALES}
+    return _judged_hits(scored, split, [({"scale": e}, (F.col(residual) - centre) / w >= p.sigma_multiple) for e, w in widths.items()], p)
 
 
 def model_grid(cutting: DataFrame, split: DataFrame, primaries: list[str], scales: list[str], secondaries: list[tuple[str, float]], p: Params = Params()) -> DataFrame:
     """(primary, scale, secondary, contamination, n_flagged, tp, fp, fn, f1): every combination
-    judged per job. One wide table of scores; only flags are stacked, and summed once."""
-    wide = primary_scores(cutting, primaries, scales, p)
+    judged per job, from one wide table of scores."""
+    wide, _ = primary_scores(cutting, primaries, scales, p)
     models = fit_secondaries(cutting, secondaries, p)
     for name in dict.fromkeys(name for name, _ in secondaries):
         own = {share: model for (other, share), model in models.items() if other == name}
         wide = with_outlier_score(wide, next(iter(own.values())))
         wide = wide.withColumns({f"s_{name}_{round(100 * share)}": F.col("secondary_score") >= model["threshold"] for share, model in own.items()}).drop("secondary_score")
     combos = [
-        F.struct(F.lit(a).alias("primary"), F.lit(b).alias("scale"), F.lit(c).alias("secondary"), F.lit(d).alias("contamination"), ((F.col(f"z_{a}_{b}") >= p.sigma_multiple) & F.col(f"s_{c}_{round(100 * d)}")).alias("hit"))
+        ({"primary": a, "scale": b, "secondary": c, "contamination": d}, (F.col(f"z_{a}_{b}") >= p.sigma_multiple) & F.col(f"s_{c}_{round(100 * d)}"))
         for a in primaries for b in scales for c, d in secondaries
     ]
-    long = wide.select("job_id", F.explode(F.array(*combos)).alias("x")).select("job_id", "x.*")
-    keys = ["primary", "scale", "secondary", "contamination"]
-    jobs = long.groupBy(*keys, "job_id").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
-    flagged = (F.col("n") >= p.min_readings_for_verdict) & (F.col("hits") >= p.min_anomalous_readings) & (F.col("hits") / F.col("n") >= p.min_anomalous_fraction)
-    return confusion(jobs.withColumn("flagged", flagged).join(split.select("job_id", "reference_worn"), "job_id"), keys)
+    return _judged_hits(wide, split, combos, p)
 
 
 def grid_effects(grid: DataFrame) -> DataFrame:
@@ -181,16 +220,55 @@ def secondary_comparison(cutting: DataFrame, split: DataFrame, secondaries: list
 
 
 def primary_comparison(cutting: DataFrame, split: DataFrame, primaries: list[str], p: Params = Params()) -> DataFrame:
-    """(primary, scale, false positive rate on healthy readings, recall on worn, medians and tails)."""
-    scales = ["std", "iqr", "mad", "trimmed_mad"]
-    wide = primary_scores(cutting, primaries, scales, p).join(split.select("job_id", "reference_worn"), "job_id")
-    pairs = [F.struct(F.lit(a).alias("primary"), F.lit(b).alias("scale"), F.col(f"z_{a}_{b}").alias("z")) for a in primaries for b in scales]
-    long = wide.select("reference_worn", F.explode(F.array(*pairs)).alias("x")).select("reference_worn", "x.*")
-    worn, over = F.col("reference_worn"), F.col("z") >= p.sigma_multiple
-    return long.groupBy("primary", "scale").agg(
-        (F.count_if(over & ~worn) / F.greatest(F.count_if(~worn), F.lit(1))).alias("healthy_fp_rate"), (F.count_if(over & worn) / F.greatest(F.count_if(worn), F.lit(1))).alias("worn_recall"),
-        F.median(F.when(worn, F.col("z"))).alias("worn_median_z"), F.percentile(F.when(~worn, F.col("z")), F.lit(0.999)).alias("healthy_p999_z"), F.count_if(over).alias("n_over"),
-    )
+    """(primary, scale, healthy_fp_rate, worn_recall, worn_median_z, healthy_p999_z, n_over,
+    worst_worn_job, best_healthy_job, job_margin, job_ratio).
+
+    Rates come of one pass over the wide table; a quantile of z is that of the residual, moved
+    and scaled, so it is selected once per primary. Jobs are compared by their wear scores.
+    """
+    wide, found = primary_scores(cutting, primaries, SCALES, p)
+    wide = wide.join(split.select("job_id", "reference_worn"), "job_id")
+    worn, out = F.col("reference_worn"), []
+    pairs = [(a, b) for a in primaries for b in SCALES]
+    over = {pair: F.col("z_{}_{}".format(*pair)) >= p.sigma_multiple for pair in pairs}
+    sums = wide.agg(F.count_if(worn).alias("worn"), F.count_if(~worn).alias("healthy"), *[e for (a, b), o in over.items() for e in (F.count_if(o & worn).alias(f"w_{a}_{b}"), F.count_if(o & ~worn).alias(f"h_{a}_{b}"))]).first()
+    scores = job_scores(wide, primaries, p).join(split.select("job_id", "reference_worn"), "job_id")
+    ends = scores.agg(*[e for a in primaries for e in (F.min(F.when(worn, F.col(a))).alias(f"w_{a}"), F.max(F.when(~worn, F.col(a))).alias(f"h_{a}"))]).first()
+    for a in primaries:
+        centre, widths = found[a]
+        middle = selection.quantiles(wide.where(worn), F.col(f"r_{a}"), [0.5])
+        tail = selection.quantiles(wide.where(~worn), F.col(f"r_{a}"), [0.999])
+        for b, width in widths.items():
+            z = lambda v: None if v is None else (v - centre) / width  # noqa: B023, E731
+            low, high = z(ends[f"w_{a}"]), z(ends[f"h_{a}"])
+            both = low is not None and high is not None
+            out.append((
+                a, b, sums[f"h_{a}_{b}"] / max(sums["healthy"], 1), sums[f"w_{a}_{b}"] / max(sums["worn"], 1), z(middle[0] if middle else None), z(tail[0] if tail else None),
+                sums[f"h_{a}_{b}"] + sums[f"w_{a}_{b}"], low, high, low - high if both else None, low / high if both and high > 0 else None,
+            ))
+    names = ("healthy_fp_rate", "worn_recall", "worn_median_z", "healthy_p999_z")
+    more = ("worst_worn_job", "best_healthy_job", "job_margin", "job_ratio")
+    return cutting.sparkSession.createDataFrame(out, ", ".join(["primary string", "scale string", *[f"{c} double" for c in names], "n_over long", *[f"{c} double" for c in more]]))
+
+
+def job_scores(wide: DataFrame, primaries: list[str], p: Params = Params()) -> DataFrame:
+    """(job_id, one column per primary): the score quantile of each job's residuals, of jobs with
+    enough readings. Residuals rank jobs as their scores do."""
+    q = [F.percentile(f"r_{a}", F.lit(p.score_quantile)).alias(a) for a in primaries]
+    return wide.groupBy("job_id").agg(F.count("*").alias("n"), *q).where(F.col("n") >= p.min_readings_for_verdict).drop("n")
+
+
+def rank_agreement(cutting: DataFrame, primaries: list[str], p: Params = Params(), top: int = 15) -> tuple[DataFrame, DataFrame]:
+    """How alike the primaries rank jobs: (one, other, spearman) per pair of primaries, and the
+    ``top`` jobs of the first with their rank under each."""
+    wide, _ = primary_scores(cutting, primaries, [], p)
+    scores = kept(job_scores(wide, primaries, p))
+    pairs = [(a, b) for i, a in enumerate(primaries) for b in primaries[i + 1 :]]
+    agreement = reduce(DataFrame.unionByName, [spearman(scores, a, b).select(F.lit(a).alias("one"), F.lit(b).alias("other"), "spearman") for a, b in pairs])
+    ranked = scores
+    for a in primaries:
+        ranked = running_total(ranked, [F.col(a).desc_nulls_last(), F.col("job_id")], F.lit(1), f"rank_{a}")
+    return agreement, ranked.where(F.col(f"rank_{primaries[0]}") <= top).select("job_id", *[f"rank_{a}" for a in primaries])
 
 
 def target_form_comparison(cutting: DataFrame, p: Params = Params()) -> DataFrame:
@@ -200,10 +278,10 @@ def target_form_comparison(cutting: DataFrame, p: Params = Params()) -> DataFram
     spark, out = cutting.sparkSession, []
     for form, target in (("additive", "vibration_rms_g"), ("log", "log_vibration_rms_g")):
         rows = cutting.withColumn("off", F.col(target) - fit_ridge(cutting, target, p.ridge_alpha).predict())
-        mad = robust_scale(rows, "off", "mad")
-        centre, sd, y_sd = rows.agg(F.median("off"), F.stddev_pop("off"), F.stddev_pop(target)).first()
+        mad, centre = robust_scale(rows, "off", "mad"), selection.median(rows, F.col("off"))
+        sd, y_sd = rows.agg(F.stddev_pop("off"), F.stddev_pop(target)).first()
         over = rows.agg(F.avg(((F.col("off") - centre) / mad >= p.sigma_multiple).cast("double"))).first()[0]
-        edges = rows.agg(F.percentile("net_power_kw", F.array(*[F.lit(i / 6) for i in range(1, 6)]))).first()[0]
+        edges = selection.quantiles(rows, F.col("net_power_kw"), [i / 6 for i in range(1, 6)])
         bucket = sum(((F.col("net_power_kw") > e).cast("int") for e in edges), F.lit(0))
         low, high = rows.groupBy(bucket.alias("b")).agg(F.stddev("off").alias("s")).agg(F.min("s"), F.max("s")).first()
         out.append((form, 1 - (sd / y_sd) ** 2, mad, sd / mad, high / low if low else None, over))

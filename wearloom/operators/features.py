@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wearloom.functions import selection
 from wearloom.functions.columns import quantiles
 from wearloom.params import Params
 
@@ -18,9 +19,10 @@ def idle_baseline(labelled_power: DataFrame, p: Params = Params()) -> DataFrame:
         low, every = F.min(idle), F.min("own").over(Window.partitionBy())
     else:
         low = quantiles(idle, [p.idle_percentile / 100], p.quantile_accuracy)[0]
-        every = F.lit(labelled_power.agg(low).first()[0] if p.idle_fallback_to_global else None).cast("double")
+        found = selection.quantiles(labelled_power, idle, [p.idle_percentile / 100]) if p.fallback_to_global else None
+        every = F.lit(found[0] if found else None).cast("double")
     own = labelled_power.groupBy("machine_id").agg(low.alias("own"), share.alias("idle_share"))
-    fallback = [every] if p.idle_fallback_to_global else []
+    fallback = [every] if p.fallback_to_global else []
     return own.select("machine_id", F.coalesce("own", *fallback, F.lit(0.0)).alias("idle_baseline_kw"), "idle_share")
 
 
@@ -45,6 +47,7 @@ def cutting_readings(readings: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def job_power(labelled: DataFrame) -> DataFrame:
+    """Power statistics of each job; counts and sums are partly made before rows are dealt out."""
     return labelled.where("job_id IS NOT NULL").groupBy("job_id").agg(
         F.avg("power_kw").alias("mean_power_raw_kw"), F.median("power_kw").alias("median_power_raw_kw"), F.max("power_kw").alias("max_power_raw_kw"), F.count("*").alias("power_readings")
     )

@@ -40,6 +40,16 @@ def merged_windows(jobs: DataFrame, start: str = "start_time", end: str = "end_t
     return rows.groupBy("machine_id", "island").agg(F.min("a").alias("win_from"), F.max("b").alias("win_to")).drop("island")
 
 
+def in_any_window(readings: DataFrame, jobs: DataFrame, start: str = "start_time", end: str = "end_time", bucket_us: int = 24 * HOUR) -> DataFrame:
+    """The readings that lie in any job of their machine, ends included, each once however many
+    jobs overlap there. Merged windows are repeated for the buckets that they touch."""
+    bucket = lambda c: F.floor(c / bucket_us).cast("long")
+    windows = merged_windows(jobs, start, end).withColumn("bucket", F.explode(F.sequence(bucket(F.col("win_from")), bucket(F.col("win_to")))))
+    windows = windows.select(*[F.col(c).alias(f"_{c}") for c in windows.columns])
+    inside = us(readings["ts"]).between(F.col("_win_from"), F.col("_win_to"))
+    return readings.join(windows, (readings["machine_id"] == F.col("_machine_id")) & (bucket(us(readings["ts"])) == F.col("_bucket")) & inside, "left_semi")
+
+
 def pair_with_power(vibration: DataFrame, power: DataFrame, tolerance_s: float = 1.0, bucket_us: int = 6 * HOUR) -> DataFrame:
     """vibration with power_kw and pair_gap_us of the machine's power reading nearest in time,
     within the tolerance (its end included), the earlier one of two equally near; else null.

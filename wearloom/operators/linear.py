@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearloom.functions.columns import quantiles
+from wearloom.functions import selection
+from wearloom.functions.tables import kept
 from wearloom.operators.robust import NORMAL
 from wearloom.params import Params
 
@@ -24,6 +25,12 @@ from wearloom.params import Params
 KEYS = ("machine_id", "ts")
 
 
+def measure(column: str) -> Column:
+    """A measure of the design; what is null or not finite counts as 0."""
+    x = F.col(column).cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x).otherwise(F.lit(0.0))
+
+
 @dataclass
 class Linear:
     """Intercept, slopes on log power and quantity, and per level (shift, slope on log power)."""
@@ -53,12 +60,14 @@ class Linear:
 
         shift = lookup(self.machines, "machine_id", 0) + lookup(self.parts, "part_type", 0)
         slope = lookup(self.machines, "machine_id", 1) + lookup(self.parts, "part_type", 1)
-        return F.lit(self.intercept) + shift + (F.lit(self.power) + slope) * F.col("log_net_power_kw") + F.lit(self.quantity) * F.col("quantity")
+        return F.lit(self.intercept) + shift + (F.lit(self.power) + slope) * measure("log_net_power_kw") + F.lit(self.quantity) * measure("quantity")
 
 
 def cell_moments(cutting: DataFrame, target: str = "log_vibration_rms_g", weight: Column | None = None) -> DataFrame:
-    """(machine_id, part_type, n, sx, sq, sxx, sxq, sqq, sy, sxy, sqy, syy): weighted sums per cell."""
-    w, x, q, y = (F.lit(1.0) if weight is None else weight), F.col("log_net_power_kw"), F.col("quantity"), F.col(target)
+    """(machine_id, part_type, n, sx, sq, sxx, sxq, sqq, sy, sxy, sqy, syy): weighted sums per
+    cell, over the rows that have a target."""
+    w, x, q, y = (F.lit(1.0) if weight is None else weight), measure("log_net_power_kw"), measure("quantity"), F.col(target)
+    cutting = cutting.where(y.isNotNull())
     sums = {"n": w, "sx": w * x, "sq": w * q, "sxx": w * x * x, "sxq": w * x * q, "sqq": w * q * q, "sy": w * y, "sxy": w * x * y, "sqy": w * q * y, "syy": w * y * y}
     return cutting.groupBy("machine_id", "part_type").agg(*[F.sum(e).alias(k) for k, e in sums.items()])
 
@@ -124,28 +133,78 @@ def fit_ridge(cutting: DataFrame, target: str = "log_vibration_rms_g", alpha: fl
     return system.model(system.solve(gram, right, t, alpha), t)
 
 
-def fit_huber(cutting: DataFrame, target: str = "log_vibration_rms_g", epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 30, tol: float = 1e-8, accuracy: int | None = None) -> Linear:
-    """Iteratively reweighted least squares with a MAD scale. Cache ``cutting``: each round
-    makes three aggregates over it; coefficients are literals, so lineage does not grow."""
+SUMS = ("n", "sx", "sq", "sxx", "sxq", "sqq", "sy", "sxy", "sqy", "syy")
+
+
+def _terms(x: np.ndarray, q: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones_like(x), x, q, x * x, x * q, q * q, y, x * y, q * y, y * y])
+
+
+def _numbered(cutting: DataFrame, target: str, cells: list, *more: Column) -> DataFrame:
+    """(cell, x, q, y, ...): rows as numbers, cell being the place of their machine and part in ``cells``."""
+    names = [(i, c["machine_id"], c["part_type"]) for i, c in enumerate(cells)]
+    table = F.broadcast(cutting.sparkSession.createDataFrame(names, "cell int, of_machine string, of_part string"))  # a row per machine and part
+    met = cutting.where(F.col(target).isNotNull()).join(table, F.col("machine_id").eqNullSafe(F.col("of_machine")) & F.col("part_type").eqNullSafe(F.col("of_part")))
+    return met.select("cell", measure("log_net_power_kw").alias("x"), measure("quantity").alias("q"), F.col(target).cast("double").alias("y"), *more)
+
+
+def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+
+
+def fit_huber(cutting: DataFrame, target: str = "log_vibration_rms_g", epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 100, tol: float = 1e-8) -> Linear:
+    """Iteratively reweighted least squares with a MAD scale, until coefficients stay.
+
+    Rows are written once as numbers. A round selects the median residual and the MAD by
+    histograms around those of the round before, and makes the weighted sums per cell; all
+    of it in the tasks that read the rows, so counts and sums are all that is dealt out.
+    """
     cells = cell_moments(cutting, target).collect()
     system = _System(cells)
     gram, right = system.sums(cells)
     t = system.scaler(gram)
     beta = system.solve(gram, right, t, alpha)
+    n, syy = (sum(c[k] for c in cells) for k in ("n", "syy"))
+    if not n:
+        return system.model(beta, t, 0)
+    rows, n = kept(_numbered(cutting, target, cells)), int(n)
+    raw = t.T @ beta
+    spread = float(np.sqrt(max(syy - 2 * raw @ right + raw @ gram @ raw, 0.0) / n)) + 1e-9
+    around, width = (-spread, spread), (0.0, 3 * spread)
     done = 0
     for done in range(1, rounds + 1):
-        r = F.col(target) - system.model(beta, t).predict()
-        centre = cutting.agg(quantiles(r, [0.5], accuracy)[0]).first()[0]
-        sigma = max(NORMAL * cutting.agg(quantiles(F.abs(r - centre), [0.5], accuracy)[0]).first()[0], 1e-9)
-        weight = F.least(F.lit(1.0), F.lit(epsilon * sigma) / F.greatest(F.abs(r), F.lit(1e-300)))
-        now = system.solve(*system.sums(cell_moments(cutting, target, weight).collect()), t, alpha)
+        model = system.model(beta, t)
+        lines = np.array([model.cell(c["machine_id"], c["part_type"]) for c in cells])
+
+        def residuals(batch: pa.RecordBatch, lines: np.ndarray = lines) -> np.ndarray:
+            cell, x, q, y = _arrays(batch)
+            own = lines[cell]
+            return y - own[:, 0] - own[:, 1] * x - own[:, 2] * q
+
+        centre = selection.narrowed(rows, [0.5], n, [around], residuals)[0]
+        mad = selection.narrowed(rows, [0.5], n, [width], lambda batch, r=residuals, c=centre: np.abs(r(batch) - c))[0]
+        sigma = max(NORMAL * mad, 1e-9)
+        around, width = (centre - 0.1 * sigma, centre + 0.1 * sigma), (0.8 * mad, 1.2 * mad)
+
+        def weighted(batches: Iterator[pa.RecordBatch], residuals=residuals, limit: float = epsilon * sigma) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(SUMS), len(lines)))
+            for batch in batches:
+                cell, x, q, y = _arrays(batch)
+                w = np.minimum(1.0, limit / np.maximum(np.abs(residuals(batch)), 1e-300))
+                for i, term in enumerate(_terms(x, q, y).T):
+                    total[i] += np.bincount(cell, w * term, len(lines))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lines))), *map(pa.array, total)], ["cell", *SUMS])
+
+        sums = rows.mapInArrow(weighted, "cell long, " + ", ".join(f"{k} double" for k in SUMS)).groupBy("cell").agg(*[F.sum(k).alias(k) for k in SUMS]).orderBy("cell").collect()
+        named = [r.asDict() | {k: cells[r["cell"]][k] for k in ("machine_id", "part_type")} for r in sums]
+        now = system.solve(*system.sums(named), t, alpha)
         moved, beta = np.abs(now - beta).max(), now
         if moved < tol:
             break
     return system.model(beta, t, done)
 
 
-def fit_ransac(cutting: DataFrame, target: str = "log_vibration_rms_g", trials: int = 120, share: float = 0.15, seed: int = 7, accuracy: int | None = None) -> Linear:
+def fit_ransac(cutting: DataFrame, target: str = "log_vibration_rms_g", trials: int = 120, share: float = 0.15, seed: int = 7) -> Linear:
     """Consensus fit in three passes: moments of all trials' samples, inlier counts of all
     trials' fits (one matrix product per batch), and the moments of the best one's inliers.
     A row is in a trial's sample by a hash of its keys."""
@@ -155,47 +214,42 @@ def fit_ransac(cutting: DataFrame, target: str = "log_vibration_rms_g", trials:
     t = system.scaler(gram)
     start = system.model(system.solve(gram, right, t, 1e-6), t)
     r = F.col(target) - start.predict()
-    centre = cutting.agg(quantiles(r, [0.5], accuracy)[0]).first()[0]
-    threshold = max(2 * NORMAL * cutting.agg(quantiles(F.abs(r - centre), [0.5], accuracy)[0]).first()[0], 1e-9)
+    centre = selection.median(cutting, r)
+    if centre is None:
+        return start
+    threshold = max(2 * NORMAL * selection.median(cutting, F.abs(r - centre)), 1e-9)
     n = sum(c["n"] for c in cells)
     share = min(1.0, max(share * n, system.size + 1, 50) / n)
-    order = {(c["machine_id"], c["part_type"]): i for i, c in enumerate(cells)}
-    keyed = cutting.select("machine_id", "part_type", "log_net_power_kw", "quantity", F.col(target).alias("y"), F.xxhash64(F.lit(seed), *KEYS).alias("h"))
-
-    def arrays(batch: pa.RecordBatch):
-        cell = np.array([order[k] for k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.int64)
-        return cell, *(batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5))
+    keyed = kept(_numbered(cutting, target, cells, F.xxhash64(F.lit(seed), *KEYS).alias("h")))
 
     def chosen(h: np.ndarray, trial: int) -> np.ndarray:
         mixed = (h.view(np.uint64) ^ np.uint64(trial * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
         return (mixed >> np.uint64(11)).astype(np.float64) / 2**53 < share
 
-    names = ["n", "sx", "sq", "sxx", "sxq", "sqq", "sy", "sxy", "sqy", "syy"]
-
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((trials, len(order), len(names)))
+        total = np.zeros((trials, len(cells), len(SUMS)))
         for batch in batches:
-            cell, x, q, y, h = arrays(batch)
-            terms = np.column_stack([np.ones_like(x), x, q, x * x, x * q, q * q, y, x * y, q * y, y * y])
+            cell, x, q, y, h = _arrays(batch)
+            terms = _terms(x, q, y)
             for trial in range(trials):
                 took = chosen(h, trial)
                 np.add.at(total[trial], cell[took], terms[took])
         index = np.indices(total.shape[:2]).reshape(2, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(index[0]), pa.array(index[1]), *(pa.array(total[..., i].ravel()) for i in range(len(names)))], ["trial", "cell", *names])
+        yield pa.RecordBatch.from_arrays([pa.array(index[0]), pa.array(index[1]), *(pa.array(total[..., i].ravel()) for i in range(len(SUMS)))], ["trial", "cell", *SUMS])
 
-    sums = keyed.mapInArrow(sampled, "trial long, cell long, " + ", ".join(f"{c} double" for c in names))
-    rows = sums.groupBy("trial", "cell").agg(*[F.sum(c).alias(c) for c in names]).orderBy("trial", "cell").collect()
+    sums = keyed.mapInArrow(sampled, "trial long, cell long, " + ", ".join(f"{c} double" for c in SUMS))
+    rows = sums.groupBy("trial", "cell").agg(*[F.sum(c).alias(c) for c in SUMS]).orderBy("trial", "cell").collect()
     by_trial: dict[int, list] = {}
     for row in rows:
         c = cells[row["cell"]]
         by_trial.setdefault(row["trial"], []).append(row.asDict() | {"machine_id": c["machine_id"], "part_type": c["part_type"]})
     fits = [start, *[system.model(system.solve(*system.sums(by_trial[k]), t, 1e-6), t) for k in sorted(by_trial)]]
-    lines = np.array([[f.cell(m, p) for m, p in order] for f in fits])  # fits x cells x 3
+    lines = np.array([[f.cell(c["machine_id"], c["part_type"]) for c in cells] for f in fits])  # fits x cells x 3
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = np.zeros(len(lines), np.int64)
         for batch in batches:
-            cell, x, q, y, _ = arrays(batch)
+            cell, x, q, y, _ = _arrays(batch)
             own = lines[:, cell]
             hits += (np.abs(y - own[..., 0] - own[..., 1] * x - own[..., 2] * q) <= threshold).sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lines))), pa.array(hits)], ["trial", "hits"])
@@ -212,17 +266,17 @@ def fit_primary(cutting: DataFrame, p: Params = Params(), target: str = "log_vib
     if p.primary_model == "ridge":
         return fit_ridge(cutting, target, p.ridge_alpha)
     if p.primary_model == "huber":
-        return fit_huber(cutting, target, p.huber_epsilon, rounds=p.huber_rounds, accuracy=p.quantile_accuracy)
-    return fit_ransac(cutting, target, p.ransac_trials, seed=p.random_state, accuracy=p.quantile_accuracy)
+        return fit_huber(cutting, target, p.huber_epsilon, rounds=p.huber_rounds)
+    return fit_ransac(cutting, target, p.ransac_trials, seed=p.random_state)
 
 
 def cross_validated_r2(cutting: DataFrame, target: str = "log_vibration_rms_g", folds: int = 5, alpha: float = 1.0) -> DataFrame:
     """(fold, r2) of ridge: moments per fold in one pass, each fit from the total less its fold."""
     fold = F.pmod(F.xxhash64(*KEYS), F.lit(folds))
-    tagged = cutting.withColumn("fold", fold)
+    tagged = cutting.where(F.col(target).isNotNull()).withColumn("fold", fold)
     grouped = {}
     sums = {"n": F.lit(1.0)}
-    x, q, y = F.col("log_net_power_kw"), F.col("quantity"), F.col(target)
+    x, q, y = measure("log_net_power_kw"), measure("quantity"), F.col(target)
     sums |= {"sx": x, "sq": q, "sxx": x * x, "sxq": x * q, "sqq": q * q, "sy": y, "sxy": x * y, "sqy": q * y, "syy": y * y}
     for r in tagged.groupBy("fold", "machine_id", "part_type").agg(*[F.sum(e).alias(k) for k, e in sums.items()]).collect():
         grouped.setdefault(r["fold"], []).append(r.asDict())

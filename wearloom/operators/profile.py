@@ -4,21 +4,35 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wearloom.functions import selection
 from wearloom.functions.columns import quantiles, us
+from wearloom.functions.tables import kept
+from wearloom.operators.joins import HOUR
 
 SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
 def table_profile(df: DataFrame, name: str, approximate: bool = False) -> DataFrame:
-    """(source, column, rows, nulls, distinct_values): one row per column, from one aggregate.
-    Distinct counts are exact, or sketches at scale."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    row = df.agg(F.count("*").alias("rows"), *[e for c in df.columns for e in (F.count_if(F.col(c).isNull()).alias(f"n_{c}"), distinct(c).alias(f"d_{c}"))])
-    columns = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("nulls"), F.col(f"d_{c}").alias("distinct_values")) for c in df.columns])
-    return row.select("rows", F.explode(columns).alias("x")).select(F.lit(name).alias("source"), "x.column", "rows", "x.nulls", "x.distinct_values")
+    """(source, column, type, rows, nulls, null_share, distinct_values): one row per column.
+
+    Values are counted once per (column, value) before they are dealt out, so a column of few
+    values costs few rows; or distinct counts are sketches, from one aggregate.
+    """
+    kinds = dict(df.dtypes)
+    if approximate:
+        row = df.agg(F.count("*").alias("rows"), *[e for c in df.columns for e in (F.count_if(F.col(c).isNull()).alias(f"n_{c}"), F.approx_count_distinct(c).alias(f"d_{c}"))])
+        parts = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("nulls"), F.col(f"d_{c}").alias("distinct_values")) for c in df.columns])
+        out = row.select("rows", F.explode(parts).alias("x")).select("x.column", "rows", "x.nulls", "x.distinct_values")
+    else:
+        one = lambda c: df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n")).agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct_values")
+        ).select(F.lit(c).alias("column"), "rows", "nulls", "distinct_values")
+        out = reduce(DataFrame.unionByName, map(one, df.columns))
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("column")]
+    return out.select(F.lit(name).alias("source"), "column", kind.alias("type"), "rows", "nulls", (F.col("nulls") / F.greatest("rows", F.lit(1))).alias("null_share"), "distinct_values")
 
 
 def duplicate_rows(df: DataFrame, name: str) -> DataFrame:
@@ -40,19 +54,30 @@ def numeric_summary(df: DataFrame, column: str, by: list[str] = (), accuracy: in
 
 
 def defect_counts(power: DataFrame, vibration: DataFrame, log: DataFrame, implausible: float = 100.0) -> DataFrame:
-    """(defect, n): duplicates, negative, implausible and impossible rows, reversed jobs, missing quantities."""
-    again = lambda df, keys: df.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n"))
-    count = lambda df, condition: df.agg(F.count_if(condition).alias("n"))
-    parts = {
-        "power duplicates": again(power, ["machine_id", "ts"]),
-        "vibration duplicates": again(vibration, ["machine_id", "ts"]),
-        "negative power": count(power, F.col("power_kw") < 0),
-        "implausible power": count(power, F.col("power_kw") > implausible),
-        "peak below rms": count(vibration, F.col("vibration_peak_g") < F.col("vibration_rms_g")),
-        "reversed jobs": count(log, F.col("end_time") < F.col("start_time")),
-        "missing quantity": count(log, F.col("quantity").isNull()),
-    }
-    return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("defect"), F.col("n").cast("long").alias("n")) for k, df in parts.items()])
+    """(defect, n): duplicates, negative, implausible and impossible rows, reversed jobs, missing
+    quantities. Each table is read once: by its key, with all its counts summed per key."""
+
+    def counts(df: DataFrame, keys: list[str], again: str, defects: dict[str, Column]) -> DataFrame:
+        names = {name: f"c{i}" for i, name in enumerate(defects)}
+        by_key = df.groupBy(*keys).agg((F.count("*") - 1).alias("again"), *[F.count_if(e).alias(names[d]) for d, e in defects.items()])
+        row = by_key.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("again", *names.values())])
+        return row.select(F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), F.col(c).alias("n")) for d, c in ((again, "again"), *names.items())])).alias("x")).select("x.*")
+
+    rms, peak = F.col("vibration_rms_g"), F.col("vibration_peak_g")
+    parts = [
+        counts(power, ["machine_id", "ts"], "power duplicates", {"negative power": F.col("power_kw") < 0, "implausible power": F.col("power_kw") > implausible}),
+        counts(vibration, ["machine_id", "ts"], "vibration duplicates", {"negative vibration": (rms < 0) | (peak < 0), "peak below rms": peak < rms}),
+        counts(log, ["job_id"], "duplicate job ids", {"reversed jobs": F.col("end_time") < F.col("start_time"), "missing quantity": F.col("quantity").isNull()}),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def defect_values(power: DataFrame, implausible: float = 100.0) -> DataFrame:
+    """One row: the negative and the implausible power values that occur, and the 99.9th percentile of the rest."""
+    kw = F.col("power_kw")
+    listed = lambda hit: F.array_join(F.sort_array(F.collect_set(F.when(hit, kw.cast("string")))), ",")
+    top = selection.quantiles(power.where(kw.between(0, implausible)), kw, [0.999])
+    return power.agg(listed(kw < 0).alias("negative_power"), listed(kw > implausible).alias("implausible_power")).withColumn("p999_power_kw", F.lit(top[0] if top else None).cast("double"))
 
 
 def time_coverage(sources: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
@@ -67,15 +92,25 @@ def machine_sets(sources: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("machine_id").agg(F.count("*").alias("in_sources")).withColumn("in_all", F.col("in_sources") == len(sources))
 
 
-def _gaps(df: DataFrame) -> DataFrame:
-    own = Window.partitionBy("machine_id").orderBy("at")
-    return df.select("machine_id", us("ts").alias("at")).withColumn("gap_s", (F.col("at") - F.lag("at").over(own)) / 1e6)
+def _gaps(df: DataFrame, bucket_us: int = 6 * HOUR) -> DataFrame:
+    """(machine_id, at, gap_s): the time from a machine's reading before. Gaps inside a bucket of
+    time come of its readings, those between buckets of the buckets' first and last readings, a
+    row per bucket; no machine's history has to be in one task."""
+    rows = df.select("machine_id", us("ts").alias("at")).withColumn("bucket", F.floor(F.col("at") / bucket_us).cast("long"))
+    own = Window.partitionBy("machine_id", "bucket").orderBy("at")
+    within = rows.withColumn("before", F.lag("at").over(own))
+    ends = rows.groupBy("machine_id", "bucket").agg(F.min("at").alias("at"), F.max("at").alias("last"))
+    between = ends.withColumn("before", F.lag("last").over(Window.partitionBy("machine_id").orderBy("bucket")))
+    found = within.select("machine_id", "at", "before").unionByName(between.select("machine_id", "at", "before")).where("before IS NOT NULL")
+    return found.select("machine_id", "at", ((F.col("at") - F.col("before")) / 1e6).alias("gap_s"))
 
 
 def sampling_gaps(df: DataFrame, name: str, longest_s: float = 5.0) -> DataFrame:
     """(source, median_s, gaps, longest_gap_s): interval between a machine's neighbouring readings."""
-    gaps = F.count_if(F.col("gap_s") > longest_s)
-    return _gaps(df).agg(F.median("gap_s").alias("median_s"), gaps.alias("gaps"), F.max("gap_s").alias("longest_gap_s")).select(F.lit(name).alias("source"), "*")
+    gaps = kept(_gaps(df))
+    middle = selection.median(gaps, F.col("gap_s"))
+    out = gaps.agg(F.count_if(F.col("gap_s") > longest_s).alias("gaps"), F.max("gap_s").alias("longest_gap_s"))
+    return out.select(F.lit(name).alias("source"), F.lit(middle).cast("double").alias("median_s"), "gaps", "longest_gap_s")
 
 
 def dropouts(df: DataFrame, longest_s: float = 5.0) -> DataFrame:
@@ -97,7 +132,7 @@ def power_vibration_correlation(cutting: DataFrame) -> DataFrame:
 def sextile_spread(cutting: DataFrame, buckets: int = 6) -> DataFrame:
     """Median power and spread of vibration per power bucket; buckets are right-closed between
     quantiles, equal edges count once. The edges are a handful of scalars."""
-    edges = cutting.agg(quantiles(F.col("net_power_kw"), [i / buckets for i in range(buckets + 1)])).first()[0] or []
+    edges = selection.quantiles(cutting, F.col("net_power_kw"), [i / buckets for i in range(buckets + 1)]) or []
     inner = sorted(set(edges))[1:-1]
     bucket = sum(((F.col("net_power_kw") > e).cast("int") for e in inner), F.lit(0))
     return cutting.groupBy(bucket.alias("bucket")).agg(
@@ -105,6 +140,12 @@ def sextile_spread(cutting: DataFrame, buckets: int = 6) -> DataFrame:
     )
 
 
+def sextile_ratios(spread: DataFrame) -> DataFrame:
+    """One row: greatest over least spread of the buckets of ``sextile_spread``, plain and logarithmic."""
+    ratio = lambda c: F.max(c) / F.nullif(F.min(c), F.lit(0.0))
+    return spread.agg(ratio("sd_rms").alias("rms_ratio"), ratio("sd_log_rms").alias("log_ratio"))
+
+
 def part_pivot(cutting: DataFrame) -> DataFrame:
     """(machine_id, part_type, median_ratio): the long form of the machine by part table."""
     return cutting.groupBy("machine_id", "part_type").agg(F.median("vib_per_kw").alias("median_ratio"))

@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wearloom.functions.columns import quantiles
+from wearloom.functions import selection
 
 NORMAL = 1.4826
 
 
-def _median(df: DataFrame, column: Column, accuracy: int | None) -> float | None:
-    return df.agg(quantiles(column, [0.5], accuracy)[0]).first()[0]
+def _spread(rows: DataFrame, centre: float) -> float:
+    return max(NORMAL * selection.median(rows, F.abs(F.col("x") - centre)), 1e-9)
 
 
-def robust_scale(df: DataFrame, column: str, estimator: str = "trimmed_mad", trim_sigma: float = 3.0, rounds: int = 20, accuracy: int | None = None) -> float:
+def robust_scale(df: DataFrame, column: str, estimator: str = "trimmed_mad", trim_sigma: float = 3.0, rounds: int = 20) -> float:
     """Spread of a column by standard deviation (population), IQR, MAD or trimmed MAD; at least 1e-9.
 
     Trimmed MAD takes the MAD again of what lies within ``trim_sigma`` scales of the centre,
-    until it stays or too few rows are left. Each round is two aggregates; only scalars
-    reach the driver. Nulls and non-finite values do not count.
+    until it stays or too few rows are left. Medians are selected by histograms, so only
+    counts reach the driver. Nulls and non-finite values do not count.
     """
     x = F.col(column)
     rows = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(x.alias("x"))
@@ -27,23 +27,24 @@ def robust_scale(df: DataFrame, column: str, estimator: str = "trimmed_mad", tri
     if estimator == "std":
         return max(rows.agg(F.stddev_pop(x)).first()[0] or 0.0, 1e-9)
     if estimator == "iqr":
-        q = rows.agg(quantiles(x, [0.25, 0.75], accuracy)).first()[0]
+        q = selection.quantiles(rows, x, [0.25, 0.75])
         return max((q[1] - q[0]) / 1.349, 1e-9) if q else 1e-9
-    centre = _median(rows, x, accuracy)
+    centre = selection.median(rows, x)
     if centre is None:
         return 1e-9
-    scale = max(NORMAL * _median(rows, F.abs(x - centre), accuracy), 1e-9)
+    scale = _spread(rows, centre)
     if estimator == "mad":
         return scale
-    n = rows.count()
+    n = least = None
     for _ in range(rounds):
-        kept = rows.where(F.abs(x - centre) <= trim_sigma * scale)
-        count, centre_now = kept.agg(F.count("*"), quantiles(x, [0.5], accuracy)[0]).first()
-        if count < max(30, 0.2 * n):
+        inside = rows.where(F.abs(x - centre) <= trim_sigma * scale)
+        if n is None:
+            n = rows.count()
+            least = max(30, 0.2 * n)
+        if inside.count() < least:
             break
-        now = max(NORMAL * _median(kept, F.abs(x - centre_now), accuracy), 1e-9)
-        same = abs(now - scale) <= 1e-12 * max(scale, 1.0)
-        scale, centre = now, centre_now
-        if same:
+        centre = selection.median(inside, x)
+        before, scale = scale, _spread(inside, centre)
+        if abs(scale - before) <= 1e-12 * max(before, 1.0):
             break
     return scale

@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wearloom.functions.columns import quantiles
+from wearloom.functions import selection
+from wearloom.functions.ranking import running_total
 from wearloom.operators.linear import Linear, fit_primary
 from wearloom.operators.outliers import fit_secondary, with_outlier_score
 from wearloom.operators.robust import robust_scale
 from wearloom.params import Params
 
 
-def fit_detector(cutting: DataFrame, p: Params = Params(), target: str = "log_vibration_rms_g") -> dict:
+def fit_detector(cutting: DataFrame, p: Params = Params()) -> dict:
     """Both models, the centre and scale of the residuals, and what the fit saw, as plain
-    values. Cache ``cutting``. The centre is the plain median of the residuals."""
-    primary = fit_primary(cutting, p, target)
+    values. The centre is the plain median of the residuals."""
+    target, primary = p.target, fit_primary(cutting, p, p.target)
     rows = cutting.withColumn("residual", F.col(target) - primary.predict())
     seen = rows.agg(
-        F.count("*").alias("n"), quantiles(F.col("residual"), [0.5], p.quantile_accuracy)[0].alias("centre"), F.stddev_pop("residual").alias("std"),
+        F.count("*").alias("n"), F.stddev_pop("residual").alias("std"),
         F.stddev_pop(target).alias("y_std"), F.sort_array(F.collect_set("machine_id")).alias("machines"), F.sort_array(F.collect_set("part_type")).alias("parts"),
     ).first()
-    scale = robust_scale(rows.withColumn("off", F.col("residual") - seen["centre"]), "off", p.scale_estimator, p.scale_trim_sigma, accuracy=p.quantile_accuracy)
+    centre = selection.median(rows, F.col("residual")) or 0.0
+    scale = robust_scale(rows.withColumn("off", F.col("residual") - centre), "off", p.scale_estimator, p.scale_trim_sigma)
     return {
-        "target": target, "primary": primary.as_dict(), "centre": seen["centre"], "scale": scale, "sigma_multiple": p.sigma_multiple, "one_sided": p.one_sided,
+        "target": target, "primary": primary.as_dict(), "centre": centre, "scale": scale, "sigma_multiple": p.sigma_multiple, "one_sided": p.one_sided,
         "secondary": fit_secondary(cutting, p), "n_fit_readings": seen["n"], "residual_std": seen["std"],
         "r2": 1 - (seen["std"] / seen["y_std"]) ** 2 if seen["y_std"] else None, "machines": list(seen["machines"]), "part_types": list(seen["parts"]),
     }
@@ -31,17 +33,17 @@ def fit_detector(cutting: DataFrame, p: Params = Params(), target: str = "log_vi
 
 def score_readings(readings: DataFrame, detector: dict) -> DataFrame:
     """readings with prediction, residual, both scores and flags. predicted_rms_g and
-    residual_g are on the scale of the target, which is logarithmic by default."""
+    residual_g are on the scale of the target, which is logarithmic by default. The primary
+    score of a two-sided detector is the size of residual_sigma, which keeps its sign."""
     primary = Linear(**{k: v for k, v in detector["primary"].items()})
     df = readings.withColumn("predicted_rms_g", primary.predict()).withColumn("residual_g", F.col(detector["target"]) - F.col("predicted_rms_g"))
-    df = df.withColumn("primary_score", (F.col("residual_g") - detector["centre"]) / detector["scale"])
-    height = F.col("primary_score") if detector["one_sided"] else F.abs("primary_score")
+    df = df.withColumn("residual_sigma", (F.col("residual_g") - detector["centre"]) / detector["scale"])
+    df = df.withColumn("primary_score", F.col("residual_sigma") if detector["one_sided"] else F.abs("residual_sigma"))
     df = with_outlier_score(df, detector["secondary"])
     df = df.withColumns(
         {
-            "residual_sigma": F.col("primary_score"),
-            "primary_anomalous": height >= detector["sigma_multiple"],
-            "secondary_anomalous": F.col("secondary_score") >= detector["secondary"]["threshold"],
+            "primary_anomalous": F.col("primary_score") >= detector["sigma_multiple"],
+            "secondary_anomalous": F.coalesce(F.col("secondary_score") >= F.lit(detector["secondary"]["threshold"]).cast("double"), F.lit(False)),
         }
     )
     return df.withColumn("anomalous", F.col("primary_anomalous") & F.col("secondary_anomalous"))
@@ -67,13 +69,14 @@ def verdicts(jobs: DataFrame, p: Params = Params()) -> DataFrame:
     """jobs (metrics joined with flags) with assessable, flagged, rank and notes.
 
     Ranks are 1 to n by falling wear score of assessable jobs, the others after them, ties
-    in the order of the log. The table has one row per job, and is ordered as a whole.
+    in the order of the log. Ranks are counted by ranges of that order, not in one task.
     """
     df = jobs.fillna(0, ["cutting_readings", "n_anomalous", "n_primary_anomalous", "n_secondary_anomalous"]).fillna(0.0, ["anomalous_fraction"])
     df = df.withColumn("assessable", F.col("cutting_readings") >= p.min_readings_for_verdict)
     df = df.withColumn("flagged", F.col("assessable") & (F.col("n_anomalous") >= p.min_anomalous_readings) & (F.col("anomalous_fraction") >= p.min_anomalous_fraction))
     masked = F.when(F.col("assessable"), F.col("wear_score"))
-    df = df.withColumn("rank", F.row_number().over(Window.orderBy(masked.desc_nulls_last(), "machine_id", "start_time", "job_id")))
+    order = [masked.desc_nulls_last(), F.col("machine_id"), F.col("start_time"), F.col("job_id")]
+    df = running_total(df, order, F.lit(1), "rank").withColumn("rank", F.col("rank").cast("int"))
     flagged = F.concat(
         F.col("n_anomalous"), F.lit(" of "), F.col("cutting_readings"), F.lit(" cutting readings ("), _share(F.col("anomalous_fraction")),
         F.lit(f") are above the {p.sigma_multiple:g}-sigma baseline and by the second detector"),
