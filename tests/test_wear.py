@@ -313,3 +313,39 @@ def test_stream_scores_like_the_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("job_id").agg(F.count("*").alias("n"), F.round(F.sum("primary_score"), 6).alias("s")).collect()
     want = verdict.score_readings(cut, detector).groupBy("job_id").agg(F.count("*").alias("n"), F.round(F.sum("primary_score"), 6).alias("s")).collect()
     assert {tuple(r) for r in got} == {tuple(r) for r in want}
+
+
+@pytest.fixture(scope="module")
+def views(spark):
+    from wearloom.jobs import registry
+
+    return registry.Views(spark, "/root/testdata/sf0.01")
+
+
+def test_registered_fits_against_numpy(views):
+    """ridge_coefficients of the whole table held against a dense solve over its rows."""
+    from wearloom.jobs import registry
+
+    got = {r.term: (r["shift"], r.slope) for r in registry.BUILT["ridge_coefficients"](views).collect()}
+    rows = views.cutting().collect()
+    x, y = np.array([r.log_net_power_kw for r in rows]), np.array([r.log_vibration_rms_g for r in rows])
+    columns = {("all", 1): x, ("quantity", 1): np.array([r.quantity for r in rows])}
+    for kind, name in (("machine", "machine_id"), ("part", "part_type")):
+        for level in sorted({r[name] for r in rows})[1:]:
+            d = np.array([float(r[name] == level) for r in rows])
+            columns |= {(f"{kind} {level}", 0): d, (f"{kind} {level}", 1): d * x}
+    raw = np.column_stack(list(columns.values()))
+    z = (raw - raw.mean(0)) / raw.std(0)
+    beta = np.linalg.solve(z.T @ z + np.eye(z.shape[1]), z.T @ (y - y.mean())) / raw.std(0)
+    assert set(got) == {term for term, _ in columns}
+    for (term, i), b in zip(columns, beta):
+        assert got[term][i] == pytest.approx(b, abs=1e-7)
+
+
+def test_the_planted_jobs_are_flagged_and_the_offset_is_found(views):
+    """End to end with the default detector: the flagged jobs are those whose tool is worn."""
+    assert views.prepared().offset_s == 18_000
+    rows = views.ranked()[0].collect()
+    worn = {r.job_id for r in rows if int(r.job_id[1:]) % 8 == 3 and r.assessable}
+    assert {r.job_id for r in rows if r.flagged == "true"} == worn and len(worn) > 8
+    assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and {r.job_id for r in rows[: len(worn)]} == worn
