@@ -84,6 +84,13 @@ def quantiles(df: DataFrame, column: Column, shares: list[float]) -> list[float]
     return narrowed(rows, shares, n, [(edge(2 * i), edge(2 * i + 1)) for i in range(len(shares))])
 
 
+def around(value: float, moved: float, scale: float, n: int, most: float = 0.1) -> tuple[float, float]:
+    """A bracket for a median that is searched again after a step of a fit: some times the last
+    step to both sides, but wide enough for some hundred of n values, and ``most`` scales at most."""
+    half = min(max(4 * moved, 400 * scale / n), most * scale)
+    return value - half, value + half
+
+
 def narrowed(rows: DataFrame, shares: list[float], n: int, near: list[tuple[float, float]], values: Values = _first) -> list[float]:
     """Interpolated quantiles of the n values that ``values`` makes of the batches of rows, all
     of them finite. near: brackets in which they are expected; one that does not hold widens."""

@@ -170,7 +170,8 @@ def fit_huber(cutting: DataFrame, target: str = "log_vibration_rms_g", epsilon:
     rows, n = kept(_numbered(cutting, target, cells)), int(n)
     raw = t.T @ beta
     spread = float(np.sqrt(max(syy - 2 * raw @ right + raw @ gram @ raw, 0.0) / n)) + 1e-9
-    around, width = (-spread, spread), (0.0, 3 * spread)
+    centre, mad = 0.0, spread
+    near, width = (-spread, spread), (0.0, 3 * spread)
     done = 0
     for done in range(1, rounds + 1):
         model = system.model(beta, t)
@@ -181,10 +182,11 @@ def fit_huber(cutting: DataFrame, target: str = "log_vibration_rms_g", epsilon:
             own = lines[cell]
             return y - own[:, 0] - own[:, 1] * x - own[:, 2] * q
 
-        centre = selection.narrowed(rows, [0.5], n, [around], residuals)[0]
+        before = centre, mad
+        centre = selection.narrowed(rows, [0.5], n, [near], residuals)[0]
         mad = selection.narrowed(rows, [0.5], n, [width], lambda batch, r=residuals, c=centre: np.abs(r(batch) - c))[0]
         sigma = max(NORMAL * mad, 1e-9)
-        around, width = (centre - 0.1 * sigma, centre + 0.1 * sigma), (0.8 * mad, 1.2 * mad)
+        near, width = selection.around(centre, abs(centre - before[0]), mad, n), selection.around(mad, abs(mad - before[1]), mad, n)
 
         def weighted(batches: Iterator[pa.RecordBatch], residuals=residuals, limit: float = epsilon * sigma) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(SUMS), len(lines)))
@@ -195,8 +197,8 @@ def fit_huber(cutting: DataFrame, target: str = "log_vibration_rms_g", epsilon:
                     total[i] += np.bincount(cell, w * term, len(lines))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lines))), *map(pa.array, total)], ["cell", *SUMS])
 
-        sums = rows.mapInArrow(weighted, "cell long, " + ", ".join(f"{k} double" for k in SUMS)).groupBy("cell").agg(*[F.sum(k).alias(k) for k in SUMS]).orderBy("cell").collect()
-        named = [r.asDict() | {k: cells[r["cell"]][k] for k in ("machine_id", "part_type")} for r in sums]
+        sums = rows.mapInArrow(weighted, "cell long, " + ", ".join(f"{k} double" for k in SUMS)).groupBy("cell").agg(*[F.sum(k).alias(k) for k in SUMS]).collect()
+        named = [r.asDict() | {k: cells[r["cell"]][k] for k in ("machine_id", "part_type")} for r in sorted(sums, key=lambda r: r["cell"])]
         now = system.solve(*system.sums(named), t, alpha)
         moved, beta = np.abs(now - beta).max(), now
         if moved < tol:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +20,11 @@ def robust_scale(df: DataFrame, column: str, estimator: str = "trimmed_mad", tri
     """Spread of a column by standard deviation (population), IQR, MAD or trimmed MAD; at least 1e-9.
 
     Trimmed MAD takes the MAD again of what lies within ``trim_sigma`` scales of the centre,
-    until it stays or too few rows are left. Medians are selected by histograms, so only
-    counts reach the driver. Nulls and non-finite values do not count.
+    until it stays or too few rows are left. Medians are selected by histograms around those of
+    the round before, so only counts reach the driver. Nulls and non-finite values do not count.
     """
     x = F.col(column)
-    rows = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(x.alias("x"))
+    rows = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(x.cast("double").alias("x"))
     x = F.col("x")
     if estimator == "std":
         return max(rows.agg(F.stddev_pop(x)).first()[0] or 0.0, 1e-9)
@@ -35,16 +37,24 @@ def robust_scale(df: DataFrame, column: str, estimator: str = "trimmed_mad", tri
     scale = _spread(rows, centre)
     if estimator == "mad":
         return scale
-    n = least = None
+    n = rows.count()
+    least = max(30, 0.2 * n)
+    near, width = (centre - 0.1 * scale, centre + 0.1 * scale), (0.6 * scale / NORMAL, scale / NORMAL)
     for _ in range(rounds):
-        inside = rows.where(F.abs(x - centre) <= trim_sigma * scale)
-        if n is None:
-            n = rows.count()
-            least = max(30, 0.2 * n)
-        if inside.count() < least:
+        limit = trim_sigma * scale
+        m = rows.where(F.abs(x - centre) <= limit).count()
+        if m < least:
             break
-        centre = selection.median(inside, x)
-        before, scale = scale, _spread(inside, centre)
+
+        def inside(batch: pa.RecordBatch, c: float = centre, limit: float = limit) -> np.ndarray:
+            values = batch.column(0).to_numpy(zero_copy_only=False)
+            return values[np.abs(values - c) <= limit]
+
+        old, before = centre, scale
+        centre = selection.narrowed(rows, [0.5], m, [near], inside)[0]
+        mad = selection.narrowed(rows, [0.5], m, [width], lambda batch, r=inside, c=centre: np.abs(r(batch) - c))[0]
+        scale = max(NORMAL * mad, 1e-9)
         if abs(scale - before) <= 1e-12 * max(before, 1.0):
             break
+        near, width = selection.around(centre, abs(centre - old), mad, m), selection.around(mad, abs(scale - before) / NORMAL, mad, m)
     return scale
