@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wearloom.llm import bpe, chat, langid, licenses, mixing, quality, rules, simhash, topk, urls
+from wearloom.llm import bpe, chat, fim, langid, licenses, mixing, pieces, quality, rules, simhash, topk, trie, urls
 from wearloom.llm.common import read
 
 
@@ -46,6 +46,18 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark, sf_dir):
+    return pieces.encode_and_decode(read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark, sf_dir):
+    return trie.query(read(spark, sf_dir, "conversations"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    return fim.query(read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -58,8 +70,11 @@ def queries():
         "op8_license_scan": op8_license_scan,
         "op9_url_filter": op9_url_filter,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_sentencepiece": op11_sentencepiece,
+        "op12_conversation_trie": op12_conversation_trie,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql():
-    return {"op2_exact_top_k": topk.ORACLE, "op5_chat_format": chat.oracle(), "op6_mixing": mixing.ORACLE, "op8_license_scan": licenses.oracle()}
+    return {"op2_exact_top_k": topk.ORACLE, "op5_chat_format": chat.oracle(), "op6_mixing": mixing.ORACLE, "op8_license_scan": licenses.oracle(), "op12_conversation_trie": trie.ORACLE, "op13_fill_in_middle": fim.ORACLE}
