@@ -7,8 +7,8 @@ that are no piece fall back to their bytes.
 
 No merge goes across two neighbouring characters that no piece holds side by side. That is
 looked up in the vocabulary when it is read: where no piece has a space mark after another
-character, texts are cut before such marks, and around line ends where no piece holds one.
-Chunks are encoded apart and their ids remembered, up to a bound. Each Arrow batch's new
+character, texts are cut before such marks; around line ends where no piece holds one; and
+between letters and others where none holds both. Chunks are encoded apart and their ids remembered, up to a bound. Each Arrow batch's new
 chunks, or its whole texts, are checked against the sentencepiece library.
 """
 
@@ -30,7 +30,7 @@ from wearloom.llm.common import chunks
 #: Fixed value: the character that stands for a space in pieces.
 SPACE = "▁"
 #: Chunks whose ids a task remembers, and the longest chunk that it remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 REMEMBERED_CHARS = 64
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -71,10 +71,16 @@ class Pieces:
         """Chunks of a text, cut only where no piece goes across."""
         lines = "" if any("\n" in p and len(p) > 1 for p in self.merges) else "\n"
         self.lead = lines  # a character at which every text may be cut
-        if any(b == SPACE != a for p in self.merges for a, b in zip(p, p[1:])):
+        pairs = {(a, b) for p in self.merges for a, b in zip(p, p[1:])}
+        if any(b == SPACE != a for a, b in pairs):
             return re.compile(f"[^{lines}]+|{lines}").findall if lines else lambda text: [text] if text else []
-        ends = f"|{lines}" if lines else ""
-        return re.compile(f"{SPACE}*[^{SPACE}{lines}]+|{SPACE}+{ends}").findall
+        letter, ends = re.compile(r"[^\W\d_]").match, f"|{lines}" if lines else ""
+        mixed = {c for a, b in pairs if SPACE not in (a, b) and bool(letter(a)) != bool(letter(b)) for c in (a, b) if letter(c)}
+        letters = r"\W\d_" + re.escape("".join(sorted(mixed)))  # all but these; letters beside others in a piece are none
+        if any(SPACE not in (a, b) and bool(re.match(f"[^{letters}]", a)) != bool(re.match(f"[^{letters}]", b)) for a, b in pairs):
+            return re.compile(f"{SPACE}*[^{SPACE}{lines}]+|{SPACE}+{ends}").findall
+        others = f"(?:(?![^{letters}])[^{SPACE}{lines}])+"
+        return re.compile(f"{SPACE}*[^{letters}]+|{SPACE}*{others}|{SPACE}+{ends}").findall
 
     def symbols(self, chunk: str) -> list[str]:
         """What is left of a chunk's characters when the agenda is empty."""
@@ -125,10 +131,10 @@ class Pieces:
         """(packed ids of each text without begin and end, the chunks that were new)."""
         known = self.known
         cut = [self.cut(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = set().union(*cut).difference(known) if cut else set()
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set().union(*cut)
+        met = set().union(*cut)
+        new = met.difference(known)
+        if len(known) + len(new) > REMEMBERED:  # what these texts use stays
+            self.known = known = {c: known[c] for c in met.intersection(known)}
         for chunk in new:
             known[chunk] = self.pack(self.chunk_ids(chunk))
         return [b"".join(map(known.__getitem__, own)) for own in cut], new
