@@ -113,7 +113,7 @@ def design(cutting):
 
 
 def predictions(cutting, model):
-    return np.array([r.p for r in cutting.orderBy("ts").select(model.predict().alias("p")).collect()])
+    return np.array([r.p for r in model.with_prediction(cutting, "p").orderBy("ts").select("p").collect()])
 
 
 def test_ridge_from_moments(cutting):
@@ -146,7 +146,7 @@ def test_ransac_ignores_the_tail_and_does_not_depend_on_partitions(cutting):
 def test_unseen_levels_fall_back(spark, cutting):
     model = linear.fit_ridge(cutting)
     row = spark.createDataFrame([("X", "Y", 1.0, 2.0)], "machine_id string, part_type string, log_net_power_kw double, quantity double")
-    assert abs(row.select(model.predict()).first()[0] - (model.intercept + model.power + 2 * model.quantity)) < 1e-12
+    assert abs(model.with_prediction(row, "p").first()["p"] - (model.intercept + model.power + 2 * model.quantity)) < 1e-12
 
 
 def test_scales_of_planted_spreads(spark):
@@ -196,7 +196,7 @@ def test_mahalanobis_is_central_and_stays(spark, cutting):
 def test_null_measures_count_as_zero(spark, cutting):
     model = linear.fit_ridge(cutting)
     zero, null = cutting.withColumn("quantity", F.lit(0.0)), cutting.withColumn("quantity", F.lit(None).cast("double"))
-    total = lambda df: df.agg(F.sum(model.predict())).first()[0]
+    total = lambda df: model.with_prediction(df, "p").agg(F.sum("p")).first()[0]
     assert total(zero) == pytest.approx(total(null)) and linear.fit_huber(null).power == pytest.approx(linear.fit_huber(zero).power)
 
 

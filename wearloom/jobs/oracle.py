@@ -207,6 +207,7 @@ UNION ALL SELECT 'vibration', (median(g))::FLOAT::DOUBLE, count(*) FILTER (g > 5
     "duplicate_rows": ("", "SELECT 'power' AS source, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM power_raw)))::BIGINT AS duplicate_rows FROM power_raw UNION ALL SELECT 'vibration', (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM vib_raw)))::BIGINT FROM vib_raw"),
     "value_counts": ("", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM log_raw GROUP BY {c}" for c in ("machine_id", "part_type", "operator"))),
     "numeric_summary": ("", f"SELECT machine_id, n, mean, std, low, high, {PCT} FROM (SELECT machine_id, {STATS.format(c='power_kw')} FROM power_c GROUP BY 1)"),
+    "numeric_summary_whole": ("", f"SELECT n, mean, std, low, high, {PCT} FROM (SELECT {STATS.format(c='power_kw')} FROM power_c)"),
     "defect_counts": (
         "",
         """SELECT 'power duplicates' AS defect, (SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM power_raw GROUP BY machine_id, us))::BIGINT AS n UNION ALL SELECT 'vibration duplicates', (SELECT sum(c - 1) FROM (SELECT count(*) AS c FROM vib_raw GROUP BY machine_id, us))::BIGINT

@@ -108,7 +108,7 @@ class Views:
     def simple_scores(self):
         """A score without a model: log vibration per kW against its part's median, in MADs."""
         rows = self.cutting()
-        medians = rows.groupBy(F.col("part_type").alias("of")).agg(F.median("log_vib_per_kw").alias("m"))
+        medians = selection.medians(rows, ["part_type"], F.col("log_vib_per_kw"), "m").withColumnRenamed("part_type", "of")
         off = kept(rows.join(medians, F.col("part_type") == F.col("of")).withColumn("residual_g", F.col("log_vib_per_kw") - F.col("m")).drop("of", "m"))
         width = robust.NORMAL * selection.median(off, F.abs("residual_g"))
         off = off.withColumn("primary_score", F.col("residual_g") / width)
@@ -149,14 +149,15 @@ def _cleaning_details(v: Views) -> DataFrame:
 
 def _scale_estimators(v: Views) -> DataFrame:
     rows = v.simple_scores()
-    found = {e: robust.robust_scale(rows, "residual_g", e) for e in evaluate.SCALES}
+    found = robust.robust_scales(rows, "residual_g", evaluate.SCALES)
     return v.spark.createDataFrame([tuple(float(np.float32(x)) for x in found.values())], ", ".join(f"{k} double" for k in found))
 
 
 def _linear(v: Views, model: linear.Linear) -> DataFrame:
-    levels = [(f"machine {k}", *x) for k, x in model.machines.items()] + [(f"part {k}", *x) for k, x in model.parts.items()]
-    rows = [("all", model.intercept, model.power), ("quantity", 0.0, model.quantity), *levels]
-    return v.spark.createDataFrame([(a, float(b), float(c)) for a, b, c in rows], "term string, shift double, slope double")
+    rows = [("all", model.intercept, model.power), ("quantity", 0.0, model.quantity)] + [(f"part {k}", *x) for k, x in model.parts.items()]
+    every = v.spark.createDataFrame([(a, float(b), float(c)) for a, b, c in rows], "term string, shift double, slope double")
+    machines = model.machine_table().where("machine_id IS NOT NULL AND (shift <> 0 OR slope <> 0)")  # the first is in the intercept
+    return every.unionByName(machines.select(F.concat(F.lit("machine "), "machine_id").alias("term"), "shift", "slope"))
 
 
 def _scored(v: Views, **params) -> DataFrame:
@@ -205,6 +206,7 @@ BUILT = {
     "duplicate_rows": lambda v: profile.duplicate_rows(v.power_raw, "power").unionByName(profile.duplicate_rows(v.vibration_raw, "vibration")),
     "value_counts": lambda v: profile.value_counts(v.log_raw, ["machine_id", "part_type", "operator"]),
     "numeric_summary": lambda v: _r(profile.numeric_summary(v.power(), "power_kw", ["machine_id"]), "mean", "std", "low", "high", "p01", "p05", "p25", "p50", "p75", "p95", "p99"),
+    "numeric_summary_whole": lambda v: _r(profile.numeric_summary(v.power(), "power_kw"), "mean", "std", "low", "high", "p01", "p05", "p25", "p50", "p75", "p95", "p99"),
     "defect_counts": lambda v: profile.defect_counts(v.power_raw, v.vibration_raw, v.log_raw),
     "defect_values": lambda v: profile.defect_values(v.power_raw),
     "time_coverage": lambda v: profile.time_coverage({"power": (v.power_raw, "ts", "ts"), "vibration": (v.vibration_raw, "ts", "ts"), "production_log": (v.log_raw, "start_time", "end_time")}),
@@ -238,15 +240,19 @@ BUILT = {
     # Fitted models: no SQL; tests hold them against NumPy.
     "ridge_coefficients": lambda v: _linear(v, linear.fit_ridge(v.cutting())),
     "huber_coefficients": lambda v: _linear(v, linear.fit_huber(v.cutting())),
+    "joint_huber_coefficients": lambda v: _linear(v, linear.fit_joint_huber(v.cutting())),
     "ransac_coefficients": lambda v: _linear(v, linear.fit_ransac(v.cutting())),
-    "cross_validated_r2": lambda v: linear.cross_validated_r2(v.cutting()),
-    "huber_mahalanobis_scores": lambda v: _scored(v),
+    "cross_validated_r2": lambda v: linear.cross_validated_r2(v.cutting(), PRIMARIES, p=P),
+    "huber_mahalanobis_scores": lambda v: _scored(v, backend="iterated"),
+    "joint_huber_determinant_scores": lambda v: _scored(v),
     "ridge_forest_scores": lambda v: _scored(v, primary_model="ridge", secondary_model="isolation_forest"),
     "ridge_lof_scores": lambda v: _scored(v, primary_model="ridge", secondary_model="lof"),
+    "ridge_sampled_lof_scores": lambda v: _scored(v, primary_model="ridge", secondary_model="lof", backend="iterated"),
+    "fit_metadata": lambda v: verdict.fit_metadata(v.spark, v.ranked(primary_model="ridge")[2]),
     "job_summary": lambda v: _us(v.ranked()[0], start_time="start_us", end_time="end_us"),
     "diagnostics": lambda v: wear.diagnostics(v.prepared()),
     "reloaded_scores": lambda v: _reloaded(v),
-    "target_forms": lambda v: evaluate.target_form_comparison(v.cutting()),
+    "target_forms": lambda v: evaluate.target_form_comparison(v.cutting(), v.split(), PRIMARIES, P),
     "primary_comparison": lambda v: evaluate.primary_comparison(v.cutting(), v.split(), PRIMARIES, P),
     "rank_agreement": lambda v: evaluate.rank_agreement(v.cutting(), PRIMARIES, P)[0],
     "top_jobs_by_primary": lambda v: evaluate.rank_agreement(v.cutting(), PRIMARIES, P)[1],

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from wearloom.functions import selection
 from wearloom.functions.ranking import running_total
 from wearloom.functions.tables import kept
-from wearloom.operators.linear import fit_primary
+from wearloom.operators.linear import asked, fit_all, with_predictions
 from wearloom.operators.outliers import fit_secondaries, with_outlier_score
-from wearloom.operators.robust import robust_scale
+from wearloom.operators.robust import robust_scales
 from wearloom.operators.verdict import job_flags, verdicts
 from wearloom.params import Params
 
@@ -38,7 +38,7 @@ def reference_split(ratios: DataFrame, cut: float = ELEVATED, rounds: int = 10)
     """
     jobs, spark = kept(ratios), ratios.sparkSession
     low = lambda base: F.when(F.col("ratio") / base < cut, F.col("ratio"))
-    medians = lambda df, x: {r["part_type"]: r["m"] for r in df.groupBy("part_type").agg(F.median(x).alias("m")).collect()}
+    medians = lambda df, x: {r["part_type"]: r["m"] for r in selection.medians(df, ["part_type"], x, "m").collect()}
     found = medians(jobs, F.col("ratio"))
 
     def with_baseline() -> DataFrame:
@@ -139,15 +139,15 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def primary_scores(cutting: DataFrame, names: list[str], scales: list[str], p: Params = Params()) -> tuple[DataFrame, dict[str, tuple[float, dict[str, float]]]]:
     """cutting with r_<primary> (residual) and z_<primary>_<scale> columns, and per primary the
-    centre and the widths: one wide table for all comparisons."""
-    target, out, found = p.target, cutting, {}
+    centre and the widths: one wide table for all comparisons. All primaries are fitted together."""
+    target, found = p.target, {}
+    models, _ = fit_all(cutting, [asked(name, p, target=target) for name in names], p)
+    fitted = with_predictions(cutting, {f"r_{name}": m for name, m in zip(names, models)})
+    out = wide = kept(fitted.withColumns({f"r_{name}": F.col(target) - F.col(f"r_{name}") for name in names}))
     for name in names:
-        model = fit_primary(cutting, replace(p, primary_model=name), target)
-        rows = cutting.select((F.col(target) - model.predict()).alias("off"))
-        centre = selection.median(rows, F.col("off"))
-        widths = {scale: robust_scale(rows.select((F.col("off") - centre).alias("off")), "off", scale, p.scale_trim_sigma) for scale in scales}
+        centre = selection.median(wide, F.col(f"r_{name}"))
+        widths = robust_scales(wide.select((F.col(f"r_{name}") - centre).alias("off")), "off", scales, p.scale_trim_sigma) if scales else {}
         found[name] = centre, widths
-        out = out.withColumn(f"r_{name}", F.col(target) - model.predict())
         out = out.withColumns({f"z_{name}_{scale}": (F.col(f"r_{name}") - centre) / width for scale, width in widths.items()})
     return out, found
 
@@ -169,7 +169,7 @@ def _judged_hits(wide: DataFrame, split: DataFrame, combos: list[tuple[dict, Col
 def scale_job_verdicts(scored: DataFrame, split: DataFrame, residual: str = "residual_g", p: Params = Params()) -> DataFrame:
     """(scale, n_flagged, tp, fp, fn, f1): the scale estimators judged by jobs, on the residual alone."""
     centre = selection.median(scored, F.col(residual))
-    widths = {e: robust_scale(scored, residual, e, p.scale_trim_sigma) for e in SCALES}
+    widths = robust_scales(scored, residual, SCALES, p.scale_trim_sigma)
     return _judged_hits(scored, split, [({"scale": e}, (F.col(residual) - centre) / w >= p.sigma_multiple) for e, w in widths.items()], p)
 
 
@@ -221,7 +221,7 @@ def secondary_comparison(cutting: DataFrame, split: DataFrame, secondaries: list
 
 def primary_comparison(cutting: DataFrame, split: DataFrame, primaries: list[str], p: Params = Params()) -> DataFrame:
     """(primary, scale, healthy_fp_rate, worn_recall, worn_median_z, healthy_p999_z, n_over,
-    worst_worn_job, best_healthy_job, job_margin, job_ratio).
+    worst_worn_job, best_healthy_job, job_margin, job_ratio, reference_in_top_n, n_reference).
 
     Rates come of one pass over the wide table; a quantile of z is that of the residual, moved
     and scaled, so it is selected once per primary. Jobs are compared by their wear scores.
@@ -232,10 +232,13 @@ def primary_comparison(cutting: DataFrame, split: DataFrame, primaries: list[str
     pairs = [(a, b) for a in primaries for b in SCALES]
     over = {pair: F.col("z_{}_{}".format(*pair)) >= p.sigma_multiple for pair in pairs}
     sums = wide.agg(F.count_if(worn).alias("worn"), F.count_if(~worn).alias("healthy"), *[e for (a, b), o in over.items() for e in (F.count_if(o & worn).alias(f"w_{a}_{b}"), F.count_if(o & ~worn).alias(f"h_{a}_{b}"))]).first()
-    scores = job_scores(wide, primaries, p).join(split.select("job_id", "reference_worn"), "job_id")
+    scores = kept(job_scores(wide, primaries, p).join(split.select("job_id", "reference_worn"), "job_id"))
     ends = scores.agg(*[e for a in primaries for e in (F.min(F.when(worn, F.col(a))).alias(f"w_{a}"), F.max(F.when(~worn, F.col(a))).alias(f"h_{a}"))]).first()
+    n_worn = scores.where(worn).count()
     for a in primaries:
         centre, widths = found[a]
+        ranked = running_total(scores, [F.col(a).desc_nulls_last(), F.col("job_id")], F.lit(1), "place")
+        in_top = ranked.where(worn & (F.col("place") <= n_worn)).count()
         middle = selection.quantiles(wide.where(worn), F.col(f"r_{a}"), [0.5])
         tail = selection.quantiles(wide.where(~worn), F.col(f"r_{a}"), [0.999])
         for b, width in widths.items():
@@ -244,11 +247,11 @@ def primary_comparison(cutting: DataFrame, split: DataFrame, primaries: list[str
             both = low is not None and high is not None
             out.append((
                 a, b, sums[f"h_{a}_{b}"] / max(sums["healthy"], 1), sums[f"w_{a}_{b}"] / max(sums["worn"], 1), z(middle[0] if middle else None), z(tail[0] if tail else None),
-                sums[f"h_{a}_{b}"] + sums[f"w_{a}_{b}"], low, high, low - high if both else None, low / high if both and high > 0 else None,
+                sums[f"h_{a}_{b}"] + sums[f"w_{a}_{b}"], low, high, low - high if both else None, low / high if both and high > 0 else None, in_top, n_worn,
             ))
     names = ("healthy_fp_rate", "worn_recall", "worn_median_z", "healthy_p999_z")
     more = ("worst_worn_job", "best_healthy_job", "job_margin", "job_ratio")
-    return cutting.sparkSession.createDataFrame(out, ", ".join(["primary string", "scale string", *[f"{c} double" for c in names], "n_over long", *[f"{c} double" for c in more]]))
+    return cutting.sparkSession.createDataFrame(out, ", ".join(["primary string", "scale string", *[f"{c} double" for c in names], "n_over long", *[f"{c} double" for c in more], "reference_in_top_n long", "n_reference long"]))
 
 
 def job_scores(wide: DataFrame, primaries: list[str], p: Params = Params()) -> DataFrame:
@@ -271,21 +274,40 @@ def rank_agreement(cutting: DataFrame, primaries: list[str], p: Params = Params(
     return agreement, ranked.where(F.col(f"rank_{primaries[0]}") <= top).select("job_id", *[f"rank_{a}" for a in primaries])
 
 
-def target_form_comparison(cutting: DataFrame, p: Params = Params()) -> DataFrame:
-    """(form, r2, mad_sigma, sd_over_mad, sextile_ratio, over_share): vibration itself against its logarithm."""
-    from wearloom.operators.linear import fit_ridge
-
-    spark, out = cutting.sparkSession, []
-    for form, target in (("additive", "vibration_rms_g"), ("log", "log_vibration_rms_g")):
-        rows = cutting.withColumn("off", F.col(target) - fit_ridge(cutting, target, p.ridge_alpha).predict())
-        mad, centre = robust_scale(rows, "off", "mad"), selection.median(rows, F.col("off"))
-        sd, y_sd = rows.agg(F.stddev_pop("off"), F.stddev_pop(target)).first()
-        over = rows.agg(F.avg(((F.col("off") - centre) / mad >= p.sigma_multiple).cast("double"))).first()[0]
-        edges = selection.quantiles(rows, F.col("net_power_kw"), [i / 6 for i in range(1, 6)])
-        bucket = sum(((F.col("net_power_kw") > e).cast("int") for e in edges), F.lit(0))
-        low, high = rows.groupBy(bucket.alias("b")).agg(F.stddev("off").alias("s")).agg(F.min("s"), F.max("s")).first()
-        out.append((form, 1 - (sd / y_sd) ** 2, mad, sd / mad, high / low if low else None, over))
-    return spark.createDataFrame(out, "form string, r2 double, mad_sigma double, sd_over_mad double, sextile_ratio double, over_share double")
+FORMS = {"additive": ("vibration_rms_g", "net_power_kw"), "log": ("log_vibration_rms_g", "log_net_power_kw")}
+
+
+def target_form_comparison(cutting: DataFrame, split: DataFrame, primaries: list[str] = ("ridge", "huber", "ransac"), p: Params = Params()) -> DataFrame:
+    """(form, model, r2, mad_sigma, sd_sigma, sd_over_mad, sextile_ratio, over_share, worn_recall,
+    healthy_fp): vibration itself over power against their logarithms, each with every primary,
+    all fitted in the same passes. The scale is the plain MAD."""
+    pairs, spark = [(form, name) for form in FORMS for name in primaries], cutting.sparkSession
+    models, _ = fit_all(cutting, [asked(name, p, target=FORMS[form][0], power=FORMS[form][1]) for form, name in pairs], p)
+    fitted = with_predictions(cutting, {f"r{i}": m for i, m in enumerate(models)})
+    rows = fitted.join(split.select("job_id", "reference_worn"), "job_id").withColumns({f"r{i}": F.col(FORMS[form][0]) - F.col(f"r{i}") for i, (form, _) in enumerate(pairs)})
+    edges = selection.quantiles(cutting, F.col("net_power_kw"), [i / 6 for i in range(1, 6)]) or []
+    bucket = sum(((F.col("net_power_kw") > e).cast("int") for e in sorted(set(edges))), F.lit(0))
+    wide = kept(rows.select("reference_worn", bucket.alias("bucket"), *dict.fromkeys(t for t, _ in FORMS.values()), *[f"r{i}" for i in range(len(pairs))]))
+    scales = []
+    for i in range(len(pairs)):
+        centre = selection.median(wide, F.col(f"r{i}"))
+        scales.append((centre, robust_scales(wide.select((F.col(f"r{i}") - centre).alias("off")), "off", ["mad"])["mad"] if centre is not None else 1e-9))
+    over = [(F.col(f"r{i}") - F.lit(c).cast("double")) / s >= p.sigma_multiple for i, (c, s) in enumerate(scales)]
+    share = lambda hit: F.avg(hit.cast("double"))
+    worn = F.col("reference_worn")
+    sums = wide.agg(*[e.alias(f"{n}{i}") for i, (form, _) in enumerate(pairs) for n, e in {
+        "ss": F.sum(F.pow(F.col(f"r{i}"), 2)), "y": F.var_pop(FORMS[form][0]) * F.count(FORMS[form][0]), "sd": F.stddev_pop(f"r{i}"),
+        "all": share(over[i]), "worn": share(F.when(worn, over[i])), "fp": share(F.when(~worn, over[i])),
+    }.items()]).first()
+    spread = wide.groupBy("bucket").agg(*[F.stddev(f"r{i}").alias(f"s{i}") for i in range(len(pairs))])
+    ends = spread.agg(*[f(f"s{i}").alias(f"{n}{i}") for i in range(len(pairs)) for n, f in (("low", F.min), ("high", F.max))]).first()
+    out = []
+    for i, (form, name) in enumerate(pairs):
+        mad, sd, low = scales[i][1], sums[f"sd{i}"], ends[f"low{i}"]
+        r2 = 1 - sums[f"ss{i}"] / sums[f"y{i}"] if sums[f"y{i}"] else None
+        out.append((form, name, r2, mad, sd, sd / mad if sd is not None else None, ends[f"high{i}"] / low if low else None, sums[f"all{i}"], sums[f"worn{i}"], sums[f"fp{i}"]))
+    names = ("r2", "mad_sigma", "sd_sigma", "sd_over_mad", "sextile_ratio", "over_share", "worn_recall", "healthy_fp")
+    return spark.createDataFrame(out, ", ".join(["form string", "model string", *[f"{c} double" for c in names]]))
 
 
 def judged_jobs(jobs: DataFrame, scored: DataFrame, p: Params = Params()) -> DataFrame:

@@ -18,10 +18,13 @@ def idle_baseline(labelled_power: DataFrame, p: Params = Params()) -> DataFrame:
     if p.idle_method == "min":  # the least of the machines' minima: a row per machine, no second pass over readings
         low, every = F.min(idle), F.min("own").over(Window.partitionBy())
     else:
-        low = quantiles(idle, [p.idle_percentile / 100], p.quantile_accuracy)[0]
+        low = quantiles(idle, [p.idle_percentile / 100], p.quantile_accuracy)[0] if p.quantile_accuracy else F.lit(None).cast("double")
         found = selection.quantiles(labelled_power, idle, [p.idle_percentile / 100]) if p.fallback_to_global else None
         every = F.lit(found[0] if found else None).cast("double")
     own = labelled_power.groupBy("machine_id").agg(low.alias("own"), share.alias("idle_share"))
+    if p.idle_method == "percentile" and not p.quantile_accuracy:
+        found = selection.by_group(labelled_power, ["machine_id"], idle, [p.idle_percentile / 100]).select(F.col("machine_id").alias("of"), F.col("q")[0].alias("own"))
+        own = own.drop("own").join(found, F.col("machine_id").eqNullSafe(F.col("of")))
     fallback = [every] if p.fallback_to_global else []
     return own.select("machine_id", F.coalesce("own", *fallback, F.lit(0.0)).alias("idle_baseline_kw"), "idle_share")
 

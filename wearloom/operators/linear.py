@@ -1,15 +1,13 @@
-"""Linear fits from moments per (machine, part) cell.
+"""Linear fits of the vibration baseline: ridge, Huber and consensus, several at once.
 
-Within a cell the design is linear in (1, log power, quantity): levels of machine and part
-and their slopes only pick cells. So nine weighted sums per cell hold everything that a
-fit needs; the driver assembles and solves a system of a few unknowns per level. Rows
-never become vectors and never leave the executors.
+The work is in ``bordered``: passes over rows laid out by machine, whose sums serve all fits.
+Here are the rounds of each kind of fit, the fitted model and its prediction.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,282 +16,311 @@ from pyspark.sql import functions as F
 
 from wearloom.functions import selection
 from wearloom.functions.tables import kept
+from wearloom.operators.bordered import KEYS, Batch, Problem, Rows, _lines, _numbers, _runs, _states, finite, measure
 from wearloom.operators.robust import NORMAL
 from wearloom.params import Params
 
-#: Row keys by which samples are drawn, so that they do not depend on how rows lie.
-KEYS = ("machine_id", "ts")
-
-
-def measure(column: str) -> Column:
-    """A measure of the design; what is null or not finite counts as 0."""
-    x = F.col(column).cast("double")
-    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x).otherwise(F.lit(0.0))
+__all__ = ["KEYS", "Linear", "cell_moments", "measure"]
+#: Step lengths that a pass of a joint fit looks at, and scales that its first pass does.
+LENGTHS, FIRST_SCALES = (1.0, 0.5, 0.2, 0.04), (1.0, 0.3, 0.1, 0.03)
+#: Trials of a consensus fit whose samples one pass sums up.
+TRIALS_AT_ONCE = 30
 
 
 @dataclass
 class Linear:
-    """Intercept, slopes on log power and quantity, and per level (shift, slope on log power)."""
+    """Intercept, slopes on a measure of power and quantity, per part (shift, slope on it), and a
+    table of what each machine adds (machine_id, shifts, slopes), of which ``at`` is this model's
+    place. Levels that are not there add nothing."""
 
     intercept: float
     power: float
     quantity: float
-    machines: dict[str, tuple[float, float]] = field(default_factory=dict)
     parts: dict[str, tuple[float, float]] = field(default_factory=dict)
+    machines: DataFrame | None = None
+    at: int = 0
     rounds: int = 1
+    measure: str = "log_net_power_kw"
 
     def as_dict(self) -> dict:
-        return asdict(self)
+        """All but the table of machines."""
+        return {"intercept": self.intercept, "power": self.power, "quantity": self.quantity, "parts": self.parts, "at": self.at, "rounds": self.rounds, "measure": self.measure}
+
+    def machine_table(self) -> DataFrame:
+        """(machine_id, shift, slope)."""
+        return self.machines.select("machine_id", F.col("shifts")[self.at].alias("shift"), F.col("slopes")[self.at].alias("slope"))
+
+    def with_prediction(self, df: DataFrame, name: str) -> DataFrame:
+        return with_predictions(df, {name: self})
 
-    def cell(self, machine: str, part: str) -> tuple[float, float, float]:
-        m, p = self.machines.get(machine, (0.0, 0.0)), self.parts.get(part, (0.0, 0.0))
-        return self.intercept + m[0] + p[0], self.power + m[1] + p[1], self.quantity
 
-    def predict(self) -> Column:
-        """The prediction; levels that were not seen add nothing."""
+def _part(model: Linear, i: int) -> Column:
+    if not model.parts:
+        return F.lit(0.0)
+    table = F.create_map(*[F.lit(x) for k, v in model.parts.items() for x in (k, float(v[i]))])
+    return F.coalesce(table[F.col("part_type")], F.lit(0.0))
 
-        def lookup(levels: dict, column: str, i: int) -> Column:
-            if not levels:
-                return F.lit(0.0)
-            table = F.create_map(*[F.lit(x) for k, v in levels.items() for x in (k, float(v[i]))])
-            return F.coalesce(table[F.col(column)], F.lit(0.0))
 
-        shift = lookup(self.machines, "machine_id", 0) + lookup(self.parts, "part_type", 0)
-        slope = lookup(self.machines, "machine_id", 1) + lookup(self.parts, "part_type", 1)
-        return F.lit(self.intercept) + shift + (F.lit(self.power) + slope) * measure("log_net_power_kw") + F.lit(self.quantity) * measure("quantity")
+def with_predictions(df: DataFrame, models: dict[str, Linear]) -> DataFrame:
+    """df with a column of predictions per model. Machines' tables meet the rows by joins, which
+    Spark broadcasts if they are small; models of one batch share a table."""
+    q, out = measure("quantity"), df
+    tables = {id(m.machines): m.machines for m in models.values()}
+    for i, table in enumerate(tables.values()):
+        if table is not None:
+            out = out.join(table.select(F.col("machine_id").alias(f"_of{i}"), F.col("shifts").alias(f"_shifts{i}"), F.col("slopes").alias(f"_slopes{i}")), F.col("machine_id") == F.col(f"_of{i}"), "left")
+    columns = {}
+    for name, m in models.items():
+        i = list(tables).index(id(m.machines))
+        own = lambda kind: F.coalesce(F.col(f"_{kind}{i}")[m.at], F.lit(0.0)) if m.machines is not None else F.lit(0.0)  # noqa: B023, E731
+        columns[name] = F.lit(m.intercept) + _part(m, 0) + own("shifts") + (F.lit(m.power) + _part(m, 1) + own("slopes")) * measure(m.measure) + F.lit(m.quantity) * q
+    return out.withColumns(columns).drop(*[c for i in range(len(tables)) for c in (f"_of{i}", f"_shifts{i}", f"_slopes{i}")])
 
 
 def cell_moments(cutting: DataFrame, target: str = "log_vibration_rms_g", weight: Column | None = None) -> DataFrame:
     """(machine_id, part_type, n, sx, sq, sxx, sxq, sqq, sy, sxy, sqy, syy): weighted sums per
-    cell, over the rows that have a target."""
-    w, x, q, y = (F.lit(1.0) if weight is None else weight), measure("log_net_power_kw"), measure("quantity"), F.col(target)
-    cutting = cutting.where(y.isNotNull())
+    cell, over the rows that have a finite target."""
+    w, x, q, y = (F.lit(1.0) if weight is None else weight), measure("log_net_power_kw"), measure("quantity"), finite(target)
     sums = {"n": w, "sx": w * x, "sq": w * q, "sxx": w * x * x, "sxq": w * x * q, "sqq": w * q * q, "sy": w * y, "sxy": w * x * y, "sqy": w * q * y, "syy": w * y * y}
-    return cutting.groupBy("machine_id", "part_type").agg(*[F.sum(e).alias(k) for k, e in sums.items()])
-
-
-class _System:
-    """The normal equations of a list of cells, with a fixed layout of levels."""
-
-    def __init__(self, cells: list):
-        names = lambda c: sorted({r[c] for r in cells if r[c] is not None})[1:]  # noqa: E731  the first level is in the intercept
-        self.machines, self.parts = names("machine_id"), names("part_type")
-        self.size = 3 + 2 * (len(self.machines) + len(self.parts))
-
-    def place(self, machine: str, part: str) -> np.ndarray:
-        """size x 3: the design of a cell is this times (1, x, q)."""
-        a = np.zeros((self.size, 3))
-        a[0, 0] = a[1, 1] = a[2, 2] = 1
-        for levels, value, at in ((self.machines, machine, 3), (self.parts, part, 3 + len(self.machines))):
-            if value in levels:
-                i = at + levels.index(value)
-                a[i, 0] = 1
-                a[i + len(self.machines) + len(self.parts), 1] = 1
-        return a
-
-    def sums(self, cells: list) -> tuple[np.ndarray, np.ndarray]:
-        gram, right = np.zeros((self.size, self.size)), np.zeros(self.size)
-        for r in cells:
-            a = self.place(r["machine_id"], r["part_type"])
-            gram += a @ np.array([[r["n"], r["sx"], r["sq"]], [r["sx"], r["sxx"], r["sxq"]], [r["sq"], r["sxq"], r["sqq"]]]) @ a.T
-            right += a @ np.array([r["sy"], r["sxy"], r["sqy"]])
-        return gram, right
-
-    def scaler(self, gram: np.ndarray) -> np.ndarray:
-        """Matrix that standardises the design (population deviation; constant columns are only shifted)."""
-        n = gram[0, 0]
-        mean = gram[0] / n
-        var = np.maximum(np.diag(gram) / n - mean**2, 0)
-        dev = np.where(np.sqrt(var) < 1e-12, 1.0, np.sqrt(var))
-        t = np.diag(1 / dev)
-        t[1:, 0] = -mean[1:] / dev[1:]
-        t[0] = 0
-        t[0, 0] = 1
-        return t
-
-    def solve(self, gram: np.ndarray, right: np.ndarray, t: np.ndarray, alpha: float) -> np.ndarray:
-        penalty = alpha * np.eye(self.size)
-        penalty[0, 0] = 0
-        return np.linalg.lstsq(t @ gram @ t.T + penalty, t @ right, rcond=None)[0]
-
-    def model(self, beta: np.ndarray, t: np.ndarray, rounds: int = 1) -> Linear:
-        raw = t.T @ beta
-        k, m = len(self.machines) + len(self.parts), len(self.machines)
-        level = lambda i: (float(raw[3 + i]), float(raw[3 + i + k]))
-        return Linear(
-            float(raw[0]), float(raw[1]), float(raw[2]), {v: level(i) for i, v in enumerate(self.machines)}, {v: level(m + i) for i, v in enumerate(self.parts)}, rounds
-        )
-
-
-def fit_ridge(cutting: DataFrame, target: str = "log_vibration_rms_g", alpha: float = 1.0, cells: list | None = None) -> Linear:
-    cells = cell_moments(cutting, target).collect() if cells is None else cells
-    system = _System(cells)
-    gram, right = system.sums(cells)
-    t = system.scaler(gram)
-    return system.model(system.solve(gram, right, t, alpha), t)
-
-
-SUMS = ("n", "sx", "sq", "sxx", "sxq", "sqq", "sy", "sxy", "sqy", "syy")
-
-
-def _terms(x: np.ndarray, q: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones_like(x), x, q, x * x, x * q, q * q, y, x * y, q * y, y * y])
-
-
-def _numbered(cutting: DataFrame, target: str, cells: list, *more: Column) -> DataFrame:
-    """(cell, x, q, y, ...): rows as numbers, cell being the place of their machine and part in ``cells``."""
-    names = [(i, c["machine_id"], c["part_type"]) for i, c in enumerate(cells)]
-    table = F.broadcast(cutting.sparkSession.createDataFrame(names, "cell int, of_machine string, of_part string"))  # a row per machine and part
-    met = cutting.where(F.col(target).isNotNull()).join(table, F.col("machine_id").eqNullSafe(F.col("of_machine")) & F.col("part_type").eqNullSafe(F.col("of_part")))
-    return met.select("cell", measure("log_net_power_kw").alias("x"), measure("quantity").alias("q"), F.col(target).cast("double").alias("y"), *more)
-
-
-def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-
-
-def fit_huber(cutting: DataFrame, target: str = "log_vibration_rms_g", epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 100, tol: float = 1e-8) -> Linear:
-    """Iteratively reweighted least squares with a MAD scale, until coefficients stay.
-
-    Rows are written once as numbers. A round selects the median residual and the MAD by
-    histograms around those of the round before, and makes the weighted sums per cell; all
-    of it in the tasks that read the rows, so counts and sums are all that is dealt out.
+    return cutting.where(y.isNotNull()).groupBy("machine_id", "part_type").agg(*[F.sum(e).alias(k) for k, e in sums.items()])
+
+
+@dataclass(frozen=True)
+class Fit:
+    """What is asked for: a model by name (ridge, huber, joint_huber, ransac or joint_ransac) for
+    a target and a measure of power, without a fold. The joint forms are those of the backend "joint"."""
+
+    model: str
+    target: str = "log_vibration_rms_g"
+    power: str = "log_net_power_kw"
+    left_out: int | None = None
+
+
+def asked(name: str, p: Params, **more) -> Fit:
+    """The fit of a primary model under the chosen backend."""
+    name = "ransac" if name == "robust" else name
+    return Fit(f"joint_{name}" if p.backend == "joint" and name != "ridge" else name, **more)
+
+
+def _problem(f: Fit, p: Params) -> Problem:
+    alpha = p.ridge_alpha if f.model == "ridge" else 1e-6 if "ransac" in f.model else 1e-4
+    return Problem(f.target, f.power, alpha=alpha, scaled=p.backend != "joint", left_out=f.left_out, epsilon=p.huber_epsilon)
+
+
+def fit_all(cutting: DataFrame, fits: list[Fit], p: Params = Params(), folds: int = 0, rows: Rows | None = None) -> tuple[list[Linear], Batch]:
+    """All fits together, in the order asked for, and the batch that they came of.
+
+    The first pass solves the squares of every fit. Joint Huber fits then take damped second-order
+    steps, all of them in each pass, until a step promises nothing; iterated ones select the
+    median residual and its MAD before each pass; consensus fits draw their trials from a batch
+    of their own and are refitted to the best trial's inliers.
+    """
+    rows = rows or Rows(cutting, list(dict.fromkeys((f.target, f.power) for f in fits)), folds, p.random_state)
+    batch = Batch(rows, [_problem(f, p) for f in fits])
+    batch.step(first=True)
+    of = lambda *models: [k for k, f in enumerate(fits) if f.model in models and batch.known[k]["n"]]
+    moving = of("joint_huber", "huber")
+    rest = [k for k in range(len(fits)) if k not in moving]
+    batch.settle(*rest)
+    for k, point in enumerate(batch.points):
+        point.active = k in moving
+    _joint_rounds(batch, of("joint_huber"))
+    _reweighted_rounds(batch, of("huber"), p)
+    if consensus := of("ransac", "joint_ransac"):
+        _consensus(batch, consensus, [fits[k] for k in consensus], p)
+    table = batch.coefficients()
+    return [_model(batch, k, table, fits[k], p) for k in range(len(fits))], batch
+
+
+def _model(batch: Batch, k: int, table: DataFrame, f: Fit, p: Params) -> Linear:
+    theta, parts = batch.points[k].theta, batch.rows.parts
+    level = lambda i: (float(theta[2 + i]), float(theta[1 + len(parts) + i]))
+    return Linear(float(theta[0]), float(theta[1]), float(theta[2]), {v: level(i) for i, v in enumerate(parts) if i}, table, k, batch.points[k].rounds, f.power)
+
+
+def _joint_rounds(batch: Batch, joint: list[int], rounds: int = 60) -> None:
+    """Coefficients and scale together, from the solution of the squares on. Where most rows are met
+    exactly (as many unknowns as rows) the scale falls without end; the rounds' limit stops that."""
+    for k in joint:
+        point, n = batch.points[k], batch.known[k]["n"]
+        spread = float(np.sqrt(max(point.loss - point.drop, 0.0) / n)) + 1e-12  # the promise of a step for squares is kept
+        point.kind, point.tried, point.rounds = "joint", [(1.0, spread * s) for s in FIRST_SCALES], 0
+    while open_ones := [k for k in joint if batch.points[k].active]:
+        batch.step()
+        done = []
+        for k in open_ones:
+            point = batch.points[k]
+            if point.drop <= 1e-13 * max(abs(point.loss), 1e-300) or point.rounds >= rounds:
+                done.append(k)
+                continue
+            sigma, by = point.theta[-1], max(point.step[-1], -0.9 * point.theta[-1])
+            point.tried = [(t, max(sigma + t * by, 0.05 * sigma)) for t in LENGTHS]
+        if done:
+            batch.settle(*done)
+            for k in done:
+                batch.points[k].active = False
+
+
+def _spread(batch: Batch, k: int, n: int, near=None, width=None) -> tuple[float, float]:
+    """Median residual of problem k and the MAD around it, selected in brackets."""
+    rows, of = batch.target_rows(k), batch.residuals(k)
+    if near is None:
+        spread = float(np.sqrt(max(batch.points[k].loss, 0.0) / n)) + 1e-9
+        near, width = (-spread, spread), (0.0, 3 * spread)
+    centre = selection.narrowed(rows, [0.5], n, [near], of)[0]
+    return centre, selection.narrowed(rows, [0.5], n, [width], lambda b: np.abs(of(b) - centre))[0]
+
+
+def _reweighted_rounds(batch: Batch, ones: list[int], p: Params, tol: float = 1e-8) -> None:
+    """Squares with Huber's weights, whose scale is the MAD at the point reached, until it stays."""
+    before: dict[int, tuple[float, float]] = {}
+    brackets: dict[int, tuple] = {k: (None, None) for k in ones}
+    if ones:
+        batch.settle(*ones)
+    for k in ones:
+        batch.points[k].kind, batch.points[k].rounds = "reweighted", 0
+    while open_ones := [k for k in ones if batch.points[k].active]:
+        for k in open_ones:
+            n = int(batch.known[k]["n"])
+            centre, mad = _spread(batch, k, n, *brackets[k])
+            was = before.get(k, (centre + mad, 2 * mad))
+            before[k], brackets[k] = (centre, mad), (selection.around(centre, abs(centre - was[0]), mad, n), selection.around(mad, abs(mad - was[1]), mad, n))
+            batch.points[k].limit, batch.points[k].tried = p.huber_epsilon * max(NORMAL * mad, 1e-9), [(1.0, 1.0)]
+        batch.step()
+        batch.settle(*open_ones)
+        for k in open_ones:
+            point = batch.points[k]
+            point.active = np.sqrt(2 * point.drop / batch.known[k]["n"]) > tol and point.rounds < p.huber_rounds
+
+
+def _consensus(batch: Batch, ones: list[int], fits: list[Fit], p: Params, share: float = 0.15) -> None:
+    """The trial with the most rows within a limit, refitted to these.
+
+    The limit is twice the scaled MAD of the residuals of the plain fit, or, in the joint form,
+    the MAD of the target. A row is in a trial's sample by a hash of its keys; a pass sums up
+    some trials of all fits, and a second counts their inliers.
     """
-    cells = cell_moments(cutting, target).collect()
-    system = _System(cells)
-    gram, right = system.sums(cells)
-    t = system.scaler(gram)
-    beta = system.solve(gram, right, t, alpha)
-    n, syy = (sum(c[k] for c in cells) for k in ("n", "syy"))
-    if not n:
-        return system.model(beta, t, 0)
-    rows, n = kept(_numbered(cutting, target, cells)), int(n)
-    raw = t.T @ beta
-    spread = float(np.sqrt(max(syy - 2 * raw @ right + raw @ gram @ raw, 0.0) / n)) + 1e-9
-    centre, mad = 0.0, spread
-    near, width = (-spread, spread), (0.0, 3 * spread)
-    done = 0
-    for done in range(1, rounds + 1):
-        model = system.model(beta, t)
-        lines = np.array([model.cell(c["machine_id"], c["part_type"]) for c in cells])
-
-        def residuals(batch: pa.RecordBatch, lines: np.ndarray = lines) -> np.ndarray:
-            cell, x, q, y = _arrays(batch)
-            own = lines[cell]
-            return y - own[:, 0] - own[:, 1] * x - own[:, 2] * q
-
-        before = centre, mad
-        centre = selection.narrowed(rows, [0.5], n, [near], residuals)[0]
-        mad = selection.narrowed(rows, [0.5], n, [width], lambda batch, r=residuals, c=centre: np.abs(r(batch) - c))[0]
-        sigma = max(NORMAL * mad, 1e-9)
-        near, width = selection.around(centre, abs(centre - before[0]), mad, n), selection.around(mad, abs(mad - before[1]), mad, n)
-
-        def weighted(batches: Iterator[pa.RecordBatch], residuals=residuals, limit: float = epsilon * sigma) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(SUMS), len(lines)))
-            for batch in batches:
-                cell, x, q, y = _arrays(batch)
-                w = np.minimum(1.0, limit / np.maximum(np.abs(residuals(batch)), 1e-300))
-                for i, term in enumerate(_terms(x, q, y).T):
-                    total[i] += np.bincount(cell, w * term, len(lines))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lines))), *map(pa.array, total)], ["cell", *SUMS])
-
-        sums = rows.mapInArrow(weighted, "cell long, " + ", ".join(f"{k} double" for k in SUMS)).groupBy("cell").agg(*[F.sum(k).alias(k) for k in SUMS]).collect()
-        named = [r.asDict() | {k: cells[r["cell"]][k] for k in ("machine_id", "part_type")} for r in sorted(sums, key=lambda r: r["cell"])]
-        now = system.solve(*system.sums(named), t, alpha)
-        moved, beta = np.abs(now - beta).max(), now
-        if moved < tol:
-            break
-    return system.model(beta, t, done)
-
-
-def fit_ransac(cutting: DataFrame, target: str = "log_vibration_rms_g", trials: int = 120, share: float = 0.15, seed: int = 7) -> Linear:
-    """Consensus fit in three passes: moments of all trials' samples, inlier counts of all
-    trials' fits (one matrix product per batch), and the moments of the best one's inliers.
-    A row is in a trial's sample by a hash of its keys."""
-    cells = cell_moments(cutting, target).collect()
-    system = _System(cells)
-    gram, right = system.sums(cells)
-    t = system.scaler(gram)
-    start = system.model(system.solve(gram, right, t, 1e-6), t)
-    r = F.col(target) - start.predict()
-    centre = selection.median(cutting, r)
-    if centre is None:
-        return start
-    threshold = max(2 * NORMAL * selection.median(cutting, F.abs(r - centre)), 1e-9)
-    n = sum(c["n"] for c in cells)
-    share = min(1.0, max(share * n, system.size + 1, 50) / n)
-    keyed = kept(_numbered(cutting, target, cells, F.xxhash64(F.lit(seed), *KEYS).alias("h")))
-
-    def chosen(h: np.ndarray, trial: int) -> np.ndarray:
-        mixed = (h.view(np.uint64) ^ np.uint64(trial * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (mixed >> np.uint64(11)).astype(np.float64) / 2**53 < share
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((trials, len(cells), len(SUMS)))
-        for batch in batches:
-            cell, x, q, y, h = _arrays(batch)
-            terms = _terms(x, q, y)
-            for trial in range(trials):
-                took = chosen(h, trial)
-                np.add.at(total[trial], cell[took], terms[took])
-        index = np.indices(total.shape[:2]).reshape(2, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(index[0]), pa.array(index[1]), *(pa.array(total[..., i].ravel()) for i in range(len(SUMS)))], ["trial", "cell", *SUMS])
-
-    sums = keyed.mapInArrow(sampled, "trial long, cell long, " + ", ".join(f"{c} double" for c in SUMS))
-    rows = sums.groupBy("trial", "cell").agg(*[F.sum(c).alias(c) for c in SUMS]).orderBy("trial", "cell").collect()
-    by_trial: dict[int, list] = {}
-    for row in rows:
-        c = cells[row["cell"]]
-        by_trial.setdefault(row["trial"], []).append(row.asDict() | {"machine_id": c["machine_id"], "part_type": c["part_type"]})
-    fits = [start, *[system.model(system.solve(*system.sums(by_trial[k]), t, 1e-6), t) for k in sorted(by_trial)]]
-    lines = np.array([[f.cell(c["machine_id"], c["part_type"]) for c in cells] for f in fits])  # fits x cells x 3
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = np.zeros(len(lines), np.int64)
-        for batch in batches:
-            cell, x, q, y, _ = _arrays(batch)
-            own = lines[:, cell]
-            hits += (np.abs(y - own[..., 0] - own[..., 1] * x - own[..., 2] * q) <= threshold).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lines))), pa.array(hits)], ["trial", "hits"])
-
-    best = keyed.mapInArrow(counted, "trial long, hits long").groupBy("trial").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "trial").first()["trial"]
-    inliers = cutting.where(F.abs(F.col(target) - fits[best].predict()) <= threshold)
-    refit = cell_moments(inliers, target).collect()
-    if sum(c["n"] for c in refit) > system.size + 1:
-        return system.model(system.solve(*system.sums(refit), t, 1e-6), t, trials)
-    return fits[best]
+    limits, best = {}, {k: (-1, -1) for k in ones}
+    for k, f in zip(ones, fits):
+        n = int(batch.known[k]["n"])
+        if f.model == "ransac":
+            limits[k] = max(2 * NORMAL * _spread(batch, k, n)[1], 1e-9)
+        else:
+            y = batch.target_rows(k)
+            middle = selection.median(y, F.col("y"))
+            limits[k] = max(selection.median(y, F.abs(F.col("y") - middle)), 1e-9)
+    kept_trials: dict[int, tuple[Batch, int]] = {}
+    for at in range(0, p.ransac_trials, TRIALS_AT_ONCE):
+        pairs = [(k, t) for k in ones for t in range(at, min(at + TRIALS_AT_ONCE, p.ransac_trials))]
+        least = lambda k: min(1.0, max(share * batch.known[k]["n"], batch.rows.size, 50) / batch.known[k]["n"])
+        own = Batch(batch.rows, [replace(batch.problems[k], trial=t, share=least(k)) for k, t in pairs])
+        own.step(first=True)
+        own.settle(*range(len(pairs)))
+        hits = _within(own, [limits[k] for k, _ in pairs])
+        for i, (k, t) in enumerate(pairs):
+            if hits[i] > best[k][0]:
+                best[k], kept_trials[k] = (hits[i], t), (own, i)
+    for k in ones:
+        own, i = kept_trials[k]
+        batch.points[k].theta, batch.points[k].step = own.points[i].theta.copy(), np.zeros(batch.rows.size)
+        batch.points[k].kind, batch.points[k].limit, batch.points[k].tried, batch.points[k].active = "inliers", limits[k], [(1.0, 1.0)], True
+    _take_states(batch, {k: kept_trials[k] for k in ones})
+    batch.step()
+    batch.settle(*ones)
+    for k in ones:
+        batch.points[k].active, batch.points[k].rounds = False, p.ransac_trials
+
+
+def _within(batch: Batch, limits: list[float]) -> list[int]:
+    """Rows of each problem, sampled or not, whose residual is within its limit."""
+    problems, parts, nk = batch.problems, len(batch.rows.parts), len(batch.problems)
+    forms, count = [batch.rows.form(p) for p in problems], len(batch.rows.forms)
+    lines = [_lines(p.theta, parts) for p in batch.points]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = np.zeros(nk, np.int64)
+        for some, starts, of in _runs(batches):
+            states = _states(some, starts, nk)
+            q, part, fold = (_numbers(some, c) for c in ("q", "part", "fold"))
+            both = [(_numbers(some, f"x{i}"), _numbers(some, f"y{i}").astype(float)) for i in range(count)]
+            for k, p in enumerate(problems):
+                line, state = lines[k][part], states[of, k]
+                x, y = both[forms[k]]
+                r = y - line[:, 0] - state[:, 0] - (line[:, 1] + state[:, 1]) * x - line[:, 2] * q
+                inside = np.abs(r) <= limits[k]  # not where the target is missing
+                hits[k] += np.count_nonzero(inside if p.left_out is None else inside & (fold != p.left_out))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(nk)), pa.array(hits)], ["k", "hits"])
+
+    found = batch.joined().mapInArrow(run, "k long, hits long").groupBy("k").agg(F.sum("hits").alias("hits")).collect()
+    out = dict.fromkeys(range(nk), 0) | {r["k"]: r["hits"] for r in found}
+    return [out[k] for k in range(nk)]
+
+
+def _take_states(batch: Batch, taken: dict[int, tuple[Batch, int]]) -> None:
+    """batch's machines with the coefficients that the chosen trials' batches have for them; all
+    batches have the same machines."""
+    nk, df = len(batch.problems), batch.machines
+    sources = {id(b): b for b, _ in taken.values()}
+    for i, b in enumerate(sources.values()):
+        df = df.join(b.machines.select("machine_id", F.col("state").alias(f"s{i}")), "machine_id", "left")
+    order, sizes = list(sources), [len(b.problems) for b in sources.values()]
+    moves = [(k, order.index(id(b)), i) for k, (b, i) in taken.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            state = np.frombuffer(b"".join(some.column(1).to_pylist())).reshape(some.num_rows, nk, -1).copy()
+            others = [np.frombuffer(b"".join(x or bytes(48 * n) for x in some.column(2 + i).to_pylist())).reshape(some.num_rows, n, -1) for i, n in enumerate(sizes)]
+            for k, source, i in moves:
+                state[:, k, 0:2], state[:, k, 2:4] = others[source][:, i, 0:2], 0
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.tobytes() for s in state], pa.binary())], ["machine_id", "state"])
+
+    batch.machines = kept(df.mapInArrow(run, "machine_id string, state binary"))
+
+
+def fit_ridge(cutting: DataFrame, target: str = "log_vibration_rms_g", alpha: float = 1.0, p: Params = Params(backend="iterated")) -> Linear:
+    return fit_all(cutting, [Fit("ridge", target)], replace(p, ridge_alpha=alpha))[0][0]
+
+
+def fit_huber(cutting: DataFrame, target: str = "log_vibration_rms_g", epsilon: float = 1.35, rounds: int = 100) -> Linear:
+    """Iteratively reweighted least squares with a MAD scale, until the prediction stays."""
+    return fit_all(cutting, [Fit("huber", target)], Params(backend="iterated", huber_epsilon=epsilon, huber_rounds=rounds))[0][0]
+
+
+def fit_joint_huber(cutting: DataFrame, target: str = "log_vibration_rms_g", epsilon: float = 1.35) -> Linear:
+    """Least Huber loss over coefficients and scale together."""
+    return fit_all(cutting, [Fit("joint_huber", target)], Params(huber_epsilon=epsilon))[0][0]
+
+
+def fit_ransac(cutting: DataFrame, target: str = "log_vibration_rms_g", trials: int = 120, seed: int = 7) -> Linear:
+    return fit_all(cutting, [Fit("ransac", target)], Params(backend="iterated", ransac_trials=trials, random_state=seed))[0][0]
 
 
 def fit_primary(cutting: DataFrame, p: Params = Params(), target: str = "log_vibration_rms_g") -> Linear:
-    if p.primary_model == "ridge":
-        return fit_ridge(cutting, target, p.ridge_alpha)
-    if p.primary_model == "huber":
-        return fit_huber(cutting, target, p.huber_epsilon, rounds=p.huber_rounds)
-    return fit_ransac(cutting, target, p.ransac_trials, seed=p.random_state)
-
-
-def cross_validated_r2(cutting: DataFrame, target: str = "log_vibration_rms_g", folds: int = 5, alpha: float = 1.0) -> DataFrame:
-    """(fold, r2) of ridge: moments per fold in one pass, each fit from the total less its fold."""
-    fold = F.pmod(F.xxhash64(*KEYS), F.lit(folds))
-    tagged = cutting.where(F.col(target).isNotNull()).withColumn("fold", fold)
-    grouped = {}
-    sums = {"n": F.lit(1.0)}
-    x, q, y = measure("log_net_power_kw"), measure("quantity"), F.col(target)
-    sums |= {"sx": x, "sq": q, "sxx": x * x, "sxq": x * q, "sqq": q * q, "sy": y, "sxy": x * y, "sqy": q * y, "syy": y * y}
-    for r in tagged.groupBy("fold", "machine_id", "part_type").agg(*[F.sum(e).alias(k) for k, e in sums.items()]).collect():
-        grouped.setdefault(r["fold"], []).append(r.asDict())
-    every = [r for rows in grouped.values() for r in rows]
-    system = _System(every)
-    out = []
-    for f, own in sorted(grouped.items()):
-        others = [r for k, rows in grouped.items() if k != f for r in rows]
-        if not others:
-            continue
-        gram, right = system.sums(others)
-        t = system.scaler(gram)
-        raw = t.T @ system.solve(gram, right, t, alpha)
-        gram, right = system.sums(own)
-        n, sy, syy = (sum(r[k] for r in own) for k in ("n", "sy", "syy"))
-        lost, spread = syy - 2 * raw @ right + raw @ gram @ raw, syy - sy * sy / n
-        out.append((int(f), float(1 - lost / spread) if spread > 0 else None))
-    return cutting.sparkSession.createDataFrame(out, "fold int, r2 double")
+    return fit_all(cutting, [asked(p.primary_model, p, target=target)], p)[0][0]
+
+
+def cross_validated_r2(cutting: DataFrame, models: list[str] = ("ridge", "huber", "ransac"), target: str = "log_vibration_rms_g", folds: int = 5, p: Params = Params()) -> DataFrame:
+    """(model, fold, r2): each model fitted without each fold, all fits in the same passes, and
+    judged on it. A fold without rows is left out, one without spread has no r2."""
+    fits = [asked(m, p, target=target, left_out=f) for m in models for f in range(folds)]
+    _, batch = fit_all(cutting, fits, p, folds)
+    parts, nk = len(batch.rows.parts), len(fits)
+    lines = [_lines(point.theta, parts) for point in batch.points]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((nk, 4))
+        for some, starts, of in _runs(batches):
+            states = _states(some, starts, nk)
+            x, q, part, fold, y = (_numbers(some, c) for c in ("x0", "q", "part", "fold", "y0"))
+            y = y.astype(float)
+            for k, f in enumerate(fits):
+                use = (fold == f.left_out) & ~np.isnan(y)
+                line, state, own = lines[k][part[use]], states[of[use], k], y[use]
+                r = own - line[:, 0] - state[:, 0] - (line[:, 1] + state[:, 1]) * x[use] - line[:, 2] * q[use]
+                total[k] += len(own), (r * r).sum(), own.sum(), (own * own).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(nk)), *map(pa.array, total.T)], ["k", "n", "lost", "s", "ss"])
+
+    sums = {r["k"]: r for r in batch.joined().mapInArrow(run, "k long, n double, lost double, s double, ss double").groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "lost", "s", "ss")]).collect()}
+    names = [m for m in models for _ in range(folds)]
+    out = [(names[k], fits[k].left_out, float(1 - s["lost"] / spread) if (spread := s["ss"] - s["s"] ** 2 / s["n"]) > 0 else None) for k, s in sorted(sums.items()) if s["n"]]
+    return cutting.sparkSession.createDataFrame(out, "model string, fold int, r2 double")

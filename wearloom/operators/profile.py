@@ -47,10 +47,20 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, column: str, by: list[str] = (), accuracy: int | None = None) -> DataFrame:
-    """Count, mean, deviation, extremes and percentiles of a column, whole or by groups."""
-    q = quantiles(F.col(column), list(SHARES), accuracy)
-    out = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev(column).alias("std"), F.min(column).alias("low"), F.max(column).alias("high"), q.alias("q"))
-    return out.select(*by, "n", "mean", "std", "low", "high", *[F.col("q")[i].alias(f"p{round(100 * s):02d}") for i, s in enumerate(SHARES)])
+    """Count, mean, deviation, extremes and percentiles of a column, whole or by groups. Percentiles
+    are selected, however long a group is; with an accuracy they are sketches of the same pass."""
+    moments = {"n": F.count(column), "mean": F.avg(column), "std": F.stddev(column), "low": F.min(column), "high": F.max(column)}
+    sums = df.groupBy(*by).agg(*[e.alias(k) for k, e in moments.items()], *([quantiles(F.col(column), list(SHARES), accuracy).alias("q")] if accuracy else []))
+    if not accuracy:
+        found = selection.by_group(df, list(by), F.col(column), list(SHARES))
+        if by:
+            found = found.select(*[F.col(k).alias(f"_{k}") for k in by], "q")
+            out = sums.join(found, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by])
+        else:
+            out = sums.withColumn("q", F.lit(found.first()["q"]))  # seven numbers
+    else:
+        out = sums
+    return out.select(*by, *moments, *[F.col("q")[i].alias(f"p{round(100 * s):02d}") for i, s in enumerate(SHARES)])
 
 
 def defect_counts(power: DataFrame, vibration: DataFrame, log: DataFrame, implausible: float = 100.0) -> DataFrame:
@@ -124,8 +134,11 @@ def in_job_share(labelled: DataFrame) -> DataFrame:
 
 def power_vibration_correlation(cutting: DataFrame) -> DataFrame:
     """(part_type or null for all, n, correlation, p05_kw, p95_kw), by grouping sets."""
-    q = F.percentile("net_power_kw", F.array(F.lit(0.05), F.lit(0.95)))
-    out = cutting.groupingSets([["part_type"], []], "part_type").agg(F.count("*").alias("n"), F.corr("net_power_kw", "vibration_rms_g").alias("correlation"), q.alias("q"))
+    sums = cutting.groupingSets([["part_type"], []], "part_type").agg(F.count("*").alias("n"), F.corr("net_power_kw", "vibration_rms_g").alias("correlation"), F.grouping("part_type").alias("every"))
+    whole = selection.quantiles(cutting, F.col("net_power_kw"), [0.05, 0.95])
+    q = selection.by_group(cutting, ["part_type"], F.col("net_power_kw"), [0.05, 0.95]).select(F.col("part_type").alias("of"), "q", F.lit(0).cast("byte").alias("of_every"))
+    every = cutting.sparkSession.createDataFrame([(None, whole, 1)], "of string, q array<double>, of_every byte")
+    out = sums.join(q.unionByName(every), F.col("part_type").eqNullSafe(F.col("of")) & (F.col("every") == F.col("of_every")), "left")
     return out.select("part_type", "n", "correlation", F.col("q")[0].alias("p05_kw"), F.col("q")[1].alias("p95_kw"))
 
 
@@ -135,9 +148,9 @@ def sextile_spread(cutting: DataFrame, buckets: int = 6) -> DataFrame:
     edges = selection.quantiles(cutting, F.col("net_power_kw"), [i / buckets for i in range(buckets + 1)]) or []
     inner = sorted(set(edges))[1:-1]
     bucket = sum(((F.col("net_power_kw") > e).cast("int") for e in inner), F.lit(0))
-    return cutting.groupBy(bucket.alias("bucket")).agg(
-        F.count("*").alias("n"), F.median("net_power_kw").alias("power_kw"), F.stddev("vibration_rms_g").alias("sd_rms"), F.stddev("log_vibration_rms_g").alias("sd_log_rms")
-    )
+    rows = cutting.withColumn("bucket", bucket)
+    sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.stddev("vibration_rms_g").alias("sd_rms"), F.stddev("log_vibration_rms_g").alias("sd_log_rms"))
+    return sums.join(selection.medians(rows, ["bucket"], F.col("net_power_kw"), "power_kw"), "bucket").select("bucket", "n", "power_kw", "sd_rms", "sd_log_rms")
 
 
 def sextile_ratios(spread: DataFrame) -> DataFrame:
@@ -148,8 +161,9 @@ def sextile_ratios(spread: DataFrame) -> DataFrame:
 
 def part_pivot(cutting: DataFrame) -> DataFrame:
     """(machine_id, part_type, median_ratio): the long form of the machine by part table."""
-    return cutting.groupBy("machine_id", "part_type").agg(F.median("vib_per_kw").alias("median_ratio"))
+    return selection.medians(cutting, ["machine_id", "part_type"], F.col("vib_per_kw"), "median_ratio")
 
 
-def part_pivot_wide(cutting: DataFrame, parts: list[str]) -> DataFrame:
-    return cutting.groupBy("machine_id").pivot("part_type", parts).agg(F.median("vib_per_kw"))
+def part_pivot_wide(cutting: DataFrame) -> DataFrame:
+    """machine_id and a column per part type, of which there are few."""
+    return part_pivot(cutting).groupBy("machine_id").pivot("part_type").agg(F.first("median_ratio"))

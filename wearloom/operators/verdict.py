@@ -2,41 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearloom.functions import selection
 from wearloom.functions.ranking import running_total
-from wearloom.operators.linear import Linear, fit_primary
+from wearloom.functions.tables import kept
+from wearloom.operators.linear import fit_primary
 from wearloom.operators.outliers import fit_secondary, with_outlier_score
 from wearloom.operators.robust import robust_scale
 from wearloom.params import Params
 
 
 def fit_detector(cutting: DataFrame, p: Params = Params()) -> dict:
-    """Both models, the centre and scale of the residuals, and what the fit saw, as plain
-    values. The centre is the plain median of the residuals."""
+    """Both models, the centre and scale of the residuals, and what the fit saw. The centre is the
+    plain median of the residuals. Machines' coefficients and densities are tables, all else
+    plain values."""
     target, primary = p.target, fit_primary(cutting, p, p.target)
-    rows = cutting.withColumn("residual", F.col(target) - primary.predict())
-    seen = rows.agg(
-        F.count("*").alias("n"), F.stddev_pop("residual").alias("std"),
-        F.stddev_pop(target).alias("y_std"), F.sort_array(F.collect_set("machine_id")).alias("machines"), F.sort_array(F.collect_set("part_type")).alias("parts"),
-    ).first()
+    rows = kept(primary.with_prediction(cutting, "fit").select(F.col(target).alias("y"), (F.col(target) - F.col("fit")).alias("residual")))
+    seen = rows.agg(F.count("*").alias("n"), F.stddev_pop("residual").alias("std"), F.stddev_pop("y").alias("y_std")).first()
     centre = selection.median(rows, F.col("residual")) or 0.0
     scale = robust_scale(rows.withColumn("off", F.col("residual") - centre), "off", p.scale_estimator, p.scale_trim_sigma)
     return {
-        "target": target, "primary": primary.as_dict(), "centre": centre, "scale": scale, "sigma_multiple": p.sigma_multiple, "one_sided": p.one_sided,
-        "secondary": fit_secondary(cutting, p), "n_fit_readings": seen["n"], "residual_std": seen["std"],
-        "r2": 1 - (seen["std"] / seen["y_std"]) ** 2 if seen["y_std"] else None, "machines": list(seen["machines"]), "part_types": list(seen["parts"]),
+        "target": target, "primary": primary, "centre": centre, "scale": scale, "sigma_multiple": p.sigma_multiple, "one_sided": p.one_sided,
+        "secondary": fit_secondary(cutting, p), "n_fit_readings": seen["n"], "residual_std": seen["std"], "backend": p.backend,
+        "r2": 1 - (seen["std"] / seen["y_std"]) ** 2 if seen["y_std"] else None, "part_types": [r[0] for r in cutting.select("part_type").distinct().dropna().orderBy("part_type").collect()],
     }
 
 
+def fit_metadata(spark: SparkSession, detector: dict) -> DataFrame:
+    """(metric, value): what a detector was fitted to, a row per number, part type and machine."""
+    numbers = ("backend", "target", "n_fit_readings", "r2", "centre", "scale", "residual_std", "sigma_multiple")
+    primary, secondary = detector["primary"], detector["secondary"]
+    rows = [(k, str(detector[k])) for k in numbers] + [("secondary", secondary["kind"]), ("threshold", str(secondary["threshold"])), ("rounds", str(primary.rounds))]
+    rows += [("part_type", x) for x in detector["part_types"]]
+    return spark.createDataFrame(rows, "metric string, value string").unionByName(primary.machines.where("machine_id IS NOT NULL").select(F.lit("machine").alias("metric"), F.col("machine_id").alias("value")))
+
+
 def score_readings(readings: DataFrame, detector: dict) -> DataFrame:
     """readings with prediction, residual, both scores and flags. predicted_rms_g and
     residual_g are on the scale of the target, which is logarithmic by default. The primary
     score of a two-sided detector is the size of residual_sigma, which keeps its sign."""
-    primary = Linear(**{k: v for k, v in detector["primary"].items()})
-    df = readings.withColumn("predicted_rms_g", primary.predict()).withColumn("residual_g", F.col(detector["target"]) - F.col("predicted_rms_g"))
+    df = detector["primary"].with_prediction(readings, "predicted_rms_g").withColumn("residual_g", F.col(detector["target"]) - F.col("predicted_rms_g"))
     df = df.withColumn("residual_sigma", (F.col("residual_g") - detector["centre"]) / detector["scale"])
     df = df.withColumn("primary_score", F.col("residual_sigma") if detector["one_sided"] else F.abs("residual_sigma"))
     df = with_outlier_score(df, detector["secondary"])

@@ -50,6 +50,10 @@ class Params:
     score_quantile: float = 0.95
     random_state: int = 7
     mode: str = "fit"
+    #: "joint": Huber's loss over coefficients and scale together, least covariance determinant,
+    #: local outlier factor over all rows. "iterated": reweighting, concentration steps, a
+    #: reference sample of lof_reference_size rows.
+    backend: str = "joint"
     #: For percentiles by machine, part or job. None: exact; else the accuracy of percentile_approx.
     quantile_accuracy: int | None = None
 
@@ -63,7 +67,7 @@ class Params:
         choices = {
             "primary_model": ("ridge", "huber", "ransac", "robust"), "secondary_model": ("mahalanobis", "isolation_forest", "lof"),
             "scale_estimator": ("std", "iqr", "mad", "trimmed_mad"), "idle_method": ("min", "percentile"),
-            "target": ("log_vibration_rms_g", "vibration_rms_g"), "mode": ("fit", "load"),
+            "target": ("log_vibration_rms_g", "vibration_rms_g"), "mode": ("fit", "load"), "backend": ("joint", "iterated"),
         }
         for name, allowed in choices.items():
             if getattr(self, name) not in allowed:

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wearloom.operators.linear import Linear
+
 #: Required columns of each source, by kind.
 POWER = {"timestamp": "time", "machine_id": "text", "power_kw": "number"}
 VIBRATION = {"timestamp": "time", "machine_id": "text", "vibration_rms_g": "number", "vibration_peak_g": "number"}
@@ -67,9 +69,18 @@ def write_diagnostics(diagnostics: DataFrame, path: str) -> None:
 
 
 def save_detector(spark: SparkSession, detector: dict, path: str) -> None:
-    """A fitted detector's parameters as one JSON row."""
-    spark.createDataFrame([(json.dumps(detector),)], "detector string").coalesce(1).write.mode("overwrite").text(path)
+    """A fitted detector: its numbers as one JSON row, its tables (machines' coefficients,
+    densities) as Parquet beside them."""
+    primary, secondary = detector["primary"], dict(detector["secondary"])
+    tables = {"machines": primary.machines} | {k: secondary.pop(k) for k in ("reference", "factors") if secondary.get(k) is not None}
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    text = json.dumps(detector | {"primary": primary.as_dict(), "secondary": secondary, "tables": list(tables)})
+    spark.createDataFrame([(text,)], "detector string").coalesce(1).write.mode("overwrite").text(f"{path}/numbers")
 
 
 def load_detector(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(path).first()[0])
+    detector = json.loads(spark.read.text(f"{path}/numbers").first()[0])
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in detector.pop("tables")}
+    primary = Linear(**detector["primary"], machines=tables.pop("machines"))
+    return detector | {"primary": primary, "secondary": detector["secondary"] | tables}
