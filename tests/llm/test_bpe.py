@@ -30,7 +30,7 @@ def ids(packed):
 
 
 CASES = [
-    "", " ", "\n\n  x", "don't we'll I'm", "aaaa" * 50, "a" * 5000, "Éauouaux ché élle", "Die Größe\tß",
+    "", " ", "\n\n  x", "don't we'll I'm", "aaaa" * 50, "a" * 5000, "word " * 200_000, "é" * 100_000, "Éauouaux ché élle", "Die Größe\tß",
     "x<|endoftext|>y <|endoftext|>", "<|endoftext|>", "12 345 6,7", "日本語 テキスト", "🙂🙂 é", "\x1c\x1d a\x85b", "=" * 300,
     "   trailing   ", "ingingedtion" * 40, "﻿bom", "a b",
 ]

@@ -1,5 +1,6 @@
 """Small tests of the text operators: brute force, held-out accuracy, round trips and edge cases."""
 
+import hashlib
 import math
 import re
 from collections import defaultdict
@@ -318,6 +319,26 @@ def test_exact_bound():
     assert abs(rules.lost_bound(0, 100, 0.05) - (1 - 0.05 ** (1 / 100))) < 1e-9
 
 
+def test_tails_of_large_holdouts():
+    """Some terms decide, however many there are; held against sums of all terms."""
+    for k, n, p in ((30, 1000, 0.05), (70, 1000, 0.05), (0, 10, 0.3), (9, 10, 0.3), (500, 1000, 0.0142), (3, 400, 0.0142)):
+        plain = math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+        assert rules.binomial_tail(k, n, p) == pytest.approx(plain, rel=1e-9)
+        assert rules.admitted(k, n, 1e-3, p) == (plain <= 1e-3)
+    for k in (13_900, 14_285, 15_000, 900_000):
+        assert 0 <= rules.binomial_tail(k, 10**6, 0.1 / 7) <= 1
+    assert not rules.admitted(0, 0, 0.1, 0.1) and not rules.admitted(5, 5, 0.1, 0.1)
+
+
+def test_an_id_is_one_draw_with_one_label(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    docs = spark.createDataFrame([(i % 40, text, "en") for i in range(200)] + [(None, text, "en")] * 50, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] * 2 + [(i, 0) for i in range(10)] + [(11, None), (None, 1)], "doc_id long, quality int")
+    counts = rules.good_counts(rules.metrics(docs), labels).collect()
+    assert [(r.stratum, r.n) for r in counts] == [("en", 30)]
+    assert len(rules.judge(docs, labels).collect()) == 250
+
+
 def test_rules_keep_their_risk(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = rules.judge(docs, labels).join(labels, "doc_id").where("quality = 1 AND NOT base_failed").groupBy("stratum").agg(F.avg((~F.col("kept")).cast("int")).alias("lost")).collect()
@@ -386,6 +407,21 @@ def test_equal_keys_give_the_same_rows_again(spark):
     assert one == two and len(one) == mixing.mix(df).agg(F.sum("copies")).first()[0]
 
 
+def test_rows_with_one_id_or_none_spread_over_ranges(spark):
+    rows = [(None, f"a{i % 50} b c", "s") for i in range(12_000)] + [(7, "x y z", "s")] * 6000 + [(i, "u v w", "t") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sized = df.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), mixing.word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row"))
+        assert mixing.laid_out(sized).groupBy("range").count().agg(F.max("count")).first()[0] < 3000
+        got = mixing.mix(df).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(r.n for r in got) == [2000, 18_000] and all(abs(r.taken - r.target) <= 3 for r in got)
+
+
 def test_mix_edges(spark):
     df = edge_docs(spark)
     got = mixing.mix(df).collect()
@@ -609,3 +645,29 @@ def test_both_prunings_are_used_and_exact():
         plain = sorted((-int(row @ v), i) for i, v in zip(ids, c) if i != q_ids[place])[:10]
         assert [(-s, i) for s, i in plain] == list(zip(scores.tolist(), got.tolist()))
     assert used["coordinate"] and used["length"] and used["skipped"]
+
+
+# Very long values and many classes
+
+
+def test_very_long_texts_and_urls(spark):
+    long = "ab </s> \\ " * 200_000
+    conversations = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    got = next(r for r in chat.query(spark, conversations).collect() if r.conv_id == 1)
+    assert got.loss_chars == len(long) and got.loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    url = "http://www.example.com/en/" + "a/" * 100_000 + "?q"
+    pages = spark.createDataFrame([(1, url, ""), (2, "http://x.org/" + "b" * 100_000, "")], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in urls.judge(pages).collect()}
+    assert rows[1].verdict == "allow" and rows[1].path == "/en/" + "a/" * 100_000 and rows[2].verdict in ("allow", "block")
+
+
+def test_many_languages(spark):
+    rng = np.random.default_rng(1)
+    words = {f"l{i:02d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for i in range(60)}
+    rows = [(i, " ".join(rng.choice(words[lang], 30)), lang) for i, lang in enumerate(lang for lang in words for _ in range(12))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.query(docs).collect()}
+    out = [r for r in rows if got[r[0]].held_out]
+    assert np.mean([got[i].lang_pred == lang for i, _, lang in out]) > 0.9
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs.withColumn("lang", F.concat("lang", F.col("doc_id").cast("string"))).unionByName(docs.withColumn("lang", F.concat(F.lit("x"), F.col("doc_id").cast("string")))), F.lit(True))

@@ -258,8 +258,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def encode_and_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): one row per input row.
 
-    Null text counts as empty: no ids, digests of nothing. Repeated rows stay. The
-    vocabulary file is a parameter. Other columns are not read.
+    Null text counts as empty: no ids, digests of nothing. Null ids stay null, repeated rows stay
+    and are encoded alike. Very long texts are encoded whole, a piece without a break by one
+    heap as well; equal merges go to the leftmost. The vocabulary file is a parameter. Other
+    columns are not read, whatever their names. An empty table gives no rows.
     """
     spec = _shared_spec(docs, path)
 

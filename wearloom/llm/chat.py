@@ -102,7 +102,10 @@ def format_chats(conversations: DataFrame, template: Template = Template()) -> D
     segments is an array of (text, loss); formatted is their texts in a row. Conversations
     whose turns come in no proper order are formatted too, with valid false and the place of
     the first wrong turn. A conversation is one row, so its turns meet in one task; its text
-    has to fit in a value of a column.
+    has to fit in a value of a column, and is written and read back whole up to there. Turns of
+    one number come by role, then text; repeated rows are turns one after the other; rows
+    without a conv_id are a conversation of their own. An empty table gives no rows. Other
+    columns are not read, whatever their names.
     """
 
     def segment(text: Column, loss: bool) -> Column:
@@ -134,14 +137,14 @@ def format_chats(conversations: DataFrame, template: Template = Template()) -> D
 def read_back(formatted: Column, template: Template = Template()) -> Column:
     """Array of (role, text) of a formatted conversation."""
     closings = "|".join(re.escape(t.closing) for t in [*template.turns.values(), template.other])
-    pieces = F.split(F.substring(formatted, len(template.start) + 1, 1 << 30), closings, -1)
+    pieces = F.split(F.substr(formatted, F.lit(len(template.start) + 1)), closings, -1)
     pieces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)  # nothing stands after the last closing
 
     def parse(p: Column) -> Column:
-        named = F.split(F.substring(p, len(template.role_mark) + 1, 1 << 30), re.escape(template.other.opening), 2)
+        named = F.split(F.substr(p, F.lit(len(template.role_mark) + 1)), re.escape(template.other.opening), 2)
         out = F.struct(template.unescaped(named[0]).alias("role"), template.unescaped(F.coalesce(F.get(named, F.lit(1)), F.lit(""))).alias("text"))
         for role, turn in template.turns.items():
-            mine = F.struct(F.lit(role).alias("role"), template.unescaped(F.substring(p, len(turn.opening) + 1, 1 << 30)).alias("text"))
+            mine = F.struct(F.lit(role).alias("role"), template.unescaped(F.substr(p, F.lit(len(turn.opening) + 1))).alias("text"))
             out = F.when(F.startswith(p, F.lit(turn.opening)), mine).otherwise(out)
         return out
 
@@ -167,7 +170,8 @@ def digests(chats: DataFrame, template: Template = Template()) -> DataFrame:
 
 def query(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     """Digests of all conversations and of number -1, whose texts are made of control strings.
-    Rows that the table itself has under -1 are turns of the same conversation."""
+    Rows that the table itself has under -1 are turns of the same conversation; of an empty table
+    only number -1 comes. Other cases as in ``format_chats``."""
     tricky = spark.sql("SELECT -1L AS conv_id, id AS turn, IF(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
     own = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     return digests(format_chats(own.unionByName(tricky)))

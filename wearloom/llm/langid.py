@@ -29,6 +29,8 @@ BUCKETS = 1 << BUCKET_BITS
 LONGEST_GRAM = 4
 #: Bound of the training sample: expected documents per language.
 TRAIN_DOCS = 1500
+#: Languages that a model may have: its table has a column for each.
+MOST_LANGS = 1000
 SWITCH_PENALTY = 12.0
 SMOOTHING = 0.5
 #: Share of a word's total n-gram evidence that counts: the n-grams of a word overlap.
@@ -95,12 +97,15 @@ def train(docs: DataFrame, chosen: Column, id_col: str = "doc_id", per_lang: int
 
     A first pass counts documents per language (narrow columns only); a repeatable hash
     of the id then thins each language to about ``per_lang`` documents. What reaches the
-    driver is bounded by languages times buckets.
+    driver are columns of numbers, at most BUCKETS for each language; more than MOST_LANGS
+    languages are refused with an error.
     """
     labelled = docs.where(chosen & F.col("lang").isNotNull() & F.col(id_col).isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), [])
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"{len(sizes)} languages are labelled, at most {MOST_LANGS} can be learned")
     langs = sorted(sizes)
     share = F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, per_lang / sizes[lang]))]), F.col("lang"))
     sample = labelled.where(hash_share(id_col) < share).select("lang", "text")
@@ -122,20 +127,22 @@ def train(docs: DataFrame, chosen: Column, id_col: str = "doc_id", per_lang: int
                     seen[script_of(c)] += n
         for lang, own in counts.items():
             at = np.flatnonzero(own)
-            for keys, values in ((list(map(str, at)), own[at]), ([f"s{s}" for s in scripts[lang]], list(scripts[lang].values()))):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array(values, pa.int64())], ["lang", "item", "n"]
-                )
+            seen = scripts[lang]
+            keys, marks = np.r_[at, np.full(len(seen), -1)], [None] * len(at) + list(seen)
+            values = np.r_[own[at], np.fromiter(seen.values(), np.int64, len(seen))]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(marks, pa.string()), pa.array(values, pa.int64())], ["lang", "bucket", "script", "n"])
 
     table = np.full((BUCKETS, len(langs)), SMOOTHING)
     letters: list[Counter] = [Counter() for _ in langs]
     place = {lang: i for i, lang in enumerate(langs)}
-    rows = sample.mapInArrow(run, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")).collect()
-    for lang, item, n in rows:
-        if item[0] == "s":
-            letters[place[lang]][item[1:]] += n
-        else:
-            table[int(item), place[lang]] += n
+    counted = sample.mapInArrow(run, "lang string, bucket long, script string, n long")
+    found = counted.groupBy("lang", "bucket", "script").agg(F.sum("n").alias("n")).toArrow()
+    lang = np.array([place[x] for x in found["lang"].to_pylist()], np.int64)
+    bucket, n = found["bucket"].to_numpy(), found["n"].to_numpy()
+    own = bucket >= 0
+    table[bucket[own], lang[own]] += n[own]
+    for i in np.flatnonzero(~own).tolist():
+        letters[lang[i]][found["script"][i].as_py()] += int(n[i])
     scripts = [{s for s, n in c.items() if n >= SCRIPT_SHARE * c.total()} for c in letters]
     return Model(langs, (np.log(table) - np.log(table.sum(axis=0))).astype(np.float32), scripts)
 

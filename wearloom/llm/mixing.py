@@ -6,9 +6,10 @@ that length; with one random offset per source it is emitted once for every inte
 boundary in its stretch. The order by size spreads what is taken evenly over all sizes,
 so a source's taken words come near its target.
 
-A document's place in its source is found without one ordered task per source: counts per
-(source, size) are summed up first, and within a size documents fall into as many hash
-ranges as its count asks for, each ranked on its own.
+A document's place in its source is found without one ordered task per source: rows are laid
+out by ranges of (source, size, hash, id, text), with a number of the row itself last, so that
+any number of equal rows may spread over several ranges; each range is ranked on its own, and
+the counts of the ranges before it (one row per range and source) are added.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SEED = "mix-1"
-#: Documents of one size that a hash range holds, about.
-RANGE_ROWS = 1000
 #: Parts of the hash: 28 bits.
 PARTS = 1 << 28
 
@@ -75,6 +74,16 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
+def _order() -> list[Column]:
+    return [F.col("size"), F.col("part"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"), F.col("row")]
+
+
+def laid_out(sized: DataFrame) -> DataFrame:
+    """Rows (source, size, doc_id, text_hash, row) with part, by ranges of their order, and the range's number."""
+    hashed = sized.withColumn("part", part(F.col("doc_id").cast("string")))
+    return hashed.repartitionByRange(F.col("source").isNull(), F.col("source"), *_order()).withColumn("range", F.spark_partition_id())
+
+
 def placed(docs: DataFrame) -> DataFrame:
     """doc_id, source, text_hash, size, source_size, target, copies (long) of every row.
 
@@ -84,39 +93,32 @@ def placed(docs: DataFrame) -> DataFrame:
     sized = written(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size")
-        )
+        ).withColumn("row", F.monotonically_increasing_id())
     )
-    sizes = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
-    below = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     targets = source_targets(sizes).select(F.col("source").alias("of"), "source_size", "target", "rate", "offset")
-    steps = sizes.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    steps = steps.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    ranges = F.ceil(F.col("n") / RANGE_ROWS).cast("long")
-    steps = written(steps.select(F.col("source").alias("of"), F.col("size").alias("of_size"), "n", "before", ranges.alias("ranges"), "source_size", "target", "rate", "offset"))
-    joined = sized.join(steps, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size"))).drop("of", "of_size")
-    joined = joined.withColumn("part", part(F.col("doc_id").cast("string"))).withColumn("range", F.floor(F.col("part") * F.col("ranges") / PARTS).cast("long"))
-    # Counts per hash range give each range's first place.
-    narrow = written(joined.where("ranges > 1").groupBy("source", "size", "range").agg(F.count("*").alias("m")))
-    earlier = Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    first = narrow.select(
-        F.col("source").alias("of"), F.col("size").alias("of_size"), F.col("range").alias("of_range"), F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("first")
-    )
-    joined = joined.join(
-        first, F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size")) & (F.col("range") == F.col("of_range")), "left"
-    ).drop("of", "of_size", "of_range")
-    own = Window.partitionBy("source", "size", "range").orderBy("part", F.col("doc_id").isNull(), "doc_id", "text_hash")
-    place = F.col("before") + F.coalesce("first", F.lit(0)) + F.row_number().over(own)
+    ranged = written(laid_out(sized))
+    # Ranges follow each other in a source; a row per range and source.
+    counts = ranged.groupBy("range", "source").agg(F.count("*").alias("m"))
+    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(F.col("range").alias("of_range"), F.col("source").alias("of_source"), F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("first"))
+    first = written(first.join(targets, F.col("of_source").eqNullSafe(F.col("of"))).drop("of"))
+    own = Window.partitionBy("range", "source").orderBy(*_order())
+    ranked = ranged.withColumn("place", F.row_number().over(own))
+    ranked = ranked.join(first, (F.col("range") == F.col("of_range")) & F.col("source").eqNullSafe(F.col("of_source")))
+    place = F.col("first") + F.col("place")
     end = F.floor(F.col("offset") + F.col("rate") * place.cast("double"))
     start = F.floor(F.col("offset") + F.col("rate") * (place - 1).cast("double"))
-    ranked = joined.repartition("source", "size", "range").withColumn("copies", (end - start).cast("long"))
-    return ranked.select("doc_id", "source", "text_hash", "size", "source_size", "target", "copies")
+    return ranked.select("doc_id", "source", "text_hash", "size", "source_size", "target", (end - start).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies): one row per input row.
 
     Null texts have size 0. Null sources are one source, last in order. A source without
-    words has target 0 and takes nothing. Equal rows are ranked one after the other. An
+    words has target 0 and takes nothing. Null ids have one hash and come by their text's hash;
+    equal rows are ranked one after the other, and any number of them is spread over ranges.
+    Very long texts are counted whole. Other columns are not read, whatever their names. An
     empty table gives no rows. Reruns agree: offsets and order come of hashes.
     """
     return placed(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -97,12 +97,28 @@ def metrics(docs: DataFrame, stratum: str = "lang") -> DataFrame:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(at most k of n) with chance p, exact up to rounding."""
+    """P(at most k of n) with chance p, exact up to rounding.
+
+    Terms are added from k away from the middle, where they only fall, until they no longer
+    count: some deviations' worth of them, however large k is.
+    """
     if k >= n:
         return 1.0
-    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    high = max(terms)
-    return min(1.0, math.exp(high) * math.fsum(math.exp(t - high) for t in terms))
+    below = k <= n * p
+    i = k if below else k + 1
+    log = math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    term = total = 1.0
+    odds = p / (1 - p)
+    while (i > 0 if below else i < n) and term > 1e-18 * total:
+        if below:
+            term *= i / ((n - i + 1) * odds)
+            i -= 1
+        else:
+            term *= (n - i) * odds / (i + 1)
+            i += 1
+        total += term
+    tail = math.exp(min(0.0, log + math.log(total)))
+    return tail if below else 1.0 - tail
 
 
 def lost_bound(k: int, n: int, level: float) -> float:
@@ -116,33 +132,52 @@ def lost_bound(k: int, n: int, level: float) -> float:
     return high
 
 
+def admitted(k: int, n: int, level: float, risk: float) -> bool:
+    """Whether that bound is at most ``risk``: one tail, at the risk itself."""
+    return 0 < n and k < n and binomial_tail(k, n, risk) <= level
+
+
 def good_counts(measured: DataFrame, labels: DataFrame) -> DataFrame:
     """(stratum, n, one count per rule and cutoff): good documents, and how many each cutoff rejects.
 
-    Good are documents labelled 1 that pass the base rules. One row per stratum; sums are
-    partly made before anything is dealt out.
+    Good are documents that are labelled 1, and nowhere 0, and pass the base rules. An id is
+    one draw: of its repeated rows the least counts. Sums are partly made before anything is
+    dealt out, one row per stratum comes out.
     """
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    good = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("least")).where("least = 1").select("doc_id")
+    drawn = measured.where(~F.expr(BASE_FAILED)).join(good, "doc_id", "left_semi")
+    one = drawn.groupBy("doc_id").agg(F.min(F.struct("stratum", *NAMES[1:])).alias("row")).select("row.*")
     counted = [F.count_if(F.expr(metric) > cutoff).alias(f"{name}_{i}") for name, (metric, grid) in RULES.items() for i, cutoff in enumerate(grid)]
-    return measured.where(~F.expr(BASE_FAILED)).join(good, "doc_id", "left_semi").groupBy("stratum").agg(F.count("*").alias("n"), *counted)
+    return one.groupBy("stratum").agg(F.count("*").alias("n"), *counted)
 
 
 BASE_FAILED = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
 
 
-def cutoffs(counts: list, risk: float = RISK, level: float = LEVEL) -> dict[str | None, dict[str, float]]:
-    """Cutoffs by stratum and rule, from the rows of ``good_counts``. A rule that no cutoff
-    admits is missing."""
-    tests = max(1, len(RULES) * len(counts))
-    out: dict[str | None, dict[str, float]] = {}
-    for row in counts:
-        out[row["stratum"]] = own = {}
-        for name, (_, grid) in RULES.items():
-            for i, cutoff in enumerate(grid):
-                if lost_bound(row[f"{name}_{i}"], row["n"], level / tests) > risk / len(RULES):
-                    break
-                own[name] = cutoff
-    return out
+def cutoffs(row: dict, tests: int, risk: float = RISK, level: float = LEVEL) -> dict[str, float]:
+    """Cutoffs by rule of a stratum, from its row of ``good_counts``. A rule that no cutoff admits
+    is missing."""
+    own: dict[str, float] = {}
+    for name, (_, grid) in RULES.items():
+        for i, cutoff in enumerate(grid):
+            if not admitted(row[f"{name}_{i}"], row["n"], level / tests, risk / len(RULES)):
+                break
+            own[name] = cutoff
+    return own
+
+
+def limits_of(counts: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """(of, most_<rule>): each stratum's cutoffs, found where its counts are."""
+    counts = written(counts)
+    tests = max(1, len(RULES) * counts.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            own = [cutoffs(r, tests, risk, level) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r["stratum"] for r in rows], pa.string()), *(pa.array([o.get(name) for o in own], pa.float64()) for name in RULES)], ["of", *(f"most_{name}" for name in RULES)])
+
+    return counts.mapInArrow(run, "of string, " + ", ".join(f"most_{name} double" for name in RULES))
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
@@ -150,15 +185,15 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float
 
     Null texts have no words, so they fail the base rules. Null strata are one stratum. A
     stratum without labelled documents, and every stratum of a table without labels, has no
-    rule but the base rules. Repeated rows stay; other columns are not read. What reaches
-    the driver is one row of counts per stratum.
+    rule but the base rules. Ids labelled both ways, null ids and null labels teach nothing;
+    repeated rows stay and are judged alike, but an id is one draw of the holdout. A metric equal
+    to its cutoff is kept. Very long texts are measured whole; other columns are not read,
+    whatever their names. An empty table gives no rows. Cutoffs are found on the executors, a row
+    per stratum, and joined as their size allows.
     """
     measured = written(metrics(docs, stratum))
-    found = cutoffs(good_counts(measured, labels).collect(), risk, level)
-    spark = docs.sparkSession
-    rows = [(s, *[own.get(name) for name in RULES]) for s, own in found.items()] or [(None, *[None] * len(RULES))]
-    limits = spark.createDataFrame(rows, "of string, " + ", ".join(f"most_{name} double" for name in RULES))
-    joined = measured.join(F.broadcast(limits), F.col("stratum").eqNullSafe(F.col("of")), "left")  # a row per stratum, made above
+    limits = written(limits_of(good_counts(measured, labels), risk, level))
+    joined = measured.join(limits, F.col("stratum").eqNullSafe(F.col("of")), "left")
     broken = F.array_compact(F.array(*[F.when(F.expr(metric) > F.col(f"most_{name}"), F.lit(name)) for name, (metric, _) in RULES.items()]))
     judged = joined.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rejected_by", broken)
     return judged.select(

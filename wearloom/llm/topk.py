@@ -30,6 +30,8 @@ K = 10
 BUCKET, BLOCK, QUERIES = 256, 4096, 512
 #: Groups of vectors by length.
 GROUPS = 64
+#: Keys under which query blocks meet the sample of vectors.
+SEED_GROUPS = 8
 #: Local cosine from which coordinates prune, and how many coordinates are looked at.
 COORDINATE_FROM, COORDINATES = 0.6, 4
 #: The ends of a long.
@@ -223,7 +225,8 @@ def search(vectors: DataFrame, is_query, k: int = K, sample: int = 2048) -> Data
     ids every row is a candidate, and each row that is a query has its own result. Scores
     beyond the ends of a long stop there. An empty table gives no rows. A repeatable sample
     of about ``sample`` vectors gives each query a first lower bound; it changes what is
-    pruned, not what is returned.
+    pruned, not what is returned. The sample is dealt into SEED_GROUPS groups, so that query
+    blocks meet it under several keys. Vectors of any length are multiplied whole.
     """
     vectors = written(vectors.withColumn("row", F.monotonically_increasing_id())).withColumn("least", F.lit(LOWEST))
     n = vectors.count()
@@ -233,7 +236,7 @@ def search(vectors: DataFrame, is_query, k: int = K, sample: int = 2048) -> Data
     wanted = vectors.where(is_query)
     parts = -(-max(1, wanted.count()) // QUERIES)
     dealt = wanted.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")).repartition("grp")
-    seeds = vectors.where(F.pmod(F.xxhash64(F.lit("seed"), "vec_id", "row"), F.lit(max(1, n // sample))) == 0).withColumn("grp", F.lit(0))
+    seeds = vectors.where(F.pmod(F.xxhash64(F.lit("seed"), "vec_id", "row"), F.lit(max(1, n // sample))) == 0).withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(SEED_GROUPS)).cast("int"))
     seeds = written(_packed(seeds.repartition("grp"), BLOCK))
     first = _best(_met(_meet(written(_packed(dealt, QUERIES)), seeds), k), k).where(F.col("rank") == k)
     known = wanted.drop("least").join(first.select("row", F.col("score").alias("bound")), "row", "left").withColumn("least", F.coalesce("bound", F.lit(LOWEST)))
