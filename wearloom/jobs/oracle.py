@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from wearloom.jobs import stored
+
 VIEWS = """
 WITH ev AS (SELECT event_id, epoch_us(ts) AS us, user_id // 50 AS m, least(value, 200.0) AS v FROM events),
 e1 AS (SELECT *, m * 31 + (us - 1704067200000000) // 86400000000 AS b, us % 86400000000 AS tod FROM ev),
@@ -133,6 +135,23 @@ jd AS (SELECT m.job_id, m.machine_id, m.start_us, mean_residual_g, mean_vib_per_
 judged AS (SELECT *, assessable AND n_anomalous >= 5 AND anomalous_fraction >= 0.05 AS flagged,
   row_number() OVER (ORDER BY CASE WHEN assessable THEN wear_score END DESC NULLS LAST, machine_id, start_us, job_id) AS rank FROM jd)"""
 
+#: The loaded detector of plain numbers: scores, roll-up, verdicts and notes.
+STORED = f""",
+st0 AS (SELECT *, {stored.prediction_sql()} AS predicted_rms_g, {stored.distance_sql()} AS secondary_score FROM cut),
+st1 AS (SELECT *, log_vibration_rms_g - predicted_rms_g AS residual_g, (log_vibration_rms_g - predicted_rms_g - {stored.CENTRE}::DOUBLE) / {stored.SCALE}::DOUBLE AS primary_score FROM st0),
+st AS (SELECT *, primary_score >= {stored.SIGMAS} AS primary_anomalous, secondary_score >= {stored.THRESHOLD} AS secondary_anomalous, primary_score >= {stored.SIGMAS} AND secondary_score >= {stored.THRESHOLD} AS anomalous FROM st1),
+sf AS (SELECT job_id, count(*) AS cutting_readings, quantile_cont(primary_score, 0.95) AS wear_score, max(primary_score) AS max_primary_sigma, avg(primary_score) AS mean_primary_sigma, median(primary_score) AS median_primary_sigma,
+  count(*) FILTER (primary_anomalous) AS n_primary_anomalous, count(*) FILTER (secondary_anomalous) AS n_secondary_anomalous, count(*) FILTER (anomalous) AS n_anomalous, avg(residual_g) AS mean_residual_g, avg(vib_per_kw) AS mean_vib_per_kw FROM st GROUP BY 1),
+sj0 AS (SELECT m.*, wear_score, max_primary_sigma, mean_primary_sigma, median_primary_sigma, mean_residual_g, mean_vib_per_kw, coalesce(cutting_readings, 0) AS cutting_readings, coalesce(n_primary_anomalous, 0) AS n_primary_anomalous,
+  coalesce(n_secondary_anomalous, 0) AS n_secondary_anomalous, coalesce(n_anomalous, 0) AS n_anomalous, coalesce(n_anomalous / greatest(cutting_readings, 1), 0)::DOUBLE AS anomalous_fraction, coalesce(cutting_readings, 0) >= 20 AS assessable
+  FROM metrics m LEFT JOIN sf USING (job_id)),
+sj1 AS (SELECT *, assessable AND n_anomalous >= 5 AND anomalous_fraction >= 0.05 AS is_flagged,
+  row_number() OVER (ORDER BY CASE WHEN assessable THEN wear_score END DESC NULLS LAST, machine_id, start_us, job_id)::INT AS rank FROM sj0),
+sj AS (SELECT *, is_flagged::VARCHAR AS flagged, concat_ws('; ', CASE WHEN data_quality_notes <> '' THEN data_quality_notes END, CASE WHEN NOT assessable THEN 'no verdict with ' || cutting_readings || ' cutting readings' END,
+  CASE WHEN power_readings = 0 THEN 'no power readings in the job' END, CASE WHEN vibration_readings = 0 THEN 'no vibration readings in the job' END,
+  CASE WHEN is_flagged THEN n_anomalous || ' of ' || cutting_readings || ' cutting readings (' || printf('%.1f', round(anomalous_fraction * 100, 1)) || '%) are above the 6-sigma baseline and by the second detector' END,
+  CASE WHEN NOT is_flagged AND assessable AND n_primary_anomalous > 0 AND n_anomalous = 0 THEN 'first detector only; not flagged' END) AS notes FROM sj1)"""
+
 PCT = ", ".join(f"(q[{i + 1}])::FLOAT::DOUBLE AS {n}" for i, n in enumerate(("p01", "p05", "p25", "p50", "p75", "p95", "p99")))
 STATS = "count({c}) AS n, (avg({c}))::FLOAT::DOUBLE AS mean, (stddev({c}))::FLOAT::DOUBLE AS std, (min({c}))::FLOAT::DOUBLE AS low, (max({c}))::FLOAT::DOUBLE AS high, quantile_cont({c}, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS q"
 
@@ -268,6 +287,18 @@ hf AS (SELECT scale, hj.job_id, hj.n >= 20 AND hits >= 5 AND hits / hj.n >= 0.05
         SPLIT + ", rk AS (SELECT reference_worn AS w, rank() OVER (ORDER BY peak_to_rms) + (count(*) OVER (PARTITION BY peak_to_rms) - 1) / 2 AS a FROM cut JOIN split USING (job_id)), sm AS (SELECT count(*) FILTER (w) AS p, count(*) FILTER (NOT w) AS n, sum(a) FILTER (w) AS s FROM rk)",
         "SELECT p, n, ((s - p * (p + 1) / 2) / (p * n))::FLOAT::DOUBLE AS auc FROM sm",
     ),
+    "stored_scores": (STORED, f"SELECT job_id, machine_id, us, {r('predicted_rms_g', 'residual_g', 'primary_score', 'secondary_score')}, primary_anomalous, secondary_anomalous, anomalous FROM st"),
+    "stored_audit": (STORED, f"SELECT job_id, machine_id, us, {r('primary_score')}, anomalous FROM st"),
+    "stored_cuts": (STORED, "SELECT c::DOUBLE AS contamination, (CASE WHEN c = 0.01 THEN q[1] ELSE q[2] END)::FLOAT::DOUBLE AS threshold FROM (SELECT quantile_cont(secondary_score, [0.99, 0.85]) AS q FROM st), (SELECT unnest([0.01, 0.15]) AS c)"),
+    "stored_job_summary": (
+        STORED,
+        "SELECT job_id, machine_id, part_type, operator, quantity, start_us, end_us, duration_s, flagged, rank, cutting_readings, n_primary_anomalous, n_secondary_anomalous, n_anomalous, power_readings, vibration_readings, assessable, notes FROM sj",
+    ),
+    "stored_job_scores": (STORED, f"SELECT job_id, {r('wear_score', 'max_primary_sigma', 'mean_primary_sigma', 'median_primary_sigma', 'anomalous_fraction', 'mean_residual_g', 'mean_vib_per_kw')} FROM sj"),
+    "streamed_job_verdicts": (STORED, "SELECT job_id, cutting_readings, (wear_score)::FLOAT::DOUBLE AS wear_score, n_primary_anomalous, n_anomalous, assessable, is_flagged AS flagged FROM sj WHERE cutting_readings > 0"),
+    "stored_top10": (STORED, "SELECT job_id, rank, flagged FROM sj WHERE rank <= 10"),
+    "stored_confusion": (SPLIT + STORED, "SELECT *, (2 * tp / greatest(n_flagged + tp + fn, 1))::FLOAT::DOUBLE AS f1 FROM (SELECT count(*) FILTER (is_flagged) AS n_flagged, count(*) FILTER (is_flagged AND reference_worn) AS tp, count(*) FILTER (is_flagged AND NOT reference_worn) AS fp, count(*) FILTER (NOT is_flagged AND reference_worn) AS fn FROM sj JOIN split USING (job_id))"),
+    "fit_levels": ("", "SELECT 'machine' AS metric, machine_id AS value FROM (SELECT DISTINCT machine_id FROM cut) UNION ALL SELECT 'part_type', part_type FROM (SELECT DISTINCT part_type FROM cut) UNION ALL SELECT 'n_fit_readings', count(*)::VARCHAR FROM cut UNION ALL SELECT 'target', 'log_vibration_rms_g'"),
     "spearman": (
         ", rs AS (SELECT rank() OVER (ORDER BY ratio) + (count(*) OVER (PARTITION BY ratio) - 1) / 2 AS a, rank() OVER (ORDER BY crest) + (count(*) OVER (PARTITION BY crest) - 1) / 2 AS b FROM ratios)",
         "SELECT (corr(a, b))::FLOAT::DOUBLE AS spearman FROM rs",
@@ -275,5 +306,11 @@ hf AS (SELECT scale, hj.job_id, hj.n >= 20 AND hits >= 5 AND hits / hj.n >= 0.05
 }
 
 
+BODIES["diagnostic_counts"] = (
+    "",
+    f"SELECT 'cleaning' AS stage, source || '.' || rule AS metric, rows::VARCHAR AS value FROM ({BODIES['cleaning_report'][1]}) UNION ALL SELECT 'alignment', 'offset_s', '18000'",
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: f"{VIEWS}{more}\n{body}" for name, (more, body) in BODIES.items()}

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from wearloom.functions import selection
 from wearloom.functions.columns import us
 from wearloom.functions.tables import kept, shared_folder
-from wearloom.jobs import oracle, wear
+from wearloom.jobs import oracle, stored, wear
 from wearloom.operators import align, clean, evaluate, features, joins, linear, profile, robust, verdict
 from wearloom.params import Params
 from wearloom.sources import files, sensor_views
+from wearloom.streaming import job_stream
 
 #: The views' readings are minutes apart, so pairing looks half an hour around.
 P = Params(pair_tolerance_s=1800.0)
@@ -119,6 +120,11 @@ class Views:
     def simple_judged(self):
         return evaluate.judged_jobs(self.metrics(), self.simple_scores(), self.p)
 
+    @_once
+    def loaded(self):
+        """(summary, scored readings, detector) of a detector that was saved and loaded."""
+        return wear.rank_wear(self.prepared(), stored.loading(self.p), stored.reread(self.spark, f"stored-{id(self)}"))
+
     def ranked(self, **params):
         return wear.rank_wear(self.prepared(), replace(self.p, **params))
 
@@ -237,6 +243,17 @@ BUILT = {
     "top_overlap": lambda v: evaluate.top_overlap(v.simple_judged().where("wear_score IS NOT NULL"), v.split(), 11),
     "auc_by_rank": lambda v: _r(evaluate.rank_auc(v.cutting().join(v.split().select("job_id", "reference_worn"), "job_id"), "peak_to_rms", F.col("reference_worn")), "auc"),
     "spearman": lambda v: _r(evaluate.spearman(v.ratios(), "ratio", "crest"), "spearman"),
+    # A saved detector of plain numbers, loaded as a later job loads one; results are read back from their sinks.
+    "stored_scores": lambda v: _r(_us(v.loaded()[1]).select("job_id", "machine_id", "us", *STORED_SCORES, "primary_anomalous", "secondary_anomalous", "anomalous"), *STORED_SCORES),
+    "stored_audit": lambda v: _r(_us(_audit(v)).select("job_id", "machine_id", "us", "primary_score", "anomalous"), "primary_score"),
+    "stored_cuts": lambda v: _stored_cuts(v),
+    "stored_job_summary": lambda v: _us(stored.reread_table(v.loaded()[0], f"summary-{id(v)}", files.write_job_summary), start_time="start_us", end_time="end_us").select(*STORED_SUMMARY),
+    "stored_job_scores": lambda v: _r(evaluate.judged_jobs(v.metrics(), v.loaded()[1], v.p).select("job_id", *STORED_NUMBERS), *STORED_NUMBERS),
+    "stored_top10": lambda v: verdict.top(v.loaded()[0]).select("job_id", "rank", "flagged"),
+    "stored_confusion": lambda v: _r(evaluate.confusion(v.loaded()[0].select("job_id", (F.col("flagged") == "true").alias("flagged")).join(v.split().select("job_id", "reference_worn"), "job_id")), "f1"),
+    "streamed_job_verdicts": lambda v: _streamed(v),
+    "diagnostic_counts": lambda v: _diagnostic_counts(v),
+    "fit_levels": lambda v: verdict.fit_metadata(v.spark, v.ranked(primary_model="ridge")[2]).where("metric IN ('n_fit_readings', 'machine', 'part_type', 'target')"),
     # Fitted models: no SQL; tests hold them against NumPy.
     "ridge_coefficients": lambda v: _linear(v, linear.fit_ridge(v.cutting())),
     "huber_coefficients": lambda v: _linear(v, linear.fit_huber(v.cutting())),
@@ -261,6 +278,57 @@ BUILT = {
     "grid_effects": lambda v: evaluate.grid_effects(_grid(v)),
 }
 PRIMARIES = ["ridge", "huber", "ransac"]
+STORED_SCORES = ("predicted_rms_g", "residual_g", "primary_score", "secondary_score")
+STORED_SUMMARY = (
+    "job_id", "machine_id", "part_type", "operator", "quantity", "start_us", "end_us", "duration_s", "flagged", "rank", "cutting_readings", "n_primary_anomalous", "n_secondary_anomalous", "n_anomalous",
+    "power_readings", "vibration_readings", "assessable", "notes",
+)
+STORED_NUMBERS = ("wear_score", "max_primary_sigma", "mean_primary_sigma", "median_primary_sigma", "anomalous_fraction", "mean_residual_g", "mean_vib_per_kw")
+
+
+def _audit(v: Views) -> DataFrame:
+    """The per-reading audit table, written as gzip CSV by machine and read again."""
+    path = f"{shared_folder(v.spark)}/audit-{id(v)}-{v.spark.sparkContext.applicationId}"
+    rows = v.loaded()[1].select("job_id", "machine_id", "ts", "primary_score", "anomalous")
+    files.write_scored(rows, path, "csv")
+    return v.spark.read.schema("job_id string, ts timestamp, primary_score double, anomalous boolean, machine_id string").csv(path, header=True)
+
+
+def _streamed(v: Views) -> DataFrame:
+    """Verdicts of the loaded detector over both raw sensor streams, run to their end: the raw
+    rows arrive in files by time, and a reading of a later month ends the last jobs."""
+    base = f"{shared_folder(v.spark)}/stream-{id(v)}-{v.spark.sparkContext.applicationId}"
+    bounds: dict[str, float] = {}
+    clean.tag_power(v.power_raw, v.p, bounds)
+    clean.tag_vibration(v.vibration_raw, v.p, bounds)
+    last = max(x for x in v.power_raw.agg(F.max("ts")).union(v.vibration_raw.agg(F.max("ts"))).toPandas().iloc[:, 0] if x is not None)
+    streams = {}
+    for name, raw in (("power", v.power_raw), ("vibration", v.vibration_raw)):
+        later = raw.limit(1).withColumns({"ts": F.lit(last) + F.expr("INTERVAL 60 DAYS"), "machine_id": F.lit("none")})
+        values = {c: F.lit(1.0) for c in raw.columns if c not in ("ts", "machine_id")}
+        raw.repartitionByRange(4, "ts").write.parquet(f"{base}/{name}")
+        later.withColumns(values).write.mode("append").parquet(f"{base}/{name}")
+        streams[name] = v.spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/{name}")
+    found, detector = v.prepared(), stored.reread(v.spark, f"stream-{id(v)}")
+    pairs = job_stream.paired_jobs(job_stream.usable_power(streams["power"], bounds, v.p), job_stream.usable_vibration(streams["vibration"], bounds), found.jobs, v.p.pair_tolerance_s, "45 days")
+    job_stream.write(pairs, lambda batch: job_stream.judged(batch, found.jobs, found.idle, detector, v.p), f"{base}/out", f"{base}/state").awaitTermination()
+    rows = v.spark.read.parquet(f"{base}/out")
+    return _r(rows.select("job_id", "cutting_readings", "wear_score", "n_primary_anomalous", "n_anomalous", "assessable", "flagged"), "wear_score")
+
+
+def _stored_cuts(v: Views) -> DataFrame:
+    """(contamination, threshold) of the loaded detector's second score over the readings it is applied to."""
+    shares = [0.01, 0.15]
+    cuts = selection.quantiles(v.loaded()[1], F.col("secondary_score"), [1 - s for s in shares])
+    return _r(v.spark.createDataFrame(list(zip(shares, cuts or [None, None])), "contamination double, threshold double"), "threshold")
+
+
+def _diagnostic_counts(v: Views) -> DataFrame:
+    """The whole numbers of the diagnostics, from the file that they were written to."""
+    path = f"{shared_folder(v.spark)}/diagnostics-{id(v)}-{v.spark.sparkContext.applicationId}"
+    files.write_diagnostics(wear.diagnostics(v.prepared()), path)
+    rows = v.spark.read.schema("stage string, metric string, value string").json(path)
+    return rows.where("stage = 'alignment' OR (stage = 'cleaning' AND metric RLIKE '^(power|vibration|production_log)[.][a-z_]+$')")
 
 
 def _grid(v: Views) -> DataFrame:

@@ -28,9 +28,11 @@ def _tagged(df: DataFrame, rule: str, broken: Column) -> DataFrame:
 
 
 def _first_of_each(df: DataFrame, keys: list[str], order: list, rule: str) -> DataFrame:
-    """Marks all but the first of the unmarked rows of a key. Marked rows are numbered apart."""
-    window = Window.partitionBy(F.col("dropped_by").isNotNull(), *keys).orderBy(*order)
-    return _tagged(df.withColumn("place", F.row_number().over(window)), rule, F.col("place") > 1).drop("place")
+    """Marks all but the first of the unmarked rows of a key. Marked rows, whose keys may be null,
+    take no part."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    left = _tagged(df.where("dropped_by IS NULL").withColumn("place", place), rule, F.col("place") > 1).drop("place")
+    return left.unionByName(df.where("dropped_by IS NOT NULL"))
 
 
 def _above_fence(df: DataFrame, column: str, rule: str, p: Params, bounds: dict | None, most: float = float("inf")) -> DataFrame:

@@ -15,6 +15,10 @@ VIBRATION = {"timestamp": "time", "machine_id": "text", "vibration_rms_g": "numb
 PRODUCTION_LOG = {"job_id": "text", "machine_id": "text", "part_type": "text", "operator": "text", "quantity": "number", "start_time": "time", "end_time": "time"}
 
 
+#: Times in CSV keep their microseconds.
+TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def require_columns(df: DataFrame, required, source: str) -> None:
     """Raises with the names that a source lacks; looks at metadata only."""
     if missing := [c for c in required if c not in df.columns]:
@@ -54,14 +58,23 @@ def load_production_log(spark: SparkSession, path: str) -> DataFrame:
 def write_job_summary(summary: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Parquet, or CSV in one file: the table has one row per job."""
     if fmt == "csv":
-        summary.coalesce(1).write.mode("overwrite").csv(path, header=True)
+        summary.coalesce(1).write.mode("overwrite").option("timestampFormat", TIMES).csv(path, header=True)
     else:
         summary.write.mode("overwrite").parquet(path)
 
 
-def write_scored(scored: DataFrame, path: str) -> None:
-    """The per-reading audit table, by machine."""
-    scored.sortWithinPartitions("machine_id", "ts").write.mode("overwrite").partitionBy("machine_id").parquet(path)
+def write_scored(scored: DataFrame, path: str, fmt: str = "parquet", rows_per_file: int = 1_000_000) -> None:
+    """The per-reading audit table by machine, ordered by time in each file; Parquet or gzip CSV.
+
+    Rows are dealt out by machine and time range, so a machine has as many files as its readings
+    fill, not one per task, and machines with most of the readings are shared by many tasks.
+    """
+    laid_out = scored.repartitionByRange("machine_id", "ts").sortWithinPartitions("machine_id", "ts")
+    writer = laid_out.write.mode("overwrite").partitionBy("machine_id").option("maxRecordsPerFile", rows_per_file)
+    if fmt == "csv":
+        writer.option("compression", "gzip").option("timestampFormat", TIMES).csv(path, header=True)
+    else:
+        writer.parquet(path)
 
 
 def write_diagnostics(diagnostics: DataFrame, path: str) -> None:
