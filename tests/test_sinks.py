@@ -46,8 +46,6 @@ def test_rows_without_a_key_share_no_window(spark):
     df = spark.createDataFrame([(None, "M", 1.0)] * 50 + [(at(1), "M", 2.0), (at(1), "M", 3.0)], "ts timestamp, machine_id string, power_kw double")
     tagged = clean.tag_power(df)
     assert {r[0]: r[1] for r in tagged.groupBy("dropped_by").count().collect()} == {"null": 50, "duplicate": 1, None: 1}
-    from wearloom.functions.tables import kept  # noqa: F401
-
     rows = clean._first_of_each(df.withColumn("dropped_by", F.when(F.col("ts").isNull(), "null")), ["machine_id", "ts"], ["power_kw"], "duplicate")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "isnull" in plan.lower()
@@ -95,3 +93,26 @@ def test_raw_streams_give_the_verdicts_of_the_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {tuple(r) for r in got.select("job_id", "cutting_readings", F.round("wear_score", 9), "n_anomalous").collect()} == want
     assert got.count() == len(want) == 12 and {r.job_id for r in got.where("flagged").collect()} == {"J13"}
+
+
+def test_run_from_exports_to_results(spark, tmp_path):
+    """Both modes, what they write, and that no table is left in the shared folder."""
+    from wearloom.functions.tables import shared_folder
+    from wearloom.jobs import registry, wear
+    from wearloom.jobs.registry import P
+
+    views = registry.Views(spark, "/root/testdata/sf0.001")
+    paths = {"power": views.exported(views.power_raw, "power", ts="timestamp"), "vibration": views.exported(views.vibration_raw, "vibration", ts="timestamp"), "production_log": views.exported(views.log_raw, "log", start_time="start_time", end_time="end_time")}
+    import os
+
+    before = set(os.listdir(shared_folder(spark)))
+    params = Params(pair_tolerance_s=P.pair_tolerance_s, primary_model="ridge", min_readings_for_verdict=5)
+    detector = wear.run(spark, paths, str(tmp_path / "a"), params)
+    again = wear.run(spark, paths | {"detector": str(tmp_path / "a" / "detector")}, str(tmp_path / "b"), Params(**{**params.__dict__, "mode": "load"}))
+    assert set(os.listdir(shared_folder(spark))) == before
+    assert again["scale"] == detector["scale"] and again["primary"].power == detector["primary"].power
+    one, two = (sorted(map(str, spark.read.parquet(str(tmp_path / x / "job_summary")).collect())) for x in "ab")
+    assert one == two and len(one) > 5
+    for x in "ab":
+        assert spark.read.parquet(str(tmp_path / x / "scored_readings")).count() == detector["n_fit_readings"] > 0
+        assert spark.read.json(str(tmp_path / x / "diagnostics")).where("metric = 'offset_s'").count() == 1

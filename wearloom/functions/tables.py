@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +23,29 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the tables written by each job that wants to remove them at its end.
+_open: list[list[str]] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, for what is read again and again: its lineage ends
     there, no executor holds it, and a lost executor costs nothing."""
     path = f"{shared_folder(df.sparkSession)}/wear-{uuid.uuid4().hex}"
+    for paths in _open:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that were kept inside, when a job's results are written."""
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield
+    finally:
+        _open.remove(paths)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -187,13 +187,17 @@ UNION ALL SELECT 'production_log', 'duplicate', count(*) FROM l1 WHERE n > 1 UNI
     ),
     "cleaning_details": (
         "",
-        """SELECT 'power' AS source, 'power_kw' AS "column", (SELECT least(500, bound) FROM pf)::FLOAT::DOUBLE AS bound, count(*) AS sentinels, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT power_kw::VARCHAR AS v FROM pn WHERE power_kw > least(500, (SELECT bound FROM pf)))) AS sentinel_values,
-  (SELECT string_agg(machine_id, ',' ORDER BY machine_id) FROM (SELECT DISTINCT machine_id FROM power_c)) AS machines FROM pn WHERE power_kw > least(500, (SELECT bound FROM pf))
-UNION ALL SELECT 'vibration', 'vibration_rms_g', (SELECT bound FROM vf)::FLOAT::DOUBLE, count(*), (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT vibration_rms_g::VARCHAR AS v FROM vn WHERE vibration_rms_g > (SELECT bound FROM vf))),
-  (SELECT string_agg(machine_id, ',' ORDER BY machine_id) FROM (SELECT DISTINCT machine_id FROM vib_c)) FROM vn WHERE vibration_rms_g > (SELECT bound FROM vf)
-UNION ALL SELECT 'vibration', 'vibration_peak_g', (SELECT bound FROM vg)::FLOAT::DOUBLE, count(*), (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT vibration_peak_g::VARCHAR AS v FROM vr WHERE vibration_peak_g > (SELECT bound FROM vg))),
-  (SELECT string_agg(machine_id, ',' ORDER BY machine_id) FROM (SELECT DISTINCT machine_id FROM vib_c)) FROM vr WHERE vibration_peak_g > (SELECT bound FROM vg)""",
+        """SELECT 'power' AS source, 'power_kw' AS "column", (SELECT least(500, bound) FROM pf)::FLOAT::DOUBLE AS bound, (SELECT count(*) FROM pn WHERE power_kw > least(500, (SELECT bound FROM pf))) AS sentinels
+UNION ALL SELECT 'vibration', 'vibration_rms_g', (SELECT bound FROM vf)::FLOAT::DOUBLE, (SELECT count(*) FROM vn WHERE vibration_rms_g > (SELECT bound FROM vf))
+UNION ALL SELECT 'vibration', 'vibration_peak_g', (SELECT bound FROM vg)::FLOAT::DOUBLE, (SELECT count(*) FROM vr WHERE vibration_peak_g > (SELECT bound FROM vg))""",
     ),
+    "sentinel_values": (
+        "",
+        """SELECT 'power' AS source, 'power_kw' AS "column", power_kw AS value, count(*) AS n FROM pn WHERE power_kw > least(500, (SELECT bound FROM pf)) GROUP BY 3
+UNION ALL SELECT 'vibration', 'vibration_rms_g', vibration_rms_g, count(*) FROM vn WHERE vibration_rms_g > (SELECT bound FROM vf) GROUP BY 3
+UNION ALL SELECT 'vibration', 'vibration_peak_g', vibration_peak_g, count(*) FROM vr WHERE vibration_peak_g > (SELECT bound FROM vg) GROUP BY 3""",
+    ),
+    "machines_left": ("", "SELECT DISTINCT 'power' AS source, machine_id FROM power_c UNION ALL SELECT DISTINCT 'vibration', machine_id FROM vib_c"),
     "reread_power": ("", "SELECT us, machine_id, power_kw FROM power_c"),
     "reread_vibration": ("", "SELECT us, machine_id, vibration_rms_g, vibration_peak_g FROM vib_c"),
     "reread_jobs": ("", "SELECT job_id, machine_id, part_type, operator, quantity, start_us, end_us, duration_s, was_reversed, quantity_imputed, data_quality_notes FROM jobs_c"),
@@ -221,7 +225,8 @@ UNION ALL SELECT 'vibration', (median(g))::FLOAT::DOUBLE, count(*) FILTER (g > 5
     "job_power": ("", f"SELECT job_id, {r('mean_power_raw_kw', 'median_power_raw_kw')}, max_power_raw_kw, power_readings FROM jp"),
     "job_vibration": ("", f"SELECT job_id, {r('mean_vibration_rms_g', 'p95_vibration_rms_g')}, peak_vibration_g, max_vibration_rms_g, vibration_readings FROM jv"),
     "job_metrics": ("", f"SELECT job_id, machine_id, part_type, {r('mean_power_kw')}, peak_vibration_g, idle_baseline_kw, power_readings, vibration_readings, round(power_readings / greatest(duration_s, 1e-9), 3) AS power_coverage, round(vibration_readings / (2 * greatest(duration_s, 1e-9)), 3) AS vibration_coverage FROM metrics"),
-    "quality_summary": ("", "SELECT count(*) AS jobs, count(*) FILTER (power_readings = 0) AS jobs_without_power, count(*) FILTER (vibration_readings = 0) AS jobs_without_vibration, count(*) FILTER (vibration_readings < 20) AS jobs_below_min_readings, coalesce(string_agg(job_id, ',' ORDER BY job_id) FILTER (power_readings = 0 OR vibration_readings = 0), '') AS job_ids_without_sensor_data FROM metrics"),
+    "quality_summary": ("", "SELECT count(*) AS jobs, count(*) FILTER (power_readings = 0) AS jobs_without_power, count(*) FILTER (vibration_readings = 0) AS jobs_without_vibration, count(*) FILTER (vibration_readings < 20) AS jobs_below_min_readings FROM metrics"),
+    "silent_jobs": ("", "SELECT job_id, machine_id, power_readings, vibration_readings FROM metrics WHERE power_readings = 0 OR vibration_readings = 0"),
     "profile_tables": ("", _profile()),
     "duplicate_rows": ("", "SELECT 'power' AS source, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM power_raw)))::BIGINT AS duplicate_rows FROM power_raw UNION ALL SELECT 'vibration', (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM vib_raw)))::BIGINT FROM vib_raw"),
     "value_counts": ("", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM log_raw GROUP BY {c}" for c in ("machine_id", "part_type", "operator"))),
@@ -237,9 +242,9 @@ UNION ALL SELECT 'duplicate job ids', (SELECT sum(c - 1) FROM (SELECT count(*) A
     ),
     "defect_values": (
         "",
-        """SELECT (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT power_kw::VARCHAR AS v FROM power_raw WHERE power_kw < 0)) AS negative_power, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT power_kw::VARCHAR AS v FROM power_raw WHERE power_kw > 100)) AS implausible_power,
-  quantile_cont(power_kw, 0.999) AS p999_power_kw FROM power_raw WHERE power_kw BETWEEN 0 AND 100""",
+        "SELECT CASE WHEN power_kw < 0 THEN 'negative power' ELSE 'implausible power' END AS defect, power_kw AS value, count(*) AS n FROM power_raw WHERE power_kw < 0 OR power_kw > 100 GROUP BY 1, 2",
     ),
+    "plausible_top": ("", "SELECT quantile_cont(power_kw, 0.999) AS p999_power_kw FROM power_raw WHERE power_kw BETWEEN 0 AND 100"),
     "time_coverage": ("", "SELECT 'power' AS source, min(us) AS first_us, max(us) AS last_us, count(*) AS rows FROM power_raw UNION ALL SELECT 'vibration', min(us), max(us), count(*) FROM vib_raw UNION ALL SELECT 'production_log', min(start_us), max(end_us), count(*) FROM log_raw"),
     "machine_sets": ("", "SELECT machine_id, count(DISTINCT s) AS in_sources, count(DISTINCT s) = 3 AS in_all FROM (SELECT machine_id, 'p' AS s FROM power_raw UNION ALL SELECT machine_id, 'v' FROM vib_raw UNION ALL SELECT machine_id, 'l' FROM log_raw) GROUP BY 1"),
     "power_vib_corr": ("", "SELECT part_type, count(*) AS n, (corr(net_power_kw, vibration_rms_g))::FLOAT::DOUBLE AS correlation, (quantile_cont(net_power_kw, 0.05))::FLOAT::DOUBLE AS p05_kw, (quantile_cont(net_power_kw, 0.95))::FLOAT::DOUBLE AS p95_kw FROM cut GROUP BY GROUPING SETS ((part_type), ())"),

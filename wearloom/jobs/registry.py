@@ -61,15 +61,15 @@ class Views:
 
     @_once
     def power(self):
-        return clean.clean_power(self.power_raw, self.p)
+        return self.prepared().clean_power
 
     @_once
     def vibration(self):
-        return clean.clean_vibration(self.vibration_raw, self.p)
+        return self.prepared().clean_vibration
 
     @_once
     def jobs(self):
-        return clean.clean_jobs(self.log_raw, self.p)
+        return self.prepared().clean_jobs
 
     @_once
     def prepared(self) -> wear.Prepared:
@@ -181,6 +181,8 @@ BUILT = {
     "upper_fence": lambda v: _r(_fence(v), "bound"),
     "cleaning_report": lambda v: (r := v.prepared().reports)[0].unionByName(r[1]).unionByName(r[2]),
     "cleaning_details": _cleaning_details,
+    "sentinel_values": lambda v: (x := v.prepared().values)[0].unionByName(x[1]),
+    "machines_left": lambda v: (x := v.prepared().machines)[0].unionByName(x[1]),
     "reread_power": _reread_power,
     "reread_vibration": _reread_vibration,
     "reread_jobs": _reread_jobs,
@@ -207,6 +209,7 @@ BUILT = {
         v.metrics().select("job_id", "machine_id", "part_type", "mean_power_kw", "peak_vibration_g", "idle_baseline_kw", "power_readings", "vibration_readings", "power_coverage", "vibration_coverage"),
         "mean_power_kw",
     ),
+    "silent_jobs": lambda v: features.silent_jobs(v.metrics()),
     "quality_summary": lambda v: features.quality_summary(v.metrics()),
     "profile_tables": lambda v: _r(profile.table_profile(v.power_raw, "power").unionByName(profile.table_profile(v.vibration_raw, "vibration")).unionByName(profile.table_profile(v.log_raw, "production_log")), "null_share"),
     "duplicate_rows": lambda v: profile.duplicate_rows(v.power_raw, "power").unionByName(profile.duplicate_rows(v.vibration_raw, "vibration")),
@@ -215,6 +218,7 @@ BUILT = {
     "numeric_summary_whole": lambda v: _r(profile.numeric_summary(v.power(), "power_kw"), "mean", "std", "low", "high", "p01", "p05", "p25", "p50", "p75", "p95", "p99"),
     "defect_counts": lambda v: profile.defect_counts(v.power_raw, v.vibration_raw, v.log_raw),
     "defect_values": lambda v: profile.defect_values(v.power_raw),
+    "plausible_top": lambda v: profile.plausible_top(v.power_raw),
     "time_coverage": lambda v: profile.time_coverage({"power": (v.power_raw, "ts", "ts"), "vibration": (v.vibration_raw, "ts", "ts"), "production_log": (v.log_raw, "start_time", "end_time")}),
     "machine_sets": lambda v: profile.machine_sets({"power": v.power_raw, "vibration": v.vibration_raw, "production_log": v.log_raw}),
     "power_vib_corr": lambda v: _r(profile.power_vibration_correlation(v.cutting()), "correlation", "p05_kw", "p95_kw"),
@@ -298,9 +302,8 @@ def _streamed(v: Views) -> DataFrame:
     """Verdicts of the loaded detector over both raw sensor streams, run to their end: the raw
     rows arrive in files by time, and a reading of a later month ends the last jobs."""
     base = f"{shared_folder(v.spark)}/stream-{id(v)}-{v.spark.sparkContext.applicationId}"
-    bounds: dict[str, float] = {}
-    clean.tag_power(v.power_raw, v.p, bounds)
-    clean.tag_vibration(v.vibration_raw, v.p, bounds)
+    found = v.prepared()
+    _, _, bounds = found.tagged_power, found.tagged_vibration, found.bounds
     last = max(x for x in v.power_raw.agg(F.max("ts")).union(v.vibration_raw.agg(F.max("ts"))).toPandas().iloc[:, 0] if x is not None)
     streams = {}
     for name, raw in (("power", v.power_raw), ("vibration", v.vibration_raw)):
@@ -309,7 +312,7 @@ def _streamed(v: Views) -> DataFrame:
         raw.repartitionByRange(4, "ts").write.parquet(f"{base}/{name}")
         later.withColumns(values).write.mode("append").parquet(f"{base}/{name}")
         streams[name] = v.spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/{name}")
-    found, detector = v.prepared(), stored.reread(v.spark, f"stream-{id(v)}")
+    detector = stored.reread(v.spark, f"stream-{id(v)}")
     pairs = job_stream.paired_jobs(job_stream.usable_power(streams["power"], bounds, v.p), job_stream.usable_vibration(streams["vibration"], bounds), found.jobs, v.p.pair_tolerance_s, "45 days")
     job_stream.write(pairs, lambda batch: job_stream.judged(batch, found.jobs, found.idle, detector, v.p), f"{base}/out", f"{base}/state").awaitTermination()
     rows = v.spark.read.parquet(f"{base}/out")

@@ -67,17 +67,22 @@ def tag_vibration(vibration: DataFrame, p: Params = Params(), bounds: dict | Non
 
 
 def cleaning_details(tagged: DataFrame, source: str, bounds: dict, rules: dict[str, str]) -> DataFrame:
-    """(source, column, bound, sentinels, sentinel_values, machines) per fenced column: its
-    fence, how many and which values lay above it, and the machines that are left."""
-    out = []
-    for column, rule in rules.items():
-        hit = F.col("dropped_by") == rule
-        listed = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
-        out.append(
-            tagged.agg(F.count_if(hit).alias("sentinels"), listed(F.when(hit, F.col(column).cast("string"))).alias("sentinel_values"), listed(F.when(F.col("dropped_by").isNull(), F.col("machine_id"))).alias("machines"))
-            .select(F.lit(source).alias("source"), F.lit(column).alias("column"), F.lit(float(bounds[column])).alias("bound"), "sentinels", "sentinel_values", "machines")
-        )
-    return reduce(DataFrame.unionByName, out)
+    """(source, column, bound, sentinels) per fenced column: its fence, and how many values lay above it."""
+    counts = tagged.agg(*[F.count_if(F.col("dropped_by") == rule).alias(column) for column, rule in rules.items()])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(float(bounds[c])).alias("bound"), F.col(c).alias("sentinels")) for c in rules])
+    return counts.select(F.explode(rows).alias("x")).select(F.lit(source).alias("source"), "x.*")
+
+
+def sentinel_values(tagged: DataFrame, source: str, rules: dict[str, str]) -> DataFrame:
+    """(source, column, value, n): a row for each value above a fence."""
+    pairs = F.array(*[F.when(F.col("dropped_by") == rule, F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))) for c, rule in rules.items()])
+    hits = tagged.where(F.col("dropped_by").isin(*rules.values())).select(F.explode(F.array_compact(pairs)).alias("x"))
+    return hits.groupBy("x.column", "x.value").agg(F.count("*").alias("n")).select(F.lit(source).alias("source"), "column", "value", "n")
+
+
+def machines_left(tagged: DataFrame, source: str) -> DataFrame:
+    """(source, machine_id) of the rows that no rule drops."""
+    return tagged.where("dropped_by IS NULL").select(F.lit(source).alias("source"), "machine_id").distinct()
 
 
 def clean_power(power: DataFrame, p: Params = Params()) -> DataFrame:

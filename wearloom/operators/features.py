@@ -75,9 +75,13 @@ def job_metrics(jobs: DataFrame, labelled_power: DataFrame, labelled_vibration:
 
 
 def quality_summary(metrics: DataFrame, p: Params = Params()) -> DataFrame:
-    silent = (F.col("power_readings") == 0) | (F.col("vibration_readings") == 0)
+    """One row of counts; the jobs themselves are rows of ``silent_jobs``."""
     return metrics.agg(
         F.count("*").alias("jobs"), F.count_if(F.col("power_readings") == 0).alias("jobs_without_power"), F.count_if(F.col("vibration_readings") == 0).alias("jobs_without_vibration"),
         F.count_if(F.col("vibration_readings") < p.min_readings_for_verdict).alias("jobs_below_min_readings"),
-        F.array_join(F.sort_array(F.collect_list(F.when(silent, F.col("job_id")))), ",").alias("job_ids_without_sensor_data"),
     )
+
+
+def silent_jobs(metrics: DataFrame) -> DataFrame:
+    """(job_id, machine_id, power_readings, vibration_readings) of jobs without readings of a sensor."""
+    return metrics.where("power_readings = 0 OR vibration_readings = 0").select("job_id", "machine_id", "power_readings", "vibration_readings")

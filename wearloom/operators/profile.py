@@ -83,11 +83,16 @@ def defect_counts(power: DataFrame, vibration: DataFrame, log: DataFrame, implau
 
 
 def defect_values(power: DataFrame, implausible: float = 100.0) -> DataFrame:
-    """One row: the negative and the implausible power values that occur, and the 99.9th percentile of the rest."""
+    """(defect, value, n): a row for each negative and each implausible power value that occurs."""
     kw = F.col("power_kw")
-    listed = lambda hit: F.array_join(F.sort_array(F.collect_set(F.when(hit, kw.cast("string")))), ",")
-    top = selection.quantiles(power.where(kw.between(0, implausible)), kw, [0.999])
-    return power.agg(listed(kw < 0).alias("negative_power"), listed(kw > implausible).alias("implausible_power")).withColumn("p999_power_kw", F.lit(top[0] if top else None).cast("double"))
+    defect = F.when(kw < 0, "negative power").when(kw > implausible, "implausible power")
+    return power.withColumn("defect", defect).where("defect IS NOT NULL").groupBy("defect", kw.alias("value")).agg(F.count("*").alias("n"))
+
+
+def plausible_top(power: DataFrame, implausible: float = 100.0) -> DataFrame:
+    """One row: the 99.9th percentile of power that is neither negative nor implausible."""
+    top = selection.quantiles(power.where(F.col("power_kw").between(0, implausible)), F.col("power_kw"), [0.999])
+    return power.sparkSession.createDataFrame([(top[0] if top else None,)], "p999_power_kw double")
 
 
 def time_coverage(sources: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
