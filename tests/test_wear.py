@@ -197,7 +197,7 @@ def test_null_measures_count_as_zero(spark, cutting):
     model = linear.fit_ridge(cutting)
     zero, null = cutting.withColumn("quantity", F.lit(0.0)), cutting.withColumn("quantity", F.lit(None).cast("double"))
     total = lambda df: model.with_prediction(df, "p").agg(F.sum("p")).first()[0]
-    assert total(zero) == pytest.approx(total(null)) and linear.fit_huber(null).power == pytest.approx(linear.fit_huber(zero).power)
+    assert total(zero) == pytest.approx(total(null)) and linear.fit_joint_huber(null).power == pytest.approx(linear.fit_joint_huber(zero).power)
 
 
 def test_two_sided_scores_are_sizes(spark, cutting):
