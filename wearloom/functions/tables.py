@@ -1,4 +1,4 @@
-"""Cut points: tables in the folder that driver and executors share."""
+"""Cut points and stored layouts: tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -23,29 +23,57 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths of the tables written by each job that wants to remove them at its end.
-_open: list[list[str]] = []
+#: Paths and catalog names of the tables written by each job that wants to remove them at its end.
+_open: list[list[tuple[str, str | None]]] = []
+
+#: Input of one file of a stored layout, and the most files that a layout has.
+PIECE_BYTES, MOST_PIECES = 256 << 20, 50_000
+
+
+def _place(spark: SparkSession, name: str | None = None) -> str:
+    """A new path in the shared folder, noted for removal."""
+    path = f"{shared_folder(spark)}/wear-{uuid.uuid4().hex}"
+    for paths in _open:
+        paths.append((path, name))
+    return path
 
 
 def kept(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, for what is read again and again: its lineage ends
     there, no executor holds it, and a lost executor costs nothing."""
-    path = f"{shared_folder(df.sparkSession)}/wear-{uuid.uuid4().hex}"
-    for paths in _open:
-        paths.append(path)
+    path = _place(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pieces_for(*frames: DataFrame) -> int:
+    """Files of a stored layout: by the size of what is laid out as the optimizer sees it, at least
+    one per core."""
+    size = max(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in frames)
+    return min(max(size // PIECE_BYTES, frames[0].sparkSession.sparkContext.defaultParallelism), MOST_PIECES)
+
+
+def laid_out(df: DataFrame, keys: list[str], order: list[str], pieces: int) -> DataFrame:
+    """df as a table of ``pieces`` files, hashed by the keys, each file in order. ``df`` is
+    expected to be dealt out the same way (``repartition(pieces, *keys)``), so that each task
+    writes one file. Joins, groups and windows on the keys read it without an exchange."""
+    name = f"wear_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(pieces, *keys).sortBy(*keys, *order)
+    writer.option("path", _place(df.sparkSession, name)).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Removes the tables that were kept inside, when a job's results are written."""
-    paths: list[str] = []
+    paths: list[tuple[str, str | None]] = []
     _open.append(paths)
     try:
         yield
     finally:
         _open.remove(paths)
-        for path in paths:
+        for path, name in paths:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -93,7 +93,15 @@ class Views:
 
     @_once
     def lifts(self):
-        return align.machine_offset_scores(self.power(), self.jobs(), align.coarse_offsets(self.p))
+        return self._lifts(align.coarse_offsets(self.p))
+
+    @_once
+    def bucket_sums(self):
+        return align.bucket_sums(self.prepared().stored_power)
+
+    def _lifts(self, steps: list[int]) -> DataFrame:
+        found = self.prepared()
+        return align.machine_offset_scores(found.stored_power, self.jobs(), steps, self.bucket_sums(), found.pieces)
 
     @_once
     def scores(self):
@@ -103,7 +111,7 @@ class Views:
     def fine_scores(self):
         """Scores around the best coarse offset."""
         steps = align.fine_offsets(align.best(self.scores()).first()["offset_s"], self.p)
-        return align.offset_scores(align.machine_offset_scores(self.power(), self.jobs(), steps), steps)
+        return align.offset_scores(self._lifts(steps), steps)
 
     @_once
     def simple_scores(self):
@@ -187,8 +195,8 @@ BUILT = {
     "reread_vibration": _reread_vibration,
     "reread_jobs": _reread_jobs,
     "overlapping_jobs": lambda v: clean.overlapping_jobs(v.jobs()),
-    "sampling_gaps": lambda v: _r(profile.sampling_gaps(v.power(), "power").unionByName(profile.sampling_gaps(v.vibration(), "vibration")), "median_s", "longest_gap_s"),
-    "dropouts": lambda v: _r(profile.dropouts(v.vibration()), "gap_s"),
+    "sampling_gaps": lambda v: _r(profile.sampling_gaps(v.prepared().stored_power, "power").unionByName(profile.sampling_gaps(v.prepared().stored_vibration, "vibration")), "median_s", "longest_gap_s"),
+    "dropouts": lambda v: _r(profile.dropouts(v.prepared().stored_vibration), "gap_s"),
     "offset_scores": lambda v: _r(v.scores(), "score"),
     "best_offset": lambda v: _r(align.best(v.scores()), "score"),
     "fine_offset_scores": lambda v: _r(v.fine_scores(), "score"),
@@ -353,20 +361,17 @@ def _reloaded(v: Views) -> DataFrame:
 
 def _in_any_window(v: Views) -> DataFrame:
     """Power readings inside any aligned job."""
-    return _us(joins.in_any_window(v.power(), v.prepared().jobs, "start_time_aligned", "end_time_aligned").select("ts", "machine_id"))
+    return _us(joins.in_any_window(v.prepared().stored_power, v.prepared().jobs, "start_time_aligned", "end_time_aligned").select("ts", "machine_id"))
 
 
 def _paired(v: Views) -> DataFrame:
-    prepared = v.prepared()
-    paired = joins.pair_with_power(prepared.vibration, prepared.power.drop("job_id"), P.pair_tolerance_s)
-    return _us(paired.select("machine_id", "ts", "vibration_rms_g", "power_kw", F.col("pair_gap_us").alias("gap_us")))
+    return _us(v.prepared().paired.select("machine_id", "ts", "vibration_rms_g", "power_kw", F.col("pair_gap_us").alias("gap_us")))
 
 
 def _features(v: Views) -> DataFrame:
     prepared = v.prepared()
-    paired = joins.pair_with_power(prepared.vibration, prepared.power.drop("job_id"), P.pair_tolerance_s)
     names = ("net_power_kw", "vib_per_kw", "peak_to_rms", "log_net_power_kw", "log_vibration_rms_g", "log_vib_per_kw")
-    rows = features.reading_features(paired, prepared.jobs, prepared.idle)
+    rows = features.reading_features(prepared.paired, prepared.jobs, prepared.idle)
     return _r(_us(rows.select("job_id", "machine_id", "ts", "part_type", "quantity", *names)), *names)
 
 

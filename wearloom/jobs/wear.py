@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wearloom.functions import tables
 from wearloom.functions.tables import kept, released
 from wearloom.operators import align, clean, evaluate, features, joins, verdict
 from wearloom.params import Params
@@ -25,24 +26,46 @@ class Prepared:
         self.raw, self.p, self.bounds, self.spark = {"power": power, "vibration": vibration, "log": log}, p, {}, power.sparkSession
 
     @cached_property
-    def tagged_power(self) -> DataFrame:
-        return clean.tag_power(self.raw["power"], self.p, self.bounds)
+    def pieces(self) -> int:
+        """Files of the stored readings; both sensors have as many, so that they meet in place."""
+        return tables.pieces_for(self.raw["power"], self.raw["vibration"])
+
+    @cached_property
+    def _power_parts(self) -> tuple[DataFrame, DataFrame]:
+        return clean.stored_power(self.raw["power"], self.p, self.bounds, self.pieces)
 
     @cached_property
+    def _vibration_parts(self) -> tuple[DataFrame, DataFrame]:
+        return clean.stored_vibration(self.raw["vibration"], self.p, self.bounds, self.pieces)
+
+    @property
+    def tagged_power(self) -> DataFrame:
+        return clean.whole(*self._power_parts)
+
+    @property
     def tagged_vibration(self) -> DataFrame:
-        return clean.tag_vibration(self.raw["vibration"], self.p, self.bounds)
+        return clean.whole(*self._vibration_parts)
 
     @cached_property
     def tagged_jobs(self) -> DataFrame:
         return clean.tag_jobs(self.raw["log"], self.p)
 
-    @cached_property
+    @property
+    def stored_power(self) -> DataFrame:
+        """Clean readings with their time bucket, stored by machine and bucket."""
+        return self._power_parts[0].where("dropped_by IS NULL").drop("dropped_by")
+
+    @property
+    def stored_vibration(self) -> DataFrame:
+        return self._vibration_parts[0].where("dropped_by IS NULL").drop("dropped_by")
+
+    @property
     def clean_power(self) -> DataFrame:
-        return self.tagged_power.where("dropped_by IS NULL").drop("dropped_by")
+        return self.stored_power.drop(joins.BUCKET)
 
-    @cached_property
+    @property
     def clean_vibration(self) -> DataFrame:
-        return self.tagged_vibration.where("dropped_by IS NULL").drop("dropped_by")
+        return self.stored_vibration.drop(joins.BUCKET)
 
     @cached_property
     def clean_jobs(self) -> DataFrame:
@@ -50,7 +73,7 @@ class Prepared:
 
     @cached_property
     def offset_s(self) -> int:
-        return align.estimate_offset(self.clean_power, self.clean_jobs, self.p) if self.p.align_clocks else 0
+        return align.estimate_offset(self.stored_power, self.clean_jobs, self.p, self.pieces) if self.p.align_clocks else 0
 
     @cached_property
     def jobs(self) -> DataFrame:
@@ -61,11 +84,16 @@ class Prepared:
 
     @cached_property
     def power(self) -> DataFrame:
-        return self._labelled(self.clean_power)
+        return self._labelled(self.stored_power).drop(joins.BUCKET)
 
     @cached_property
     def vibration(self) -> DataFrame:
-        return self._labelled(self.clean_vibration)
+        return self._labelled(self.stored_vibration).drop(joins.BUCKET)
+
+    @cached_property
+    def paired(self) -> DataFrame:
+        """Labelled vibration readings with the nearest power reading."""
+        return joins.pair_with_power(self._labelled(self.stored_vibration), self.stored_power, self.p.pair_tolerance_s, pieces=self.pieces)
 
     @cached_property
     def idle(self) -> DataFrame:
@@ -127,8 +155,7 @@ def per_job_metrics(prepared: Prepared) -> DataFrame:
 
 def cutting(prepared: Prepared, p: Params = Params()) -> DataFrame:
     """Readings with features, above the floor; fits read them again and again, so they are written once."""
-    paired = joins.pair_with_power(prepared.vibration, prepared.power.drop("job_id"), p.pair_tolerance_s)
-    return kept(features.cutting_readings(features.reading_features(paired, prepared.jobs, prepared.idle), p))
+    return kept(features.cutting_readings(features.reading_features(prepared.paired, prepared.jobs, prepared.idle), p))
 
 
 def rank_wear(prepared: Prepared, p: Params = Params(), detector: dict | None = None) -> tuple[DataFrame, DataFrame, dict]:

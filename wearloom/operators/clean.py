@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wearloom.functions import selection
+from wearloom.functions import selection, tables
 from wearloom.functions.columns import us
-from wearloom.functions.tables import kept
+from wearloom.operators.joins import BUCKET, bucket_of
 from wearloom.params import Params
 
 SWAPPED = "start and end swapped in the log; exchanged"
@@ -42,28 +42,52 @@ def _above_fence(df: DataFrame, column: str, rule: str, p: Params, bounds: dict
     return _tagged(df, rule, F.col(column) > bound)
 
 
-def _deduplicated(df: DataFrame, values: list[str], p: Params) -> DataFrame:
-    """Readings are dealt out once to find re-sent ones; the fences and the result read what is written then."""
-    return kept(_first_of_each(df, ["machine_id", "ts"], values, "duplicate") if p.drop_duplicate_readings else df)
+def _laid_out(readings: DataFrame, values: list[str], p: Params, pieces: int | None) -> tuple[DataFrame, DataFrame]:
+    """(readings with a machine, a time and values, re-sent ones marked; the others, marked null).
+
+    The first are stored by machine and time bucket (column ``_bucket``, which readings must
+    not have). This is the only time that readings are dealt out: finding re-sent rows, the
+    offset search, labels, gaps and pairing keep to the buckets. Rows without a key are not
+    dealt out at all.
+    """
+    df = readings.withColumn("dropped_by", F.lit(None).cast("string"))
+    df = _tagged(df, "null", reduce(Column.__or__, [F.col(c).isNull() for c in ("ts", "machine_id", *values)]))
+    keys, pieces = ["machine_id", BUCKET], pieces or tables.pieces_for(readings)
+    rows = df.where("dropped_by IS NULL").withColumn(BUCKET, bucket_of(us("ts"))).repartition(pieces, *keys)
+    if p.drop_duplicate_readings:
+        place = F.row_number().over(Window.partitionBy(*keys, "ts").orderBy(*values))
+        rows = _tagged(rows.withColumn("place", place), "duplicate", F.col("place") > 1).drop("place")
+    return tables.laid_out(rows, keys, ["ts"], pieces), df.where("dropped_by IS NOT NULL")
+
+
+def whole(rows: DataFrame, others: DataFrame) -> DataFrame:
+    return rows.drop(BUCKET).unionByName(others)
+
+
+def stored_power(power: DataFrame, p: Params = Params(), bounds: dict | None = None, pieces: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The two parts of ``tag_power``: readings stored by machine and time bucket, and those without a key or value."""
+    rows, others = _laid_out(power, ["power_kw"], p, pieces)
+    rows = _tagged(rows, "negative", F.col("power_kw") < p.power_min_kw)
+    return _above_fence(rows, "power_kw", "sentinel", p, bounds, p.power_abs_max_kw), others
+
+
+def stored_vibration(vibration: DataFrame, p: Params = Params(), bounds: dict | None = None, pieces: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The two parts of ``tag_vibration``."""
+    rms, peak = F.col("vibration_rms_g"), F.col("vibration_peak_g")
+    rows, others = _laid_out(vibration, ["vibration_rms_g", "vibration_peak_g"], p, pieces)
+    rows = _tagged(_tagged(rows, "negative", (rms < 0) | (peak < 0)), "peak_below_rms", peak < rms)
+    rows = _above_fence(rows, "vibration_rms_g", "rms_sentinel", p, bounds)
+    return _above_fence(rows, "vibration_peak_g", "peak_sentinel", p, bounds), others
 
 
 def tag_power(power: DataFrame, p: Params = Params(), bounds: dict | None = None) -> DataFrame:
     """power with dropped_by: the first rule that drops a row, else null. The fence is that
     of the rows which the rules before it leave; ``bounds`` is told it by column."""
-    df = power.withColumn("dropped_by", F.lit(None).cast("string"))
-    df = _tagged(df, "null", F.col("ts").isNull() | F.col("machine_id").isNull() | F.col("power_kw").isNull())
-    df = _tagged(_deduplicated(df, ["power_kw"], p), "negative", F.col("power_kw") < p.power_min_kw)
-    return _above_fence(df, "power_kw", "sentinel", p, bounds, p.power_abs_max_kw)
+    return whole(*stored_power(power, p, bounds))
 
 
 def tag_vibration(vibration: DataFrame, p: Params = Params(), bounds: dict | None = None) -> DataFrame:
-    df = vibration.withColumn("dropped_by", F.lit(None).cast("string"))
-    rms, peak = F.col("vibration_rms_g"), F.col("vibration_peak_g")
-    df = _tagged(df, "null", F.col("ts").isNull() | F.col("machine_id").isNull() | rms.isNull() | peak.isNull())
-    df = _tagged(_deduplicated(df, ["vibration_rms_g", "vibration_peak_g"], p), "negative", (rms < 0) | (peak < 0))
-    df = _tagged(df, "peak_below_rms", peak < rms)
-    df = _above_fence(df, "vibration_rms_g", "rms_sentinel", p, bounds)
-    return _above_fence(df, "vibration_peak_g", "peak_sentinel", p, bounds)
+    return whole(*stored_vibration(vibration, p, bounds))
 
 
 def cleaning_details(tagged: DataFrame, source: str, bounds: dict, rules: dict[str, str]) -> DataFrame:

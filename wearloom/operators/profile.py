@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wearloom.functions import selection
 from wearloom.functions.columns import quantiles, us
 from wearloom.functions.tables import kept
-from wearloom.operators.joins import HOUR
+from wearloom.operators.joins import BUCKET, bucket_of
 
 SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -107,11 +107,12 @@ def machine_sets(sources: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("machine_id").agg(F.count("*").alias("in_sources")).withColumn("in_all", F.col("in_sources") == len(sources))
 
 
-def _gaps(df: DataFrame, bucket_us: int = 6 * HOUR) -> DataFrame:
+def _gaps(df: DataFrame) -> DataFrame:
     """(machine_id, at, gap_s): the time from a machine's reading before. Gaps inside a bucket of
     time come of its readings, those between buckets of the buckets' first and last readings, a
     row per bucket; no machine's history has to be in one task."""
-    rows = df.select("machine_id", us("ts").alias("at")).withColumn("bucket", F.floor(F.col("at") / bucket_us).cast("long"))
+    bucket = F.col(BUCKET) if BUCKET in df.columns else bucket_of(us("ts"))
+    rows = df.select("machine_id", us("ts").alias("at"), bucket.alias("bucket"))
     own = Window.partitionBy("machine_id", "bucket").orderBy("at")
     within = rows.withColumn("before", F.lag("at").over(own))
     ends = rows.groupBy("machine_id", "bucket").agg(F.min("at").alias("at"), F.max("at").alias("last"))
