@@ -28,6 +28,8 @@ _open: list[list[tuple[str, str | None]]] = []
 
 #: Input of one file of a stored layout, and the most files that a layout has.
 PIECE_BYTES, MOST_PIECES = 256 << 20, 50_000
+#: Sizes from here on are the optimizer's mark of a table that it knows nothing of.
+UNKNOWN = 1 << 60
 
 
 def _place(spark: SparkSession, name: str | None = None) -> str:
@@ -47,10 +49,16 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def pieces_for(*frames: DataFrame) -> int:
-    """Files of a stored layout: by the size of what is laid out as the optimizer sees it, at least
-    one per core."""
-    size = max(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in frames)
-    return min(max(size // PIECE_BYTES, frames[0].sparkSession.sparkContext.defaultParallelism), MOST_PIECES)
+    """Files of a stored layout: by the bytes of the tables that a frame reads, at least one per
+    core. Where a table's size is not known (rows of a program), as many as the session's shuffles."""
+    spark, sizes = frames[0].sparkSession, []
+    for df in frames:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes.append(sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
+    least = spark.sparkContext.defaultParallelism
+    if max(sizes) >= UNKNOWN:
+        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), least)
+    return min(max(max(sizes) // PIECE_BYTES, least), MOST_PIECES)
 
 
 def laid_out(df: DataFrame, keys: list[str], order: list[str], pieces: int) -> DataFrame:

@@ -87,14 +87,14 @@ def pair_with_power(vibration: DataFrame, power: DataFrame, tolerance_s: float =
     both = left.unionByName(right).unionByName(edges)
     own = Window.partitionBy("_m", "_b").orderBy("at")
     found = both.select(
-        F.col("_m").alias("machine_id"), "at", "row",
+        "_m", "at", "row",
         F.last("p", True).over(own.rangeBetween(-tol, 0)).alias("before"),
         F.first("p", True).over(own.rangeBetween(0, tol)).alias("after"),
     ).where("row IS NOT NULL")
     back, ahead = F.col("at") - F.col("before.at"), F.col("after.at") - F.col("at")
     use_back = ahead.isNull() | (back <= ahead)
     return found.select(
-        "row.ts", "machine_id", *[f"row.{c}" for c in extra],
+        "row.ts", F.col("_m").alias("machine_id"), *[f"row.{c}" for c in extra],
         F.when(use_back, F.col("before.kw")).otherwise(F.col("after.kw")).alias("power_kw"),
         F.when(use_back, back).otherwise(ahead).alias("pair_gap_us"),
     )
