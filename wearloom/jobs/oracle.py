@@ -187,9 +187,17 @@ UNION ALL SELECT 'production_log', 'duplicate', count(*) FROM l1 WHERE n > 1 UNI
     ),
     "cleaning_details": (
         "",
-        """SELECT 'power' AS source, 'power_kw' AS "column", (SELECT least(500, bound) FROM pf)::FLOAT::DOUBLE AS bound, (SELECT count(*) FROM pn WHERE power_kw > least(500, (SELECT bound FROM pf))) AS sentinels
+        """SELECT d.*, f.sentinel_value, f.machine_id, f.n FROM (SELECT 'power' AS source, 'power_kw' AS "column", (SELECT least(500, bound) FROM pf)::FLOAT::DOUBLE AS bound, (SELECT count(*) FROM pn WHERE power_kw > least(500, (SELECT bound FROM pf))) AS sentinels
 UNION ALL SELECT 'vibration', 'vibration_rms_g', (SELECT bound FROM vf)::FLOAT::DOUBLE, (SELECT count(*) FROM vn WHERE vibration_rms_g > (SELECT bound FROM vf))
-UNION ALL SELECT 'vibration', 'vibration_peak_g', (SELECT bound FROM vg)::FLOAT::DOUBLE, (SELECT count(*) FROM vr WHERE vibration_peak_g > (SELECT bound FROM vg))""",
+UNION ALL SELECT 'vibration', 'vibration_peak_g', (SELECT bound FROM vg)::FLOAT::DOUBLE, (SELECT count(*) FROM vr WHERE vibration_peak_g > (SELECT bound FROM vg))) d JOIN (
+SELECT 'power_kw' AS "column", NULL::DOUBLE AS sentinel_value, NULL::VARCHAR AS machine_id, count(*) AS n FROM pn WHERE power_kw > least(500, (SELECT bound FROM pf))
+UNION ALL SELECT 'vibration_rms_g', NULL, NULL, count(*) FROM vn WHERE vibration_rms_g > (SELECT bound FROM vf)
+UNION ALL SELECT 'vibration_peak_g', NULL, NULL, count(*) FROM vr WHERE vibration_peak_g > (SELECT bound FROM vg)
+UNION ALL SELECT 'power_kw', power_kw, NULL, count(*) FROM pn WHERE power_kw > least(500, (SELECT bound FROM pf)) GROUP BY 2
+UNION ALL SELECT 'vibration_rms_g', vibration_rms_g, NULL, count(*) FROM vn WHERE vibration_rms_g > (SELECT bound FROM vf) GROUP BY 2
+UNION ALL SELECT 'vibration_peak_g', vibration_peak_g, NULL, count(*) FROM vr WHERE vibration_peak_g > (SELECT bound FROM vg) GROUP BY 2
+UNION ALL SELECT 'power_kw', NULL, machine_id, count(*) FROM power_c GROUP BY 3
+UNION ALL SELECT c, NULL, machine_id, count(*) FROM vib_c, (SELECT unnest(['vibration_rms_g', 'vibration_peak_g']) AS c) GROUP BY 1, 3) f USING ("column")""",
     ),
     "sentinel_values": (
         "",

@@ -158,7 +158,10 @@ def _reread_jobs(v: Views) -> DataFrame:
 
 
 def _cleaning_details(v: Views) -> DataFrame:
-    return _r(v.prepared().reports[3].unionByName(v.prepared().reports[4]), "bound")
+    found = v.prepared()
+    tagged = ("power", found.tagged_power), ("vibration", found.tagged_vibration)
+    power, vibration = (clean.cleaning_facts(df, name, found.bounds, wear.FENCED[name]) for name, df in tagged)
+    return _r(power.unionByName(vibration), "bound")
 
 
 def _scale_estimators(v: Views) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wearloom.functions import selection, tables
 from wearloom.functions.columns import us
+from wearloom.functions.tables import kept
 from wearloom.operators.joins import BUCKET, bucket_of
 from wearloom.params import Params
 
@@ -97,6 +98,18 @@ def cleaning_details(tagged: DataFrame, source: str, bounds: dict, rules: dict[s
     return counts.select(F.explode(rows).alias("x")).select(F.lit(source).alias("source"), "x.*")
 
 
+def cleaning_facts(tagged: DataFrame, source: str, bounds: dict, rules: dict[str, str]) -> DataFrame:
+    """(source, column, bound, sentinels, sentinel_value, machine_id, n) per fenced column: a row for the
+    fence (n: values above it), one for each value above it and one for each machine that is left (n: rows)."""
+    fences = kept(cleaning_details(tagged, source, bounds, rules))
+    by_rule = F.create_map(*[e for c, rule in rules.items() for e in (F.lit(rule), F.col(c).cast("double"))])
+    left = F.col("dropped_by").isNull()
+    groups = tagged.where(left | F.col("dropped_by").isin(*rules.values())).groupBy(F.col("dropped_by").alias("rule"), by_rule[F.col("dropped_by")].alias("sentinel_value"), F.when(left, F.col("machine_id")).alias("machine_id")).agg(F.count("*").alias("n"))
+    of = F.array_compact(F.array(*[F.when(F.col("rule").isNull() | (F.col("rule") == rule), F.lit(c)) for c, rule in rules.items()]))
+    facts = groups.select(F.explode(of).alias("column"), "sentinel_value", "machine_id", "n")
+    return fences.select("*", F.lit(None).cast("double").alias("sentinel_value"), F.lit(None).cast("string").alias("machine_id"), F.col("sentinels").alias("n")).unionByName(facts.join(F.broadcast(fences), "column"))
+
+
 def sentinel_values(tagged: DataFrame, source: str, rules: dict[str, str]) -> DataFrame:
     """(source, column, value, n): a row for each value above a fence."""
     pairs = F.array(*[F.when(F.col("dropped_by") == rule, F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))) for c, rule in rules.items()])
