@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from wearloom.jobs import oracle, registry, wear
-from wearloom.operators import clean
+from wearloom.operators import clean, features
 
 SMALL = "/root/testdata/sf0.001"
 T0 = datetime(2024, 1, 1)
@@ -58,3 +58,20 @@ def test_cleaning_facts_without_readings(spark):
     assert got == {(None, None): 3, (9999.0, None): 2, (8888.0, None): 1, (None, "M0"): 20, (None, "M1"): 20}
     tagged = clean.tag_power(spark.createDataFrame([], schema), bounds=bounds)
     assert [(r.sentinels, r.sentinel_value, r.machine_id, r.n) for r in clean.cleaning_facts(tagged, "power", bounds, wear.FENCED["power"]).collect()] == [(0, None, None, 0)]
+
+
+def test_quality_summary_names_the_silent_jobs(spark, former):
+    (was,) = former(
+        """SELECT count(*) AS jobs, count(*) FILTER (power_readings = 0) AS jobs_without_power, count(*) FILTER (vibration_readings = 0) AS jobs_without_vibration, count(*) FILTER (vibration_readings < 20) AS jobs_below_min_readings,
+  list(job_id) FILTER (power_readings = 0 OR vibration_readings = 0) AS silent FROM metrics"""
+    )
+    got = rows(spark, "quality_summary")
+    silent = sorted(was.pop("silent") or [])
+    assert sorted(r.pop("job_id_without_sensor_data") or "" for r in got) == ["", *silent] and all(r == was for r in got)
+
+
+def test_quality_facts_with_and_without_silent_jobs(spark):
+    schema = "job_id string, machine_id string, power_readings long, vibration_readings long"
+    got = features.quality_facts(spark.createDataFrame([("J1", "M0", 30, 30), ("J2", "M0", 0, 30), ("J3", "M0", 30, 0), ("J4", "M1", 9, 9)], schema)).collect()
+    assert sorted(tuple(r) for r in got if r[4]) == [(4, 1, 1, 2, "J2"), (4, 1, 1, 2, "J3")] and [tuple(r) for r in got if not r[4]] == [(4, 1, 1, 2, None)]
+    assert [tuple(r) for r in features.quality_facts(spark.createDataFrame([], schema)).collect()] == [(0, 0, 0, 0, None)]

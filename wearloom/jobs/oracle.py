@@ -233,7 +233,10 @@ UNION ALL SELECT 'vibration', (median(g))::FLOAT::DOUBLE, count(*) FILTER (g > 5
     "job_power": ("", f"SELECT job_id, {r('mean_power_raw_kw', 'median_power_raw_kw')}, max_power_raw_kw, power_readings FROM jp"),
     "job_vibration": ("", f"SELECT job_id, {r('mean_vibration_rms_g', 'p95_vibration_rms_g')}, peak_vibration_g, max_vibration_rms_g, vibration_readings FROM jv"),
     "job_metrics": ("", f"SELECT job_id, machine_id, part_type, {r('mean_power_kw')}, peak_vibration_g, idle_baseline_kw, power_readings, vibration_readings, round(power_readings / greatest(duration_s, 1e-9), 3) AS power_coverage, round(vibration_readings / (2 * greatest(duration_s, 1e-9)), 3) AS vibration_coverage FROM metrics"),
-    "quality_summary": ("", "SELECT count(*) AS jobs, count(*) FILTER (power_readings = 0) AS jobs_without_power, count(*) FILTER (vibration_readings = 0) AS jobs_without_vibration, count(*) FILTER (vibration_readings < 20) AS jobs_below_min_readings FROM metrics"),
+    "quality_summary": (
+        ", qs AS (SELECT count(*) AS jobs, count(*) FILTER (power_readings = 0) AS jobs_without_power, count(*) FILTER (vibration_readings = 0) AS jobs_without_vibration, count(*) FILTER (vibration_readings < 20) AS jobs_below_min_readings FROM metrics)",
+        "SELECT *, NULL::VARCHAR AS job_id_without_sensor_data FROM qs UNION ALL SELECT qs.*, job_id FROM qs, metrics WHERE power_readings = 0 OR vibration_readings = 0",
+    ),
     "silent_jobs": ("", "SELECT job_id, machine_id, power_readings, vibration_readings FROM metrics WHERE power_readings = 0 OR vibration_readings = 0"),
     "profile_tables": ("", _profile()),
     "duplicate_rows": ("", "SELECT 'power' AS source, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM power_raw)))::BIGINT AS duplicate_rows FROM power_raw UNION ALL SELECT 'vibration', (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM vib_raw)))::BIGINT FROM vib_raw"),

@@ -221,7 +221,7 @@ BUILT = {
         "mean_power_kw",
     ),
     "silent_jobs": lambda v: features.silent_jobs(v.metrics()),
-    "quality_summary": lambda v: features.quality_summary(v.metrics()),
+    "quality_summary": lambda v: features.quality_facts(v.metrics()),
     "profile_tables": lambda v: _r(profile.table_profile(v.power_raw, "power").unionByName(profile.table_profile(v.vibration_raw, "vibration")).unionByName(profile.table_profile(v.log_raw, "production_log")), "null_share"),
     "duplicate_rows": lambda v: profile.duplicate_rows(v.power_raw, "power").unionByName(profile.duplicate_rows(v.vibration_raw, "vibration")),
     "value_counts": lambda v: profile.value_counts(v.log_raw, ["machine_id", "part_type", "operator"]),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wearloom.functions import selection
 from wearloom.functions.columns import quantiles
+from wearloom.functions.tables import kept
 from wearloom.params import Params
 
 
@@ -82,6 +83,15 @@ def quality_summary(metrics: DataFrame, p: Params = Params()) -> DataFrame:
     )
 
 
+def quality_facts(metrics: DataFrame, p: Params = Params()) -> DataFrame:
+    """(counts of ``quality_summary``, job_id_without_sensor_data): a row without a job, then one for
+    each job of ``silent_jobs``. Metrics are written once, as both read them."""
+    metrics = kept(metrics.select("job_id", "machine_id", "power_readings", "vibration_readings"))
+    counts = kept(quality_summary(metrics, p))
+    silent = silent_jobs(metrics).select(F.col("job_id").alias("job_id_without_sensor_data"))
+    return counts.withColumn("job_id_without_sensor_data", F.lit(None).cast("string")).unionByName(silent.crossJoin(F.broadcast(counts)))
+
+
 def silent_jobs(metrics: DataFrame) -> DataFrame:
     """(job_id, machine_id, power_readings, vibration_readings) of jobs without readings of a sensor."""
     return metrics.where("power_readings = 0 OR vibration_readings = 0").select("job_id", "machine_id", "power_readings", "vibration_readings")
