@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from wearloom.jobs import oracle, registry, wear
-from wearloom.operators import clean, features
+from wearloom.operators import clean, features, profile
 
 SMALL = "/root/testdata/sf0.001"
 T0 = datetime(2024, 1, 1)
@@ -75,3 +75,16 @@ def test_quality_facts_with_and_without_silent_jobs(spark):
     got = features.quality_facts(spark.createDataFrame([("J1", "M0", 30, 30), ("J2", "M0", 0, 30), ("J3", "M0", 30, 0), ("J4", "M1", 9, 9)], schema)).collect()
     assert sorted(tuple(r) for r in got if r[4]) == [(4, 1, 1, 2, "J2"), (4, 1, 1, 2, "J3")] and [tuple(r) for r in got if not r[4]] == [(4, 1, 1, 2, None)]
     assert [tuple(r) for r in features.quality_facts(spark.createDataFrame([], schema)).collect()] == [(0, 0, 0, 0, None)]
+
+
+def test_defect_values_and_the_percentile_of_the_rest(spark, former):
+    (was,) = former(
+        """SELECT (SELECT list(DISTINCT power_kw) FROM power_raw WHERE power_kw < 0) AS negative, (SELECT list(DISTINCT power_kw) FROM power_raw WHERE power_kw > 100) AS implausible,
+  quantile_cont(power_kw, 0.999) AS p999, count(*) AS n FROM power_raw WHERE power_kw BETWEEN 0 AND 100"""
+    )
+    got = rows(spark, "defect_values")
+    for defect, values in (("negative power", was["negative"]), ("implausible power", was["implausible"])):
+        assert sorted(r["value"] for r in got if r["defect"] == defect) == sorted(values or [])
+    assert [(r["value"], r["n"]) for r in got if r["defect"].startswith("99.9th")] == [(was["p999"], was["n"])]
+    none = profile.defect_values(spark.createDataFrame([(-1.0,), (None,)], "power_kw double")).collect()
+    assert sorted(tuple(r) for r in none) == [("99.9th percentile of the rest", None, 0), ("negative power", -1.0, 1)]

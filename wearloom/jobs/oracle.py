@@ -253,7 +253,8 @@ UNION ALL SELECT 'duplicate job ids', (SELECT sum(c - 1) FROM (SELECT count(*) A
     ),
     "defect_values": (
         "",
-        "SELECT CASE WHEN power_kw < 0 THEN 'negative power' ELSE 'implausible power' END AS defect, power_kw AS value, count(*) AS n FROM power_raw WHERE power_kw < 0 OR power_kw > 100 GROUP BY 1, 2",
+        "SELECT CASE WHEN power_kw < 0 THEN 'negative power' ELSE 'implausible power' END AS defect, power_kw AS value, count(*) AS n FROM power_raw WHERE power_kw < 0 OR power_kw > 100 GROUP BY 1, 2"
+        " UNION ALL SELECT '99.9th percentile of the rest', quantile_cont(power_kw, 0.999), count(*) FROM power_raw WHERE power_kw BETWEEN 0 AND 100",
     ),
     "plausible_top": ("", "SELECT quantile_cont(power_kw, 0.999) AS p999_power_kw FROM power_raw WHERE power_kw BETWEEN 0 AND 100"),
     "time_coverage": ("", "SELECT 'power' AS source, min(us) AS first_us, max(us) AS last_us, count(*) AS rows FROM power_raw UNION ALL SELECT 'vibration', min(us), max(us), count(*) FROM vib_raw UNION ALL SELECT 'production_log', min(start_us), max(end_us), count(*) FROM log_raw"),

@@ -83,10 +83,13 @@ def defect_counts(power: DataFrame, vibration: DataFrame, log: DataFrame, implau
 
 
 def defect_values(power: DataFrame, implausible: float = 100.0) -> DataFrame:
-    """(defect, value, n): a row for each negative and each implausible power value that occurs."""
+    """(defect, value, n): a row for each negative and each implausible power value that occurs, and
+    one for the 99.9th percentile of the rest, with the rows of the rest."""
     kw = F.col("power_kw")
     defect = F.when(kw < 0, "negative power").when(kw > implausible, "implausible power")
-    return power.withColumn("defect", defect).where("defect IS NOT NULL").groupBy("defect", kw.alias("value")).agg(F.count("*").alias("n"))
+    values = power.withColumn("defect", defect).where("defect IS NOT NULL").groupBy("defect", kw.alias("value")).agg(F.count("*").alias("n"))
+    rest = power.agg(F.count_if(kw.between(0, implausible)).alias("n")).crossJoin(plausible_top(power, implausible))
+    return values.unionByName(rest.select(F.lit("99.9th percentile of the rest").alias("defect"), F.col("p999_power_kw").alias("value"), "n"))
 
 
 def plausible_top(power: DataFrame, implausible: float = 100.0) -> DataFrame:
