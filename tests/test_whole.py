@@ -10,6 +10,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from wearloom.jobs import oracle, registry, wear
+from wearloom.llm.components import connected_components
 from wearloom.operators import clean, features, profile
 
 SMALL = "/root/testdata/sf0.001"
@@ -88,3 +89,18 @@ def test_defect_values_and_the_percentile_of_the_rest(spark, former):
     assert [(r["value"], r["n"]) for r in got if r["defect"].startswith("99.9th")] == [(was["p999"], was["n"])]
     none = profile.defect_values(spark.createDataFrame([(-1.0,), (None,)], "power_kw double")).collect()
     assert sorted(tuple(r) for r in none) == [("99.9th percentile of the rest", None, 0), ("negative power", -1.0, 1)]
+
+
+def test_component_rounds_write_few_files(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200) if i % 50 != 49], "a long, b long")
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = connected_components(edges)
+        assert {(r.node, r.component) for r in found.collect()} == {(i, i // 50 * 50) for i in range(200)}
+        assert len(set(found.inputFiles())) <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)

@@ -12,11 +12,11 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round. edges: (u, v) with v < u. The minima are written first, so that
-    both sides of the join are plain exchanges and a hot node's rows can be split."""
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
+    """One round, written. edges: (u, v) with v < u, about so many rows. The minima are written
+    first, so that both sides of the join are plain exchanges and a hot node's rows can be split."""
     pairs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = written(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = written(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), rows)
     joined = pairs.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -24,7 +24,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         )
-    return out.where("u <> v").distinct()
+    return written(out.where("u <> v").distinct(), rows)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     edges: two columns of longs, in any order, repeats and loops allowed. A node that
     has no edge to another one is not returned. Rounds grow with the logarithm of the
-    node count; each writes its edges to the shared folder.
+    node count; each writes its edges to the shared folder,
+    in as many files as the edges fill.
     """
     a, b = (F.col(c) for c in edges.columns[:2])
     edges = written(
@@ -40,7 +41,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     before = _state(edges)
     while before[0]:
-        edges = written(_star(written(_star(edges, True)), False))
+        edges = _star(_star(edges, True, before[0]), False, before[0])
         now = _state(edges)
         if now == before:
             break

@@ -234,14 +234,15 @@ def candidate_links(nodes: DataFrame, max_bits: int = MAX_BITS, longest: int = L
 def components_of(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(fp, component, component_id) of the distinct fingerprints: component is the least of
     its fingerprints, component_id its least id, which several components may share."""
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    rows = prints.count()
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), rows)
     groups = connected_components(candidate_links(nodes.select("fp"), max_bits))
     named = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp")
     )
-    named = written(named)
-    least = written(named.groupBy("component").agg(F.min("least").alias("component_id")))
-    return written(named.join(least, "component").select("fp", "component", "component_id"))
+    named = written(named, rows)
+    least = written(named.groupBy("component").agg(F.min("least").alias("component_id")), rows)
+    return written(named.join(least, "component").select("fp", "component", "component_id"), rows)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
