@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 import unicodedata
 
@@ -73,3 +74,55 @@ def test_query(spark, library):
     assert bpe.encode_and_decode(df.limit(0)).count() == 0
     back = bpe.decode(bpe.encode(df)).collect()
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(d), t or "") for d, t, _ in rows)
+
+
+def fresh_words(n, seed=7):
+    """Different made-up words, many of which the longest match gets wrong."""
+    draw = random.Random(seed)
+    parts = ["ing", "ed", "tion", "th", "er", "ou", "sch", "en", "é", "ñ", "lo", "que", "st", "a", "r"]
+    return sorted({" " + "".join(draw.choices(parts, k=draw.randint(3, 6))) for _ in range(n)})
+
+
+def test_short_pieces_whose_proposal_fails_do_not_go_through_the_heap(own, library, monkeypatch):
+    words = fresh_words(3000)
+    alone = []
+    heap = own.vocabulary.merge
+    monkeypatch.setattr(own.vocabulary, "merge", lambda data: alone.append(data) or heap(data))
+    got = own.vocabulary.encode_pieces([*words, "a" * 64, "ab" * 32, "a" * 65])
+    assert {len(d) for d in alone} <= {65}
+    expected = library.encode_batch([*words, "a" * 64, "ab" * 32, "a" * 65], add_special_tokens=False)
+    assert [ids(p) for p in got] == [e.ids for e in expected]
+    assert sum(proposal(own, w) != e.ids for w, e in zip(words, expected)) > 500
+
+
+def proposal(own, word):
+    out = []
+    own.vocabulary.propose(word.encode(), out)
+    return out
+
+
+def test_pieces_in_use_stay_when_the_memory_is_full(monkeypatch):
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        coder = bpe.Coder(bpe.Vocabulary.parse(f.read()))
+    words = fresh_words(400)
+    used, first, then = words[:50], words[50:150], words[150:250]
+    monkeypatch.setattr(bpe, "REMEMBERED", 200)
+    new = []
+    encode = coder.vocabulary.encode_pieces
+    monkeypatch.setattr(coder.vocabulary, "encode_pieces", lambda pieces: new.extend(pieces) or encode(pieces))
+    coder.encode(["".join(used + first)])
+    coder.encode(["".join(used + then)])
+    assert sorted(new) == sorted(used + first + then)
+    assert len(coder.known) <= 200
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=70) | st.sampled_from([b"aaaa", b" the", b"ingingedtion", "é".encode() * 32]), max_size=40))
+def test_merging_side_by_side_equals_the_heap(own, data):
+    assert [ids(p) for p in own.vocabulary.merge_all(data)] == [own.vocabulary.merge(d) for d in data]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aé日1²Ⅷ '\n\t\x1c\x85\xa0\u3000!_-]^sreld\u0301\ud7ff\ufeff"), max_size=40) | st.text(st.characters(max_codepoint=0xFFFF, exclude_categories=["Cs"]), max_size=40))
+def test_both_patterns_cut_alike(own, text):
+    assert own.narrow(text) == own.wide(text)

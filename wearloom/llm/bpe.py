@@ -3,8 +3,9 @@
 A text is cut at added tokens, then into pieces by the pattern. For each new piece the
 longest vocabulary entry is taken from left to right. The proposal is the encoding
 exactly if no two neighbours would have merged across their border; that is tested for
-all neighbours of a batch of pieces with array operations. Pieces with a failing pair
-are merged exactly. Encodings of pieces are remembered, up to a bound.
+all different neighbours of a batch of pieces with array operations. Pieces with a failing
+pair are merged exactly: short ones side by side in arrays, long ones by a heap. Encodings
+of pieces are remembered, up to a bound.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,6 +30,22 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 #: Pieces whose encodings a task remembers, and the longest piece that it remembers.
 REMEMBERED = 400_000
 REMEMBERED_CHARS = 64
+#: Bytes of the longest piece that is merged side by side with others, and how many are at a time.
+ABREAST_BYTES = 64
+ABREAST = 1 << 13
+
+
+def narrow_pattern() -> str:
+    """PATTERN for ``re``, which is faster, and for texts without characters above U+FFFF.
+
+    Classes are spelled out. Words come before contractions, which is the same: these begin otherwise."""
+    plane = "".join(c for c in map(chr, range(0x10000)) if not "\ud800" <= c <= "\udfff")
+
+    def members(property_: str) -> str:
+        return "".join(f"{re.escape(run[0])}-{re.escape(run[-1])}" for run in regex.findall(rf"\p{{{property_}}}+", plane))
+
+    letter, number, space = map(members, ("L", "N", "White_Space"))
+    return rf" ?[{letter}]+|'(?:[stmd]|re|ve|ll)| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -50,7 +68,7 @@ class Vocabulary:
     merges: dict[tuple[int, int], tuple[int, int]]  #: pair to (rank, token)
     added: dict[str, int]
     ids: dict[bytes, int] = field(default_factory=dict)  #: entries that the proposal may use
-    longest: dict[bytes, int] = field(default_factory=dict)  #: by first two bytes
+    stems: dict[bytes, int] = field(default_factory=dict)  #: their prefixes, with the entry's id or -1
 
     @classmethod
     def parse(cls, text: str) -> Vocabulary:
@@ -75,14 +93,24 @@ class Vocabulary:
         out = cls(token_bytes, rank, left, right, keys[order], np.array([r for r, _ in merges.values()], np.int64)[order], merges, added)
         single = {b: vocab[c] for c, b in alphabet.items() if c in vocab}
         out.single = single
-        for shown, i in vocab.items():
-            data = token_bytes[i]
-            if shown not in added and (len(data) == 1 or out.merge(data) == [i]):
-                out.ids[data] = i
-                head = data[:2]
-                out.longest[head] = max(len(data), out.longest.get(head, 1))
+        out.blank = -((size + 1) ** 2)  # merges with nothing, for such keys are negative
+        out.single_ids = np.array([single.get(b, out.blank) for b in range(256)], np.int64)
+        out.made = np.zeros(len(spec["model"]["merges"]), np.int64)
+        out.made[[r for r, _ in merges.values()]] = [whole for _, whole in merges.values()]
+        entries = [i for shown, i in vocab.items() if shown not in added]
+        merged = out.merge_all([token_bytes[i] for i in entries])
+        out.ids = {token_bytes[i]: i for i, ids in zip(entries, merged) if len(token_bytes[i]) == 1 or ids == np.array([i], "<u4").tobytes()}
+        for data in out.ids:
+            out.stems.update(dict.fromkeys((data[:n] for n in range(1, len(data))), -1))
+        out.stems |= out.ids
         return out
 
+    def ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Merge order of pairs x, y; more than any where no merge has the pair."""
+        keys = x * len(self.token_bytes) + y
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], len(self.made) + 1)
+
     def merge(self, data: bytes) -> list[int]:
         """Exact merging: always the lowest merge, of equal ones the leftmost."""
         ids = [self.single[b] for b in data]
@@ -106,18 +134,59 @@ class Vocabulary:
                 heapq.heappush(heap, (m[0], h, m[1], ids[h], whole))
         return [x for x in ids if x >= 0]
 
-    def propose(self, data: bytes) -> list[int]:
-        """Longest entry from left to right."""
-        out, at, n = [], 0, len(data)
-        ids, longest = self.ids, self.longest
+    def merge_abreast(self, data: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces of up to ABREAST_BYTES bytes, a column each, merged as by ``merge``.
+
+        Every round makes each column's lowest merge, of equal ones the upper. The row below the
+        longest piece stays blank; places before the first and after the last lead there."""
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        high = int(lengths.max())
+        places = np.arange(high + 1)[:, None]
+        held = places < lengths
+        ids = np.full(held.shape, self.blank)
+        ids.T[held.T] = self.single_ids[np.frombuffer(b"".join(data), np.uint8)]
+        after = np.where(places + 1 < lengths, places + 1, high)
+        before = np.repeat(places - 1, len(data), axis=1)
+        none = len(self.made) * ABREAST_BYTES
+        order = np.full(held.shape, 2 * none)
+        order[:-1] = self.ranks(ids[:-1], ids[1:]) * ABREAST_BYTES + places[:-1]
+        while True:
+            lowest = order.min(axis=0)
+            live = np.flatnonzero(lowest < none)
+            if not len(live):
+                break
+            rank, i = np.divmod(lowest[live], ABREAST_BYTES)
+            h, j, whole = before[i, live], after[i, live], self.made[rank]
+            k = after[j, live]
+            ids[i, live], ids[j, live], order[j, live] = whole, self.blank, 2 * none
+            after[i, live], before[k, live] = k, i
+            order[i, live] = self.ranks(whole, ids[k, live]) * ABREAST_BYTES + i
+            order[h, live] = self.ranks(ids[h, live], whole) * ABREAST_BYTES + h
+        left = ids >= 0
+        return packed(ids.T[left.T], left.sum(axis=0))
+
+    def merge_all(self, data: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces by exact merging, those of like length together."""
+        out = [np.array(self.merge(d), "<u4").tobytes() if len(d) > ABREAST_BYTES else b"" for d in data]
+        short = sorted((i for i, d in enumerate(data) if 0 < len(d) <= ABREAST_BYTES), key=lambda i: len(data[i]))
+        for at in range(0, len(short), ABREAST):
+            some = short[at : at + ABREAST]
+            for i, ids in zip(some, self.merge_abreast([data[i] for i in some])):
+                out[i] = ids
+        return out
+
+    def propose(self, data: bytes, out: list[int]) -> None:
+        """Longest entry from left to right, appended to out."""
+        at, n = 0, len(data)
+        stems = self.stems
         while at < n:
-            for size in range(min(n - at, longest.get(data[at : at + 2], 1)), 0, -1):
-                found = ids.get(data[at : at + size])
-                if found is not None:
-                    break
+            found, stop, end = None, at + 1, at + 1
+            while end <= n and (entry := stems.get(data[at:end])) is not None:
+                if entry >= 0:
+                    found, stop = entry, end
+                end += 1
             out.append(found)
-            at += size
-        return out
+            at = stop
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether neighbours a, b stay apart, for all pairs at once.
@@ -127,16 +196,13 @@ class Vocabulary:
         can merge before either parent does, the pair is not an encoding. Of equal
         merges the left one comes first.
         """
-        never = len(self.merges) + 1
+        never = len(self.made) + 1
         x, y = a.copy(), b.copy()
         x_ends, y_ends = np.full(len(a), never), np.full(len(a), never)
         ok = np.ones(len(a), bool)
         live = np.arange(len(a))
-        size = len(self.token_bytes)
         while len(live):
-            keys = x * size + y
-            at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-            rank = np.where(self.pair_keys[at] == keys, self.pair_ranks[at], never)
+            rank = self.ranks(x, y)
             clash = (rank < x_ends) & (rank <= y_ends) & (rank < never)
             ok[live[clash]] = False
             rx, ry = self.rank[x], self.rank[y]
@@ -150,15 +216,31 @@ class Vocabulary:
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Packed ids (little-endian unsigned 32 bits) of each piece."""
         data = [p.encode("utf-8") for p in pieces]
-        proposed = [[self.ids[d]] if d in self.ids else self.propose(d) for d in data]
-        counts = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((i for p in proposed for i in p), np.int64, int(counts.sum()))
-        owner = np.repeat(np.arange(len(proposed)), counts)
+        proposed, ends = [], []  # one list for all pieces: lists of their own cost garbage collection
+        for d in data:
+            if d in self.ids:
+                proposed.append(self.ids[d])
+            else:
+                self.propose(d, proposed)
+            ends.append(len(proposed))
+        flat, counts = np.array(proposed, np.int64), np.diff(np.array(ends, np.int64), prepend=0)
+        owner = np.repeat(np.arange(len(data)), counts)
         within = np.flatnonzero(owner[1:] == owner[:-1])
-        bad = within[~self.compatible(flat[within], flat[within + 1])]
-        for i in np.unique(owner[bad]).tolist():
-            proposed[i] = self.merge(data[i])
-        return [np.array(p, "<u4").tobytes() for p in proposed]
+        size = len(self.token_bytes)
+        pairs, which = np.unique(flat[within] * size + flat[within + 1], return_inverse=True)
+        bad = within[~self.compatible(pairs // size, pairs % size)[which]]
+        out = packed(flat, counts)
+        failed = np.unique(owner[bad]).tolist()
+        for i, ids in zip(failed, self.merge_all([data[i] for i in failed])):
+            out[i] = ids
+        return out
+
+
+def packed(flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Ids as little-endian unsigned 32-bit integers, cut into runs of ``counts`` ids."""
+    data = flat.astype("<u4").tobytes()
+    ends = (4 * np.cumsum(counts)).tolist()
+    return [data[start:end] for start, end in zip([0, *ends], ends)]
 
 
 class Coder:
@@ -167,10 +249,14 @@ class Coder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.known: dict[str, bytes] = {}
-        self.pieces = regex.compile(PATTERN).findall
+        self.narrow, self.wide = re.compile(narrow_pattern()).findall, regex.compile(PATTERN).findall
         added = sorted(vocabulary.added, key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
 
+    def pieces(self, text: str) -> list[str]:
+        narrow = len(text.encode("utf-16-le")) == 2 * len(text)
+        return self.narrow(text) if narrow else self.wide(text)
+
     def cut(self, text: str) -> list[str]:
         if not self.added or not self.added.search(text):
             return self.pieces(text)
@@ -184,11 +270,12 @@ class Coder:
         """Packed ids of each text."""
         known = self.known
         cut = [self.cut(t) for t in texts]
-        new = list(set().union(*cut).difference(known)) if cut else []
+        needed = set().union(*cut)
+        new = needed.difference(known)
         if len(known) + len(new) > REMEMBERED:
+            kept = {p: known[p] for p in needed if p in known}
             known.clear()
-            known |= {s: np.array([i], "<u4").tobytes() for s, i in self.vocabulary.added.items()}
-            new = list(set().union(*cut).difference(known))
+            known |= kept
         known.update({s: np.array([i], "<u4").tobytes() for s, i in self.vocabulary.added.items()})
         new = [p for p in new if p not in self.vocabulary.added]
         known.update(zip(new, self.vocabulary.encode_pieces(new)))
@@ -201,7 +288,7 @@ class Coder:
     def decode(self, packed: bytes) -> str:
         """Text of packed ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
         token_bytes = self.vocabulary.token_bytes
-        return b"".join([token_bytes[i] for i in np.frombuffer(packed, "<u4").tolist()]).decode("utf-8", "replace")
+        return b"".join(map(token_bytes.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
 
 
 _coders: dict[str, Coder] = {}
